@@ -21,6 +21,12 @@ def clip(x, low=None, high=None) -> Column:
     return F.when(x.isNotNull(), out)
 
 
+def bound(x, low, high) -> Column:
+    """Bounded value of an expression known to be non-null (names ``x`` once, so nesting stays
+    small in generated code)."""
+    return F.greatest(F.least(as_col(x), as_col(high)), as_col(low))
+
+
 def nan_to_null(x) -> Column:
     x = as_col(x)
     return F.when(~F.isnan(x), x)

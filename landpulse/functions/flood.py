@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from landpulse.config import FLOOD, FLOOD_REGIME_SETTINGS, FloodSettings
-from landpulse.functions.core import as_col, clip
+from landpulse.functions.core import as_col, bound, clip
 from landpulse.functions.indices import scl_usable
 
 
@@ -19,14 +19,14 @@ def _sar_polarisation(before, event, drop_db: float, ceiling_db: float, units: s
     if start <= 0:
         raise ValueError("drop threshold must be negative")
     if units == "linear":
-        db = lambda x: 10.0 * F.log10(clip(x, 1e-7, 10.0))
+        db = lambda x: 10.0 * F.log10(bound(x, 1e-7, 10.0))
     elif units == "db":
         db = lambda x: as_col(x)
     else:
         raise ValueError("units must be linear or db")
     event_db = db(event)
-    drop = clip((db(before) - event_db - start) / max(1e-6, 6.0 - start), 0.0, 1.0)
-    dark = clip((ceiling_db - event_db) / 8.0 + 0.5, 0.0, 1.0)
+    drop = bound((db(before) - event_db - start) / max(1e-6, 6.0 - start), 0.0, 1.0)
+    dark = bound((ceiling_db - event_db) / 8.0 + 0.5, 0.0, 1.0)
     return 0.6 * drop + 0.4 * dark
 
 
@@ -44,7 +44,7 @@ def sar_water(vv_before, vv_event, vh_before=None, vh_event=None, s: FloodSettin
     if vh_before is not None:
         vh = _sar_polarisation(vh_before, vh_event, s.vh_drop_db, s.vh_ceiling_db, s.sar_units)
         score = 0.55 * score + 0.45 * vh
-    return F.when(sar_valid(vv_before, vv_event, vh_before, vh_event), clip(score, 0.0, 1.0)).otherwise(0.0)
+    return F.when(sar_valid(vv_before, vv_event, vh_before, vh_event), bound(score, 0.0, 1.0)).otherwise(0.0)
 
 
 def optical_valid(green, nir, swir=None, scl=None) -> Column:
@@ -60,12 +60,12 @@ def optical_water(green, nir, swir=None, scl=None, s: FloodSettings = FLOOD) ->
     """Open-water evidence from green/nir and green/swir; cloudy pixels are invalid, not dry."""
     def contrast(other, center):
         g, o = as_col(green), as_col(other)
-        return clip(((g - o) / clip(g + o, 1e-4, 2.0) - center) / 0.5 + 0.5, 0.0, 1.0)
+        return bound(((g - o) / bound(g + o, 1e-4, 2.0) - center) / 0.5 + 0.5, 0.0, 1.0)
 
     score = contrast(nir, s.ndwi_center)
     if swir is not None:
         score = 0.4 * score + 0.6 * contrast(swir, s.mndwi_center)
-    return F.when(optical_valid(green, nir, swir, scl), clip(score, 0.0, 1.0)).otherwise(0.0)
+    return F.when(optical_valid(green, nir, swir, scl), bound(score, 0.0, 1.0)).otherwise(0.0)
 
 
 def novelty_multiplier(frequency, s: FloodSettings = FLOOD) -> Column:
@@ -90,17 +90,17 @@ def permanent_water(frequency, threshold: float = 0.80) -> Column:
 
 def terrain_plausibility(slope_deg, s: FloodSettings = FLOOD) -> Column:
     slope = as_col(slope_deg)
-    steep = clip(1.0 - (slope - s.slope_full_deg) / (s.slope_zero_deg - s.slope_full_deg), 0.0, 1.0)
+    steep = bound(1.0 - (slope - s.slope_full_deg) / (s.slope_zero_deg - s.slope_full_deg), 0.0, 1.0)
     return F.when(_true(slope >= 0), F.when(slope > s.slope_full_deg, steep).otherwise(1.0)).otherwise(0.0)
 
 
 def rainfall_context(mm, anomaly_sigma, hours_since_peak, s: FloodSettings = FLOOD) -> Column:
     mm, sigma, hours = as_col(mm), as_col(anomaly_sigma), as_col(hours_since_peak)
-    amount = clip(mm / s.rain_full_mm, 0.0, 1.0)
-    anomaly = clip((sigma + 1.0) / 4.0, 0.0, 1.0)
+    amount = bound(mm / s.rain_full_mm, 0.0, 1.0)
+    anomaly = bound((sigma + 1.0) / 4.0, 0.0, 1.0)
     decay = F.exp(-F.greatest(F.lit(0.0), hours) / 72.0)
-    score = clip(0.6 * amount + 0.4 * anomaly, 0.0, 1.0) * (0.5 + 0.5 * decay)
-    return F.when(mm < s.rain_floor_mm, 0.05).when(mm.isNotNull(), clip(score, 0.0, 1.0))
+    score = bound(0.6 * amount + 0.4 * anomaly, 0.0, 1.0) * (0.5 + 0.5 * decay)
+    return F.when(mm < s.rain_floor_mm, 0.05).when(mm.isNotNull(), bound(score, 0.0, 1.0))
 
 
 def fuse_gated(sar, sar_ok, optical, optical_ok, novelty=None, terrain=None, rain=None,
@@ -117,7 +117,7 @@ def fuse_gated(sar, sar_ok, optical, optical_ok, novelty=None, terrain=None, rai
     gate = lambda g: F.lit(1.0) if g is None else F.coalesce(as_col(g), F.lit(1.0))
     rain_gate = F.lit(1.0) if rain is None else F.coalesce(0.70 + 0.30 * as_col(rain), F.lit(1.0))
     gated = primary * gate(novelty) * gate(terrain) * rain_gate
-    return F.when(sar_ok | optical_ok, clip(gated, 0.0, 1.0)).otherwise(0.0)
+    return F.when(sar_ok | optical_ok, bound(gated, 0.0, 1.0)).otherwise(0.0)
 
 
 def fuse_linear(sar, sar_ok, optical, optical_ok, novelty, novelty_ok, terrain, terrain_ok, rain,
@@ -131,7 +131,7 @@ def fuse_linear(sar, sar_ok, optical, optical_ok, novelty, novelty_ok, terrain,
     for value, ok, w in channels:
         total = total + F.when(ok, as_col(value) * w).otherwise(0.0)
         weight = weight + F.when(ok, w).otherwise(0.0)
-    return F.when(overall & (weight > 0), clip(total / weight, 0.0, 1.0)).otherwise(0.0)
+    return F.when(overall & (weight > 0), bound(total / weight, 0.0, 1.0)).otherwise(0.0)
 
 
 def blend_regime(global_score, regime_score, confidence, regime) -> Column:
@@ -154,8 +154,8 @@ def coastal_multiplier(occurrence, elevation, slope, is_coastal, in_marine_buffe
     """Soft suppression of marine water, tidal flats and the shoreline fringe."""
     occ, elev = as_col(occurrence), as_col(elevation)
     marine, intertidal = coastal_masks(occ, elev, slope, permanent, tidal_m)
-    soft = (clip((elev - 1.0) / (tidal_m - 1.0), floor, 1.0) * clip(1.0 - occ / permanent, floor, 1.0))
-    base = F.when(marine, 0.0).when(intertidal, clip(soft, floor, 0.85)).otherwise(1.0)
+    soft = bound((elev - 1.0) / (tidal_m - 1.0), floor, 1.0) * bound(1.0 - occ / permanent, floor, 1.0)
+    base = F.when(marine, 0.0).when(intertidal, bound(soft, floor, 0.85)).otherwise(1.0)
     fringe = _true(in_marine_buffer) & ~marine & (elev <= 3.5)
     value = F.when(fringe, F.greatest(F.lit(floor), F.least(base, F.lit(0.50)))).otherwise(base)
     valid = occ.isNotNull() & elev.isNotNull() & as_col(slope).isNotNull()

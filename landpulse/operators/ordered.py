@@ -132,9 +132,7 @@ def bucketed_lag(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequenc
     packed = F.struct(*values)
     within = Window.partitionBy(*keys, bucket).orderBy(*order)
     local = df.withColumns({"_lag": F.lag(packed).over(within), "_rn": F.row_number().over(within)})
-    newest = Window.partitionBy(*keys, bucket)
-    last = (local.withColumn("_max", F.max("_rn").over(newest)).where("_rn = _max")
-            .select(*keys, bucket, packed.alias("_last")))
+    last = local.groupBy(*keys, bucket).agg(F.max_by(packed, "_rn").alias("_last"))
     carried = last.select(*keys, bucket, F.lag("_last").over(
         Window.partitionBy(*keys).orderBy(bucket)).alias("_carry"))
     joined = local.join(carried, [*keys, bucket])

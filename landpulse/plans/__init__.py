@@ -1 +1,3 @@
+"""Named queries; importing this package registers all of them."""
 
+from landpulse.plans import expressions  # noqa: F401
