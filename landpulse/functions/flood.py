@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,8 +17,12 @@ def _true(condition) -> Column:
 
 
 def _sar_polarisation(before, event, drop_db: float, ceiling_db: float, units: str) -> Column:
-    start = abs(drop_db)
-    if start <= 0:
+    if isinstance(drop_db, Column):
+        start = F.abs(drop_db)
+        span = F.greatest(F.lit(1e-6), 6.0 - start)
+    elif drop_db < 0:
+        start, span = -drop_db, max(1e-6, 6.0 + drop_db)
+    else:
         raise ValueError("drop threshold must be negative")
     if units == "linear":
         db = lambda x: 10.0 * F.log10(bound(x, 1e-7, 10.0))
@@ -25,7 +31,7 @@ def _sar_polarisation(before, event, drop_db: float, ceiling_db: float, units: s
     else:
         raise ValueError("units must be linear or db")
     event_db = db(event)
-    drop = bound((db(before) - event_db - start) / max(1e-6, 6.0 - start), 0.0, 1.0)
+    drop = bound((db(before) - event_db - start) / span, 0.0, 1.0)
     dark = bound((ceiling_db - event_db) / 8.0 + 0.5, 0.0, 1.0)
     return 0.6 * drop + 0.4 * dark
 
@@ -206,7 +212,19 @@ def regime_confidence(regime, relief, marine, intertidal, flat) -> Column:
             .when(r == "WETLAND_SEASONAL", 0.75).otherwise(0.50))
 
 
-def regime_setting(regime, name: str) -> Column:
-    """Per-regime value of one setting, as a literal lookup."""
-    pairs = [F.lit(v) for r, s in FLOOD_REGIME_SETTINGS.items() for v in (r, float(getattr(s, name)))]
-    return F.create_map(*pairs)[as_col(regime)]
+TUNED = ("w_sar", "w_optical", "w_novelty", "w_rain", "w_terrain", "vv_drop_db", "permanent_freq",
+         "slope_full_deg", "slope_zero_deg")
+
+
+def regime_settings(regime) -> dict[str, Column]:
+    """Values of the regime-dependent settings as literal lookups, named ``set_<name>``."""
+    def lookup(name: str) -> Column:
+        pairs = [F.lit(v) for r, s in FLOOD_REGIME_SETTINGS.items() for v in (r, float(getattr(s, name)))]
+        return F.create_map(*pairs)[as_col(regime)]
+
+    return {f"set_{name}": lookup(name) for name in TUNED}
+
+
+def row_settings() -> FloodSettings:
+    """Settings read from the row's own ``set_<name>`` columns."""
+    return replace(FLOOD, **{name: F.col(f"set_{name}") for name in TUNED})

@@ -261,29 +261,32 @@ reg AS (SELECT *, CASE WHEN relief > 60.0 OR steep > 0.10 OR (mean_elev > 50.0 A
 regime AS (SELECT *, CASE regime WHEN 'INLAND_RIVERINE_PLUVIAL' THEN {s.clip('0.70 + 0.30 * least(1.0::DOUBLE, relief / 200.0)', 0.70, 0.95)}
   WHEN 'COASTAL_ESTUARINE_TIDAL' THEN {s.clip('0.70 + 0.30 * (marine + intertidal)', 0.70, 0.95)}
   WHEN 'INLAND_RIVERINE_MEGA' THEN {s.clip('0.75 + 0.25 * flat', 0.75, 0.98)} WHEN 'WETLAND_SEASONAL' THEN 0.75::DOUBLE ELSE 0.50::DOUBLE END AS confidence FROM reg)"""
-_TERR_R = "CASE WHEN slope > 6.0 THEN " + s.clip("1.0 - (slope - 6.0) / (12.0 - 6.0)", 0, 1) + " ELSE 1.0 END"
+_SETTINGS = ", ".join(f"('{r}', {st.w_sar}, {st.w_optical}, {-st.vv_drop_db}, {st.permanent_freq}, {st.slope_full_deg}, {st.slope_zero_deg})"
+                      for r, st in config.FLOOD_REGIME_SETTINGS.items())
+_D = lambda c: f"CAST({c} AS DOUBLE)"
 ROUTED = REGIMES + f""",
-routed AS (SELECT f.*, regime, confidence, CASE regime WHEN 'INLAND_RIVERINE_PLUVIAL' THEN CASE WHEN valid THEN
-   {s.clip('(CASE WHEN sar_ok AND opt_ok THEN (0.35 * sar + 0.25 * opt) / (0.35 + 0.25) WHEN sar_ok THEN sar ELSE opt END) * nov * ' + '(' + _TERR_R + ')', 0, 1)} ELSE 0.0 END
-   ELSE score END AS routed_score FROM flood f JOIN regime USING (tile_id, epoch))"""
+setting(regime, ws, wo, vdrop, pf, sf, sz) AS (VALUES {_SETTINGS}),
+st AS (SELECT regime, {_D('ws')} AS ws, {_D('wo')} AS wo, {_D('vdrop')} AS vdrop, {_D('pf')} AS pf, {_D('sf')} AS sf, {_D('sz')} AS sz FROM setting),
+rt AS (SELECT f.*, regime, confidence, ws, wo, {s.sar_sql('vdrop')} AS sar2, {s.novelty_sql('pf')} AS nov2, {s.terrain_sql('sf', 'sz')} AS terr2
+  FROM flood f JOIN regime USING (tile_id, epoch) JOIN st USING (regime)),
+routed AS (SELECT *, CASE WHEN valid THEN {s.clip('(CASE WHEN sar_ok AND opt_ok THEN (ws * sar2 + wo * opt) / (ws + wo) WHEN sar_ok THEN sar2 ELSE opt END) * nov2 * terr2', 0, 1)} ELSE 0.0 END AS routed_score FROM rt)"""
 
 
 def routed_flood(scored):
     """Score under the settings of the grid's own regime, next to the global score.
 
-    Settings differ only in weights, gates and the radar break, so the regime score is one
-    CASE over the few regimes; the routing table is one row per grid.
+    The routing table carries the settings as columns, one row per grid, so the evidence
+    expression is planned once for all regimes.
     """
     routes = routed_tiles(scored).select("tile_id", "epoch", "regime", "confidence")
+    routes = routes.withColumns(flood.regime_settings("regime"))
     joined = salted_join(scored, routes, ["tile_id", "epoch"], ["row", "col"])
-    options = [(r, s_) for r, s_ in config.FLOOD_REGIME_SETTINGS.items()]
-    value = None
-    for name, st in options:
-        sar = flood.sar_water("vv_b", "vv_e", "vh_b", "vh_e", st)
-        fused = flood.fuse_gated(sar, "sar_ok", "optical", "opt_ok", flood.novelty_multiplier("occurrence", st),
-                                 flood.terrain_plausibility("slope", st), None, st)
-        value = F.when(F.col("regime") == name, fused) if value is None else value.when(F.col("regime") == name, fused)
-    return joined.withColumn("routed_score", value)
+    st = flood.row_settings()
+    tuned = joined.withColumns({"_sar": flood.sar_water("vv_b", "vv_e", "vh_b", "vh_e", st),
+                                "_novelty": flood.novelty_multiplier("occurrence", st),
+                                "_terrain": flood.terrain_plausibility("slope", st)})
+    fused = flood.fuse_gated("_sar", "sar_ok", "optical", "opt_ok", "_novelty", "_terrain", None, st)
+    return tuned.withColumn("routed_score", fused).drop("_sar", "_novelty", "_terrain", *[f"set_{n}" for n in flood.TUNED])
 
 
 @query("blend_regime_scores", s.sql(ROUTED, f"""SELECT {K}, regime, {r6("(1.0 - CASE WHEN regime = 'MIXED_UNCERTAIN' THEN 0.0 ELSE confidence END) * score + "

@@ -26,7 +26,7 @@ SUMS = """sums AS (SELECT l_suppkey // 10 AS tile_id, CAST(year(l_shipdate) AS I
 PIX = SUMS + """,
 pix AS (SELECT tile_id, epoch, row, col, n, sd / (100.0::DOUBLE * n) AS red, st / (100.0::DOUBLE * n) AS nir,
   sq / (50.0::DOUBLE * n) AS swir, sp / (1000.0::DOUBLE * n) AS blue, so / (1000.0::DOUBLE * n) AS green,
-  CAST(sp % 12 AS INTEGER) AS scl, (so % 101) / 100.0::DOUBLE AS occurrence, CAST(sq % 20 AS DOUBLE) AS slope,
+  CAST(sp % 12 AS INTEGER) AS scl, (so % 101) * (so % 101) / 10000.0::DOUBLE AS occurrence, (sq % 20) * 9 / 20.0::DOUBLE AS slope,
   (sp % 40) / 4.0::DOUBLE AS elevation, (2 * nr > n) AS reference FROM sums)"""
 
 DENSE = PIX + """,
@@ -44,14 +44,14 @@ delta AS (SELECT e.tile_id, e.epoch, e.row, e.col, b.index AS index_b, e.index A
   FROM idx e JOIN idx b ON e.tile_id = b.tile_id AND e.row = b.row AND e.col = b.col AND e.epoch = b.epoch + 1)"""
 
 FLOODIN = PIX + """,
-fin AS (SELECT e.tile_id, e.epoch, e.row, e.col, b.swir * 0.3 AS vv_b, e.swir * 0.3 AS vv_e, b.red AS vh_b, e.red AS vh_e,
+fin AS (SELECT e.tile_id, e.epoch, e.row, e.col, b.swir * 0.3 AS vv_b, e.swir * e.swir * e.swir * 0.3 AS vv_e, b.red AS vh_b, e.red * e.red * 4.0 AS vh_e,
   e.green, e.nir, e.swir, e.scl, e.occurrence, e.slope, e.elevation, e.reference
   FROM pix e JOIN pix b ON e.tile_id = b.tile_id AND e.row = b.row AND e.col = b.col AND e.epoch = b.epoch + 1)"""
 
 
-def _pol(before: str, event: str, ceiling: float, drop: float = 2.0) -> str:
+def _pol(before: str, event: str, ceiling: float, drop: str = "2.0") -> str:
     db = lambda x: f"10.0 * log10({clip(x, 1e-7, 10.0)})"
-    d = clip(f"(({db(before)}) - ({db(event)}) - {drop}) / {6.0 - drop}", 0, 1)
+    d = clip(f"(({db(before)}) - ({db(event)}) - {drop}) / (6.0 - {drop})", 0, 1)
     a = clip(f"({ceiling} - ({db(event)})) / 8.0 + 0.5", 0, 1)
     return f"(0.6 * {d} + 0.4 * {a})"
 
@@ -60,7 +60,7 @@ SAR_OK = "(vv_b > 0 AND vv_e > 0 AND vh_b > 0 AND vh_e > 0)"
 OPT_OK = "(green > 0 AND nir > 0 AND swir > 0 AND scl IN (4, 5, 6, 7))"
 
 
-def sar_sql(drop: float = 2.0) -> str:
+def sar_sql(drop: str = "2.0") -> str:
     return (f"CASE WHEN {SAR_OK} THEN "
             f"{clip('0.55 * ' + _pol('vv_b', 'vv_e', -14.0, drop) + ' + 0.45 * ' + _pol('vh_b', 'vh_e', -20.0), 0, 1)} ELSE 0.0 END")
 
@@ -70,11 +70,11 @@ def optical_sql() -> str:
     return f"CASE WHEN {OPT_OK} THEN {clip('0.4 * ' + part('nir') + ' + 0.6 * ' + part('swir'), 0, 1)} ELSE 0.0 END"
 
 
-def terrain_sql(full: float = 8.0, zero: float = 15.0) -> str:
-    return f"CASE WHEN slope > {full} THEN {clip(f'1.0 - (slope - {full}) / {zero - full}', 0, 1)} ELSE 1.0 END"
+def terrain_sql(full: str = "8.0", zero: str = "15.0") -> str:
+    return f"CASE WHEN slope > {full} THEN {clip(f'1.0 - (slope - {full}) / ({zero} - {full})', 0, 1)} ELSE 1.0 END"
 
 
-def novelty_sql(freq: float = 0.80) -> str:
+def novelty_sql(freq: str = "0.80") -> str:
     return clip(f"1.0 - occurrence / {freq}", 0, 1)
 
 

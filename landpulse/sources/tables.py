@@ -43,8 +43,8 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("sd") / (100.0 * n)).alias("red"), (F.col("st") / (100.0 * n)).alias("nir"),
         (F.col("sq") / (50.0 * n)).alias("swir"), (F.col("sp") / (1000.0 * n)).alias("blue"),
         (F.col("so") / (1000.0 * n)).alias("green"),
-        (F.col("sp") % 12).cast("int").alias("scl"), ((F.col("so") % 101) / 100.0).alias("occurrence"),
-        (F.col("sq") % 20).cast("double").alias("slope"), ((F.col("sp") % 40) / 4.0).alias("elevation"),
+        (F.col("sp") % 12).cast("int").alias("scl"), ((F.col("so") % 101) * (F.col("so") % 101) / 10000.0).alias("occurrence"),
+        ((F.col("sq") % 20) * 9 / 20.0).alias("slope"), ((F.col("sp") % 40) / 4.0).alias("elevation"),
         (2 * F.col("nr") > n).alias("reference"))
 
 
@@ -85,8 +85,9 @@ def flood_inputs(px: DataFrame) -> DataFrame:
     """Radar before/event, optical bands, class, and static layers per cell."""
     pairs = before_after(px, ["swir", "red"], ["green", "nir", "swir", "scl", "occurrence", "slope",
                                                "elevation", "reference"])
-    return pairs.select(*CELL, (F.col("swir_b") * 0.3).alias("vv_b"), (F.col("swir_e") * 0.3).alias("vv_e"),
-                        F.col("red_b").alias("vh_b"), F.col("red_e").alias("vh_e"), "green", "nir", "swir", "scl",
+    return pairs.select(*CELL, (F.col("swir_b") * 0.3).alias("vv_b"),
+                        (F.col("swir_e") * F.col("swir_e") * F.col("swir_e") * 0.3).alias("vv_e"),
+                        F.col("red_b").alias("vh_b"), (F.col("red_e") * F.col("red_e") * 4.0).alias("vh_e"), "green", "nir", "swir", "scl",
                         "occurrence", "slope", "elevation", "reference")
 
 
