@@ -1,3 +1,3 @@
 """Named queries; importing this package registers all of them."""
 
-from landpulse.plans import expressions, detection  # noqa: F401
+from landpulse.plans import catalog, detection, expressions  # noqa: F401
