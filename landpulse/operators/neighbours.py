@@ -108,3 +108,19 @@ def mask_algebra(left: DataFrame, right: DataFrame, how: str, keys: Sequence[str
     if how == "and_not":
         return a.subtract(b)
     raise ValueError(f"Unknown mask operation: {how}")
+
+
+def gray_opening(df: DataFrame, value: str, name: str, keys: Sequence[str] = GRID) -> DataFrame:
+    """2x2 opening of a score: {opened >= t} equals the opening of {score >= t} for every t, so
+    several thresholds share one pass. NULL scores and missing cells count as false.
+
+    Erosion and dilation run one axis at a time over windows of one grid line.
+    """
+    line, column = _along("col", keys), _along("row", keys)
+    ahead = lambda w: w.rangeBetween(0, 1)
+    back = lambda w: w.rangeBetween(-1, 0)
+    pair_min = lambda c, w: F.when(F.count(c).over(ahead(w)) == 2, F.min(c).over(ahead(w)))
+    out = df.withColumn("_h", pair_min(value, line))
+    out = out.withColumn("_e", pair_min("_h", column))
+    out = out.withColumn("_d", F.max("_e").over(back(column)))
+    return out.withColumn(name, F.max("_d").over(back(line))).drop("_h", "_e", "_d")
