@@ -125,18 +125,20 @@ def bucketed_row_number(df: DataFrame, keys: Sequence[str], bucket: str, order:
     return numbered.withColumn(name, F.col("cum__one").cast("int")).drop("_one", "cum__one", "all__one")
 
 
-def bucketed_lag(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Column],
-                 values: Sequence[str], prefix: str = "prev_") -> DataFrame:
-    """``lag`` per group, cut at bucket borders: the first row of a bucket takes the last row
-    of the nearest earlier bucket of its group."""
-    packed = F.struct(*values)
+def last_before(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Column], value: Column,
+                name: str) -> DataFrame:
+    """Adds the nearest earlier non-null ``value`` of the group, cut at bucket borders.
+
+    Rows are sorted inside (keys, bucket) only; what earlier buckets hand over comes from a table
+    of one row per bucket.
+    """
+    marked = df.withColumn("_v", value)
     within = Window.partitionBy(*keys, bucket).orderBy(*order)
-    local = df.withColumns({"_lag": F.lag(packed).over(within), "_rn": F.row_number().over(within)})
-    last = local.groupBy(*keys, bucket).agg(F.max_by(packed, "_rn").alias("_last"))
-    carried = last.select(*keys, bucket, F.lag("_last").over(
-        Window.partitionBy(*keys).orderBy(bucket)).alias("_carry"))
-    joined = local.join(carried, [*keys, bucket])
-    pick = F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.col("_lag"))
-    return (joined.withColumn("_pick", pick)
-            .withColumns({f"{prefix}{v}": F.col(f"_pick.{v}") for v in values})
-            .drop("_lag", "_rn", "_carry", "_pick"))
+    local = marked.withColumns({
+        "_near": F.last("_v", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, -1)),
+        "_rn": F.row_number().over(within)})
+    ends = local.where("_v IS NOT NULL").groupBy(*keys, bucket).agg(F.max_by("_v", "_rn").alias("_end"))
+    spine = local.select(*keys, bucket).distinct().join(ends, [*keys, bucket], "left")
+    per_key = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    carry = spine.select(*keys, bucket, F.last("_end", ignorenulls=True).over(per_key).alias("_carry"))
+    return local.join(carry, [*keys, bucket]).withColumn(name, F.coalesce("_near", "_carry")).drop("_v", "_near", "_rn", "_carry")

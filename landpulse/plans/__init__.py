@@ -1,3 +1,3 @@
 """Named queries; importing this package registers all of them."""
 
-from landpulse.plans import alignment, catalog, detection, expressions, summaries, validation  # noqa: F401
+from landpulse.plans import alignment, catalog, detection, expressions, learning, series, summaries, validation  # noqa: F401
