@@ -52,12 +52,13 @@ def label_cells(cells: DataFrame, keys: Sequence[str], connectivity: int = 8,
                 extent: tuple[int, int] | None = None, block: int = BLOCK) -> DataFrame:
     """Adds ``label``: the code of the first cell (in row, column order) of the component.
 
-    Cells are labelled inside square blocks (at most ``block**2`` cells per group, whatever the
+    All columns of ``cells`` travel along, so no join is needed to get them back; select the
+    wanted ones first. Cells are labelled inside square blocks (at most ``block**2`` cells per group, whatever the
     tile size), then labels meeting across block borders are merged as a graph. When ``extent``
     (height, width of one grid) fits one block there is nothing to merge.
     """
     columns = [*keys, "row", "col"]
-    placed = cells.select(*columns).withColumns({
+    placed = cells.withColumns({
         "_br": F.floor(F.col("row") / block).cast("int"), "_bc": F.floor(F.col("col") / block).cast("int")})
     schema = T.StructType(placed.schema.fields + [T.StructField("label", T.LongType())])
 

@@ -16,12 +16,11 @@ from landpulse.operators.skew import salted_join
 ROW_BAND = 64
 
 
-def label_candidates(pixels: DataFrame, condition, keys: Sequence[str] = GRID, connectivity: int = 8,
-                     extent: tuple[int, int] | None = None) -> DataFrame:
-    """Candidate pixels with all their columns plus the component ``label``."""
-    candidates = pixels.where(as_col(condition))
-    labels = label_cells(candidates, keys, connectivity, extent)
-    return candidates.join(labels, [*keys, "row", "col"])
+def label_candidates(pixels: DataFrame, condition, carry: Sequence[str] = (), keys: Sequence[str] = GRID,
+                     connectivity: int = 8, extent: tuple[int, int] | None = None) -> DataFrame:
+    """Candidate cells with the ``carry`` columns and the component ``label``."""
+    candidates = pixels.where(as_col(condition)).select(*keys, "row", "col", *carry)
+    return label_cells(candidates, keys, connectivity, extent)
 
 
 def summarize(labelled: DataFrame, keys: Sequence[str] = GRID, min_pixels: int = 9,

@@ -44,6 +44,15 @@ def _(spark, sf):
     return joined.select("tile_id", "epoch", "month", "row", "col", round6(F.col("q") / F.col("n") - F.col("baseline")).alias("anomaly"))
 
 
+@query("same_grid_check", s.sql(s.PIX, """SELECT DISTINCT tile_id, CASE WHEN tile_id % 4 = 1 THEN ['dx'] WHEN tile_id % 4 = 2 THEN ['crs', 'height'] END AS mismatches FROM pix WHERE tile_id % 4 IN (1, 2)"""))
+def _(spark, sf):
+    g = tables.grids(tables.pixels(spark, sf))
+    t = F.col("tile_id") % 4
+    other = g.withColumns({"dx": F.when(t == 1, 20.0).otherwise(F.col("dx")), "crs": F.when(t == 2, "EPSG:4326").otherwise(F.col("crs")),
+                           "height": F.when(t == 2, 8).otherwise(F.col("height"))})
+    return grid.grid_mismatches(g, other)
+
+
 _HARM = s.DENSE + """,
 nr AS (SELECT t.tile_id, t.epoch, CAST(a.i AS INTEGER) AS row, CAST(b.i AS INTEGER) AS col, p.red FROM (SELECT DISTINCT tile_id, epoch FROM pix) t, range(8) a(i), range(8) b(i)
   LEFT JOIN pix p ON p.tile_id = t.tile_id AND p.epoch = t.epoch AND p.row = a.i * 2 + 1 AND p.col = b.i * 2 + 1),
@@ -147,7 +156,7 @@ loc AS (SELECT p.*, n.d AS dist_m, n.alarm_id FROM pt p LEFT JOIN nd n USING (se
 
 def alarm_cells(spark, sf):
     scored = scored_flood(tables.flood_inputs(tables.pixels(spark, sf)))
-    labelled = events.label_candidates(scored, F.col("valid") & (F.col("score") >= 0.4) & (F.col("epoch") == 2000), GRID, 8, EXTENT)
+    labelled = events.label_candidates(scored, F.col("valid") & (F.col("score") >= 0.4) & (F.col("epoch") == 2000), [], GRID, 8, EXTENT)
     kept = labelled.groupBy(*GRID, "label").agg(F.count(F.lit(1)).alias("_k")).where("_k >= 4")
     cells = salted_join(labelled, kept, [*GRID, "label"], ["row", "col"])
     return cells.select((F.col("tile_id") * 1000000000000 + F.col("label")).alias("alarm_id"),
@@ -200,8 +209,8 @@ pairs AS (SELECT tile_id, epoch, p, r, n_shared, n_p, n_r, n_shared / (n_p + n_r
 def object_cells(spark, sf, min_pixels=4):
     """(predicted cells with p, reference cells with r); small predictions are dropped."""
     scored = scored_flood(tables.flood_inputs(tables.pixels(spark, sf)))
-    p = components.label_cells(scored.where("valid AND score >= 0.4"), GRID, 8, EXTENT)
-    r = components.label_cells(scored.where("reference"), GRID, 8, EXTENT)
+    p = components.label_cells(scored.where("valid AND score >= 0.4").select(*CELL), GRID, 8, EXTENT)
+    r = components.label_cells(scored.where("reference").select(*CELL), GRID, 8, EXTENT)
     size = p.groupBy(*GRID, "label").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") >= min_pixels)
     p = salted_join(p, size, [*GRID, "label"], ["row", "col"])
     return p.select(*CELL, F.col("label").alias("p")), r.select(*CELL, F.col("label").alias("r"))

@@ -47,7 +47,7 @@ events_n AS (SELECT *, CAST(row_number() OVER (PARTITION BY tile_id, epoch ORDER
 def change_events(spark, sf):
     """Labelled candidate cells of the index change, and their events."""
     scored = tables.index_delta(tables.pixels(spark, sf)).withColumn("score", indices.disturbance_score("delta", 0.2))
-    labelled = events.label_candidates(scored, F.col("score") >= 0.9, GRID, 8, EXTENT)
+    labelled = events.label_candidates(scored, F.col("score") >= 0.9, ["delta", "score"], GRID, 8, EXTENT)
     found = events.summarize(labelled, GRID, 9, [F.avg("delta").alias("mean_change"), F.avg("score").alias("mean_score"),
                                                  F.max(F.abs("delta")).alias("peak_change")])
     return labelled, events.with_area(found, PIXEL_M)
@@ -65,14 +65,14 @@ def _(spark, sf):
 @query("connected_components", rsql(_CHANGE + "," + components_sql("cand", "lab", 4), f"SELECT {K}, label FROM lab"))
 def _(spark, sf):
     scored = tables.index_delta(tables.pixels(spark, sf)).withColumn("score", indices.disturbance_score("delta", 0.2))
-    return components.label_cells(scored.where("score >= 0.9"), GRID, 4, EXTENT).select(*CELL, "label")
+    return components.label_cells(scored.where("score >= 0.9").select(*CELL), GRID, 4, EXTENT).select(*CELL, "label")
 
 
 @query("largest_object_screen", rsql(s.PIX + ", cand AS (SELECT * FROM pix WHERE reference)," + components_sql("cand", "lab") + """,
 ob AS (SELECT tile_id, epoch, label, count(*) AS n FROM lab GROUP BY 1, 2, 3)""",
     f"SELECT tile_id, epoch, count(*) AS n_objects, max(n) AS max_pixels, {r6('max(n) * 100.0::DOUBLE / 10000.0')} AS max_area_ha FROM ob GROUP BY 1, 2"))
 def _(spark, sf):
-    cells = components.label_cells(tables.pixels(spark, sf).where("reference"), GRID, 8, EXTENT)
+    cells = components.label_cells(tables.pixels(spark, sf).where("reference").select(*CELL), GRID, 8, EXTENT)
     sizes = cells.groupBy(*GRID, "label").agg(F.count(F.lit(1)).alias("n"))
     return sizes.groupBy(*GRID).agg(F.count(F.lit(1)).alias("n_objects"), F.max("n").alias("max_pixels"),
                                     round6(F.max("n") * (PIXEL_M * PIXEL_M) / 10000.0).alias("max_area_ha"))
@@ -208,7 +208,7 @@ ecell AS (SELECT tile_id, epoch, row, col, event_id FROM lab JOIN events_n USING
 
 def flood_events(spark, sf):
     scored = scored_flood(tables.flood_inputs(tables.pixels(spark, sf)))
-    labelled = events.label_candidates(scored, F.col("valid") & (F.col("score") >= 0.2), GRID, 8, EXTENT)
+    labelled = events.label_candidates(scored, F.col("valid") & (F.col("score") >= 0.2), ["score", "scl", "valid"], GRID, 8, EXTENT)
     found = events.summarize(labelled, GRID, config.FLOOD.min_event_pixels, [F.avg("score").alias("mean_score"), F.max("score").alias("peak_score")])
     return scored, labelled, events.with_area(found, config.FLOOD.pixel_m)
 
@@ -270,7 +270,7 @@ def multi_threshold(scored, score, thresholds, min_pixels=4, pixel_ha=0.04):
     levels = F.explode(F.array(*[F.lit(t) for t in thresholds]))
     cells = scored.where("valid").select(*CELL, F.col(score).alias("score"), levels.alias("threshold")).where("score >= threshold")
     keys = [*GRID, "threshold"]
-    labelled = events.label_candidates(cells, F.lit(True), keys, 8, EXTENT)
+    labelled = events.label_candidates(cells, F.lit(True), ["score"], keys, 8, EXTENT)
     found = (labelled.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("area_pixels"), F.avg("score").alias("mc"), F.max("score").alias("xc"))
              .where(F.col("area_pixels") >= min_pixels))
     return found.select(*keys, "label", "area_pixels", round6(F.col("area_pixels") * pixel_ha).alias("area_ha"),
@@ -335,7 +335,7 @@ def _(spark, sf):
 @query("track_link_mask")
 def _(spark, sf):
     d = decided_drought(tables.drought_inputs(tables.pixels(spark, sf)))
-    labelled = events.label_candidates(d, F.col("score") >= config.DROUGHT.watch, GRID, 8, EXTENT)
+    labelled = events.label_candidates(d, F.col("score") >= config.DROUGHT.watch, ["score"], GRID, 8, EXTENT)
     found = tracking.cut_lineage(events.summarize(labelled, GRID, 4, [F.avg("score").alias("mean_severity"), F.max("score").alias("peak_severity")]))
     cells = events.event_cells(labelled.select(*CELL, "label"), found, GRID)
     span = found.agg(F.min("epoch").alias("a"), F.max("epoch").alias("b")).first()
@@ -346,7 +346,24 @@ def _(spark, sf):
         round6(F.max("area_pixels") * 0.04).alias("peak_area_ha"), round6(F.max("peak_severity")).alias("peak_severity"))
 
 
-@query("fire_dedup")
+# greedy order inside groups of chained detections, one step per detection
+_DEDUP = s.FIRE + """,
+fq AS MATERIALIZED (SELECT seq, CAST(latitude AS DOUBLE) AS lat, CAST(longitude AS DOUBLE) AS lon, acq_date, acq_time, latitude, longitude, frp, source,
+  epoch(strptime(acq_date || ' ' || acq_time, '%Y-%m-%d %H%M')) AS t FROM fp),
+fo AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY t, source, lat, lon, seq) AS o FROM fq),
+nr AS MATERIALIZED (SELECT a.o AS a, b.o AS b FROM fo a JOIN fo b ON b.t BETWEEN a.t - 1800 AND a.t + 1800 AND abs(a.lat - b.lat) < 0.01 AND abs(a.lon - b.lon) < 0.01 AND
+  2.0 * 6371008.8 * asin(sqrt(least(1.0::DOUBLE, sin((radians(b.lat) - radians(a.lat)) / 2.0) * sin((radians(b.lat) - radians(a.lat)) / 2.0) +
+  cos(radians(a.lat)) * cos(radians(b.lat)) * sin((radians(b.lon) - radians(a.lon)) / 2.0) * sin((radians(b.lon) - radians(a.lon)) / 2.0)))) <= 250.0),
+cr AS (SELECT o, o AS label FROM fo UNION SELECT n.b, c.label FROM cr c JOIN nr n ON n.a = c.o WHERE c.label < n.b),
+cl AS MATERIALIZED (SELECT o, min(label) AS g FROM cr GROUP BY 1),
+ix AS MATERIALIZED (SELECT cl.o, cl.g, row_number() OVER (PARTITION BY cl.g ORDER BY cl.o) AS i, list(n.b) AS near FROM cl LEFT JOIN nr n ON n.a = cl.o AND n.b < cl.o GROUP BY cl.o, cl.g),
+kp AS (SELECT g, i, [o] AS kept FROM ix WHERE i = 1 UNION ALL SELECT x.g, x.i, CASE WHEN list_has_any(kp.kept, x.near) THEN kp.kept ELSE list_append(kp.kept, x.o) END FROM kp JOIN ix x ON x.g = kp.g AND x.i = kp.i + 1),
+ks AS (SELECT UNNEST(arg_max(kept, i)) AS k FROM kp GROUP BY g),
+hm AS (SELECT n.a, min(n.b) AS k FROM nr n JOIN ks ON ks.k = n.b GROUP BY 1),
+mg AS (SELECT h.k, max(f.frp) AS frp, count(*) AS n_merged FROM hm h JOIN fo f ON f.o = h.a GROUP BY 1)"""
+
+
+@query("fire_dedup", rsql(_DEDUP, f"SELECT seq, latitude, longitude, acq_date, acq_time, {r6('mg.frp')} AS frp, n_merged FROM mg JOIN fo ON fo.o = mg.k"))
 def _(spark, sf):
     merged = fire.merge_duplicates(fire.parse_points(tables.fire_points(spark, sf)), ["ts", "source", "lat", "lon", "seq"])
     return merged.select("seq", "latitude", "longitude", "acq_date", "acq_time", round6("frp").alias("frp"), "n_merged")

@@ -66,12 +66,16 @@ def dense(px: DataFrame) -> DataFrame:
 
 
 def before_after(px: DataFrame, columns: list[str], static: list[str] | None = None) -> DataFrame:
-    """Each cell next to the same cell one epoch earlier: ``<c>_b`` and ``<c>_e``."""
+    """Each cell next to the same cell one epoch earlier: ``<c>_b`` and ``<c>_e``.
+
+    A lag over the cell's own epochs: one shuffle by cell, no self-join.
+    """
     static = static or []
-    event = px.select(*CELL, *static, *[F.col(c).alias(f"{c}_e") for c in columns])
-    earlier = px.select("tile_id", (F.col("epoch") + 1).alias("epoch"), "row", "col",
-                        *[F.col(c).alias(f"{c}_b") for c in columns])
-    return event.join(earlier, CELL)
+    history = Window.partitionBy("tile_id", "row", "col").orderBy("epoch")
+    packed = px.select(*CELL, *static, F.struct("epoch", *columns).alias("_now"))
+    paired = packed.withColumn("_prev", F.lag("_now").over(history)).where(F.col("_prev.epoch") == F.col("epoch") - 1)
+    return paired.select(*CELL, *static, *[F.col(f"_prev.{c}").alias(f"{c}_b") for c in columns],
+                         *[F.col(f"_now.{c}").alias(f"{c}_e") for c in columns])
 
 
 def index_delta(px: DataFrame) -> DataFrame:
@@ -97,9 +101,10 @@ def drought_inputs(px: DataFrame) -> DataFrame:
     obs = px.select(*CELL, "scl", "reference", "occurrence", indices.ndvi("nir", "red").alias("ndvi"),
                     F.col("blue").alias("rain"), F.col("green").alias("soil"), F.col("swir").alias("heat"))
     names = ["ndvi", "rain", "soil", "heat"]
-    stats = [e for c in names for e in (F.avg(c).alias(f"{c}_m"), F.stddev_pop(c).alias(f"{c}_s"))]
-    extremes = [F.min("ndvi").alias("ndvi_lo"), F.max("ndvi").alias("ndvi_hi")]
-    joined = obs.join(obs.groupBy(*cell).agg(*stats, *extremes), cell)
+    history = Window.partitionBy(*cell)  # one row per year: one shuffle by cell serves all windows
+    joined = obs.withColumns({**{f"{c}_m": F.avg(c).over(history) for c in names},
+                              **{f"{c}_s": F.stddev_pop(c).over(history) for c in names},
+                              "ndvi_lo": F.min("ndvi").over(history), "ndvi_hi": F.max("ndvi").over(history)})
     floors = {"ndvi": 0.02, "rain": 0.001, "soil": 0.001, "heat": 0.01}
     z = joined.select(*CELL, "scl", "reference", "occurrence", "ndvi", "ndvi_m", "ndvi_lo", "ndvi_hi",
                       *[z_anomaly(c, f"{c}_m", f"{c}_s", floors[c]).alias(f"z_{c}") for c in names])
