@@ -89,8 +89,10 @@ def graph_components(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, node, component) with component = smallest node id, by alternating star steps.
 
     ``edges`` has columns ``src``, ``dst`` (orderable). Each step replaces the edges of a node
-    by edges to its smallest neighbour; hub nodes are handled by partial aggregation and salted
-    joins. Every round is checkpointed. Ends when the edge set no longer changes.
+    by edges to its smallest neighbour. The smallest neighbour comes from partial aggregation, and
+    the join back is a plain equi-join: the node table is as large as the graph, so copying it per
+    salt would cost more than a hub, whose partition adaptive execution splits. Every round is
+    checkpointed. Ends when the edge set no longer changes.
     """
     keys = list(keys)
 
@@ -100,13 +102,13 @@ def graph_components(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     def large_star(e: DataFrame) -> DataFrame:
         pairs = both_ways(e)
         low = pairs.groupBy(*keys, "src").agg(F.least(F.min("dst"), F.col("src")).alias("_m"))
-        hit = salted_join(pairs.where("dst > src"), low, [*keys, "src"], ["dst"])
+        hit = pairs.where("dst > src").join(low, [*keys, "src"])
         return hit.select(*keys, F.col("dst").alias("src"), F.col("_m").alias("dst")).where("src <> dst").distinct()
 
     def small_star(e: DataFrame) -> DataFrame:
         down = e.select(*keys, F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
         low = down.groupBy(*keys, "src").agg(F.min("dst").alias("_m"))
-        hit = salted_join(down, low, [*keys, "src"], ["dst"])
+        hit = down.join(low, [*keys, "src"])
         to_low = hit.select(*keys, F.col("dst").alias("src"), F.col("_m").alias("dst"))
         own = low.select(*keys, "src", F.col("_m").alias("dst"))
         return to_low.union(own).where("src <> dst").distinct()
@@ -127,3 +129,20 @@ def graph_components(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     nodes = current.select(*keys, F.col("src").alias("node"), F.col("dst").alias("component"))
     roots = current.select(*keys, F.col("dst").alias("node"), F.col("dst").alias("component")).distinct()
     return nodes.union(roots)
+
+
+def chain_roots(links: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, node, root) where every node names at most one parent (NULL or itself at the root).
+
+    Pointer doubling: the pointer of a node jumps to the pointer of its pointer, so a chain of
+    length n takes log2(n) rounds.
+    """
+    keys = list(keys)
+    current = cut_lineage(links.select(*keys, "node", F.coalesce("parent", "node").alias("root")))
+    while True:
+        jump = current.select(*keys, F.col("node").alias("root"), F.col("root").alias("_to"))
+        moved = current.join(jump, [*keys, "root"]).select(*keys, "node", "root", "_to")
+        moved = cut_lineage(moved.select(*keys, "node", F.col("_to").alias("root"), (F.col("_to") != F.col("root")).alias("_moved")))
+        if moved.where("_moved").isEmpty():
+            return moved.drop("_moved")
+        current = moved.drop("_moved")

@@ -30,10 +30,11 @@ def merge_duplicates(points: DataFrame, order: Sequence[str], radius_m: float =
     of its duplicates; unparsed rows are kept. Adds ``n_merged``.
 
     Records equal in position and time collapse first, so repeated copies cost one row. The kept
-    set is then found in rounds: a record that comes before every undecided record of the cells
-    in reach is kept, and everything close to a kept record is dropped. Cells are smaller than
-    the radius, so each holds at most one kept record per time slot and no list of all pairs is
-    ever built. Every round decides at least the earliest open record.
+    set is then found in rounds: a record that comes before every undecided record of its cell and
+    the 26 cells around it is kept, and everything close to a kept record is dropped. Kept records
+    lie more than the tolerance apart, so a cell holds few of them and no list of all pairs is
+    ever built. Every round decides at least the earliest open record; a crowded cell is split by
+    adaptive execution.
     """
     parsed = points.withColumn("_ord", F.struct(*order))
     bad = parsed.where("lat IS NULL OR lon IS NULL OR ts IS NULL")
@@ -41,43 +42,33 @@ def merge_duplicates(points: DataFrame, order: Sequence[str], radius_m: float =
     place = ["lat", "lon", "ts"]
     sites = good.groupBy(*place).agg(F.min("_ord").alias("_ord"), F.max("frp").alias("_frp"),
                                      F.count(F.lit(1)).alias("_copies"))
-    # cell sides: radius / sqrt(2) in both axes at the row's own latitude band
-    step_lat = radius_m / 1.5 / 111320.0
-    band = F.floor(F.col("lat") / step_lat)
-    step_lon = F.lit(step_lat) / F.greatest(F.cos(F.radians((band + 1) * step_lat)), F.cos(F.radians(band * step_lat)))
-    slot = F.floor(F.unix_timestamp("ts") / (minutes * 60))
-    sites = cut_lineage(sites.withColumns({"_b": band, "_t": slot}))
-    reach = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(t).alias("t")) for a in range(-2, 3) for t in (-1, 0, 1)]))
-
-    def cell_of(df: DataFrame) -> DataFrame:
-        return df.withColumn("_c", F.floor(F.col("lon") / step_lon))
-
-    def spread(df: DataFrame, side: int = 2) -> DataFrame:
-        """Copies of the rows for every cell within reach, addressed in that cell's own band."""
-        moved = df.withColumn("_r", reach).withColumns({"_b": F.col("_b") + F.col("_r.a"), "_t": F.col("_t") + F.col("_r.t")})
-        moved = moved.withColumn("_mid", F.floor(F.col("lon") / step_lon_of("_b")))
-        sides = F.explode(F.sequence(F.lit(-side), F.lit(side)))
-        return moved.withColumn("_s", sides).withColumn("_c", F.col("_mid") + F.col("_s")).drop("_r", "_mid", "_s")
-
-    def step_lon_of(name: str):
-        b = F.col(name)
-        return F.lit(step_lat) / F.greatest(F.cos(F.radians((b + 1) * step_lat)), F.cos(F.radians(b * step_lat)))
-
+    # cells of at least the tolerance on every axis: the longitude step fits the highest latitude
+    edge = good.agg(F.max(F.abs("lat"))).first()[0] or 0.0
+    lat_step = radius_m / 111000.0
+    lon_step = lat_step / max(math.cos(math.radians(min(90.0, edge + lat_step))), 1e-6)
+    sites = cut_lineage(sites.withColumns({"_b": F.floor(F.col("lat") / lat_step), "_c": F.floor(F.col("lon") / lon_step),
+                                           "_t": F.floor(F.unix_timestamp("ts") / (minutes * 60))}))
     cell = ["_b", "_c", "_t"]
-    sites = cell_of(sites)
+    around = F.explode(F.array(*[F.struct(F.lit(b).alias("b"), F.lit(c).alias("c"), F.lit(t).alias("t"))
+                                 for b in (-1, 0, 1) for c in (-1, 0, 1) for t in (-1, 0, 1)]))
+
+    def spread(df: DataFrame) -> DataFrame:
+        """A copy of every row for each of the 27 cells around its own."""
+        return df.withColumn("_r", around).withColumns({"_b": F.col("_b") + F.col("_r.b"), "_c": F.col("_c") + F.col("_r.c"),
+                                                        "_t": F.col("_t") + F.col("_r.t")}).drop("_r")
+
+    def reach_of(kept: DataFrame) -> DataFrame:
+        return spread(kept.select(F.col("_ord").alias("_keeper"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"),
+                                  F.col("ts").alias("ts2"), *cell))
+
+    close = ((haversine_m("lat", "lon", "lat2", "lon2") <= radius_m)
+             & (F.abs(F.unix_timestamp("ts") - F.unix_timestamp("ts2")) <= minutes * 60))
     undecided, kept_parts = sites, []
     while not undecided.isEmpty():
-        first_in_cell = undecided.groupBy(*cell).agg(F.min_by(F.struct("_ord", "lat", "lon"), "_ord").alias("_f"))
-        # one cell wider: the first record stands in for every record of its cell
-        lows = (spread(first_in_cell.select(F.col("_f._ord").alias("_o"), F.col("_f.lon").alias("lon"), "_b", "_t"), side=3)
-                .groupBy(*cell).agg(F.min("_o").alias("_min")))
-        kept = cut_lineage(salted_join(undecided, lows, cell, place).where("_ord = _min").select(*sites.columns))
+        lows = spread(undecided.groupBy(*cell).agg(F.min("_ord").alias("_min"))).groupBy(*cell).agg(F.min("_min").alias("_min"))
+        kept = cut_lineage(undecided.join(lows, cell).where("_ord = _min").select(*sites.columns))
         kept_parts.append(kept)
-        near = spread(kept.select(F.col("lat").alias("lat2"), "lon", F.col("ts").alias("ts2"), "_b", "_t"))
-        near = near.withColumnRenamed("lon", "lon2")
-        close = ((haversine_m("lat", "lon", "lat2", "lon2") <= radius_m)
-                 & (F.abs(F.unix_timestamp("ts") - F.unix_timestamp("ts2")) <= minutes * 60))
-        gone = salted_join(undecided, near, cell, place).where(close).select(*place).distinct()
+        gone = undecided.join(reach_of(kept), cell).where(close).select(*place).distinct()
         undecided = cut_lineage(undecided.join(gone, place, "left_anti"))
     if not kept_parts:
         return points.withColumn("n_merged", F.lit(1).cast("bigint"))
@@ -85,11 +76,7 @@ def merge_duplicates(points: DataFrame, order: Sequence[str], radius_m: float =
     for part in kept_parts[1:]:
         kept = kept.unionByName(part)
     # every site goes to its earliest kept neighbour (itself when kept)
-    target = spread(kept.select(F.col("_ord").alias("_keeper"), F.col("lat").alias("lat2"), "lon",
-                                F.col("ts").alias("ts2"), "_b", "_t")).withColumnRenamed("lon", "lon2")
-    close = ((haversine_m("lat", "lon", "lat2", "lon2") <= radius_m)
-             & (F.abs(F.unix_timestamp("ts") - F.unix_timestamp("ts2")) <= minutes * 60))
-    homes = (salted_join(sites, target, cell, place).where(close).groupBy(*place)
+    homes = (sites.join(reach_of(kept), cell).where(close).groupBy(*place)
              .agg(F.min("_keeper").alias("_keeper"), F.first("_frp").alias("_frp"), F.first("_copies").alias("_copies")))
     merged = homes.groupBy("_keeper").agg(F.max("_frp").alias("_best"), F.sum("_copies").alias("n_merged"))
     survivors = (good.join(merged, good["_ord"] == merged["_keeper"])

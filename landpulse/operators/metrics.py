@@ -75,18 +75,23 @@ def logit(p) -> Column:
     return F.log(p / (1.0 - p))
 
 
-def poisson_weight(*parts) -> Column:
-    """Poisson(1) count from a digest of the parts: the same in every run and engine."""
+def with_poisson_weight(df: DataFrame, parts: Sequence, name: str = "w") -> DataFrame:
+    """Adds a Poisson(1) count taken from a digest of the parts: the same in every run and engine.
+
+    The uniform number is a column of its own, so it is computed once per row.
+    """
     u = F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("double") / 4294967296.0
-    # cumulative Poisson(1) probabilities
-    return (F.when(u < 0.367879, 0).when(u < 0.735759, 1).when(u < 0.919699, 2).when(u < 0.981012, 3)
-            .when(u < 0.996340, 4).when(u < 0.999406, 5).when(u < 0.999917, 6).otherwise(7))
+    cumulative = (0.367879, 0.735759, 0.919699, 0.981012, 0.996340, 0.999406, 0.999917)  # Poisson(1)
+    count = F.lit(0)
+    for c in cumulative:
+        count = count + (F.col("_u") >= c).cast("int")
+    return df.withColumn("_u", u).withColumn(name, count).drop("_u")
 
 
 def bootstrap_correlation(units: DataFrame, unit: str, x: str, y: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
     """Percentile interval of Pearson r over resamples of the units."""
     r = units.select(unit, x, y).withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    r = r.withColumn("w", poisson_weight(F.col(unit).cast("string"), F.col("_b").cast("string"), F.lit(str(seed))))
+    r = with_poisson_weight(r, [F.col(unit).cast("string"), F.col("_b").cast("string"), F.lit(str(seed))])
     s = lambda e: F.sum(F.col("w") * e)
     m = r.groupBy("_b").agg(F.sum("w").alias("n"), s(F.col(x)).alias("sx"), s(F.col(y)).alias("sy"), s(F.col(x) * F.col(x)).alias("sxx"),
                             s(F.col(y) * F.col(y)).alias("syy"), s(F.col(x) * F.col(y)).alias("sxy"))

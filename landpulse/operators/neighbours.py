@@ -92,9 +92,7 @@ def valley_scale(df: DataFrame, valley, keys: Sequence[str] = GRID) -> DataFrame
     out = df.withColumn("_v", as_col(valley)).withColumn("_dry", F.when(F.col("_v"), 0).otherwise(1))
     out = out.withColumn("_h", F.max("_dry").over(across))
     out = out.withColumns({"_d": F.max("_h").over(down), "_u": F.max("_dry").over(down)})
-    factor = (F.when(~F.col("_v"), 1.0).when((F.col("_h") == 1) | (F.col("_u") == 1), 0.5)
-              .when(F.col("_d") == 1, F.sqrt(F.lit(2.0)) / 2.0).otherwise(1.0))
-    return out.withColumn("scale_factor", factor).drop("_v", "_dry", "_h", "_d", "_u")
+    return out.withColumn("scale_factor", _scale_from_distance()).drop("_v", "_dry", "_h", "_d", "_u")
 
 
 def mask_algebra(left: DataFrame, right: DataFrame, how: str, keys: Sequence[str] = GRID) -> DataFrame:
@@ -114,13 +112,32 @@ def gray_opening(df: DataFrame, value: str, name: str, keys: Sequence[str] = GRI
     """2x2 opening of a score: {opened >= t} equals the opening of {score >= t} for every t, so
     several thresholds share one pass. NULL scores and missing cells count as false.
 
-    Erosion and dilation run one axis at a time over windows of one grid line.
+    Erosion and dilation run one axis at a time over windows of one grid line: columns, rows
+    (both steps), columns, so a table already laid out by column needs two more shuffles.
     """
     line, column = _along("col", keys), _along("row", keys)
     ahead = lambda w: w.rangeBetween(0, 1)
     back = lambda w: w.rangeBetween(-1, 0)
     pair_min = lambda c, w: F.when(F.count(c).over(ahead(w)) == 2, F.min(c).over(ahead(w)))
-    out = df.withColumn("_h", pair_min(value, line))
-    out = out.withColumn("_e", pair_min("_h", column))
-    out = out.withColumn("_d", F.max("_e").over(back(column)))
-    return out.withColumn(name, F.max("_d").over(back(line))).drop("_h", "_e", "_d")
+    out = df.withColumn("_h", pair_min(value, column))
+    out = out.withColumn("_e", pair_min("_h", line))
+    out = out.withColumn("_d", F.max("_e").over(back(line)))
+    return out.withColumn(name, F.max("_d").over(back(column))).drop("_h", "_e", "_d")
+
+
+def relief_and_valley(df: DataFrame, elevation: str, valley, radius: int = 2, ceiling: float = 150.0,
+                      keys: Sequence[str] = GRID) -> DataFrame:
+    """``local_relief`` and ``valley_scale`` together: one pass along rows, one along columns."""
+    line, column = _along("col", keys), _along("row", keys)
+    out = df.withColumn("_v", as_col(valley)).withColumn("_dry", F.when(F.col("_v"), 0).otherwise(1))
+    out = out.withColumns({"_hi": F.max(elevation).over(line.rangeBetween(-radius, radius)), "_lo": F.min(elevation).over(line.rangeBetween(-radius, radius)),
+                           "_h": F.max("_dry").over(line.rangeBetween(-1, 1))})
+    down, near = column.rangeBetween(-radius, radius), column.rangeBetween(-1, 1)
+    out = out.withColumns({"_top": F.max("_hi").over(down), "_low": F.min("_lo").over(down), "_d": F.max("_h").over(near), "_u": F.max("_dry").over(near)})
+    out = out.withColumns({"relief_m": clip(F.col("_top") - F.col("_low"), 0.0, ceiling), "scale_factor": _scale_from_distance()})
+    return out.drop("_v", "_dry", "_hi", "_lo", "_h", "_top", "_low", "_d", "_u")
+
+
+def _scale_from_distance() -> Column:
+    return (F.when(~F.col("_v"), 1.0).when((F.col("_h") == 1) | (F.col("_u") == 1), 0.5)
+            .when(F.col("_d") == 1, F.sqrt(F.lit(2.0)) / 2.0).otherwise(1.0))

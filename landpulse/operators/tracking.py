@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from landpulse.operators.components import graph_components
+from landpulse.operators.components import chain_roots
 from landpulse.operators.matching import match_by_priority, overlap_pairs
 from landpulse.operators.ordered import bucketed_row_number
 from landpulse.session import cut_lineage
@@ -56,13 +56,12 @@ def link_by_overlap_or_distance(events: DataFrame, cells: DataFrame, pixel_m: fl
 def chain_tracks(linked: DataFrame, keys: Sequence[str] = ("tile_id",)) -> DataFrame:
     """Adds ``track_id``: every chain of predecessors is one track, numbered by first epoch and
     event. Each event names at most one predecessor in the previous epoch, so a chain has a
-    single earliest event, which is also the smallest node code."""
+    single earliest event."""
     node = lambda epoch, event: F.shiftleft(epoch.cast("bigint"), 32).bitwiseOR(event.cast("bigint"))
     coded = cut_lineage(linked.withColumns({
         "_node": node(F.col("epoch"), F.col("event_id")), "_prev": node(F.col("epoch") - 1, F.col("prev_event_id"))}))
-    edges = coded.where("_prev IS NOT NULL").select(*keys, F.col("_node").alias("src"), F.col("_prev").alias("dst"))
-    roots = graph_components(edges, keys).select(*keys, F.col("node").alias("_node"), F.col("component").alias("_root"))
-    rooted = coded.join(roots, [*keys, "_node"], "left").withColumn("_root", F.coalesce("_root", "_node"))
+    roots = chain_roots(coded.select(*keys, F.col("_node").alias("node"), F.col("_prev").alias("parent")), keys)
+    rooted = coded.join(roots.select(*keys, F.col("node").alias("_node"), F.col("root").alias("_root")), [*keys, "_node"])
     starts = rooted.where("_root = _node").select(*keys, "_root", "epoch")
     numbered = bucketed_row_number(starts, keys, "epoch", [F.asc("_root")], "track_id").drop("epoch")
     return rooted.join(numbered, [*keys, "_root"]).drop("_node", "_prev", "_root")

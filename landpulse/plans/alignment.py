@@ -15,6 +15,7 @@ from landpulse.plans.expressions import K, scored_drought, scored_flood
 from landpulse.plans.catalog import _IMPACT, impacts
 from landpulse.plans.registry import query
 from landpulse.plans.sqlbase import r6
+from landpulse.session import cut_lineage
 from landpulse.sources import tables
 from landpulse.sources.tables import CELL, PIXEL_M, SIDE
 
@@ -166,7 +167,7 @@ def alarm_cells(spark, sf):
 
 def located_points(spark, sf):
     pts = fire.parse_points(tables.fire_points(spark, sf)).withColumn("point_id", F.col("seq"))
-    cells = alarm_cells(spark, sf)
+    cells = cut_lineage(alarm_cells(spark, sf))
     return fire.nearest_alarm(pts, cells, max(config.FIRE_RADII_M), 10.12), cells
 
 
@@ -207,13 +208,14 @@ pairs AS (SELECT tile_id, epoch, p, r, n_shared, n_p, n_r, n_shared / (n_p + n_r
 
 
 def object_cells(spark, sf, min_pixels=4):
-    """(predicted cells with p, reference cells with r); small predictions are dropped."""
+    """(predicted cells with p, reference cells with r); small predictions are dropped. Both are
+    written out, as the overlap count and the sizes read them in turn."""
     scored = scored_flood(tables.flood_inputs(tables.pixels(spark, sf)))
     p = components.label_cells(scored.where("valid AND score >= 0.4").select(*CELL), GRID, 8, EXTENT)
     r = components.label_cells(scored.where("reference").select(*CELL), GRID, 8, EXTENT)
     size = p.groupBy(*GRID, "label").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") >= min_pixels)
     p = salted_join(p, size, [*GRID, "label"], ["row", "col"])
-    return p.select(*CELL, F.col("label").alias("p")), r.select(*CELL, F.col("label").alias("r"))
+    return cut_lineage(p.select(*CELL, F.col("label").alias("p"))), cut_lineage(r.select(*CELL, F.col("label").alias("r")))
 
 
 @query("overlap_pairs", rsql(OBJECTS, f"SELECT tile_id, epoch, p, r, n_shared, n_p, n_r, {r6('iou')} AS iou FROM pairs"))
@@ -227,7 +229,7 @@ cnt AS (SELECT e.tile_id, e.epoch, e.event_id, p.scl % 4 AS cls, count(*) AS k F
 mj AS (SELECT tile_id, epoch, event_id, arg_min(cls, (-k, cls)) AS reference_class, sum(k)::BIGINT AS coverage_pixels, max(k) AS mx FROM cnt GROUP BY 1, 2, 3)""",
     f"SELECT n.tile_id, n.epoch, n.event_id, reference_class, coalesce(coverage_pixels, 0) AS coverage_pixels, {r6('mx / coverage_pixels::DOUBLE')} AS agreement FROM events_n n LEFT JOIN mj USING (tile_id, epoch, event_id)"))
 def _(spark, sf):
-    scored, labelled, found = flood_events(spark, sf)
+    scored, labelled, found = flood_events(spark, sf, keep=True)
     cells = events.event_cells(labelled.select(*CELL, "label", (F.col("scl") % 4).alias("cls")), found, GRID)
     best = grid.majority_class(cells, GRID, "event_id", "cls")
     out = found.select(*GRID, "event_id").join(best, [*GRID, "event_id"], "left")

@@ -13,7 +13,9 @@ from landpulse.plans import sqlbase as s
 from landpulse.plans.expressions import (DROUGHT_STATE, K, REGIMES, _MARINE, decided_drought, routed_tiles, scored_flood)
 from landpulse.plans.registry import query
 from landpulse.plans.sqlbase import r6
+from landpulse.session import cut_lineage, scratch_path
 from landpulse.sources import tables
+from landpulse.sources.files import write_features
 from landpulse.sources.tables import CELL, PIXEL_M, SIDE
 
 GRID = ["tile_id", "epoch"]
@@ -44,10 +46,12 @@ evt AS (SELECT tile_id, epoch, label, count(*) AS area_pixels, avg(delta) AS mea
 events_n AS (SELECT *, CAST(row_number() OVER (PARTITION BY tile_id, epoch ORDER BY label) AS INTEGER) AS event_id FROM evt)"""
 
 
-def change_events(spark, sf):
-    """Labelled candidate cells of the index change, and their events."""
+def change_events(spark, sf, keep=False):
+    """Labelled candidate cells of the index change, and their events. ``keep`` writes the cells
+    out for callers that read them several times."""
     scored = tables.index_delta(tables.pixels(spark, sf)).withColumn("score", indices.disturbance_score("delta", 0.2))
     labelled = events.label_candidates(scored, F.col("score") >= 0.9, ["delta", "score"], GRID, 8, EXTENT)
+    labelled = cut_lineage(labelled) if keep else labelled
     found = events.summarize(labelled, GRID, 9, [F.avg("delta").alias("mean_change"), F.avg("score").alias("mean_score"),
                                                  F.max(F.abs("delta")).alias("peak_change")])
     return labelled, events.with_area(found, PIXEL_M)
@@ -147,11 +151,10 @@ OBSERVED = _OBS + f", observed AS (SELECT {K}, n IS NOT NULL AS valid, {_O} AS o
 
 
 def observed_flood(px):
-    """Observability index on the dense grid."""
-    d = neighbours.local_relief(tables.dense(px), "elevation")
-    d = neighbours.valley_scale(d, flood.is_valley("slope", "occurrence"))
-    o = flood.observability(F.col("n").isNotNull(), "slope", "relief_m", "elevation", "occurrence", "scale_factor")
-    return d.select(*CELL, F.col("n").isNotNull().alias("valid"), o.alias("o"))
+    """Observability index on the dense grid; the columns of ``px`` stay."""
+    d = neighbours.relief_and_valley(tables.dense(px.withColumn("_seen", F.lit(True))), "elevation", flood.is_valley("slope", "occurrence"))
+    d = d.withColumn("observed", F.col("_seen").isNotNull()).drop("_seen")
+    return d.withColumn("o", flood.observability("observed", "slope", "relief_m", "elevation", "occurrence", "scale_factor"))
 
 
 @query("observability_flood", s.sql(OBSERVED, f"SELECT {K}, {r6('o')} AS observability FROM observed"))
@@ -167,14 +170,20 @@ tri2 AS (SELECT t.*, (p.row IS NOT NULL) AS is_flood FROM tri t LEFT JOIN opened
 
 
 def decided_flood(px):
-    """Three-state flood decision. Cells removed by the opening are NO_FLOOD, so the states add up."""
-    scored = scored_flood(tables.flood_inputs(px)).select(*CELL, "score", "reference", F.col("valid").alias("has_evidence"))
-    joined = observed_flood(px).join(scored, CELL, "left")
-    joined = joined.withColumn("seen", F.coalesce((F.col("o") >= 0.5) & F.col("has_evidence"), F.lit(False)))
-    opened = neighbours.binary_opening(joined.where("seen AND score >= 0.2"), GRID).withColumn("_f", F.lit(True))
-    out = joined.join(opened, CELL, "left")
-    state = F.when(~F.col("seen"), "UNRESOLVED").when(F.col("_f"), "FLOOD").otherwise("NO_FLOOD")
-    return out.withColumn("state", state).withColumn("opened_away", F.col("seen") & (F.col("score") >= 0.2) & F.col("_f").isNull()).drop("_f")
+    """Three-state flood decision. Cells removed by the opening are NO_FLOOD, so the states add up.
+
+    Evidence, observability and opening form one chain over the grid lines; nothing is joined
+    back.
+    """
+    scored = scored_flood(tables.flood_inputs(px, unpaired=True))
+    scored = scored.select(*CELL, "slope", "elevation", "occurrence", "reference", F.when(F.col("paired"), F.col("score")).alias("score"),
+                           (F.col("paired") & F.col("valid")).alias("has_evidence"))
+    d = observed_flood(scored).withColumn("seen", F.coalesce((F.col("o") >= 0.5) & F.col("has_evidence"), F.lit(False)))
+    d = neighbours.gray_opening(d.withColumn("_s", F.when(F.col("seen"), F.col("score"))), "_s", "_opened").drop("_s")
+    flooded = F.coalesce(F.col("_opened") >= 0.2, F.lit(False))
+    state = F.when(~F.col("seen"), "UNRESOLVED").when(flooded, "FLOOD").otherwise("NO_FLOOD")
+    gone = F.coalesce(F.col("seen") & (F.col("score") >= 0.2) & ~flooded, F.lit(False))
+    return d.withColumns({"state": state, "opened_away": gone}).drop("_opened")
 
 
 @query("tristate_flood", s.sql(TRISTATE, f"SELECT {K}, CASE WHEN NOT seen THEN 'UNRESOLVED' WHEN is_flood THEN 'FLOOD' ELSE 'NO_FLOOD' END AS state, "
@@ -206,9 +215,10 @@ events_n AS (SELECT *, CAST(row_number() OVER (PARTITION BY tile_id, epoch ORDER
 ecell AS (SELECT tile_id, epoch, row, col, event_id FROM lab JOIN events_n USING (tile_id, epoch, label))"""
 
 
-def flood_events(spark, sf):
+def flood_events(spark, sf, keep=False):
     scored = scored_flood(tables.flood_inputs(tables.pixels(spark, sf)))
     labelled = events.label_candidates(scored, F.col("valid") & (F.col("score") >= 0.2), ["score", "scl", "valid"], GRID, 8, EXTENT)
+    labelled = cut_lineage(labelled) if keep else labelled
     found = events.summarize(labelled, GRID, config.FLOOD.min_event_pixels, [F.avg("score").alias("mean_score"), F.max("score").alias("peak_score")])
     return scored, labelled, events.with_area(found, config.FLOOD.pixel_m)
 
@@ -221,7 +231,7 @@ ab AS (SELECT *, n_std * 0.04::DOUBLE AS e, greatest(0.04::DOUBLE, n_high * 0.04
     f"""SELECT tile_id, epoch, event_id, {r6('e')} AS area_expected_ha, {r6('lo')} AS area_low_ha, {r6('hi')} AS area_high_ha, {r6('(hi - lo) / 2.0')} AS area_margin_ha,
   {r6('(hi - lo) / 2.0 / greatest(0.1::DOUBLE, e) * 100.0')} AS area_margin_pct FROM ab"""))
 def _(spark, sf):
-    scored, labelled, found = flood_events(spark, sf)
+    scored, labelled, found = flood_events(spark, sf, keep=True)
     cells = events.event_cells(labelled, found, GRID)
     out = events.area_bounds(scored, cells, "score", 0.1, 0.4, 0.04, SIDE, SIDE, F.col("valid"), GRID)
     return out.select(*GRID, "event_id", *[round6(c).alias(c) for c in ("area_expected_ha", "area_low_ha", "area_high_ha", "area_margin_ha", "area_margin_pct")])
@@ -234,7 +244,7 @@ bio AS (SELECT e.tile_id, e.epoch, event_id, avg(b.swir * 200.0) AS before, avg(
     f"""SELECT tile_id, epoch, event_id, {r6('before')} AS biomass_before, {r6('after')} AS biomass_after, {r6('after - before')} AS biomass_change,
   {r6('(after - before) * 0.47')} AS carbon_change, {r6('abs(after - before) * 0.2')} AS uncertainty FROM bio"""))
 def _(spark, sf):
-    labelled, found = change_events(spark, sf)
+    labelled, found = change_events(spark, sf, keep=True)
     cells = events.event_cells(labelled.select(*CELL, "label"), found, GRID)
     px = tables.pixels(spark, sf).select(*CELL, (F.col("swir") * 200.0).alias("biomass"))
     both = tables.before_after(px, ["biomass"])
@@ -312,9 +322,9 @@ tracked AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY tile_id ORDER BY e0,
 
 
 def tracked_changes(spark, sf):
-    labelled, found = change_events(spark, sf)
-    found = tracking.cut_lineage(found)
-    cells = events.event_cells(labelled.select(*CELL, "label"), found, GRID)
+    labelled, found = change_events(spark, sf, keep=True)
+    found = cut_lineage(found)
+    cells = cut_lineage(events.event_cells(labelled.select(*CELL, "label"), found, GRID))
     linked = tracking.link_by_overlap_or_distance(found, cells, 500.0)
     return tracking.chain_tracks(linked)
 
@@ -335,9 +345,9 @@ def _(spark, sf):
 @query("track_link_mask")
 def _(spark, sf):
     d = decided_drought(tables.drought_inputs(tables.pixels(spark, sf)))
-    labelled = events.label_candidates(d, F.col("score") >= config.DROUGHT.watch, ["score"], GRID, 8, EXTENT)
-    found = tracking.cut_lineage(events.summarize(labelled, GRID, 4, [F.avg("score").alias("mean_severity"), F.max("score").alias("peak_severity")]))
-    cells = events.event_cells(labelled.select(*CELL, "label"), found, GRID)
+    labelled = cut_lineage(events.label_candidates(d, F.col("score") >= config.DROUGHT.watch, ["score"], GRID, 8, EXTENT))
+    found = cut_lineage(events.summarize(labelled, GRID, 4, [F.avg("score").alias("mean_severity"), F.max("score").alias("peak_severity")]))
+    cells = cut_lineage(events.event_cells(labelled.select(*CELL, "label"), found, GRID))
     span = found.agg(F.min("epoch").alias("a"), F.max("epoch").alias("b")).first()
     epochs = list(range(span["a"], span["b"] + 1)) if span["a"] is not None else []
     linked = tracking.link_exclusive(found, cells, epochs)
@@ -390,10 +400,7 @@ def _(spark, sf):
 
 @query("write_event_table", rsql(_FEV, "SELECT tile_id, epoch, event_id, count(*) AS area_pixels FROM ecell GROUP BY 1, 2, 3"))
 def _(spark, sf):
-    from landpulse.sources.files import write_features
-    from landpulse.session import scratch_path
-
-    _, labelled, found = flood_events(spark, sf)
+    _, labelled, found = flood_events(spark, sf, keep=True)
     cells = events.event_cells(labelled.select(*CELL, "label"), found, GRID)
     path = scratch_path(spark, "features")
     write_features(events.event_features(cells, 0.0, 0.0, PIXEL_M, -PIXEL_M, GRID), path)

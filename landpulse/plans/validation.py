@@ -18,6 +18,7 @@ from landpulse.plans.expressions import DROUGHT_STATE, K, ROUTED, _flood, decide
 from landpulse.plans.registry import query
 from landpulse.plans.sqlbase import r6
 from landpulse.plans.summaries import FLOOD_MODES, METRICS, METRIC_SQL, count_sql, metrics_sql, mode_scores, sweep, with_metrics
+from landpulse.session import cut_lineage
 from landpulse.sources import tables
 from landpulse.sources.tables import CELL
 
@@ -268,7 +269,7 @@ def block_bootstrap(binned, block, replicates=1000, seed=42):
     cells = [F.count_if((F.col("bin") == i) & c).alias(f"{n}{i}") for i in range(n_bins) for n, c in (("tp", p & r), ("fp", p & ~r), ("fn", ~p & r))]
     per = binned.groupBy(block.alias("block")).agg(*cells)
     rep = per.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    rep = rep.withColumn("w", metrics.poisson_weight(F.col("block"), F.col("b").cast("string"), F.lit(str(seed))))
+    rep = metrics.with_poisson_weight(rep, [F.col("block"), F.col("b").cast("string"), F.lit(str(seed))])
     sums = rep.groupBy("b").agg(*[F.sum(F.col("w") * F.col(f"{n}{i}")).alias(f"{n}{i}") for i in range(n_bins) for n in ("tp", "fp", "fn")])
     rows = F.explode(F.array(*[F.struct(F.lit(i).alias("bin"), F.col(f"tp{i}").alias("tp"), F.col(f"fp{i}").alias("fp"), F.col(f"fn{i}").alias("fn")) for i in range(n_bins)]))
     each = sums.select("b", rows.alias("_r")).select("_r.*")
@@ -441,9 +442,7 @@ def object_scores(won, size_p, size_r, tau, pixel_ha=0.04, small=0.70, medium=3.
 
 @query("object_match")
 def _(spark, sf):
-    from landpulse.session import cut_lineage
-
-    p, r = (cut_lineage(c) for c in object_cells(spark, sf))
+    p, r = object_cells(spark, sf)
     pairs = cut_lineage(matching.overlap_pairs(p, r, GRID))
     size_p, size_r = p.groupBy(*GRID, "p").agg(F.count(F.lit(1)).alias("n_p")), r.groupBy(*GRID, "r").agg(F.count(F.lit(1)).alias("n_r"))
     out = None
@@ -459,7 +458,7 @@ wn AS (SELECT * FROM pairs WHERE iou > 0.3 QUALIFY count(*) OVER (PARTITION BY t
     f"SELECT tile_id, epoch, p, r, {r6('iou')} AS iou FROM wn"))
 def _(spark, sf):
     p, r = object_cells(spark, sf)
-    pairs = matching.overlap_pairs(p, r, GRID).where("iou > 0.3")
+    pairs = cut_lineage(matching.overlap_pairs(p, r, GRID).where("iou > 0.3"))
     won = matching.assign_one_to_one(pairs, GRID)
     # pairs without competition, where the assignment is the pair itself
     deg_p, deg_r = pairs.groupBy(*GRID, "p").agg(F.count(F.lit(1)).alias("dp")).where("dp = 1"), pairs.groupBy(*GRID, "r").agg(F.count(F.lit(1)).alias("dr")).where("dr = 1")

@@ -65,15 +65,18 @@ def dense(px: DataFrame) -> DataFrame:
     return spine.join(px, CELL, "left")
 
 
-def before_after(px: DataFrame, columns: list[str], static: list[str] | None = None) -> DataFrame:
+def before_after(px: DataFrame, columns: list[str], static: list[str] | None = None, unpaired: bool = False) -> DataFrame:
     """Each cell next to the same cell one epoch earlier: ``<c>_b`` and ``<c>_e``.
 
-    A lag over the cell's own epochs: one shuffle by cell, no self-join.
+    A lag over the cell's own epochs: one shuffle by cell, no self-join. With ``unpaired`` the
+    cells without an earlier epoch stay, with NULL before values.
     """
     static = static or []
     history = Window.partitionBy("tile_id", "row", "col").orderBy("epoch")
     packed = px.select(*CELL, *static, F.struct("epoch", *columns).alias("_now"))
-    paired = packed.withColumn("_prev", F.lag("_now").over(history)).where(F.col("_prev.epoch") == F.col("epoch") - 1)
+    paired = packed.withColumn("_prev", F.lag("_now").over(history))
+    adjacent = F.col("_prev.epoch") == F.col("epoch") - 1
+    paired = paired.withColumn("_prev", F.when(adjacent, F.col("_prev"))) if unpaired else paired.where(adjacent)
     return paired.select(*CELL, *static, *[F.col(f"_prev.{c}").alias(f"{c}_b") for c in columns],
                          *[F.col(f"_now.{c}").alias(f"{c}_e") for c in columns])
 
@@ -85,11 +88,12 @@ def index_delta(px: DataFrame) -> DataFrame:
     return pairs.withColumn("delta", F.col("index_e") - F.col("index_b"))
 
 
-def flood_inputs(px: DataFrame) -> DataFrame:
-    """Radar before/event, optical bands, class, and static layers per cell."""
+def flood_inputs(px: DataFrame, unpaired: bool = False) -> DataFrame:
+    """Radar before/event, optical bands, class, and static layers per cell. ``paired`` tells
+    whether the cell has an earlier epoch."""
     pairs = before_after(px, ["swir", "red"], ["green", "nir", "swir", "scl", "occurrence", "slope",
-                                               "elevation", "reference"])
-    return pairs.select(*CELL, (F.col("swir_b") * 0.3).alias("vv_b"),
+                                               "elevation", "reference"], unpaired)
+    return pairs.select(*CELL, F.col("swir_b").isNotNull().alias("paired"), (F.col("swir_b") * 0.3).alias("vv_b"),
                         (F.col("swir_e") * F.col("swir_e") * F.col("swir_e") * 0.3).alias("vv_e"),
                         F.col("red_b").alias("vh_b"), (F.col("red_e") * F.col("red_e") * 4.0).alias("vh_e"), "green", "nir", "swir", "scl",
                         "occurrence", "slope", "elevation", "reference")
