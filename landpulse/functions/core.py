@@ -44,6 +44,16 @@ def round6(x) -> Column:
     return F.floor(as_col(x) * 1000000.0 + 0.5001) / 1000000.0
 
 
+def fixed_rows(rows, names) -> Column:
+    """Array literal of a small fixed table, for ``explode`` or a lookup by position."""
+    return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows])
+
+
+def with_fixed_rows(df, rows, names):
+    """Every row of ``df`` next to every row of a small fixed table; no join is planned."""
+    return df.select("*", F.explode(fixed_rows(rows, names)).alias("_fixed")).select("*", "_fixed.*").drop("_fixed")
+
+
 def share(condition) -> Column:
     """Fraction of rows for which a non-null condition holds."""
     return F.avg(as_col(condition).cast("double"))

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from landpulse.operators.skew import salted_join
 from landpulse.session import cut_lineage
 
 BLOCK = 256
@@ -81,7 +80,7 @@ def label_cells(cells: DataFrame, keys: Sequence[str], connectivity: int = 8,
     other = border.select(*columns, F.col("label").alias("dst"), F.col("_br").alias("_or"), F.col("_bc").alias("_oc"))
     edges = (reach.join(other, columns).where("_br <> _or OR _bc <> _oc").select(*keys, "src", "dst").distinct())
     merged = graph_components(edges, keys).select(*keys, F.col("node").alias("label"), F.col("component").alias("_to"))
-    joined = salted_join(labelled, merged, [*keys, "label"], ["row", "col"], how="left")
+    joined = labelled.join(merged, [*keys, "label"], "left")
     return joined.withColumn("label", F.coalesce("_to", "label")).drop("_to", "_br", "_bc")
 
 

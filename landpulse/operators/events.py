@@ -11,7 +11,6 @@ from landpulse.functions.core import as_col
 from landpulse.operators.components import label_cells
 from landpulse.operators.neighbours import GRID, dilate
 from landpulse.operators.ordered import bucketed_row_number
-from landpulse.operators.skew import salted_join
 
 ROW_BAND = 64
 
@@ -46,9 +45,10 @@ def with_area(events: DataFrame, pixel_m: float) -> DataFrame:
 
 
 def event_cells(labelled: DataFrame, events: DataFrame, keys: Sequence[str] = GRID) -> DataFrame:
-    """Cells of the kept events, with their ``event_id``."""
+    """Cells of the kept events, with their ``event_id``. A plain join: small events are too
+    many to copy per salt, and the partition of a giant one is split by adaptive execution."""
     ids = events.select(*keys, "label", "event_id")
-    return salted_join(labelled, ids, [*keys, "label"], ["row", "col"]).drop("label")
+    return labelled.join(ids, [*keys, "label"]).drop("label")
 
 
 def area_bounds(pixels: DataFrame, cells: DataFrame, score: str, low: float, high: float,

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from landpulse import config
 from landpulse.functions.core import share
 from landpulse.functions.geo import haversine_m
-from landpulse.operators.skew import salted_join
 from landpulse.session import cut_lineage
 
 
@@ -111,7 +110,7 @@ def nearest_alarm(points: DataFrame, alarms: DataFrame, reach_m: float, mean_lat
     best = (sites.join(spread, ["_bx", "_by"]).withColumn("dist_m", F.sqrt(dx * dx + dy * dy))
             .where(F.col("dist_m") <= reach_m).groupBy("_x", "_y")
             .agg(F.min(F.struct("dist_m", "alarm_id")).alias("_near")))
-    joined = salted_join(px, best, ["_x", "_y"], ["point_id"], how="left")
+    joined = px.join(best, ["_x", "_y"], "left")
     return joined.withColumns({"dist_m": F.col("_near.dist_m"), "alarm_id": F.col("_near.alarm_id")}).drop("_near", "_x", "_y")
 
 
@@ -124,7 +123,7 @@ def corroboration(located: DataFrame, n_alarms: DataFrame, radii: Sequence[float
     rows = F.explode(F.array(*[F.struct(F.lit(float(r)).alias("radius_m"), F.col(f"h{i}").alias("recovered_points"),
                                         F.col(f"a{i}").alias("corroborated_alarms"), F.col(f"f{i}").alias("high_frp_recovery"))
                                for i, r in enumerate(radii)]))
-    flat = per.crossJoin(F.broadcast(n_alarms)).select("n_points", "n_alarms", rows.alias("_r")).select("n_points", "n_alarms", "_r.*")
+    flat = per.withColumn("n_alarms", n_alarms.scalar()).select("n_points", "n_alarms", rows.alias("_r")).select("n_points", "n_alarms", "_r.*")
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     return flat.withColumns({"recovery_rate": ratio("recovered_points", "n_points"),
                              "corroboration_rate": ratio("corroborated_alarms", "n_alarms"),

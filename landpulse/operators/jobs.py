@@ -65,6 +65,6 @@ def split_blocks(rows: DataFrame, block: Sequence[str], fraction: float, seed: i
     blocks = rows.select(*block).distinct().withColumn("_h", F.md5(F.concat_ws("|", *[F.col(b).cast("string") for b in block], F.lit(str(seed)))))
     blocks = blocks.withColumn("_p", F.substring("_h", 1, 2))
     ranked = bucketed_row_number(blocks, [], "_p", [F.asc("_h")], "_rn")
-    total = blocks.agg(F.greatest(F.lit(1), F.round(F.count(F.lit(1)) * fraction)).alias("_n"))
-    chosen = ranked.crossJoin(F.broadcast(total)).select(*block, (F.col("_rn") <= F.col("_n")).alias("is_test"))
+    wanted = blocks.agg(F.greatest(F.lit(1), F.round(F.count(F.lit(1)) * fraction)).alias("_n"))
+    chosen = ranked.select(*block, (F.col("_rn") <= wanted.scalar()).alias("is_test"))
     return rows.join(chosen, list(block))

@@ -9,12 +9,10 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from landpulse.functions.core import round6, share
-from landpulse.operators.jobs import cap_per_class
-from landpulse.session import cut_lineage
+from landpulse.functions.core import round6
 
 
 def labelled_rows(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
@@ -37,9 +35,11 @@ def train_forest(df: DataFrame, features: Sequence[str], label: str, trees: int
     total = counts.agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_k")).first()
     if total["_k"] < 2:
         raise ValueError("At least two labelled classes are required.")
-    weighted = df.join(F.broadcast(counts), label).withColumn("_w", F.lit(float(total["_all"])) / (F.lit(float(total["_k"])) * F.col("_n")))
+    weighted = df.join(counts, label).withColumn("_w", F.lit(float(total["_all"])) / (F.lit(float(total["_k"])) * F.col("_n")))
+    # small inputs arrive in few partitions; spread them over all cores
+    weighted = weighted.repartition(max(df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism))
     forest = RandomForestClassifier(featuresCol="_features", labelCol="_label", weightCol="_w", numTrees=trees, maxDepth=depth,
-                                    featureSubsetStrategy="sqrt", seed=seed)
+                                    featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=1024, cacheNodeIds=True)
     stages = [StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="keep"),
               VectorAssembler(inputCols=list(features), outputCol="_features"), forest]
     return Pipeline(stages=stages).fit(weighted)

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landpulse.functions.core import as_col
-from landpulse.operators.skew import salted_join
 from landpulse.session import cut_lineage
 
 BUCKETS = 64
@@ -103,10 +102,13 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str) ->
 
 
 def rank_correlation(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    """Pearson and Spearman (mean ranks for ties) per group; NULL without variance."""
+    """Pearson and Spearman (mean ranks for ties) per group; NULL without variance.
+
+    The rank tables hold one row per distinct value and can be as large as the data, so they are
+    joined plainly; adaptive execution splits a value shared by very many rows.
+    """
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
-    ranked = salted_join(pairs, average_ranks(pairs, keys, x, "_rx"), [*keys, x], [y])
-    ranked = salted_join(ranked, average_ranks(pairs, keys, y, "_ry"), [*keys, y], [x])
+    ranked = pairs.join(average_ranks(pairs, keys, x, "_rx"), [*keys, x]).join(average_ranks(pairs, keys, y, "_ry"), [*keys, y])
     stats = [F.count(F.lit(1)).alias("n_pairs"), correlation(x, y).alias("pearson_r"),
              correlation("_rx", "_ry").alias("spearman_rho")]
     return ranked.groupBy(*keys).agg(*stats) if keys else ranked.agg(*stats)

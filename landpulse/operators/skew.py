@@ -15,8 +15,9 @@ def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread: Seq
     """Join rows to a one-row-per-key table, splitting each key over ``salts`` partitions.
 
     ``spread`` names columns of ``big`` that differ inside a key. Every row of ``small`` is
-    copied once per salt, so the result equals the plain join. When the copied side turns out
-    small at run time, adaptive execution broadcasts it; nothing is broadcast unchecked.
+    copied once per salt, so the result equals the plain join. Meant for tables far smaller than
+    ``big``, such as one row per grid. When the copied side turns out small at run time, adaptive
+    execution broadcasts it; nothing is broadcast unchecked.
     """
     left = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -5,19 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from landpulse import config
-from landpulse.functions import drought, indices
-from landpulse.functions.core import round6
+from landpulse.functions import drought
+from landpulse.functions.core import round6, with_fixed_rows
 from landpulse.operators import components, events, fire, grid, jobs, matching, scenes
-from landpulse.operators.skew import salted_join
 from landpulse.plans import sqlbase as s
-from landpulse.plans.detection import EXTENT, GRID, _EVENTS, _FEV, _TRK, change_events, components_sql, flood_events, rsql, tracked_changes
-from landpulse.plans.expressions import K, scored_drought, scored_flood
+from landpulse.plans.detection import EXTENT, GRID, _FEV, _TRK, components_sql, flood_events, rsql, tracked_changes
+from landpulse.plans.expressions import scored_drought, scored_flood
 from landpulse.plans.catalog import _IMPACT, impacts
 from landpulse.plans.registry import query
 from landpulse.plans.sqlbase import r6
 from landpulse.session import cut_lineage
 from landpulse.sources import tables
-from landpulse.sources.tables import CELL, PIXEL_M, SIDE
+from landpulse.sources.tables import CELL, SIDE
 
 
 @query("pixel_align_join", s.sql(s.PIX, f"""SELECT e.tile_id, e.epoch, e.row, e.col, {r6('b.swir')} AS before, {r6('e.swir')} AS after, e.reference AS mask
@@ -159,7 +158,7 @@ def alarm_cells(spark, sf):
     scored = scored_flood(tables.flood_inputs(tables.pixels(spark, sf)))
     labelled = events.label_candidates(scored, F.col("valid") & (F.col("score") >= 0.4) & (F.col("epoch") == 2000), [], GRID, 8, EXTENT)
     kept = labelled.groupBy(*GRID, "label").agg(F.count(F.lit(1)).alias("_k")).where("_k >= 4")
-    cells = salted_join(labelled, kept, [*GRID, "label"], ["row", "col"])
+    cells = labelled.join(kept, [*GRID, "label"])
     return cells.select((F.col("tile_id") * 1000000000000 + F.col("label")).alias("alarm_id"),
                         (70.0 + (F.col("tile_id") % 6) * 0.01 + F.col("col") * 0.0005).alias("lon"),
                         (10.0 + (F.col("tile_id") % 25) * 0.01 + F.col("row") * 0.0005).alias("lat"))
@@ -214,7 +213,7 @@ def object_cells(spark, sf, min_pixels=4):
     p = components.label_cells(scored.where("valid AND score >= 0.4").select(*CELL), GRID, 8, EXTENT)
     r = components.label_cells(scored.where("reference").select(*CELL), GRID, 8, EXTENT)
     size = p.groupBy(*GRID, "label").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") >= min_pixels)
-    p = salted_join(p, size, [*GRID, "label"], ["row", "col"])
+    p = p.join(size, [*GRID, "label"])
     return cut_lineage(p.select(*CELL, F.col("label").alias("p"))), cut_lineage(r.select(*CELL, F.col("label").alias("r")))
 
 
@@ -272,8 +271,8 @@ abl AS (SELECT d.tile_id, d.epoch, d.row, d.col, d.reference, mode, {s.clip('wv
 
 def ablated(scored):
     """Drought score under every modality mode (eight fixed rows)."""
-    modes = scored.sparkSession.createDataFrame([(m, *w) for m, w in config.DROUGHT_ABLATION_MODES.items()], "mode string, wv double, wp double, ws double, wt double")
-    both = scored.select(*CELL, "reference", "veg", "precip", "soil", "heat").crossJoin(F.broadcast(modes))
+    both = with_fixed_rows(scored.select(*CELL, "reference", "veg", "precip", "soil", "heat"), [(m, *w) for m, w in config.DROUGHT_ABLATION_MODES.items()],
+                           ("mode", "wv", "wp", "ws", "wt"))
     return both.withColumn("mscore", drought.fuse_modalities("veg", "precip", "soil", "heat", "wv", "wp", "ws", "wt"))
 
 

@@ -6,17 +6,16 @@ from pyspark.sql import functions as F
 
 from landpulse import config
 from landpulse.functions import indices
-from landpulse.functions.core import round6, share
+from landpulse.functions.core import fixed_rows, round6
 from landpulse.functions.geo import bbox_coverage
 from landpulse.operators import fire, jobs, neighbours, scenes
-from landpulse.operators.skew import salted_join
 from landpulse.plans import sqlbase as s
-from landpulse.plans.expressions import K, decided_drought, scored_flood
+from landpulse.plans.expressions import K
 from landpulse.plans.registry import query
 from landpulse.plans.sqlbase import r6
 from landpulse.session import scratch_path
 from landpulse.sources import files, tables
-from landpulse.sources.tables import CELL, SIDE
+from landpulse.sources.tables import CELL
 
 
 @query("scan_pixels", s.sql(s.PIX, f"SELECT {K}, {r6('red')} AS red, {r6('nir')} AS b08 FROM pix"))
@@ -335,10 +334,9 @@ _ROLES = ", ".join(f"('{r}', {str(v[0]).lower()}, {str(v[1]).lower()}, {i})" for
 @query("governance_role_filter", s.sql(s.PIX + f", role(role, independent, pixel_allowed, i) AS (VALUES {_ROLES})",
        "SELECT role, independent, count(*) AS n_pixels, count(*) FILTER (WHERE reference) AS n_positive FROM pix JOIN role ON tile_id % 4 = i WHERE pixel_allowed GROUP BY 1, 2"))
 def _(spark, sf):
-    roles = spark.createDataFrame([(r, v[0], v[1], i) for i, (r, v) in enumerate(config.REFERENCE_ROLES.items())],
-                                  "role string, independent boolean, pixel_allowed boolean, i bigint")
-    px = tables.pixels(spark, sf).withColumn("i", F.col("tile_id") % 4)
-    return (px.join(F.broadcast(roles), "i").where("pixel_allowed").groupBy("role", "independent")
+    roles = fixed_rows([(r, *v) for r, v in config.REFERENCE_ROLES.items()], ("role", "independent", "pixel_allowed"))
+    px = tables.pixels(spark, sf).withColumn("_r", F.element_at(roles, (F.col("tile_id") % 4 + 1).cast("int"))).select("reference", "_r.*")
+    return (px.where("pixel_allowed").groupBy("role", "independent")
             .agg(F.count(F.lit(1)).alias("n_pixels"), F.count_if("reference").alias("n_positive")))
 
 

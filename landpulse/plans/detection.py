@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from landpulse import config
 from landpulse.functions import flood, geo, indices
-from landpulse.functions.core import round6, share
-from landpulse.operators import components, events, fire, matching, neighbours, tracking
+from landpulse.functions.core import round6
+from landpulse.operators import components, events, fire, neighbours, tracking
 from landpulse.operators.skew import salted_join
 from landpulse.plans import sqlbase as s
-from landpulse.plans.expressions import (DROUGHT_STATE, K, REGIMES, _MARINE, decided_drought, routed_tiles, scored_flood)
+from landpulse.plans.expressions import K, REGIMES, _MARINE, decided_drought, routed_tiles, scored_flood
 from landpulse.plans.registry import query
 from landpulse.plans.sqlbase import r6
 from landpulse.session import cut_lineage, scratch_path

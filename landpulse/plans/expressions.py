@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from landpulse import config
 from landpulse.functions import drought, flood, indices
-from landpulse.functions.core import clip, round6, share
+from landpulse.functions.core import clip, round6, share, with_fixed_rows
 from landpulse.operators.skew import attach_stats, salted_join
 from landpulse.plans import sqlbase as s
 from landpulse.plans.registry import query
@@ -350,15 +349,12 @@ fm AS (SELECT me.*, mode, wo * eo + wp * ep + ws * es + wt * et AS e, {s.clip('g
 
 def mode_evidence(d):
     """Five-mode inference: evidence, probability and state per pixel and mode."""
-    spark = d.sparkSession
-    schema = T.StructType([T.StructField("mode", T.StringType())] + [T.StructField(c, T.DoubleType()) for c in ("wo", "wp", "ws", "wt")])
-    modes = spark.createDataFrame([(m, *w) for m, w in config.INFERENCE_MODES.items()], schema)
     e = d.select(*CELL, "reference", drought.optical_evidence("veg_1m", "veg_3m").alias("eo"),
                  drought.window_evidence("precip_1m", "precip_3m", "precip_6m").alias("ep"),
                  drought.soil_evidence("soil_surface", "soil_rootzone", 0.5).alias("es"),
                  drought.z_to_evidence(-F.col("thermal")).alias("et"),
                  F.when(F.col("scl").isin(4, 5, 6, 7), 0.9).when(F.col("scl") == 2, 0.5).otherwise(0.2).alias("o"))
-    both = e.crossJoin(F.broadcast(modes))  # five fixed rows
+    both = with_fixed_rows(e, [(m, *w) for m, w in config.INFERENCE_MODES.items()], ("mode", "wo", "wp", "ws", "wt"))
     evidence = F.col("wo") * F.col("eo") + F.col("wp") * F.col("ep") + F.col("ws") * F.col("es") + F.col("wt") * F.col("et")
     out = both.withColumns({"e": evidence, "amb": clip(F.greatest(F.lit(0.0), (F.col("eo") - F.col("ep")) * (1.0 - F.col("o"))), 0.0, 1.0)})
     return out.withColumns({"probability": drought.drought_probability("e"), "state": drought.inference_state("e", "o", "amb")})

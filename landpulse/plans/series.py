@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from landpulse import config
 from landpulse.functions import flood, indices
-from landpulse.functions.core import round6, share
+from landpulse.functions.core import round6, with_fixed_rows
 from landpulse.operators import jobs
 from landpulse.operators.skew import attach_stats
 from landpulse.plans import sqlbase as s
@@ -17,7 +16,6 @@ from landpulse.plans.registry import query
 from landpulse.plans.sqlbase import r6
 from landpulse.session import scratch_path
 from landpulse.sources import tables
-from landpulse.sources.tables import CELL
 from landpulse.streaming import streams, transitions
 
 
@@ -77,8 +75,8 @@ def calendar_series(spark, sf):
     """One row per station and calendar day; days without observations are blackouts."""
     d = tables.station_days(spark, sf)
     span = d.agg(F.min("day").alias("a"), F.max("day").alias("b"))
-    spine = (d.select("station").distinct().crossJoin(F.broadcast(span))  # one row
-             .select("station", F.explode(F.sequence("a", "b")).alias("day"), F.col("a").alias("first_day")))
+    spine = (d.select("station").distinct().withColumn("_span", span.select(F.struct("a", "b")).scalar())
+             .select("station", F.explode(F.sequence("_span.a", "_span.b")).alias("day"), F.col("_span.a").alias("first_day")))
     j = spine.join(d, ["station", "day"], "left")
     return j.select("station", "day", F.datediff("day", "first_day").alias("epoch"), F.least(F.lit(1.0), F.col("severity") * 5.0).alias("_s"), F.col("n").isNotNull().alias("resolvable")).select(
         "station", "day", "epoch", F.when(F.col("resolvable"), F.col("_s")).alias("severity"), "resolvable")
@@ -230,8 +228,8 @@ fs AS (SELECT *, CASE WHEN so OR oo THEN {s.clip(f'({_PRIM}) * CASE WHEN u_n THE
 fr AS (SELECT scenario, any_value(expected) AS expected, CASE WHEN bool_or(so OR oo) THEN 'accepted' ELSE 'no_evidence' END AS actual, count(*) FILTER (WHERE (so OR oo) AND s2 >= 0.2) AS candidates, avg(s2) AS m FROM fs GROUP BY 1)""",
     f"SELECT scenario, expected, actual, expected = actual AND (actual = 'accepted' OR candidates = 0) AS is_safe, candidates, {r6('m')} AS mean_score FROM fr"))
 def _(spark, sf):
-    faults = spark.createDataFrame(list(FAULTS), "scenario string, u_s boolean, u_o boolean, u_n boolean, u_t boolean, u_r boolean, expected string")
-    x = scored_flood(_flood(spark, sf)).select("sar", "sar_ok", "optical", "opt_ok", "novelty", "terrain").crossJoin(F.broadcast(faults))  # seven rows
+    x = with_fixed_rows(scored_flood(_flood(spark, sf)).select("sar", "sar_ok", "optical", "opt_ok", "novelty", "terrain"), FAULTS,
+                        ("scenario", "u_s", "u_o", "u_n", "u_t", "u_r", "expected"))
     so, oo = F.col("sar_ok") & F.col("u_s"), F.col("opt_ok") & F.col("u_o")
     gate = lambda u, c: F.when(F.col(u), c)
     x = x.withColumns({"ok": so | oo, "s": flood.fuse_gated("sar", so, "optical", oo, gate("u_n", F.col("novelty")), gate("u_t", F.col("terrain")), gate("u_r", F.lit(0.5)))})

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from landpulse import config
 from landpulse.functions import drought, flood, geo, indices, metrics
-from landpulse.functions.core import round6, share
+from landpulse.functions.core import fixed_rows, round6, share, with_fixed_rows
 from landpulse.operators import grid, neighbours
 from landpulse.operators.ordered import exact_percentiles
 from landpulse.plans import sqlbase as s
@@ -232,10 +232,10 @@ _REG = ", ".join(f"({i}, '{k}', {v[0]}::DOUBLE, {v[1]}::DOUBLE)" for i, (k, v) i
 ra AS (SELECT station, sum(sv)::BIGINT / 10000.0::DOUBLE AS mm, count(*) AS n_days, date_diff('day', arg_min(day, (-sv, day)), max(day)) * 24.0::DOUBLE AS hours FROM sd GROUP BY 1)""",
     f"SELECT station, region, {r6('mm')} AS accumulation_mm, {r6('(mm - m) / greatest(1.0::DOUBLE, rg.sd)')} AS anomaly_std, hours AS hours_since_peak, n_days * 24 AS window_hours FROM ra JOIN rg ON station % 5 = i"))
 def _(spark, sf):
-    regions = spark.createDataFrame([(i, k, *v) for i, (k, v) in enumerate(config.RAIN_CLIMATOLOGY.items())], "i bigint, region string, m double, sd double")
+    regions = fixed_rows([(k, *v) for k, v in config.RAIN_CLIMATOLOGY.items()], ("region", "m", "sd"))
     days = tables.station_days(spark, sf).withColumn("c", F.round(F.col("precip") * 100).cast("bigint"))
     g = days.groupBy("station").agg((F.sum("c") / 10000.0).alias("mm"), F.count(F.lit(1)).alias("n_days"), F.max("day").alias("last"), F.min_by("day", F.struct(-F.col("c"), "day")).alias("peak"))
-    j = g.withColumn("i", F.col("station") % 5).join(F.broadcast(regions), "i")
+    j = g.withColumn("_r", F.element_at(regions, (F.col("station") % 5 + 1).cast("int"))).select("*", "_r.*")
     return j.select("station", "region", round6("mm").alias("accumulation_mm"), round6((F.col("mm") - F.col("m")) / F.greatest(F.lit(1.0), F.col("sd"))).alias("anomaly_std"),
                     (F.datediff("last", "peak") * 24.0).alias("hours_since_peak"), (F.col("n_days") * 24).alias("window_hours"))
 
@@ -345,7 +345,8 @@ def _(spark, sf):
     a = sc.agg(F.count(F.lit(1)).alias("cycles"), round6(share(found)).alias("discovery_rate"), round6(share(F.when(found, F.col("slice_number").isNotNull()))).alias("pairing_rate"),
                round6(share(F.col("platform") == "O")).alias("success_rate"), F.min("cloud").alias("min_s"), F.max("cloud").alias("max_s"))
     p = exact_percentiles(sc, [], "cloud", {"median_s": 0.5, "p95_s": 0.95})
-    return a.crossJoin(p).withColumns({"median_s": round6("median_s"), "p95_s": round6("p95_s")})
+    both = a.withColumn("_p", p.select(F.struct("median_s", "p95_s")).scalar())
+    return both.withColumns({"median_s": round6("_p.median_s"), "p95_s": round6("_p.p95_s")}).drop("_p")
 
 
 _CH = ", ".join(f"('{m}', {str('sar' in c).lower()}, {str('optical' in c).lower()}, {str('novelty' in c).lower()}, {str('terrain' in c).lower()}, {str('rainfall' in c).lower()})" for m, c in config.FLOOD_ABLATION_MODES.items())
@@ -361,10 +362,8 @@ mscore AS (SELECT tile_id, epoch, row, col, reference, mode, 'gated' AS strategy
 
 def mode_scores(scored):
     """Flood score under every channel mode and fusion strategy (6 x 2 fixed combinations)."""
-    spark = scored.sparkSession
     rows = [(m, *[n in c for n in ("sar", "optical", "novelty", "terrain", "rainfall")]) for m, c in config.FLOOD_ABLATION_MODES.items()]
-    modes = spark.createDataFrame(rows, "mode string, u_s boolean, u_o boolean, u_n boolean, u_t boolean, u_r boolean")
-    x = scored.select(*CELL, "reference", "sar", "sar_ok", "optical", "opt_ok", "novelty", "terrain").crossJoin(F.broadcast(modes))
+    x = with_fixed_rows(scored.select(*CELL, "reference", "sar", "sar_ok", "optical", "opt_ok", "novelty", "terrain"), rows, ("mode", "u_s", "u_o", "u_n", "u_t", "u_r"))
     x = x.withColumns({"so": F.col("sar_ok") & F.col("u_s"), "oo": F.col("opt_ok") & F.col("u_o"), "n": F.when(F.col("u_n"), F.col("novelty")), "t": F.when(F.col("u_t"), F.col("terrain")),
                        "r": F.when(F.col("u_r"), 0.5)})
     gated = flood.fuse_gated("sar", "so", "optical", "oo", "n", "t", "r")

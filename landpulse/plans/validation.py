@@ -9,15 +9,14 @@ from landpulse.functions import metrics as M
 from landpulse.functions.core import round6, share
 from landpulse.operators import fire, matching, metrics
 from landpulse.operators.ordered import correlation, exact_percentiles, rank_correlation
-from landpulse.operators.skew import salted_join
 from landpulse.plans import sqlbase as s
-from landpulse.plans.alignment import ABLATION, LOCATED, OBJECTS, ablated, located_points, object_cells
+from landpulse.plans.alignment import LOCATED, OBJECTS, located_points, object_cells
 from landpulse.plans.catalog import _IMPACT, impacts
 from landpulse.plans.detection import GRID, TRISTATE, decided_flood, rsql
-from landpulse.plans.expressions import DROUGHT_STATE, K, ROUTED, _flood, decided_drought, routed_flood, scored_drought, scored_flood
+from landpulse.plans.expressions import DROUGHT_STATE, K, ROUTED, _flood, decided_drought, routed_flood, scored_flood
 from landpulse.plans.registry import query
 from landpulse.plans.sqlbase import r6
-from landpulse.plans.summaries import FLOOD_MODES, METRICS, METRIC_SQL, count_sql, metrics_sql, mode_scores, sweep, with_metrics
+from landpulse.plans.summaries import METRIC_SQL, count_sql, metrics_sql, sweep, with_metrics
 from landpulse.session import cut_lineage
 from landpulse.sources import tables
 from landpulse.sources.tables import CELL
@@ -221,8 +220,8 @@ def leave_one_station(pairs, group, x, y):
     X, Y = F.col(x), F.col(y)
     parts = {"n": F.count(F.lit(1)), "sx": F.sum(X), "sy": F.sum(Y), "sxx": F.sum(X * X), "syy": F.sum(Y * Y), "sxy": F.sum(X * Y), "se": F.sum((X - Y) * (X - Y))}
     own = pairs.groupBy(group).agg(*[e.alias(f"o_{k}") for k, e in parts.items()])
-    total = own.agg(*[F.sum(f"o_{k}").alias(f"t_{k}") for k in parts], F.count(F.lit(1)).alias("n_groups"))
-    j = own.crossJoin(F.broadcast(total))
+    total = own.agg(F.struct(*[F.sum(f"o_{k}").alias(f"t_{k}") for k in parts], F.count(F.lit(1)).alias("n_groups")).alias("_t"))
+    j = own.withColumn("_t", total.scalar()).select("*", "_t.*")
     rest = {k: F.col(f"t_{k}") - F.col(f"o_{k}") for k in parts}
 
     def r(v):
@@ -430,7 +429,7 @@ def object_scores(won, size_p, size_r, tau, pixel_ha=0.04, small=0.70, medium=3.
                 F.coalesce(F.sum(F.when(hit, F.col("n_r"))), F.lit(0)).alias("_m"), F.coalesce(F.sum(F.when(~hit, F.col("n_r"))), F.lit(0)).alias("_x"))
     alarm = size_p.join(won.select(*GRID, "p", F.lit(True).alias("_hit")), [*GRID, "p"], "left")
     b = alarm.agg(F.count(F.lit(1)).alias("n_predicted"), F.coalesce(F.sum(F.when(F.col("_hit").isNull(), F.col("n_p"))), F.lit(0)).alias("_f"))
-    j = a.crossJoin(b)
+    j = a.withColumn("_b", b.select(F.struct("n_predicted", "_f")).scalar()).select("*", "_b.*")
     ratio = lambda x, y: F.when(F.col(y) > 0, F.col(x) / F.col(y)).otherwise(0.0)
     j = j.withColumns({"precision": ratio("n_matched", "n_predicted"), "recall": ratio("n_matched", "n_reference")})
     f1 = F.when(F.col("precision") + F.col("recall") > 0, 2.0 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0)

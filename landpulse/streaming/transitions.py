@@ -13,7 +13,6 @@ from landpulse.config import DROUGHT, DroughtSettings
 from landpulse.functions import flood
 from landpulse.functions.drought import severity_tier
 from landpulse.operators.ordered import last_before
-from landpulse.operators.skew import salted_join
 
 LIFECYCLE_STATE = "state string, stress int, normal int, peak double, total int"
 TIER_RANK = {"MILD": 1, "MODERATE": 2, "SEVERE": 3, "EXTREME": 4}
@@ -112,8 +111,10 @@ def flood_alerts(obs: DataFrame, key: str = "aoi") -> DataFrame:
     o = obs.withColumns({"ha": F.round("ha", 2), "_bucket": F.trunc("day", "month"), "_hold": F.col("status").isin("cannot_evaluate", "no_evidence")})
     position = F.struct("day", key, "seq")
     first = o.where("NOT _hold").groupBy("hash").agg(F.min(position).alias("_first"))
-    o = salted_join(o, first, ["hash"], [key, "day", "seq"], how="left")
-    o = o.withColumn("_new", ~F.col("_hold") & (F.col("_first") == position)).drop("_first")
+    # joined on the full position, so a hash seen very often is no hot key
+    first = first.select("hash", F.col("_first.day").alias("day"), F.col(f"_first.{key}").alias(key), F.col("_first.seq").alias("seq"), F.lit(True).alias("_is_first"))
+    o = o.join(first, ["hash", "day", key, "seq"], "left")
+    o = o.withColumn("_new", ~F.col("_hold") & F.col("_is_first").isNotNull()).drop("_is_first")
     order = [F.asc("day"), F.asc("seq")]
     o = last_before(o, [key], "_bucket", order, F.when(F.col("_new"), F.struct("ha")), "_p1")
     prev = F.col("_p1.ha")
