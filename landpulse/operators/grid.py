@@ -70,6 +70,13 @@ def resample_bilinear(src: DataFrame, factor: float, keys: Sequence[str], band:
     return out.where("_s > 0").select(*keys, "row", "col", (F.col("_v") / F.col("_s")).alias(band))
 
 
+def map_blocks(df: DataFrame, fn, schema, keys: Sequence[str] = ("tile_id", "epoch"), block: int = 256) -> DataFrame:
+    """User hook: ``fn(pandas.DataFrame) -> pandas.DataFrame`` per square block of a grid. A block
+    holds at most ``block**2`` cells, however large the tile is."""
+    rows, cols = F.floor(F.col("row") / block).alias("_br"), F.floor(F.col("col") / block).alias("_bc")
+    return df.groupBy(*keys, rows, cols).applyInPandas(fn, schema)
+
+
 def locate(points: DataFrame, x: str, y: str, grid: DataFrame) -> DataFrame:
     """Adds row and col of the point's cell; points outside their grid get NULL and ``outside``."""
     g = salted_join(points, grid, ["tile_id"], [x, y])

@@ -231,11 +231,13 @@ def _(spark, sf):
     return out.select("station", "date", *[round6(c).alias(c) for c in ("precip", "sm_rootzone", "sm_surface", "skin_temp")])
 
 
-@query("file_checksum")
+@query("file_checksum", s.sql(s.SCENES, """SELECT CAST(sum(length('{"scene_id":' || scene_id || ',"platform":"' || platform || '"}') + 1) AS BIGINT) AS total_bytes, true AS readable, true AS distinct_digests FROM sc"""))
 def _(spark, sf):
     path = scratch_path(spark, "inputs")
-    files.write_jsonl(tables.scenes(spark, sf).select("scene_id", "cloud", "platform"), path)
-    return files.file_checksum(spark, path, "*.json")
+    files.write_jsonl(tables.scenes(spark, sf).select("scene_id", "platform"), path)
+    c = files.file_checksum(spark, path, "*.json")
+    return c.agg(F.sum("bytes").alias("total_bytes"), F.bool_and("readable").alias("readable"),
+                 (F.count_distinct("sha256") == F.count(F.when(F.length("sha256") == 64, 1))).alias("distinct_digests"))
 
 
 # --- filters ----------------------------------------------------------------

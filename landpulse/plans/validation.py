@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from landpulse import config
 from landpulse.functions import metrics as M
-from landpulse.functions.core import round6, share
+from landpulse.functions.core import round6, share, with_fixed_rows
 from landpulse.operators import fire, matching, metrics
 from landpulse.operators.ordered import correlation, exact_percentiles, rank_correlation
 from landpulse.plans import sqlbase as s
@@ -410,32 +410,32 @@ def _(spark, sf):
     return rho.join(tot, "state").select("state", "spearman_rho", round6("t").alias("total_loss"), F.datediff("d1", "d2").alias("onset_delay_days"))
 
 
-def matched_objects(spark, sf, tau):
-    p, r = object_cells(spark, sf)
-    pairs = matching.overlap_pairs(p, r, GRID).where(F.col("iou") >= tau)
-    won = matching.assign_one_to_one(pairs, GRID)
-    size_p = p.groupBy(*GRID, "p").agg(F.count(F.lit(1)).alias("n_p"))
-    size_r = r.groupBy(*GRID, "r").agg(F.count(F.lit(1)).alias("n_r"))
-    return won, size_p, size_r
+def object_scores(pairs, size_p, size_r, thresholds, pixel_ha=0.04, small=0.70, medium=3.50):
+    """Object precision, recall, F1, IoU and size-stratified recall per IoU threshold.
 
-
-def object_scores(won, size_p, size_r, tau, pixel_ha=0.04, small=0.70, medium=3.50):
-    """Object precision, recall, F1, IoU and size-stratified recall at one threshold."""
-    ref = size_r.join(won.select(*GRID, "r", F.col("iou").alias("_iou")), [*GRID, "r"], "left").withColumn("ha", F.col("n_r") * pixel_ha)
+    All thresholds are matched in one pass, each under its own key.
+    """
+    taus = [(float(t),) for t in thresholds]
+    eligible = with_fixed_rows(pairs, taus, ("tau",)).where(F.col("iou") >= F.col("tau"))
+    won = cut_lineage(matching.assign_one_to_one(eligible, [*GRID, "tau"]))
+    on = [*GRID, "tau"]
+    ref = with_fixed_rows(size_r, taus, ("tau",)).join(won.select(*on, "r", F.col("iou").alias("_iou")), [*on, "r"], "left").withColumn("ha", F.col("n_r") * pixel_ha)
     hit = F.col("_iou").isNotNull()
     rate = lambda cond: F.coalesce(share(F.when(cond, hit)), F.lit(0.0))
-    a = ref.agg(F.count(F.lit(1)).alias("n_reference"), F.count_if(hit).alias("n_matched"), F.coalesce(F.avg("_iou"), F.lit(0.0)).alias("mean_iou"),
-                rate(F.col("ha") < small).alias("recall_small"), rate((F.col("ha") >= small) & (F.col("ha") < medium)).alias("recall_medium"), rate(F.col("ha") >= medium).alias("recall_large"),
-                F.coalesce(F.sum(F.when(hit, F.col("n_r"))), F.lit(0)).alias("_m"), F.coalesce(F.sum(F.when(~hit, F.col("n_r"))), F.lit(0)).alias("_x"))
-    alarm = size_p.join(won.select(*GRID, "p", F.lit(True).alias("_hit")), [*GRID, "p"], "left")
-    b = alarm.agg(F.count(F.lit(1)).alias("n_predicted"), F.coalesce(F.sum(F.when(F.col("_hit").isNull(), F.col("n_p"))), F.lit(0)).alias("_f"))
-    j = a.withColumn("_b", b.select(F.struct("n_predicted", "_f")).scalar()).select("*", "_b.*")
+    cells = lambda cond, c: F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0))
+    a = ref.groupBy("tau").agg(
+        F.count(F.lit(1)).alias("n_reference"), F.count_if(hit).alias("n_matched"), F.coalesce(F.avg("_iou"), F.lit(0.0)).alias("mean_iou"),
+        rate(F.col("ha") < small).alias("recall_small"), rate((F.col("ha") >= small) & (F.col("ha") < medium)).alias("recall_medium"), rate(F.col("ha") >= medium).alias("recall_large"),
+        cells(hit, "n_r").alias("_m"), cells(~hit, "n_r").alias("_x"))
+    alarm = with_fixed_rows(size_p, taus, ("tau",)).join(won.select(*on, "p", F.lit(True).alias("_hit")), [*on, "p"], "left")
+    b = alarm.groupBy("tau").agg(F.count(F.lit(1)).alias("n_predicted"), cells(F.col("_hit").isNull(), "n_p").alias("_f"))
+    j = a.join(b, "tau").join(exact_percentiles(won, ["tau"], "iou", {"median_iou": 0.5}), "tau", "left").fillna(0.0, ["median_iou"])
     ratio = lambda x, y: F.when(F.col(y) > 0, F.col(x) / F.col(y)).otherwise(0.0)
     j = j.withColumns({"precision": ratio("n_matched", "n_predicted"), "recall": ratio("n_matched", "n_reference")})
     f1 = F.when(F.col("precision") + F.col("recall") > 0, 2.0 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0)
     ha = lambda c: round6(F.col(c) * pixel_ha)
-    return j.select(F.lit(float(tau)).alias("tau"), "n_predicted", "n_reference", "n_matched", round6("precision").alias("precision"), round6("recall").alias("recall"), round6(f1).alias("f1"),
-                    round6("mean_iou").alias("mean_iou"), *[round6(c).alias(c) for c in ("recall_small", "recall_medium", "recall_large")],
+    return j.select("tau", "n_predicted", "n_reference", "n_matched", round6("precision").alias("precision"), round6("recall").alias("recall"), round6(f1).alias("f1"),
+                    *[round6(c).alias(c) for c in ("mean_iou", "median_iou", "recall_small", "recall_medium", "recall_large")],
                     ha("_m").alias("matched_ha"), ha("_x").alias("missed_ha"), ha("_f").alias("false_alarm_ha"))
 
 
@@ -444,12 +444,7 @@ def _(spark, sf):
     p, r = object_cells(spark, sf)
     pairs = cut_lineage(matching.overlap_pairs(p, r, GRID))
     size_p, size_r = p.groupBy(*GRID, "p").agg(F.count(F.lit(1)).alias("n_p")), r.groupBy(*GRID, "r").agg(F.count(F.lit(1)).alias("n_r"))
-    out = None
-    for tau in (0.10, 0.30, 0.50):
-        won = matching.assign_one_to_one(pairs.where(F.col("iou") >= tau), GRID)
-        row = object_scores(won, size_p, size_r, tau)
-        out = row if out is None else out.unionByName(row)
-    return out
+    return object_scores(pairs.select(*GRID, "p", "r", "iou"), size_p, size_r, (0.10, 0.30, 0.50))
 
 
 @query("object_match_strict", rsql(OBJECTS + """,

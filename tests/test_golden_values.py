@@ -108,8 +108,8 @@ def test_drought_alert_timeline(spark):
 
 
 def test_flood_alert_lifecycle(spark):
-    rows = [("sindh", "2022-08-27", 0, 15.0, "a", "completed"), ("sindh", "2022-08-27", 1, 15.0, "a", "completed"), ("sindh", "2022-09-08", 0, 125.0, "b", "completed"),
-            ("sindh", "2022-09-10", 0, None, None, "cannot_evaluate"), ("sindh", "2022-09-15", 0, 45.0, "c", "completed"), ("sindh", "2022-10-25", 0, 0.0, "d", "completed")]
+    rows = [("aoi", "2022-08-27", 0, 15.0, "a", "completed"), ("aoi", "2022-08-27", 1, 15.0, "a", "completed"), ("aoi", "2022-09-08", 0, 125.0, "b", "completed"),
+            ("aoi", "2022-09-10", 0, None, None, "cannot_evaluate"), ("aoi", "2022-09-15", 0, 45.0, "c", "completed"), ("aoi", "2022-10-25", 0, 0.0, "d", "completed")]
     df = spark.createDataFrame(rows, "aoi string, day string, seq bigint, ha double, hash string, status string").withColumn("day", F.to_date("day"))
     got = t.flood_alerts(df).orderBy("day", "seq").collect()
     assert [r["transition"] for r in got] == ["NEW_ALERT", "DUPLICATE_SUPPRESSED", "SEVERITY_ESCALATION", "DATA_BLACKOUT_HOLD", "SEVERITY_DEESCALATION", "EVENT_RESOLVED"]
