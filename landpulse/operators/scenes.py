@@ -118,21 +118,19 @@ def best_pair(before: DataFrame, after: DataFrame, keys: Sequence[str], preferre
     usable = lambda d: d.where((F.col("pol") == "DV") & F.col("rel_orbit").isNotNull() & F.col("dt").isNotNull())
     b, a = usable(before), usable(after)
     ideal = a.withColumn("_ideal", F.timestamp_seconds(F.unix_seconds(F.col("dt").cast("timestamp")) - F.lit(int(365.25 * 86400))))
-    parts = []
-    for extra in ([], ["platform"], ["slice_number"], ["platform", "slice_number"]):
-        on = [*hard, *extra]
-        rights = b.groupBy(*on, "dt").agg(F.min("scene_id").alias("before_id"),
-                                          *[F.min_by(c, "scene_id").alias(f"b_{c}") for c in ("platform", "slice_number")])
-        lefts = ideal.where(F.col("slice_number").isNotNull()) if "slice_number" in extra else ideal
-        near = neighbours_in_time(lefts, rights, on, "_ideal", "dt", ["before_id", "b_platform", "b_slice_number"], 90)
-        for side in ("before", "after"):
-            parts.append(near.where(F.col(side).isNotNull()).select(
-                *hard, F.col("scene_id").alias("after_id"), "dt", "platform", "slice_number", F.col(f"{side}.t").alias("before_dt"),
-                F.col(f"{side}.before_id").alias("before_id"), F.col(f"{side}.b_platform").alias("b_platform"),
-                F.col(f"{side}.b_slice_number").alias("b_slice_number")))
-    pairs = parts[0]
-    for p in parts[1:]:
-        pairs = pairs.unionByName(p)
+    # the ways platform and slice can agree, as extra key columns; "*" agrees with everything
+    any_, plat, slc = F.lit("*"), F.col("platform").cast("string"), F.col("slice_number").cast("string")
+    ways = F.array(*[F.struct(F.lit(i).alias("_way"), x.alias("_plat"), y.alias("_slice"))
+                     for i, (x, y) in enumerate(((any_, any_), (plat, any_), (any_, slc), (plat, slc)))])
+    known = F.filter(ways, lambda w: w["_plat"].isNotNull() & w["_slice"].isNotNull())
+    spread = lambda d: d.withColumn("_w", F.explode(known)).select("*", "_w.*").drop("_w")
+    on = [*hard, "_way", "_plat", "_slice"]
+    rights = spread(b).groupBy(*on, "dt").agg(F.min("scene_id").alias("before_id"),
+                                              *[F.min_by(c, "scene_id").alias(f"b_{c}") for c in ("platform", "slice_number")])
+    near = neighbours_in_time(spread(ideal), rights, on, "_ideal", "dt", ["before_id", "b_platform", "b_slice_number"], 90)
+    found = F.explode(F.filter(F.array("before", "after"), lambda x: x.isNotNull()))
+    pairs = near.select(*hard, F.col("scene_id").alias("after_id"), "dt", "platform", "slice_number", found.alias("_f")).select("*", "_f.*").drop("_f")
+    pairs = pairs.withColumnRenamed("t", "before_dt")
     gap = F.abs(F.unix_seconds(F.col("dt").cast("timestamp")) - F.unix_seconds(F.col("before_dt").cast("timestamp"))) / 86400.0
     flag = lambda cond, points: F.when(F.coalesce(cond, F.lit(False)), points).otherwise(0.0)
     preferred = flag(F.col("rel_orbit") == preferred_orbit, 3.0) if preferred_orbit else F.lit(0.0)
