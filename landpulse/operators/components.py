@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,11 +61,11 @@ def label_cells(cells: DataFrame, keys: Sequence[str], connectivity: int = 8,
         "_br": F.floor(F.col("row") / block).cast("int"), "_bc": F.floor(F.col("col") / block).cast("int")})
     schema = T.StructType(placed.schema.fields + [T.StructField("label", T.LongType())])
 
-    def one_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf["label"] = _min_labels(pdf["row"].to_numpy(), pdf["col"].to_numpy(), connectivity)
-        return pdf
+    def one_block(cells: pa.Table) -> pa.Table:
+        labels = _min_labels(cells["row"].to_numpy(), cells["col"].to_numpy(), connectivity)
+        return cells.append_column("label", pa.array(labels, pa.int64()))
 
-    labelled = placed.groupBy(*keys, "_br", "_bc").applyInPandas(one_block, schema)
+    labelled = placed.groupBy(*keys, "_br", "_bc").applyInArrow(one_block, schema)
     if extent is not None and max(extent) <= block:
         return labelled.drop("_br", "_bc")
 

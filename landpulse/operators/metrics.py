@@ -88,12 +88,19 @@ def with_poisson_weight(df: DataFrame, parts: Sequence, name: str = "w") -> Data
     return df.withColumn("_u", u).withColumn(name, count).drop("_u")
 
 
+def replicated(units: DataFrame, key: str, replicates: int) -> DataFrame:
+    """Every unit once per replicate ``b``. The units are spread over all cores first, as a small
+    table would otherwise multiply inside one task."""
+    cores = units.sparkSession.sparkContext.defaultParallelism
+    return units.repartition(cores, key).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+
+
 def bootstrap_correlation(units: DataFrame, unit: str, x: str, y: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
     """Percentile interval of Pearson r over resamples of the units."""
-    r = units.select(unit, x, y).withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    r = with_poisson_weight(r, [F.col(unit).cast("string"), F.col("_b").cast("string"), F.lit(str(seed))])
+    r = replicated(units.select(unit, x, y), unit, replicates)
+    r = with_poisson_weight(r, [F.col(unit).cast("string"), F.col("b").cast("string"), F.lit(str(seed))])
     s = lambda e: F.sum(F.col("w") * e)
-    m = r.groupBy("_b").agg(F.sum("w").alias("n"), s(F.col(x)).alias("sx"), s(F.col(y)).alias("sy"), s(F.col(x) * F.col(x)).alias("sxx"),
+    m = r.groupBy("b").agg(F.sum("w").alias("n"), s(F.col(x)).alias("sx"), s(F.col(y)).alias("sy"), s(F.col(x) * F.col(x)).alias("sxx"),
                             s(F.col(y) * F.col(y)).alias("syy"), s(F.col(x) * F.col(y)).alias("sxy"))
     vx, vy = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"), F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")
     cov = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")

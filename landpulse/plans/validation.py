@@ -267,7 +267,7 @@ def block_bootstrap(binned, block, replicates=1000, seed=42):
     p, r = F.col("score") >= 0.2, F.col("reference")
     cells = [F.count_if((F.col("bin") == i) & c).alias(f"{n}{i}") for i in range(n_bins) for n, c in (("tp", p & r), ("fp", p & ~r), ("fn", ~p & r))]
     per = binned.groupBy(block.alias("block")).agg(*cells)
-    rep = per.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    rep = metrics.replicated(per, "block", replicates)
     rep = metrics.with_poisson_weight(rep, [F.col("block"), F.col("b").cast("string"), F.lit(str(seed))])
     sums = rep.groupBy("b").agg(*[F.sum(F.col("w") * F.col(f"{n}{i}")).alias(f"{n}{i}") for i in range(n_bins) for n in ("tp", "fp", "fn")])
     rows = F.explode(F.array(*[F.struct(F.lit(i).alias("bin"), F.col(f"tp{i}").alias("tp"), F.col(f"fp{i}").alias("fp"), F.col(f"fn{i}").alias("fn")) for i in range(n_bins)]))
