@@ -44,13 +44,13 @@ def _(spark, sf):
     return joined.select("tile_id", "epoch", "month", "row", "col", round6(F.col("q") / F.col("n") - F.col("baseline")).alias("anomaly"))
 
 
-@query("same_grid_check", s.sql(s.PIX, """SELECT DISTINCT tile_id, CASE WHEN tile_id % 4 = 1 THEN ['dx'] WHEN tile_id % 4 = 2 THEN ['crs', 'height'] END AS mismatches FROM pix WHERE tile_id % 4 IN (1, 2)"""))
+@query("same_grid_check", s.sql(s.PIX, """SELECT DISTINCT tile_id, CASE WHEN tile_id % 4 = 1 THEN 'dx' WHEN tile_id % 4 = 2 THEN 'crs,height' END AS mismatches FROM pix WHERE tile_id % 4 IN (1, 2)"""))
 def _(spark, sf):
     g = tables.grids(tables.pixels(spark, sf))
     t = F.col("tile_id") % 4
     other = g.withColumns({"dx": F.when(t == 1, 20.0).otherwise(F.col("dx")), "crs": F.when(t == 2, "EPSG:4326").otherwise(F.col("crs")),
                            "height": F.when(t == 2, 8).otherwise(F.col("height"))})
-    return grid.grid_mismatches(g, other)
+    return grid.grid_mismatches(g, other).withColumn("mismatches", F.concat_ws(",", "mismatches"))
 
 
 _HARM = s.DENSE + """,
