@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landpulse.llm import archives, boundaries, mixing, packing, storage, token_counts
+from landpulse.llm import archives, boundaries, merkle, mixing, multi_index, packing, storage, token_counts
 from landpulse.llm.tokens import public_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,12 +41,26 @@ def op3_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("scene_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@_query
+def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    tiles = vectors.select(F.col("vec_id").alias("tile_id"), F.col("embedding").alias("signature"))
+    found = multi_index.nearest_signatures(tiles, F.col("tile_id") % 20 == 0)
+    return found.select("query_id", "rank", F.col("tile_id").alias("vec_id"), "score")
+
+
 @_query
 def op5_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.message_pieces(_alerts(spark, sf_dir), public_path("word_bpe_49k.json"))
     return packing.pack_pieces(pieces).withColumnRenamed("alert_id", "doc_id")
 
 
+@_query
+def op6_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    compared = merkle.compare_with_successor(_alerts(spark, sf_dir))
+    return compared.withColumnRenamed("alert_id", "doc_id").drop("edit_places")
+
+
 MIX = {"smoothing": 0.5, "epochs": 1.0, "seed": "mix-1"}
 
 
