@@ -190,26 +190,26 @@ def nearest_signatures(tiles: DataFrame, is_query: Column, k: int = 20, centroid
 
     def rank_block(asks: pa.Table, entries: pa.Table) -> pa.Table:
         none = np.zeros(0, np.int64)
-        who, what, scores = [none], [none], [np.zeros(0)]
+        who, what = [none], [none]
         if len(asks) and len(entries):
             q, e = _matrix(asks["vector"]), _matrix(entries["vector"])
             names, ids, cells = asks["entry"].to_numpy(), entries["entry"].to_numpy(), entries["cell"].to_numpy()
             wanted = asks["cells"].combine_chunks()
             asked = np.repeat(np.arange(len(q)), np.diff(wanted.offsets.to_numpy()))
             asked_cells = wanted.flatten().to_numpy()
-            order, asked_order = np.argsort(cells, kind="stable"), np.argsort(asked_cells, kind="stable")
-            for cell in np.unique(cells):
-                mine = order[slice(*np.searchsorted(cells[order], [cell, cell + 1]))]
-                by = asked[asked_order[slice(*np.searchsorted(asked_cells[asked_order], [cell, cell + 1]))]]
-                who.append(np.repeat(by, len(mine)))
-                what.append(np.tile(mine, len(by)))
-                scores.append((q[by] @ e[mine].T).ravel())
-            who, what, scores = np.concatenate(who), np.concatenate(what), np.concatenate(scores)
-            best = np.lexsort((ids[what], -scores, who))
-            who = who[best]
-            place = np.arange(len(who)) - np.searchsorted(who, who)
-            best = best[place <= k]
-            who, what = who[place <= k], what[best]
+            known, at = np.unique(cells, return_inverse=True)
+            place = np.minimum(np.searchsorted(known, asked_cells), len(known) - 1)
+            met = known[place] == asked_cells
+            visited = np.zeros((len(q), len(known)), bool)
+            visited[asked[met], place[met]] = True
+            for begin in range(0, len(q), 512):
+                some = slice(begin, begin + 512)
+                found = np.where(visited[some][:, at], q[some] @ e.T, -np.inf)
+                least = np.partition(found, -min(k + 1, len(e)), axis=1)[:, -min(k + 1, len(e))]
+                row, column = np.nonzero((found >= least[:, None]) & np.isfinite(found))  # ties with the last stay in
+                who.append(row + begin)
+                what.append(column)
+            who, what = np.concatenate(who), np.concatenate(what)
             return pa.table({"query": names[who], "entry": ids[what], "score": np.einsum("ij,ij->i", q[who], e[what])})
         return pa.table({"query": none, "entry": none, "score": np.zeros(0)})
 

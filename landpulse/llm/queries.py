@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landpulse.llm import archives, boundaries, merkle, mixing, multi_index, packing, storage, token_counts
+from landpulse.llm import archives, boundaries, merkle, mixing, multi_index, near_messages, packing, resampling, storage, token_counts
 from landpulse.llm.tokens import public_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,16 @@ def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts_of(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def labels_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("alert_id"), "quality")
+
+
+@_query
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample_by_quality(_alerts(spark, sf_dir).select("alert_id", "message_body"), labels_of(spark, sf_dir))
+    return drawn.select(F.col("alert_id").alias("doc_id"), "log_ratio", "n_grams", "gumbel_key", "kept")
+
+
 @_query
 def op3_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
@@ -86,6 +96,12 @@ FROM counts, range(0, 200) AS c(copy) WHERE c.copy < copies
 """
 
 
+@_query
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = near_messages.near_messages(_alerts(spark, sf_dir))
+    return linked.withColumnsRenamed({"alert_id": "doc_id"})
+
+
 @_query
 def op9_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = boundaries.write_message_ids(_alerts(spark, sf_dir), storage.new_folder(spark, "ids"), public_path("byte_bpe_50k.json"))
