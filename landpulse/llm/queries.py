@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landpulse.llm import archives, boundaries, merkle, mixing, multi_index, near_messages, packing, resampling, storage, token_counts
+from landpulse.llm import archives, boundaries, katz, merkle, mixing, multi_index, near_messages, packing, resampling, storage, token_counts
 from landpulse.llm.tokens import public_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,12 @@ def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select(F.col("alert_id").alias("doc_id"), "log_ratio", "n_grams", "gumbel_key", "kept")
 
 
+@_query
+def op2_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(F.crc32(F.col("alert_id").cast("string")), F.lit(10)) == 0
+    return katz.katz_scores(_alerts(spark, sf_dir), held_out).withColumnRenamed("alert_id", "doc_id")
+
+
 @_query
 def op3_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
