@@ -4,10 +4,10 @@ P(w | h) of a word after a word h is the discounted share of the pair where trai
 otherwise it is backoff(h) * P(w), with P(w) the discounted share of the word, and what the words gave
 up for one that training text lacks. Backoff weights make every history's probabilities sum to 1.
 
-Words never leave as rows. Messages are dealt into batches; a batch asks the word table for the counts
-of its distinct words, and then sends its pairs, as packed arrays, to the part of the pair table that
-its history belongs to. There pairs are counted and looked up in one place, so the text is read twice
-and its pairs move once. What comes back are sums per message, the pairs that back off, and the
+Words never leave as rows. Messages are dealt into batches; a batch asks the word table for the numbers
+and counts of its distinct words, and then sends its pairs, as packed arrays, to the part of the pair table that
+its history belongs to. There pairs are counted and looked up in one place, so text and pairs
+move once each. What comes back are sums per message, the pairs that back off, and the
 histories these need.
 """
 
@@ -27,7 +27,8 @@ from landpulse.llm.lexing import mix64
 from landpulse.llm.words import hashed_words
 
 LIMIT = 5  # counts up to here are discounted
-END, START = np.uint64(0x1D), np.uint64(0x57)  # no word hashes to these but by chance of 2**-64
+END = np.uint64(0x1D)  # no word hashes to this but by chance of 2**-64
+START = 0  # the history of a message's first token; words are numbered from 1
 BATCH_BYTES = 12 << 20
 HOT = 400_000  # a history with more training words is split by its next words
 
@@ -60,7 +61,7 @@ def word_probability(counts: np.ndarray, total: int, counts_of_counts: list[int]
 def _pack(**arrays: np.ndarray) -> bytes:
     parts, head = [], []
     for name, a in arrays.items():
-        if a.dtype.kind == "i" or a.dtype == np.uint64 and name not in ("words", "histories"):
+        if a.dtype.kind == "i" or a.dtype == np.uint64 and name != "words":
             top = int(a.max(initial=0))
             a = a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
         head.append(f"{name}:{a.dtype.str}:{len(a)}")
@@ -110,11 +111,11 @@ class _Batch:
             yield int(p), order[slice(*np.searchsorted(part[order], [p, p + 1]))]
 
 
-ASK = "batch int, part int, blob binary, words long, tokens long, n1 long, n2 long, n3 long, n4 long, n5 long, n6 long"
+ASK = "batch int, part int, blob binary"
 PAIRS = "bucket int, batch int, kind int, blob binary"
 FOUND = ("kind int, batch int, doc int, blob binary, history long, value double, total long, "
          "n1 long, n2 long, n3 long, n4 long, n5 long, n6 long, above long, mass double")
-DOCS, SUMS, UNSEEN, HISTORY, COUNTS = range(5)
+DOCS, SUMS, UNSEEN, HISTORY, COUNTS, STATS = range(6)
 
 
 def _table(schema: str, **columns) -> pa.Table:
@@ -143,10 +144,13 @@ def _count_words(key: tuple, table: pa.Table) -> pa.Table:
     sizes = [len(a["words"]) for a in asked]
     words, number = np.unique(np.concatenate([a["words"] for a in asked]), return_inverse=True)
     total = np.bincount(number, np.concatenate([a["times"] for a in asked]), len(words)).astype(np.int64)
-    answers = [_pack(times=a) for a in np.split(total[number], np.cumsum(sizes)[:-1])]
+    cuts = np.cumsum(sizes)[:-1]  # a word's place in its part is its number there; asked words ascend
+    answers = [_pack(times=t, rank=np.diff(n, prepend=0)) for t, n in zip(np.split(total[number], cuts), np.split(number, cuts))]
     known = total[total > 0]
     told = _table(ASK, batch=table["batch"].to_pylist(), part=table["part"].to_pylist(), blob=answers)
-    return pa.concat_tables([told, _table(ASK, batch=[-1], part=[key[0].as_py()], words=[len(known)], tokens=[int(known.sum())], **_counts_of_counts(known))])
+    rare = np.array([n[0] for n in _counts_of_counts(known).values()])
+    stats = _pack(sums=np.array([len(known), known.sum(), *rare], np.int64))
+    return pa.concat_tables([told, _table(ASK, batch=[-1], part=[key[0].as_py()], blob=[stats])])
 
 
 def _send(parts: int, buckets: int):
@@ -155,38 +159,37 @@ def _send(parts: int, buckets: int):
             return _table(PAIRS, bucket=[])
         batch, number = _Batch(texts), key[0].as_py()
         told = dict(zip(answers["part"].to_pylist(), answers["blob"].to_pylist()))
-        times = np.zeros(len(batch.words), np.int64)
+        times, names = np.zeros(len(batch.words), np.int64), np.zeros(len(batch.words), np.int64)
         for p, at in batch.parts(parts):
-            times[at] = _unpack(told[p])["times"]
-        count = times[batch.number]
+            answer = _unpack(told[p])
+            times[at], names[at] = answer["times"], np.cumsum(answer["rank"], dtype=np.int64) * parts + p + 1
+        count, word = times[batch.number], names[batch.number]
         n_docs = len(batch.sizes)
         documents = _pack_documents(batch, count, n_docs)
         first = np.cumsum(batch.sizes) - batch.sizes
-        # histories by their place among the batch's words; START stands after them
-        before = np.empty_like(batch.number)
-        before[1:] = batch.number[:-1]
-        before[first] = len(batch.words)
-        end = np.searchsorted(batch.words, END)
-        starts = times[end] if end < len(batch.words) and batch.words[end] == END else 0
-        histories, seen = np.append(batch.words, START), np.append(times, starts)
+        before, seen = np.empty_like(word), np.empty_like(count)
+        before[1:], seen[1:] = word[:-1], count[:-1]
+        before[first], seen[first] = START, count[batch.tokens == END][0]  # as many starts as ends
+        hot = seen > HOT
         salt = np.zeros(len(before), np.uint64)
-        hot = seen[before] > HOT
-        salt[hot] = mix64(batch.tokens[hot]) % (seen[before[hot]] // HOT + 1).astype(np.uint64)
-        bucket = (mix64(histories[before] + salt * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((batch.doc, batch.number, before, bucket))
+        salt[hot] = mix64(word[hot].astype(np.uint64)) % (seen[hot] // HOT + 1).astype(np.uint64)
+        bucket = (mix64(before.astype(np.uint64) + salt * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((batch.doc, word, before, bucket))
+        seen[~hot] = 0  # the part itself adds up histories that are not split
         out_bucket, out_blob = [], []
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(edges)):
             mine = order[edges[b]:edges[b + 1]]
-            h, w = before[mine], batch.number[mine]
+            h, w = before[mine], word[mine]
             new = np.ones(len(mine), bool)
             new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
-            pair = np.cumsum(new) - 1
-            h_known, h_at = np.unique(h[new], return_inverse=True)
-            w_known, w_at = np.unique(w[new], return_inverse=True)
+            pair, lead = np.cumsum(new) - 1, mine[new]
+            h_known, h_first, h_at = np.unique(h[new], return_index=True, return_inverse=True)
+            w_known, w_first, w_at = np.unique(w[new], return_index=True, return_inverse=True)
             out_bucket.append(int(b))
             out_blob.append(_pack(
-                histories=histories[h_known], seen=seen[h_known], h=np.diff(h_at, prepend=0).astype(np.int64), words=batch.words[w_known], times=times[w_known], w=w_at,
+                histories=np.diff(h_known, prepend=0), seen=seen[lead[h_first]], h=np.diff(h_at, prepend=0),
+                words=np.diff(w_known, prepend=0), times=count[lead[w_first]], w=w_at,
                 train=np.bincount(pair, batch.train[mine]).astype(np.int64), each=np.bincount(pair), doc=batch.doc[mine]))
         rows = len(out_bucket)
         return _table(PAIRS, bucket=[*out_bucket, number % buckets], batch=[number] * (rows + 1), kind=[SUMS] * rows + [DOCS], blob=[*out_blob, documents])
@@ -200,58 +203,62 @@ def _pack_documents(batch: _Batch, count: np.ndarray, n_docs: int) -> bytes:
                  known=np.bincount(batch.doc, count > 0, n_docs).astype(np.int64), base=np.bincount(batch.doc, np.log10(count + 0.1), n_docs))
 
 
-def _look_up(total: int, counts_of_counts: list[int]):
-    def look_up(key: tuple, table: pa.Table) -> pa.Table:
-        kinds = np.array(table["kind"].to_pylist())
-        passed = table.filter(pa.array(kinds == DOCS))
-        out = [_table(FOUND, kind=[DOCS] * len(passed), batch=passed["batch"].to_pylist(), blob=passed["blob"].to_pylist())]
-        table = table.filter(pa.array(kinds == SUMS))
-        if not len(table):
-            return out[0]
-        blobs, batches = [_unpack(b) for b in table["blob"].to_pylist()], table["batch"].to_pylist()
-        join = lambda name: np.concatenate([b[name] for b in blobs])
-        pairs = [len(b["w"]) for b in blobs]
-        h = np.concatenate([b["histories"][np.cumsum(b["h"], dtype=np.int64)] for b in blobs])
-        seen = np.concatenate([b["seen"][np.cumsum(b["h"], dtype=np.int64)] for b in blobs]).astype(np.int64)
-        w, times = np.concatenate([b["words"][b["w"]] for b in blobs]), np.concatenate([b["times"][b["w"]] for b in blobs]).astype(np.int64)
-        unique, first, pair = np.unique(mix64(h * np.uint64(0x9E3779B97F4A7C15) + w), return_index=True, return_inverse=True)
-        count = np.bincount(pair, join("train"), len(unique)).astype(np.int64)
-        out.append(_table(FOUND, kind=[COUNTS], **_counts_of_counts(count[count > 0])))
-        probability = word_probability(times[first], total, counts_of_counts)
-        # the histories of this part
-        known, h_at = np.unique(h[first], return_inverse=True)
-        have = count > 0
-        classes = [np.bincount(h_at[count == r], minlength=len(known)) for r in range(1, LIMIT + 1)]
-        above = np.bincount(h_at[count > LIMIT], count[count > LIMIT], len(known)).astype(np.int64)
-        mass = np.bincount(h_at[have], probability[have], len(known))
-        h_seen = np.zeros(len(known), np.int64)
-        h_seen[h_at] = seen[first]
-        needed = np.zeros(len(known), bool)
-        needed[h_at[~have]] = True
-        needed = (needed | (h_seen > HOT)) & (h_seen > 0)
-        out.append(_table(FOUND, kind=np.full(needed.sum(), HISTORY, np.int32), history=known[needed].view(np.int64), total=h_seen[needed],
-                          above=above[needed], mass=mass[needed], **{f"n{r + 1}": c[needed] for r, c in enumerate(classes)}))
-        value = np.zeros(len(unique))
-        low = have & (count <= LIMIT)
-        value[low] = np.log10(count[low] / seen[first][low])
-        value[have & ~low] = np.log10(count[have & ~low] / (seen[first][have & ~low] + 1.0))
-        closed = ~have & (seen[first] == 0)
-        value[~have] = np.log10(probability[~have])
-        at = 0
-        for blob, batch, n in zip(blobs, batches, pairs):
-            doc, which = blob["doc"].astype(np.int64), np.repeat(pair[at:at + n], blob["each"].astype(np.int64))
-            at += n
-            docs, local = np.unique(doc, return_inverse=True)
-            final = have[which] | closed[which]
-            sums = np.bincount(local, np.where(final, value[which], 0.0), len(docs))
-            rare = [np.bincount(local[low[which] & (count[which] == r)], minlength=len(docs)) for r in range(1, LIMIT + 1)]
-            out.append(_table(FOUND, kind=[SUMS], batch=[batch], blob=[_pack(doc=docs, sums=sums, **{f"k{r + 1}": c for r, c in enumerate(rare)})]))
-            back = np.flatnonzero(~final)
-            if len(back):
-                out.append(_table(FOUND, kind=np.full(len(back), UNSEEN, np.int32), batch=np.full(len(back), batch, np.int32), doc=doc[back].astype(np.int32),
-                                  history=h[first][which[back]].view(np.int64), value=value[which[back]]))
-        return pa.concat_tables(out)
-    return look_up
+def _look_up(key: tuple, table: pa.Table) -> pa.Table:
+    kinds = np.array(table["kind"].to_pylist())
+    stats = sum(_unpack(b)["sums"].astype(np.int64) for b in table.filter(pa.array(kinds == STATS))["blob"].to_pylist())
+    vocabulary, total, counts_of_counts = int(stats[0]), int(stats[1]), stats[2:].tolist()
+    passed = table.filter(pa.array(kinds == DOCS))
+    out = [_table(FOUND, kind=[DOCS] * len(passed), batch=passed["batch"].to_pylist(), blob=passed["blob"].to_pylist())]
+    table = table.filter(pa.array(kinds == SUMS))
+    if not len(table):
+        return pa.concat_tables([*out, _table(FOUND, kind=[COUNTS], total=[total], above=[vocabulary])])
+    blobs, batches = [_unpack(b) for b in table["blob"].to_pylist()], table["batch"].to_pylist()
+    join = lambda name: np.concatenate([b[name] for b in blobs])
+    pairs = [len(b["w"]) for b in blobs]
+    total_of = lambda a: np.cumsum(a, dtype=np.int64)
+    h = np.concatenate([total_of(b["histories"])[total_of(b["h"])] for b in blobs])
+    seen = np.concatenate([b["seen"][total_of(b["h"])] for b in blobs]).astype(np.int64)
+    w, times = np.concatenate([total_of(b["words"])[b["w"]] for b in blobs]), np.concatenate([b["times"][b["w"]] for b in blobs]).astype(np.int64)
+    keys = h << 32 | w if max(h.max(), w.max()) < 1 << 31 else mix64(h.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.astype(np.uint64))
+    unique, first, pair = np.unique(keys, return_index=True, return_inverse=True)
+    count = np.bincount(pair, join("train"), len(unique)).astype(np.int64)
+    out.append(_table(FOUND, kind=[COUNTS], total=[total], above=[vocabulary], **_counts_of_counts(count[count > 0])))
+    probability = word_probability(times[first], max(1, total), counts_of_counts)
+    # the histories of this part
+    known, h_at = np.unique(h[first], return_inverse=True)
+    have = count > 0
+    classes = [np.bincount(h_at[count == r], minlength=len(known)) for r in range(1, LIMIT + 1)]
+    above = np.bincount(h_at[count > LIMIT], count[count > LIMIT], len(known)).astype(np.int64)
+    mass = np.bincount(h_at[have], probability[have], len(known))
+    split = np.zeros(len(known), np.int64)
+    split[h_at] = seen[first]
+    h_seen = np.where(split > 0, split, np.bincount(h_at, count, len(known)).astype(np.int64))
+    whole = h_seen[h_at]
+    needed = np.zeros(len(known), bool)
+    needed[h_at[~have]] = True
+    needed = (needed | (split > 0)) & (h_seen > 0)
+    out.append(_table(FOUND, kind=np.full(needed.sum(), HISTORY, np.int32), history=known[needed], total=h_seen[needed],
+                      above=above[needed], mass=mass[needed], **{f"n{r + 1}": c[needed] for r, c in enumerate(classes)}))
+    value = np.zeros(len(unique))
+    low = have & (count <= LIMIT)
+    value[low] = np.log10(count[low] / whole[low])
+    value[have & ~low] = np.log10(count[have & ~low] / (whole[have & ~low] + 1.0))
+    closed = ~have & (whole == 0)
+    value[~have] = np.log10(probability[~have])
+    at = 0
+    for blob, batch, n in zip(blobs, batches, pairs):
+        doc, which = blob["doc"].astype(np.int64), np.repeat(pair[at:at + n], blob["each"].astype(np.int64))
+        at += n
+        docs, local = np.unique(doc, return_inverse=True)
+        final = have[which] | closed[which]
+        sums = np.bincount(local, np.where(final, value[which], 0.0), len(docs))
+        rare = [np.bincount(local[low[which] & (count[which] == r)], minlength=len(docs)) for r in range(1, LIMIT + 1)]
+        out.append(_table(FOUND, kind=[SUMS], batch=[batch], blob=[_pack(doc=docs, sums=sums, **{f"k{r + 1}": c for r, c in enumerate(rare)})]))
+        back = np.flatnonzero(~final)
+        if len(back):
+            out.append(_table(FOUND, kind=np.full(len(back), UNSEEN, np.int32), batch=np.full(len(back), batch, np.int32), doc=doc[back].astype(np.int32),
+                              history=h[first][which[back]], value=value[which[back]]))
+    return pa.concat_tables(out)
 
 
 SCORED = ("batch int, doc int, alert_id long, held_out boolean, n_tokens long, n_known long, base double, sums double, "
@@ -297,16 +304,19 @@ def katz_scores(alerts: DataFrame, held_out: Column, id_column: str = "alert_id"
     size = rows.agg(F.sum(F.octet_length("message_body"))).first()[0] or 0
     batches = int(size // BATCH_BYTES) + 1
     dealt = rows.withColumn("batch", F.pmod(F.xxhash64("alert_id", "digest"), F.lit(batches)).cast("int"))
+    # one plan, so that the dealt messages are shuffled once for both of their uses
     asked = dealt.groupBy("batch").applyInArrow(_ask(batches), ASK)
-    answered = storage.stored(asked.groupBy("part").applyInArrow(_count_words, ASK), "word-counts")
-    names = [f"n{r}" for r in range(1, LIMIT + 2)]
-    told = answered.where("batch < 0").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("words", "tokens", *names)]).first()
-    total, of_words = int(told["tokens"]), [int(told[c]) for c in names]
-    answers = answered.where("batch >= 0").select("batch", "part", "blob")
+    answered = asked.groupBy("part").applyInArrow(_count_words, ASK)
     buckets = 2 * batches
-    pairs = dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_send(batches, buckets), PAIRS)
-    found = storage.stored(pairs.groupBy("bucket").applyInArrow(_look_up(max(1, total), of_words), FOUND), "pair-counts")
-    seen = found.where(F.col("kind") == COUNTS).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).first()
+    pairs = (dealt.groupBy("batch").cogroup(answered.where("batch >= 0").groupBy("batch"))
+             .applyInArrow(_send(batches, buckets), PAIRS))
+    stats = answered.where("batch < 0").select(F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), "batch",
+                                               F.lit(STATS).alias("kind"), "blob")
+    found = storage.stored(pairs.unionByName(stats).groupBy("bucket").applyInArrow(_look_up, FOUND), "pair-counts")
+    names = [f"n{r}" for r in range(1, LIMIT + 2)]
+    seen = found.where(F.col("kind") == COUNTS).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names],
+                                                    F.max("total").alias("tokens"), F.max("above").alias("words")).first()
+    total, vocabulary = int(seen["tokens"] or 0), int(seen["words"] or 0)
     factors = discounts([int(seen[c]) for c in names])
     ns, given = [F.sum(c) for c in names[:LIMIT]], F.lit(0.0)
     for r, n in enumerate(ns, 1):
@@ -321,7 +331,7 @@ def katz_scores(alerts: DataFrame, held_out: Column, id_column: str = "alert_id"
     score = F.col("sums") + F.coalesce("unseen", F.lit(0.0))
     for r, factor in enumerate(factors, 1):
         score = score + F.col(f"k{r}") * F.lit(math.log10(factor))
-    base = F.col("base") - F.col("n_tokens") * F.lit(math.log10(total + 0.1 * (int(told["words"]) + 1)))
+    base = F.col("base") - F.col("n_tokens") * F.lit(math.log10(total + 0.1 * (vocabulary + 1)))
     return summed.join(unseen, ["batch", "doc"], "left").select(
         "alert_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"),
         (score if total else F.lit(None).cast("double")).alias("score"))
