@@ -244,7 +244,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                     if rows:
                         yield _batch(rows)
 
-    return archives.select("path").repartition("path").mapInArrow(read, READ_SCHEMA)
+    return storage.dealt(archives.select("path"), "path").mapInArrow(read, READ_SCHEMA)
 
 
 READ_SCHEMA = ("scene_id long, href string, record_type string, payload_bytes long, payload_digest string, refers_to long, "

@@ -155,7 +155,7 @@ def read_message_ids(files: DataFrame) -> DataFrame:
     """
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     based = files.select("path", F.coalesce(F.sum("token_ids").over(before), F.lit(0)).alias("base"), "file")
-    spread = based.repartition("file")
+    spread = storage.dealt(based, "file")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

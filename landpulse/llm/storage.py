@@ -19,6 +19,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(files: DataFrame, key: str) -> DataFrame:
+    """Short rows that each stand for a large file, over as many tasks as a shuffle has: with a
+    number given, adaptive execution does not put them together for being short."""
+    return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     return scratch_path(spark, label)
 
