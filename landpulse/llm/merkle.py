@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LONGEST = 48  # code points of a leaf
+LONGEST = 32  # code points of a leaf
 LEAF = 12  # hex digits kept of a leaf's digest; the root keeps all 64
 
 
