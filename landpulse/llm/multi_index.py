@@ -80,6 +80,23 @@ def visited_share(sample: np.ndarray, cut: int, left: np.ndarray, right: np.ndar
     return float(np.quantile(np.concatenate(need), recall))
 
 
+def sample_bounds(vectors: np.ndarray, sample: np.ndarray, n: int) -> np.ndarray:
+    """The n-th best score of each vector in the sample (-inf in a smaller one): entries below it are
+    not worth passing on, as the sample alone has n better ones."""
+    bounds = np.full(len(vectors), -np.inf)
+    for begin in range(0, len(vectors) if len(sample) >= n else 0, 256):
+        bounds[begin:begin + 256] = np.partition(vectors[begin:begin + 256] @ sample.T, -n, axis=1)[:, -n]
+    return bounds
+
+
+def least_quota(sizes: list[int], wanted: int) -> int:
+    """Smallest q such that groups of these sizes give ``wanted`` entries (or all) at q each."""
+    wanted, q = min(wanted, sum(sizes)), 1
+    while sum(min(n, q) for n in sizes) < wanted:
+        q += 1
+    return q
+
+
 def bundles(counts: np.ndarray) -> np.ndarray:
     """Group of each cell: runs of neighbouring cells of about ``BLOCK`` entries together, so that
     small cells are scored in few groups; a larger cell is a group of its own."""
@@ -157,24 +174,28 @@ def nearest_signatures(tiles: DataFrame, is_query: Column, k: int = 20, centroid
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors, owner, bundle, visited = _matrix(batch.column("vector")), [], [], []
+            vectors, owner, bundle, visited, quotas = _matrix(batch.column("vector")), [], [], [], []
             if not len(vectors):
                 continue
             first, second = -vectors[:, :cut] @ left.T, -vectors[:, cut:] @ right.T
             for i in range(len(vectors)):
                 cells = np.sort(traverse(first[i], second[i], counts, goal))
                 ends = np.flatnonzero(np.diff(bundle_of[cells], append=-1)) + 1
-                for part in np.split(cells, ends[:-1]):
+                parts = np.split(cells, ends[:-1])
+                quota = least_quota([int(counts.ravel()[p].sum()) for p in parts], k + 1)
+                for part in parts:
                     owner.append(i)
+                    quotas.append(quota)
                     bundle.append(bundle_of[part[0]])
                     visited.append(part)
             rows = pa.array(owner, pa.int64())
+            bounds = sample_bounds(vectors, matrix, 2 * (k + 1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("entry").take(rows), batch.column("vector").take(rows), pa.array(bundle, pa.int32()), pa.array(visited, pa.list_(pa.int32()))],
-                ["entry", "vector", "bundle", "cells"])
+                [batch.column("entry").take(rows), batch.column("vector").take(rows), pa.array(bundle, pa.int32()), pa.array(visited, pa.list_(pa.int32())),
+                 pa.array(bounds[owner]), pa.array(quotas, pa.int32())], ["entry", "vector", "bundle", "cells", "bound", "quota"])
 
     queries = indexed.join(asking.select("entry").distinct(), "entry", "left_semi").select("entry", "vector")
-    probes = storage.stored(queries.mapInArrow(probe, "entry long, vector array<double>, bundle int, cells array<int>"), "probes")
+    probes = storage.stored(queries.mapInArrow(probe, "entry long, vector array<double>, bundle int, cells array<int>, bound double, quota int"), "probes")
 
     def bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,7 +206,7 @@ def nearest_signatures(tiles: DataFrame, is_query: Column, k: int = 20, centroid
     load = storage.stored(load.select("bundle", F.ceil(F.col("_q") / BLOCK).cast("int").alias("_qb"), F.ceil(F.col("_e") / (2 * BLOCK)).cast("int").alias("_eb")), "load")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     part = lambda n: F.pmod(F.xxhash64("entry"), F.col(n)).cast("int")
-    ask_side = probes.join(load, "bundle").select("bundle", part("_qb").alias("qb"), every("_eb").alias("eb"), "entry", "vector", "cells")
+    ask_side = probes.join(load, "bundle").select("bundle", part("_qb").alias("qb"), every("_eb").alias("eb"), "entry", "vector", "cells", "bound", "quota")
     entry_side = held.join(load, "bundle").select("bundle", every("_qb").alias("qb"), part("_eb").alias("eb"), "entry", "vector", "cell")
 
     def rank_block(asks: pa.Table, entries: pa.Table) -> pa.Table:
@@ -194,7 +215,7 @@ def nearest_signatures(tiles: DataFrame, is_query: Column, k: int = 20, centroid
         if len(asks) and len(entries):
             q, e = _matrix(asks["vector"]), _matrix(entries["vector"])
             names, ids, cells = asks["entry"].to_numpy(), entries["entry"].to_numpy(), entries["cell"].to_numpy()
-            wanted = asks["cells"].combine_chunks()
+            wanted, bound, quota = asks["cells"].combine_chunks(), asks["bound"].to_numpy(), asks["quota"].to_numpy()
             asked = np.repeat(np.arange(len(q)), np.diff(wanted.offsets.to_numpy()))
             asked_cells = wanted.flatten().to_numpy()
             known, at = np.unique(cells, return_inverse=True)
@@ -205,7 +226,10 @@ def nearest_signatures(tiles: DataFrame, is_query: Column, k: int = 20, centroid
             for begin in range(0, len(q), 512):
                 some = slice(begin, begin + 512)
                 found = np.where(visited[some][:, at], q[some] @ e.T, -np.inf)
-                least = np.partition(found, -min(k + 1, len(e)), axis=1)[:, -min(k + 1, len(e))]
+                keep = min(k + 1, len(e))
+                top = -np.sort(-np.partition(found, -keep, axis=1)[:, -keep:], axis=1)
+                own = top[np.arange(len(top)), np.minimum(quota[some], keep) - 1]
+                least = np.maximum(top[:, -1], np.minimum(bound[some], own))
                 row, column = np.nonzero((found >= least[:, None]) & np.isfinite(found))  # ties with the last stay in
                 who.append(row + begin)
                 what.append(column)
