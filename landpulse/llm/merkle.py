@@ -136,7 +136,8 @@ def compare_with_successor(alerts: DataFrame, share: int = 3, id_column: str = "
         F.lit(None).cast("long").alias("alert_id"), "_text", "_bucket", F.lit(1).alias("_guest"))
     together = placed.select("alert_id", "_text", "_bucket", F.lit(0).alias("_guest")).unionByName(guests)
     order = Window.partitionBy("_bucket").orderBy("_guest", F.desc_nulls_last("alert_id"), F.desc(F.xxhash64("_text")))
-    treed = together.withColumn("_tree", merkle_tree(F.col("_text")))
+    # trees are grown behind the shuffle, which then carries the messages alone
+    treed = together.repartition("_bucket").withColumn("_tree", merkle_tree(F.col("_text")))
     paired = (treed.withColumns({"_next_text": F.lead("_text").over(order), "_next_tree": F.lead("_tree").over(order)})
               .where("_guest = 0"))
     n = F.length("_text").cast("long")
