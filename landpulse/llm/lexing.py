@@ -28,7 +28,7 @@ CLASS = {name: i for i, name in enumerate(CLASSES)}
 END_CODE = 0x110000
 BEFORE, EARLIER = 1, 2  # a boundary before this symbol, before the one in front of it
 CHUNK, LANES = 256, 12
-BATCH_CHARS = 1_500_000
+BATCH_CHARS = 500_000
 
 
 def _class_table() -> np.ndarray:
@@ -170,7 +170,7 @@ _POWERS: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS["up"]) < n:
-        size = max(n, 2_000_000)
+        size = max(n, 1_200_000)
         for name, base in (("up", _ODD), ("down", _ODD_INVERSE)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1

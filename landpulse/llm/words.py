@@ -18,7 +18,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1_000_000
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
