@@ -47,14 +47,13 @@ def _min_labels(rows: np.ndarray, cols: np.ndarray, connectivity: int) -> np.nda
     return out
 
 
-def label_cells(cells: DataFrame, keys: Sequence[str], connectivity: int = 8,
-                extent: tuple[int, int] | None = None, block: int = BLOCK) -> DataFrame:
+def label_cells(cells: DataFrame, keys: Sequence[str], connectivity: int = 8, block: int = BLOCK) -> DataFrame:
     """Adds ``label``: the code of the first cell (in row, column order) of the component.
 
     All columns of ``cells`` travel along, so no join is needed to get them back; select the
     wanted ones first. Cells are labelled inside square blocks (at most ``block**2`` cells per group, whatever the
-    tile size), then labels meeting across block borders are merged as a graph. When ``extent``
-    (height, width of one grid) fits one block there is nothing to merge.
+    tile size) and written out once, then labels meeting across block borders are merged as a graph,
+    which is empty where none meet.
     """
     columns = [*keys, "row", "col"]
     placed = cells.withColumns({
@@ -65,11 +64,7 @@ def label_cells(cells: DataFrame, keys: Sequence[str], connectivity: int = 8,
         labels = _min_labels(cells["row"].to_numpy(), cells["col"].to_numpy(), connectivity)
         return cells.append_column("label", pa.array(labels, pa.int64()))
 
-    labelled = placed.groupBy(*keys, "_br", "_bc").applyInArrow(one_block, schema)
-    if extent is not None and max(extent) <= block:
-        return labelled.drop("_br", "_bc")
-
-    labelled = cut_lineage(labelled)
+    labelled = cut_lineage(placed.groupBy(*keys, "_br", "_bc").applyInArrow(one_block, schema))
     rest_r, rest_c = F.pmod(F.col("row"), F.lit(block)), F.pmod(F.col("col"), F.lit(block))
     border = labelled.where((rest_r == 0) | (rest_r == block - 1) | (rest_c == 0) | (rest_c == block - 1))
     steps = [(0, 1), (1, 0)] + ([(1, -1), (1, 1)] if connectivity == 8 else [])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landpulse.functions.core import as_col
-from landpulse.operators.components import label_cells
+from landpulse.operators.components import BLOCK, label_cells
 from landpulse.operators.neighbours import GRID, dilate
 from landpulse.operators.ordered import bucketed_row_number
 
@@ -16,10 +16,10 @@ ROW_BAND = 64
 
 
 def label_candidates(pixels: DataFrame, condition, carry: Sequence[str] = (), keys: Sequence[str] = GRID,
-                     connectivity: int = 8, extent: tuple[int, int] | None = None) -> DataFrame:
+                     connectivity: int = 8, block: int = BLOCK) -> DataFrame:
     """Candidate cells with the ``carry`` columns and the component ``label``."""
     candidates = pixels.where(as_col(condition)).select(*keys, "row", "col", *carry)
-    return label_cells(candidates, keys, connectivity, extent)
+    return label_cells(candidates, keys, connectivity, block)
 
 
 def summarize(labelled: DataFrame, keys: Sequence[str] = GRID, min_pixels: int = 9,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -27,17 +28,23 @@ def grid_mismatches(left: DataFrame, right: DataFrame) -> DataFrame:
     return out.where(F.size("mismatches") > 0)
 
 
+def _cells_of(size: int, factor: float) -> int:
+    """Target cells that cover ``size`` source cells; the last one may reach past the border."""
+    return math.ceil(size / factor - 1e-9)
+
+
 def resample_nearest(src: DataFrame, factor: float, keys: Sequence[str], bands: Sequence[str],
                      height: int, width: int) -> DataFrame:
     """Target cell takes the source cell under its centre. ``factor`` = target size / source size.
 
-    The target cells are generated from the source grid's extent, so empty sources stay NULL.
+    The target cells cover the source grid, so empty sources stay NULL; centres past its border take
+    the border cell.
     """
-    rows = F.sequence(F.lit(0), F.lit(int(height / factor) - 1))
-    cols = F.sequence(F.lit(0), F.lit(int(width / factor) - 1))
+    rows = F.sequence(F.lit(0), F.lit(_cells_of(height, factor) - 1))
+    cols = F.sequence(F.lit(0), F.lit(_cells_of(width, factor) - 1))
     spine = (src.select(*keys).distinct().withColumn("t_row", F.explode(rows)).withColumn("t_col", F.explode(cols))
-             .withColumns({"row": F.floor((F.col("t_row") + 0.5) * factor).cast("int"),
-                           "col": F.floor((F.col("t_col") + 0.5) * factor).cast("int")}))
+             .withColumns({"row": F.least(F.floor((F.col("t_row") + 0.5) * factor).cast("int"), F.lit(height - 1)),
+                           "col": F.least(F.floor((F.col("t_col") + 0.5) * factor).cast("int"), F.lit(width - 1))}))
     return (spine.join(src.select(*keys, "row", "col", *bands), [*keys, "row", "col"], "left")
             .select(*keys, F.col("t_row").alias("row"), F.col("t_col").alias("col"), *bands))
 
@@ -53,11 +60,11 @@ def block_aggregate(src: DataFrame, factor, value: str, keys: Sequence[str]) ->
 
 def resample_bilinear(src: DataFrame, factor: float, keys: Sequence[str], band: str, height: int, width: int) -> DataFrame:
     """Weighted mean of the four source cells around each target centre, over those present."""
-    rows = F.sequence(F.lit(0), F.lit(int(height / factor) - 1))
-    cols = F.sequence(F.lit(0), F.lit(int(width / factor) - 1))
-    at = lambda c: (F.col(c) + 0.5) * factor - 0.5
+    rows = F.sequence(F.lit(0), F.lit(_cells_of(height, factor) - 1))
+    cols = F.sequence(F.lit(0), F.lit(_cells_of(width, factor) - 1))
+    at = lambda c, size: F.least((F.col(c) + 0.5) * factor - 0.5, F.lit(size - 1.0))
     spine = (src.select(*keys).distinct().withColumn("t_row", F.explode(rows)).withColumn("t_col", F.explode(cols))
-             .withColumns({"_y": at("t_row"), "_x": at("t_col")}))
+             .withColumns({"_y": at("t_row", height), "_x": at("t_col", width)}))
     corner = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)]))
     four = spine.withColumn("_k", corner).withColumns({
         "row": (F.floor("_y") + F.col("_k.a")).cast("int"), "col": (F.floor("_x") + F.col("_k.b")).cast("int")})

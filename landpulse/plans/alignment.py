@@ -9,7 +9,7 @@ from landpulse.functions import drought
 from landpulse.functions.core import round6, with_fixed_rows
 from landpulse.operators import components, events, fire, grid, jobs, matching, scenes
 from landpulse.plans import sqlbase as s
-from landpulse.plans.detection import EXTENT, GRID, _FEV, _TRK, components_sql, flood_events, rsql, tracked_changes
+from landpulse.plans.detection import LABEL_BLOCK, GRID, _FEV, _TRK, components_sql, flood_events, rsql, tracked_changes
 from landpulse.plans.expressions import scored_drought, scored_flood
 from landpulse.plans.catalog import _IMPACT, impacts
 from landpulse.plans.registry import query
@@ -156,7 +156,7 @@ loc AS (SELECT p.*, n.d AS dist_m, n.alarm_id FROM pt p LEFT JOIN nd n USING (se
 
 def alarm_cells(spark, sf):
     scored = scored_flood(tables.flood_inputs(tables.pixels(spark, sf)))
-    labelled = events.label_candidates(scored, F.col("valid") & (F.col("score") >= 0.4) & (F.col("epoch") == 2000), [], GRID, 8, EXTENT)
+    labelled = events.label_candidates(scored, F.col("valid") & (F.col("score") >= 0.4) & (F.col("epoch") == 2000), [], GRID, 8, LABEL_BLOCK)
     kept = labelled.groupBy(*GRID, "label").agg(F.count(F.lit(1)).alias("_k")).where("_k >= 4")
     cells = labelled.join(kept, [*GRID, "label"])
     return cells.select((F.col("tile_id") * 1000000000000 + F.col("label")).alias("alarm_id"),
@@ -210,8 +210,8 @@ def object_cells(spark, sf, min_pixels=4):
     """(predicted cells with p, reference cells with r); small predictions are dropped. Both are
     written out, as the overlap count and the sizes read them in turn."""
     scored = scored_flood(tables.flood_inputs(tables.pixels(spark, sf)))
-    p = components.label_cells(scored.where("valid AND score >= 0.4").select(*CELL), GRID, 8, EXTENT)
-    r = components.label_cells(scored.where("reference").select(*CELL), GRID, 8, EXTENT)
+    p = components.label_cells(scored.where("valid AND score >= 0.4").select(*CELL), GRID, 8, LABEL_BLOCK)
+    r = components.label_cells(scored.where("reference").select(*CELL), GRID, 8, LABEL_BLOCK)
     size = p.groupBy(*GRID, "label").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") >= min_pixels)
     p = p.join(size, [*GRID, "label"])
     return cut_lineage(p.select(*CELL, F.col("label").alias("p"))), cut_lineage(r.select(*CELL, F.col("label").alias("r")))

@@ -19,7 +19,7 @@ from landpulse.sources.files import write_features
 from landpulse.sources.tables import CELL, PIXEL_M, SIDE
 
 GRID = ["tile_id", "epoch"]
-EXTENT = (SIDE, SIDE)
+LABEL_BLOCK = SIDE // 2  # the tables' grids span several blocks, so the queries merge labels across borders
 
 
 def components_sql(cand: str, out: str, conn: int = 8) -> str:
@@ -50,7 +50,7 @@ def change_events(spark, sf, keep=False):
     """Labelled candidate cells of the index change, and their events. ``keep`` writes the cells
     out for callers that read them several times."""
     scored = tables.index_delta(tables.pixels(spark, sf)).withColumn("score", indices.disturbance_score("delta", 0.2))
-    labelled = events.label_candidates(scored, F.col("score") >= 0.9, ["delta", "score"], GRID, 8, EXTENT)
+    labelled = events.label_candidates(scored, F.col("score") >= 0.9, ["delta", "score"], GRID, 8, LABEL_BLOCK)
     labelled = cut_lineage(labelled) if keep else labelled
     found = events.summarize(labelled, GRID, 9, [F.avg("delta").alias("mean_change"), F.avg("score").alias("mean_score"),
                                                  F.max(F.abs("delta")).alias("peak_change")])
@@ -69,14 +69,14 @@ def _(spark, sf):
 @query("connected_components", rsql(_CHANGE + "," + components_sql("cand", "lab", 4), f"SELECT {K}, label FROM lab"))
 def _(spark, sf):
     scored = tables.index_delta(tables.pixels(spark, sf)).withColumn("score", indices.disturbance_score("delta", 0.2))
-    return components.label_cells(scored.where("score >= 0.9").select(*CELL), GRID, 4, EXTENT).select(*CELL, "label")
+    return components.label_cells(scored.where("score >= 0.9").select(*CELL), GRID, 4, LABEL_BLOCK).select(*CELL, "label")
 
 
 @query("largest_object_screen", rsql(s.PIX + ", cand AS (SELECT * FROM pix WHERE reference)," + components_sql("cand", "lab") + """,
 ob AS (SELECT tile_id, epoch, label, count(*) AS n FROM lab GROUP BY 1, 2, 3)""",
     f"SELECT tile_id, epoch, count(*) AS n_objects, max(n) AS max_pixels, {r6('max(n) * 100.0::DOUBLE / 10000.0')} AS max_area_ha FROM ob GROUP BY 1, 2"))
 def _(spark, sf):
-    cells = components.label_cells(tables.pixels(spark, sf).where("reference").select(*CELL), GRID, 8, EXTENT)
+    cells = components.label_cells(tables.pixels(spark, sf).where("reference").select(*CELL), GRID, 8, LABEL_BLOCK)
     sizes = cells.groupBy(*GRID, "label").agg(F.count(F.lit(1)).alias("n"))
     return sizes.groupBy(*GRID).agg(F.count(F.lit(1)).alias("n_objects"), F.max("n").alias("max_pixels"),
                                     round6(F.max("n") * (PIXEL_M * PIXEL_M) / 10000.0).alias("max_area_ha"))
@@ -217,7 +217,7 @@ ecell AS (SELECT tile_id, epoch, row, col, event_id FROM lab JOIN events_n USING
 
 def flood_events(spark, sf, keep=False):
     scored = scored_flood(tables.flood_inputs(tables.pixels(spark, sf)))
-    labelled = events.label_candidates(scored, F.col("valid") & (F.col("score") >= 0.2), ["score", "scl", "valid"], GRID, 8, EXTENT)
+    labelled = events.label_candidates(scored, F.col("valid") & (F.col("score") >= 0.2), ["score", "scl", "valid"], GRID, 8, LABEL_BLOCK)
     labelled = cut_lineage(labelled) if keep else labelled
     found = events.summarize(labelled, GRID, config.FLOOD.min_event_pixels, [F.avg("score").alias("mean_score"), F.max("score").alias("peak_score")])
     return scored, labelled, events.with_area(found, config.FLOOD.pixel_m)
@@ -272,15 +272,15 @@ ob AS (SELECT tile_id, epoch, label, count(*) AS n, avg(score) AS mc, max(score)
   {r6('mc')} AS mean_confidence, {r6('xc')} AS max_confidence FROM ob"""))
 def _(spark, sf):
     scored = scored_flood(tables.flood_inputs(tables.pixels(spark, sf)))
-    return multi_threshold(scored, "score", config.ALARM_THRESHOLDS)
+    return multi_threshold(scored, "score", config.ALARM_THRESHOLDS, block=LABEL_BLOCK)
 
 
-def multi_threshold(scored, score, thresholds, min_pixels=4, pixel_ha=0.04):
+def multi_threshold(scored, score, thresholds, min_pixels=4, pixel_ha=0.04, block=components.BLOCK):
     """Alarm objects at several operating points in one labelling pass."""
     levels = F.explode(F.array(*[F.lit(t) for t in thresholds]))
     cells = scored.where("valid").select(*CELL, F.col(score).alias("score"), levels.alias("threshold")).where("score >= threshold")
     keys = [*GRID, "threshold"]
-    labelled = events.label_candidates(cells, F.lit(True), ["score"], keys, 8, EXTENT)
+    labelled = events.label_candidates(cells, F.lit(True), ["score"], keys, 8, block)
     found = (labelled.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("area_pixels"), F.avg("score").alias("mc"), F.max("score").alias("xc"))
              .where(F.col("area_pixels") >= min_pixels))
     return found.select(*keys, "label", "area_pixels", round6(F.col("area_pixels") * pixel_ha).alias("area_ha"),
@@ -300,11 +300,11 @@ def alert_package(found):
     so an alert never has to hold an unbounded list."""
     area = F.concat(F.lit("tile"), F.col("tile_id"))
     digest = F.substring(F.sha2(F.concat_ws("_", area, "epoch"), 256), 1, 8)
-    out = found.groupBy(*GRID).agg(F.count(F.lit(1)).alias("event_count"), F.sum("area_pixels").alias("_n"), F.max("area_pixels").alias("_p"),
+    out = found.groupBy(*GRID).agg(F.count(F.lit(1)).alias("event_count"), F.sum("area_ha").alias("_n"), F.max("area_ha").alias("_p"),
                                    F.avg("mean_score").alias("mean_confidence"))
-    total = F.col("_n") * 0.04
+    total = F.round("_n", 6)
     return out.select(*GRID, F.concat_ws("_", F.lit("FLOOD_ALERT"), F.upper(area), "epoch", digest).alias("alert_id"), "event_count",
-                      round6(total).alias("total_area_ha"), round6(F.col("_p") * 0.04).alias("peak_area_ha"),
+                      round6(total).alias("total_area_ha"), round6("_p").alias("peak_area_ha"),
                       round6("mean_confidence").alias("mean_confidence"), flood.severity(total, payload=True).alias("severity"))
 
 
@@ -345,7 +345,7 @@ def _(spark, sf):
 @query("track_link_mask")
 def _(spark, sf):
     d = decided_drought(tables.drought_inputs(tables.pixels(spark, sf)))
-    labelled = cut_lineage(events.label_candidates(d, F.col("score") >= config.DROUGHT.watch, ["score"], GRID, 8, EXTENT))
+    labelled = cut_lineage(events.label_candidates(d, F.col("score") >= config.DROUGHT.watch, ["score"], GRID, 8, LABEL_BLOCK))
     found = cut_lineage(events.summarize(labelled, GRID, 4, [F.avg("score").alias("mean_severity"), F.max("score").alias("peak_severity")]))
     cells = cut_lineage(events.event_cells(labelled.select(*CELL, "label"), found, GRID))
     span = found.agg(F.min("epoch").alias("a"), F.max("epoch").alias("b")).first()

@@ -29,9 +29,12 @@ def key():
     return F.concat_ws("|", *[F.col(c).cast("string") for c in CELL])
 
 
+TRAINING_ROWS_PER_CLASS = 10_000  # training takes a bounded sample of labelled rows per class
+
+
 def split_samples(spark, sf):
     rows = learning.labelled_rows(samples(spark, sf), FEATURES, "label")
-    capped = jobs.cap_per_class(rows, "label", 10000, F.md5(F.concat_ws("|", key(), F.lit("42"))))
+    capped = jobs.cap_per_class(rows, "label", TRAINING_ROWS_PER_CLASS, F.md5(F.concat_ws("|", key(), F.lit("42"))))
     return cut_lineage(learning.stratified_split(capped, "label", key()))
 
 
@@ -45,7 +48,7 @@ def _(spark, sf):
 
 @query("infer_rf")
 def _(spark, sf):
-    model = learning.train_forest(split_samples(spark, sf).where("NOT is_test"), FEATURES, "label", trees=60)
+    model = learning.train_forest(split_samples(spark, sf).where("NOT is_test"), FEATURES, "label")
     scored = learning.predict(model, samples(spark, sf), FEATURES)
     return scored.select(*CELL, "predicted", round6("confidence").alias("confidence"))
 
@@ -74,7 +77,7 @@ def _(spark, sf):
 @query("temporal_holdout")
 def _(spark, sf):
     rows = cut_lineage(learning.labelled_rows(samples(spark, sf), FEATURES, "label"))
-    model = learning.train_forest(rows.where("epoch <= 1998"), FEATURES, "label", trees=60)
+    model = learning.train_forest(rows.where("epoch <= 1998"), FEATURES, "label")
     later = learning.predict(model, rows.where("epoch > 1998"), FEATURES)
     return learning.classification_report(later, ["epoch"], "label", "predicted")
 

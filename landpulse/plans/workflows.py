@@ -18,7 +18,7 @@ from landpulse.plans.expressions import decided_drought, scored_flood
 from landpulse.session import cut_lineage
 
 
-def disturbance_chain(pairs: DataFrame, shape: tuple[int, int], pixel_m: float, threshold: float = 0.2,
+def disturbance_chain(pairs: DataFrame, pixel_m: float, threshold: float = 0.2,
                       score_threshold: float = 0.9, min_pixels: int = 9) -> dict[str, DataFrame]:
     """Index change to tracked events.
 
@@ -27,7 +27,7 @@ def disturbance_chain(pairs: DataFrame, shape: tuple[int, int], pixel_m: float,
     """
     change = pairs.withColumn("delta", F.col("index_e") - F.col("index_b"))
     change = change.withColumns({"changed": indices.is_changed("delta", threshold), "score": indices.disturbance_score("delta", threshold)})
-    labelled = cut_lineage(events.label_candidates(change, F.col("score") >= score_threshold, ["delta", "score"], GRID, 8, shape))
+    labelled = cut_lineage(events.label_candidates(change, F.col("score") >= score_threshold, ["delta", "score"], GRID, 8))
     found = events.summarize(labelled, GRID, min_pixels, [F.avg("delta").alias("mean_change"), F.avg("score").alias("mean_score")])
     found = cut_lineage(events.with_area(found, pixel_m))
     cells = cut_lineage(events.event_cells(labelled, found, GRID))
@@ -43,7 +43,7 @@ def flood_pass(inputs: DataFrame, shape: tuple[int, int], settings: FloodSetting
     """
     scored = scored_flood(inputs, settings)
     hit = F.col("valid") & (F.col("score") >= settings.threshold)
-    labelled = cut_lineage(events.label_candidates(scored, hit, ["score", "valid"], GRID, 8, shape))
+    labelled = cut_lineage(events.label_candidates(scored, hit, ["score", "valid"], GRID, 8))
     found = events.summarize(labelled, GRID, settings.min_event_pixels, [F.avg("score").alias("mean_score"), F.max("score").alias("peak_score")])
     found = cut_lineage(events.with_area(found, settings.pixel_m))
     cells = cut_lineage(events.event_cells(labelled, found, GRID))
@@ -61,7 +61,7 @@ def drought_pass(anomalies: DataFrame, shape: tuple[int, int], pixel_m: float,
     ``events`` and ``area_bounds``.
     """
     decided = decided_drought(anomalies).withColumn("seen", F.col("o") >= settings.observable)
-    labelled = cut_lineage(events.label_candidates(decided, F.col("state") == "DROUGHT", ["score", "o", "seen"], GRID, 8, shape))
+    labelled = cut_lineage(events.label_candidates(decided, F.col("state") == "DROUGHT", ["score", "o", "seen"], GRID, 8))
     found = events.summarize(labelled, GRID, settings.min_event_pixels,
                              [F.avg("score").alias("mean_severity"), F.max("score").alias("peak_severity"), F.avg("o").alias("mean_observability")])
     found = cut_lineage(events.with_area(found, pixel_m).withColumn("well_observed", F.col("mean_observability") >= settings.observable))

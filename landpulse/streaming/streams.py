@@ -109,7 +109,7 @@ def process_new_windows(stream: DataFrame, key_columns: list[str], ledger: str,
         booked = spark.read.schema("job_key string, batch int").parquet(ledger).where(F.col("batch") != batch_id)
         fresh = pending(keyed, booked).withColumn("batch", F.lit(batch_id))
         (fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(output))
-        (spark.read.parquet(output).where(F.col("batch") == batch_id).select("job_key", "batch")
+        (spark.read.schema(fresh.schema).parquet(output).where(F.col("batch") == batch_id).select("job_key", "batch")
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(ledger))
 
     q = (stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

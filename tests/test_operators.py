@@ -45,6 +45,27 @@ def test_labels_equal_flood_fill_across_blocks(spark, conn, block):
     assert {(r["row"], r["col"]): r["label"] for r in got} == flood_fill(mask, conn)
 
 
+def test_block_size_changes_no_label(spark):
+    mask = np.zeros((12, 300), bool)
+    mask[3, 250:262] = mask[0, :20] = mask[5:9, 30] = True
+    px = cells(spark, mask).withColumn("score", F.lit(1.0))
+    tables = [sorted(events.label_candidates(px, F.lit(True), ["score"], GRID, 8, block).collect()) for block in (5, 16, 256)]
+    assert tables[0] == tables[1] == tables[2]
+    assert len({r["label"] for r in tables[0]}) == 3
+    assert components.label_cells(cells(spark, mask).limit(0), GRID).count() == 0
+
+
+@pytest.mark.parametrize("factor", [5, 2.5, 0.5])
+def test_resampling_covers_grids_whose_size_is_no_multiple(spark, factor):
+    px = cells(spark, np.ones((16, 16), bool)).withColumn("v", F.col("row") * 16.0 + F.col("col"))
+    size = math.ceil(16 / factor)
+    nearest = {(r["row"], r["col"]): r["v"] for r in grid.resample_nearest(px, factor, GRID, ["v"], 16, 16).collect()}
+    at = [min(int((i + 0.5) * factor), 15) for i in range(size)]
+    assert nearest == {(i, j): at[i] * 16.0 + at[j] for i in range(size) for j in range(size)}
+    linear = grid.resample_bilinear(px, factor, GRID, "v", 16, 16)
+    assert {(r["row"], r["col"]) for r in linear.collect()} == set(nearest)
+
+
 def test_graph_components_with_hub_and_chain(spark):
     edges = [(0, i) for i in range(1, 40)] + [(100 + i, 101 + i) for i in range(25)] + [(300, 301)]
     random.Random(1).shuffle(edges)
@@ -61,7 +82,7 @@ def test_chain_roots(spark):
 def test_event_table_of_a_block_and_a_small_spot(spark):
     rows = [(0, 0, r, c, -0.35, 0.9) for r in (1, 2, 3) for c in (1, 2, 3)] + [(0, 0, 5, 5, -0.8, 0.9)]
     px = spark.createDataFrame(rows, "tile_id bigint, epoch int, row int, col int, change double, score double")
-    lab = events.label_candidates(px, F.col("score") >= 0.5, ["change", "score"], GRID, 8, (6, 6))
+    lab = events.label_candidates(px, F.col("score") >= 0.5, ["change", "score"], GRID, 8, 4)
     found = events.with_area(events.summarize(lab, GRID, 4, [F.avg("change").alias("mean_change")]), 10.0).collect()
     assert len(found) == 1 and found[0]["area_pixels"] == 9 and found[0]["event_id"] == 1
     assert found[0]["area_ha"] == 0.09 and abs(found[0]["mean_change"] + 0.35) < 1e-12

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from landpulse.operators import jobs
 from landpulse.session import scratch_path
 from landpulse.sources import files, tables
 from landpulse.streaming import streams, transitions
@@ -112,3 +113,21 @@ def test_entry_runs(spark):
 @pytest.mark.parametrize("name", sorted(HEAVY - {"train_rf"}))
 def test_forest_queries_run(spark, sf, name):
     assert entry.queries()[name](spark, sf).count() > 0
+
+
+def test_work_windows_of_a_batch_that_holds_nothing_new(spark, tmp_path):
+    ledger, output, source = (str(tmp_path / name) for name in ("ledger", "work", "source"))
+    windows = spark.createDataFrame([(1, "a"), (2, "a"), (2, "a")], "site int, month string")
+    booked = windows.distinct().select(jobs.work_key(F.col("site").cast("string"), F.col("month")).alias("job_key"), F.lit(-1).alias("batch"))
+    booked.write.partitionBy("batch").parquet(ledger)
+
+    def run():
+        stream = spark.readStream.schema(windows.schema).parquet(source)
+        streams.process_new_windows(stream, ["site", "month"], ledger, output, str(tmp_path / "cp"))
+        return spark.read.schema("site int, month string, job_key string, batch int").parquet(output)
+
+    windows.write.parquet(source)
+    assert run().count() == 0
+    windows.union(spark.createDataFrame([(3, "b")], windows.schema)).write.mode("append").parquet(source)
+    assert [(r["site"], r["month"]) for r in run().collect()] == [(3, "b")]
+    assert spark.read.parquet(ledger).count() == 3

@@ -11,7 +11,7 @@ from landpulse.sources import tables
 def test_disturbance_chain_tracks_one_patch_over_two_epochs(spark):
     rows = [(0, e, r, c, 0.6, 0.1 if 2 <= r <= 5 and 2 <= c <= 5 else 0.6) for e in (1, 2) for r in range(10) for c in range(10)]
     df = spark.createDataFrame(rows, "tile_id bigint, epoch int, row int, col int, index_b double, index_e double")
-    out = workflows.disturbance_chain(df, (10, 10), 10.0)
+    out = workflows.disturbance_chain(df, 10.0)
     assert [(r["epoch"], r["area_pixels"], r["track_id"]) for r in out["tracks"].orderBy("epoch").collect()] == [(1, 16, 1), (2, 16, 1)]
     assert out["change"].where("changed").count() == 32
 
