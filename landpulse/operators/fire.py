@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from landpulse import config
 from landpulse.functions.core import share
-from landpulse.functions.geo import haversine_m
+from landpulse.functions.geo import EARTH_RADIUS_M, haversine_m
 from landpulse.session import cut_lineage
 
 
@@ -30,7 +30,8 @@ def merge_duplicates(points: DataFrame, order: Sequence[str], radius_m: float =
 
     Records equal in position and time collapse first, so repeated copies cost one row. The kept
     set is then found in rounds: a record that comes before every undecided record of its cell and
-    the 26 cells around it is kept, and everything close to a kept record is dropped. Kept records
+    the 80 cells around it is kept, and everything close to a kept record is dropped. Cells are cubes
+    in space, so that the poles and the date line are places like any other. Kept records
     lie more than the tolerance apart, so a cell holds few of them and no list of all pairs is
     ever built. Every round decides at least the earliest open record; a crowded cell is split by
     adaptive execution.
@@ -41,20 +42,19 @@ def merge_duplicates(points: DataFrame, order: Sequence[str], radius_m: float =
     place = ["lat", "lon", "ts"]
     sites = good.groupBy(*place).agg(F.min("_ord").alias("_ord"), F.max("frp").alias("_frp"),
                                      F.count(F.lit(1)).alias("_copies"))
-    # cells of at least the tolerance on every axis: the longitude step fits the highest latitude
-    edge = good.agg(F.max(F.abs("lat"))).first()[0] or 0.0
-    lat_step = radius_m / 111000.0
-    lon_step = lat_step / max(math.cos(math.radians(min(90.0, edge + lat_step))), 1e-6)
-    sites = cut_lineage(sites.withColumns({"_b": F.floor(F.col("lat") / lat_step), "_c": F.floor(F.col("lon") / lon_step),
-                                           "_t": F.floor(F.unix_timestamp("ts") / (minutes * 60))}))
-    cell = ["_b", "_c", "_t"]
-    around = F.explode(F.array(*[F.struct(F.lit(b).alias("b"), F.lit(c).alias("c"), F.lit(t).alias("t"))
-                                 for b in (-1, 0, 1) for c in (-1, 0, 1) for t in (-1, 0, 1)]))
+    # a straight line is never longer than the arc, so cubes of the tolerance reach far enough
+    lat, lon = F.radians("lat"), F.radians("lon")
+    scale = EARTH_RADIUS_M / (radius_m * (1.0 + 1e-9))
+    sites = cut_lineage(sites.withColumns({"_x": F.floor(F.cos(lat) * F.cos(lon) * scale), "_y": F.floor(F.cos(lat) * F.sin(lon) * scale),
+                                           "_z": F.floor(F.sin(lat) * scale), "_t": F.floor(F.unix_timestamp("ts") / (minutes * 60))}))
+    cell = ["_x", "_y", "_z", "_t"]
+    step = F.array(*[F.lit(i) for i in (-1, 0, 1)])
 
     def spread(df: DataFrame) -> DataFrame:
-        """A copy of every row for each of the 27 cells around its own."""
-        return df.withColumn("_r", around).withColumns({"_b": F.col("_b") + F.col("_r.b"), "_c": F.col("_c") + F.col("_r.c"),
-                                                        "_t": F.col("_t") + F.col("_r.t")}).drop("_r")
+        """A copy of every row for each of the 81 cells around and including its own."""
+        for axis in cell:
+            df = df.withColumn("_d", F.explode(step)).withColumn(axis, F.col(axis) + F.col("_d")).drop("_d")
+        return df
 
     def reach_of(kept: DataFrame) -> DataFrame:
         return spread(kept.select(F.col("_ord").alias("_keeper"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"),
@@ -91,16 +91,20 @@ def with_fallback(standard: DataFrame, near_real_time: DataFrame, chunk: Sequenc
             .unionByName(gaps.withColumn("processing_tier", F.lit("NRT"))))
 
 
-def nearest_alarm(points: DataFrame, alarms: DataFrame, reach_m: float, mean_lat: float) -> DataFrame:
-    """Adds ``dist_m`` and ``alarm_id`` of the nearest alarm cell within ``reach_m`` (else NULL).
+def nearest_alarm(points: DataFrame, alarms: DataFrame, reach_m: float, mean_lat: float | None = None) -> DataFrame:
+    """Adds ``dist_m`` and ``alarm_id`` of the nearest alarm cell within ``reach_m`` (else NULL; ties
+    go to the smallest id). Degrees become metres at ``mean_lat``, by default the points' mean latitude.
 
-    Points meet only alarm cells of the 3x3 buckets around them; alarm cells sit on a grid, so
-    the candidates per point are bounded by the reach, not by the data.
+    Points meet only alarm cells of the 3x3 buckets around them. Alarm cells sit on a grid and cells of
+    one place count once, so the candidates per point are bounded by the reach, not by the data.
     """
+    if mean_lat is None:
+        mean_lat = points.agg(F.avg("lat")).first()[0] or 0.0
     mx = config.METERS_PER_DEG_LON * math.cos(math.radians(mean_lat))
     my = config.METERS_PER_DEG_LAT
     px = points.withColumns({"_x": F.col("lon") * mx, "_y": F.col("lat") * my})
-    al = alarms.select("alarm_id", (F.col("lon") * mx).alias("_ax"), (F.col("lat") * my).alias("_ay"))
+    places = alarms.groupBy("lon", "lat").agg(F.min("alarm_id").alias("alarm_id"))
+    al = places.select("alarm_id", (F.col("lon") * mx).alias("_ax"), (F.col("lat") * my).alias("_ay"))
     bucket = lambda c: F.floor(F.col(c) / reach_m)
     around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
     spread = al.withColumn("_n", around).select("alarm_id", "_ax", "_ay", (bucket("_ax") + F.col("_n.a")).alias("_bx"),

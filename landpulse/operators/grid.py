@@ -85,26 +85,30 @@ def map_blocks(df: DataFrame, fn, schema, keys: Sequence[str] = ("tile_id", "epo
 
 
 def locate(points: DataFrame, x: str, y: str, grid: DataFrame) -> DataFrame:
-    """Adds row and col of the point's cell; points outside their grid get NULL and ``outside``."""
-    g = salted_join(points, grid, ["tile_id"], [x, y])
+    """Adds row and col of the point's cell; points outside their grid, or of a tile without one, get
+    NULL and ``outside``."""
+    g = salted_join(points, grid, ["tile_id"], [x, y], how="left")
     col, row = F.floor((F.col(x) - F.col("x0")) / F.col("dx")), F.floor((F.col(y) - F.col("y0")) / F.col("dy"))
-    inside = (col >= 0) & (col < F.col("width")) & (row >= 0) & (row < F.col("height"))
+    inside = F.coalesce((col >= 0) & (col < F.col("width")) & (row >= 0) & (row < F.col("height")), F.lit(False))
     return g.withColumns({"row": F.when(inside, row).cast("int"), "col": F.when(inside, col).cast("int"), "outside": ~inside})
 
 
 def sample(located: DataFrame, pixels: DataFrame, band: str, id_col: str, keys: Sequence[str] = ("tile_id", "epoch"),
            default: float = 0.5) -> DataFrame:
-    """Cell value at each point; a missing value falls back to the 3x3 median, then ``default``."""
-    inside = located.where("NOT outside")
-    around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    near = (inside.select(*keys, id_col, F.col("row").alias("_r"), F.col("col").alias("_c")).withColumn("_o", around)
+    """Cell value at each point; a missing value falls back to the 3x3 median, then ``default``.
+    Points outside every grid stay, flagged ``outside``, without a value."""
+    offset = lambda a, b: F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"))
+    around = F.array(*[offset(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    near = (located.select(*keys, id_col, "outside", F.col("row").alias("_r"), F.col("col").alias("_c"))
+            .withColumn("_o", F.explode(F.when(F.col("outside"), F.array(offset(0, 0))).otherwise(around)))
             .withColumns({"row": F.col("_r") + F.col("_o.a"), "col": F.col("_c") + F.col("_o.b")}))
     values = near.join(pixels.select(*keys, "row", "col", F.col(band).alias("_v")), [*keys, "row", "col"], "left")
     own = F.max(F.when((F.col("_o.a") == 0) & (F.col("_o.b") == 0), F.col("_v")))
-    out = values.groupBy(*keys, id_col, F.col("_r").alias("row"), F.col("_c").alias("col")).agg(
+    out = values.groupBy(*keys, id_col, "outside", F.col("_r").alias("row"), F.col("_c").alias("col")).agg(
         own.alias("_own"), F.percentile("_v", F.lit(0.5)).alias("_med"))
-    return out.select(*keys, id_col, "row", "col", F.coalesce("_own", "_med", F.lit(default)).alias(band),
-                      F.col("_own").isNull().alias("fallback"))
+    inside = ~F.col("outside")
+    return out.select(*keys, id_col, "row", "col", F.when(inside, F.coalesce("_own", "_med", F.lit(default))).alias(band),
+                      (inside & F.col("_own").isNull()).alias("fallback"), "outside")
 
 
 def burn_polygons(polygons: DataFrame, keys: Sequence[str], value: str, order: str, height: int, width: int) -> DataFrame:

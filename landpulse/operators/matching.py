@@ -13,6 +13,9 @@ from landpulse.operators.components import graph_components
 from landpulse.session import cut_lineage
 
 
+TIE_STEP = 1e-11  # pairs of equal weight differ by less than 1009 of these
+
+
 def overlap_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Shared cells, sizes and IoU of touching objects.
 
@@ -35,7 +38,7 @@ def _best_assignment(weight: np.ndarray) -> list[tuple[int, int]]:
     n, m = weight.shape
     if n > m:
         return [(i, j) for j, i in _best_assignment(weight.T)]
-    cost = np.where(weight > 0, -weight, 1000.0)
+    cost = np.where(weight > 0, -weight, 2.0 * n + 2.0)  # more than any rearrangement of the others can win
     u, v = np.zeros(n), np.zeros(m)
     owner = np.full(m, -1)
     for i in range(n):
@@ -67,7 +70,8 @@ def _best_assignment(weight: np.ndarray) -> list[tuple[int, int]]:
 
 def assign_one_to_one(pairs: DataFrame, keys: Sequence[str], p: str = "p", r: str = "r",
                       weight: str = "iou") -> DataFrame:
-    """Matched (keys, p, r, weight): most pairs first, then most total weight.
+    """Matched (keys, p, r, weight): most pairs first, then most total weight; among equal totals the
+    ids decide: each pair adds (31 p + 17 r) mod 1009 steps of ``TIE_STEP``.
 
     Pairs whose two ends have no other partner are final at once. The rest falls into connected
     groups of competing objects, solved independently. Objects of one side do not overlap, so an
@@ -89,8 +93,11 @@ def assign_one_to_one(pairs: DataFrame, keys: Sequence[str], p: str = "p", r: st
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         ps, rs = np.sort(pdf[p].unique()), np.sort(pdf[r].unique())
         table = np.zeros((len(ps), len(rs)))
-        table[np.searchsorted(ps, pdf[p]), np.searchsorted(rs, pdf[r])] = pdf[weight]
-        won = _best_assignment(table)
+        at = np.searchsorted(ps, pdf[p]), np.searchsorted(rs, pdf[r])
+        table[at] = pdf[weight]
+        ties = np.zeros(table.shape)
+        ties[at] = TIE_STEP * ((pdf[p] * 31 + pdf[r] * 17) % 1009)
+        won = _best_assignment(table + ties)
         out = {k: pdf[k].iloc[0] for k in keys}
         return pd.DataFrame([{**out, p: ps[i], r: rs[j], weight: table[i, j]} for i, j in won],
                             columns=[*keys, p, r, weight])

@@ -89,7 +89,7 @@ def _(spark, sf):
     return best.select("site", "rel_orbit", "before_id", "after_id", round6("gap_days").alias("gap_days"), round6("score").alias("score"))
 
 
-_TARGETS = """tg AS (SELECT site, CAST(UNNEST(generate_series(DATE '1997-01-15', DATE '2001-01-15', INTERVAL 1 MONTH)) AS DATE) AS target FROM (SELECT DISTINCT site FROM sc)),
+_TARGETS = """tg AS (SELECT site, CAST(UNNEST(generate_series(lo, hi, INTERVAL 1 MONTH)) AS DATE) AS target FROM (SELECT site, date_trunc('month', min(dt)) + INTERVAL 14 DAY AS lo, date_trunc('month', max(dt)) + INTERVAL 14 DAY AS hi FROM sc GROUP BY site)),
 am AS (SELECT t.site, t.target, s.scene_id, s.cloud, s.tile_ref, row_number() OVER (PARTITION BY t.site, t.target ORDER BY s.cloud, s.scene_id) AS rn FROM tg t JOIN sc s ON s.site = t.site
   AND abs(date_diff('day', t.target, CAST(s.dt AS DATE))) <= 7 WHERE s.cloud < 25),
 af AS (SELECT * FROM am WHERE rn = 1),
@@ -100,8 +100,9 @@ bm AS (SELECT t.site, t.target, s.scene_id, s.cloud, s.tile_ref, row_number() OV
 @query("scene_pair_window", s.sql(s.SCENES + "," + _TARGETS, "SELECT a.site, a.target, a.scene_id AS after_id, b.scene_id AS before_id, a.tile_ref = b.tile_ref AS same_tile FROM af a JOIN bm b ON a.site = b.site AND a.target = b.target AND b.rn = 1"))
 def _(spark, sf):
     sc = tables.scenes(spark, sf)
-    months = F.explode(F.sequence(F.lit("1997-01-15").cast("date"), F.lit("2001-01-15").cast("date"), F.expr("INTERVAL 1 MONTH")))
-    targets = sc.select("site").distinct().withColumn("target", months)
+    middle = lambda day: F.date_add(F.trunc(day, "month"), 14)
+    targets = sc.groupBy("site").agg(F.sequence(middle(F.min("dt")), middle(F.max("dt")), F.expr("INTERVAL 1 MONTH")).alias("months"))
+    targets = targets.select("site", F.explode("months").alias("target"))
     clear = sc.where("cloud < 25")
     after = scenes.best_in_windows(targets, clear, ["site"], 0, 7, [F.col("cloud"), F.col("scene_id")], "a")
     goal = after.select("site", "target", F.col("a.tile_ref").alias("want_tile"), F.col("a.scene_id").alias("after_id"))
@@ -112,62 +113,63 @@ def _(spark, sf):
 
 
 @query("asof_nearest_scene", s.sql(s.SCENES + """,
-tg AS (SELECT site, CAST(UNNEST(generate_series(DATE '1996-01-10', DATE '2001-06-10', INTERVAL 20 DAY)) AS TIMESTAMP) AS target FROM (SELECT DISTINCT site FROM sc)),
+tg AS (SELECT site, CAST(UNNEST(generate_series(lo, hi, INTERVAL 20 DAY)) AS TIMESTAMP) AS target FROM (SELECT site, CAST(CAST(min(dt) AS DATE) AS TIMESTAMP) AS lo, CAST(CAST(max(dt) AS DATE) AS TIMESTAMP) AS hi FROM sc GROUP BY site)),
 nn AS (SELECT t.site, t.target, s.scene_id, abs(epoch(s.dt) - epoch(t.target)) / 86400.0 AS gap, row_number() OVER (PARTITION BY t.site, t.target ORDER BY abs(epoch(s.dt) - epoch(t.target)), s.cloud, s.scene_id) AS rn
   FROM tg t JOIN sc s ON s.site = t.site)""", f"SELECT site, target, scene_id, {r6('gap')} AS gap_days FROM nn WHERE rn = 1"))
 def _(spark, sf):
     sc = tables.scenes(spark, sf)
-    dates = F.explode(F.sequence(F.lit("1996-01-10").cast("date"), F.lit("2001-06-10").cast("date"), F.expr("INTERVAL 20 DAYS")))
-    targets = sc.select("site").distinct().select("site", dates.alias("target")).withColumn("target", F.col("target").cast("timestamp"))
+    dates = F.sequence(F.to_date(F.min("dt")), F.to_date(F.max("dt")), F.expr("INTERVAL 20 DAYS"))
+    targets = sc.groupBy("site").agg(dates.cast("array<timestamp>").alias("dates")).select("site", F.explode("dates").alias("target"))
     near = scenes.nearest_scene(targets, sc.withColumn("dt", F.col("dt").cast("timestamp")), ["site"])
     return near.select("site", "target", "scene_id", round6("gap_days").alias("gap_days"))
 
 
 _SAMPLE = s.PIX + """,
-pt AS (SELECT o_orderkey AS point_id, o_custkey % 10 AS tile_id, CAST(1995 + o_orderkey % 7 AS INTEGER) AS epoch, (o_custkey % 10) * 160.0::DOUBLE + (o_orderkey % 170) - 3 AS x, -1.0::DOUBLE * (o_custkey % 165) AS y FROM orders),
-lc AS (SELECT *, CAST(floor((x - tile_id * 160.0) / 10.0) AS INTEGER) AS col, CAST(floor(y / -10.0) AS INTEGER) AS row FROM pt WHERE tile_id IN (SELECT tile_id FROM pix)),
-ins AS (SELECT * FROM lc WHERE col BETWEEN 0 AND 15 AND row BETWEEN 0 AND 15),
+pt AS (SELECT o_orderkey AS point_id, o_custkey // 10 AS tile_id, CAST(1995 + o_orderkey % 7 AS INTEGER) AS epoch, (o_custkey // 10) * 160.0::DOUBLE + (o_orderkey % 170) - 3 AS x, -1.0::DOUBLE * (o_custkey % 165) AS y FROM orders),
+lc AS (SELECT *, CAST(floor((x - tile_id * 160.0) / 10.0) AS INTEGER) AS c, CAST(floor(y / -10.0) AS INTEGER) AS r FROM pt),
+ins AS (SELECT *, NOT coalesce(inside, false) AS outside, CASE WHEN inside THEN r END AS row, CASE WHEN inside THEN c END AS col
+  FROM (SELECT *, c BETWEEN 0 AND 15 AND r BETWEEN 0 AND 15 AND tile_id IN (SELECT tile_id FROM pix) AS inside FROM lc)),
 md AS (SELECT i.point_id, quantile_cont(p.swir, 0.5) AS med FROM ins i JOIN pix p ON p.tile_id = i.tile_id AND p.epoch = i.epoch AND abs(p.row - i.row) <= 1 AND abs(p.col - i.col) <= 1 GROUP BY 1)"""
 
 
-@query("point_sample", s.sql(_SAMPLE, f"SELECT i.tile_id, i.epoch, i.point_id, i.row, i.col, {r6('coalesce(p.swir, m.med, 0.5)')} AS swir, p.swir IS NULL AS fallback FROM ins i LEFT JOIN pix p USING (tile_id, epoch, row, col) LEFT JOIN md m USING (point_id)"))
+@query("point_sample", s.sql(_SAMPLE, f"SELECT i.tile_id, i.epoch, i.point_id, i.row, i.col, CASE WHEN NOT outside THEN {r6('coalesce(p.swir, m.med, 0.5)')} END AS swir, NOT outside AND p.swir IS NULL AS fallback, outside FROM ins i LEFT JOIN pix p USING (tile_id, epoch, row, col) LEFT JOIN md m USING (point_id)"))
 def _(spark, sf):
     px = tables.pixels(spark, sf)
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     points = tables.table(spark, sf, "orders").select(
-        k.alias("point_id"), (c % 10).alias("tile_id"), (1995 + k % 7).cast("int").alias("epoch"),
-        ((c % 10) * 160.0 + (k % 170) - 3).alias("x"), (-1.0 * (c % 165)).alias("y"))
+        k.alias("point_id"), F.expr("o_custkey div 10").alias("tile_id"), (1995 + k % 7).cast("int").alias("epoch"),
+        (F.expr("o_custkey div 10") * 160.0 + (k % 170) - 3).alias("x"), (-1.0 * (c % 165)).alias("y"))
     located = grid.locate(points, "x", "y", tables.grids(px))
     out = grid.sample(located, px, "swir", "point_id")
     return out.withColumn("swir", round6("swir"))
 
 
-ALARM = s.FLOODSCORE + ", cand AS (SELECT * FROM flood WHERE valid AND score >= 0.4 AND epoch = 2000)," + components_sql("cand", "lab") + """,
+ALARM = s.FLOODSCORE + ", cand AS (SELECT * FROM flood WHERE valid AND score >= 0.4)," + components_sql("cand", "lab") + """,
 aev AS (SELECT tile_id, epoch, label, count(*) AS k FROM lab GROUP BY 1, 2, 3 HAVING count(*) >= 4)"""
 ALARM_CELLS = ALARM + """,
-ac AS (SELECT tile_id * 1000000000000 + label AS alarm_id, 70.0::DOUBLE + (tile_id % 6) * 0.01 + col * 0.0005 AS lon, 10.0::DOUBLE + (tile_id % 25) * 0.01 + row * 0.0005 AS lat FROM lab JOIN aev USING (tile_id, epoch, label)),"""
+ac AS (SELECT tile_id || '_' || epoch || '_' || label AS alarm_id, 70.0::DOUBLE + (tile_id // 25) * 0.01 + col * 0.0005 AS lon, 10.0::DOUBLE + (tile_id % 25) * 0.01 + row * 0.0005 AS lat FROM lab JOIN aev USING (tile_id, epoch, label)),"""
 LOCATED = ALARM_CELLS + s.FIRE + """,
 pt AS (SELECT *, CAST(latitude AS DOUBLE) AS lat, CAST(longitude AS DOUBLE) AS lon FROM fp),
 ml AS (SELECT avg(lat) AS m FROM pt),
-ds AS (SELECT p.seq, c.alarm_id, sqrt(((p.lon - c.lon) * (111320.0 * cos(radians(10.12)))) * ((p.lon - c.lon) * (111320.0 * cos(radians(10.12)))) + ((p.lat - c.lat) * 110750.0) * ((p.lat - c.lat) * 110750.0)) AS d FROM pt p JOIN ac c ON abs(p.lon - c.lon) < 0.011 AND abs(p.lat - c.lat) < 0.011),
+ds AS (SELECT p.seq, c.alarm_id, sqrt(((p.lon - c.lon) * (111320.0 * (SELECT cos(radians(m)) FROM ml))) * ((p.lon - c.lon) * (111320.0 * (SELECT cos(radians(m)) FROM ml))) + ((p.lat - c.lat) * 110750.0) * ((p.lat - c.lat) * 110750.0)) AS d FROM pt p JOIN ac c ON abs(p.lon - c.lon) < 0.011 AND abs(p.lat - c.lat) < 0.011),
 nd AS (SELECT seq, min(d) AS d, arg_min(alarm_id, (d, alarm_id)) AS alarm_id FROM ds WHERE d <= 1000.0 GROUP BY 1),
 loc AS (SELECT p.*, n.d AS dist_m, n.alarm_id FROM pt p LEFT JOIN nd n USING (seq))"""
 
 
 def alarm_cells(spark, sf):
     scored = scored_flood(tables.flood_inputs(tables.pixels(spark, sf)))
-    labelled = events.label_candidates(scored, F.col("valid") & (F.col("score") >= 0.4) & (F.col("epoch") == 2000), [], GRID, 8, LABEL_BLOCK)
+    labelled = events.label_candidates(scored, F.col("valid") & (F.col("score") >= 0.4), [], GRID, 8, LABEL_BLOCK)
     kept = labelled.groupBy(*GRID, "label").agg(F.count(F.lit(1)).alias("_k")).where("_k >= 4")
     cells = labelled.join(kept, [*GRID, "label"])
-    return cells.select((F.col("tile_id") * 1000000000000 + F.col("label")).alias("alarm_id"),
-                        (70.0 + (F.col("tile_id") % 6) * 0.01 + F.col("col") * 0.0005).alias("lon"),
+    return cells.select(F.concat_ws("_", *GRID, "label").alias("alarm_id"),
+                        (70.0 + F.expr("tile_id div 25") * 0.01 + F.col("col") * 0.0005).alias("lon"),
                         (10.0 + (F.col("tile_id") % 25) * 0.01 + F.col("row") * 0.0005).alias("lat"))
 
 
 def located_points(spark, sf):
     pts = fire.parse_points(tables.fire_points(spark, sf)).withColumn("point_id", F.col("seq"))
     cells = cut_lineage(alarm_cells(spark, sf))
-    return fire.nearest_alarm(pts, cells, max(config.FIRE_RADII_M), 10.12), cells
+    return fire.nearest_alarm(pts, cells, max(config.FIRE_RADII_M)), cells
 
 
 @query("point_cell_distance_join", rsql(LOCATED, f"SELECT seq, {r6('dist_m')} AS dist_m, dist_m IS NOT NULL AS near FROM loc"))

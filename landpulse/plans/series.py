@@ -126,11 +126,11 @@ def flood_observations(spark, sf):
     k = F.round(F.col("soil") * 100 * F.col("n")).cast("bigint")
     ha = F.when(F.col("n") % 4 == 3, 0.0).otherwise((F.col("c") % 13000) / 100.0)
     return d.select(F.col("station").alias("aoi"), "day", F.lit(0).cast("bigint").alias("seq"), ha.alias("ha"),
-                    F.sha2(F.concat_ws("_", "station", F.col("c") % 40), 256).alias("hash"), F.when(k % 9 == 0, "no_evidence").otherwise("completed").alias("status"))
+                    F.sha2(F.concat_ws("_", F.month("day"), F.col("c") % 997), 256).alias("hash"), F.when(k % 9 == 0, "no_evidence").otherwise("completed").alias("status"))
 
 
 _FA = s.STATION + """,
-fo AS (SELECT station AS aoi, day, CASE WHEN n % 4 = 3 THEN 0.0::DOUBLE ELSE (sv % 13000) / 100.0::DOUBLE END AS ha, station || '_' || sv % 40 AS hash, sk % 9 = 0 AS hold FROM sd),
+fo AS (SELECT station AS aoi, day, CASE WHEN n % 4 = 3 THEN 0.0::DOUBLE ELSE (sv % 13000) / 100.0::DOUBLE END AS ha, month(day) || '_' || sv % 997 AS hash, sk % 9 = 0 AS hold FROM sd),
 fh AS (SELECT *, NOT hold AND row_number() OVER (PARTITION BY hash, hold ORDER BY day, aoi) = 1 AS fresh FROM fo),
 f1 AS (SELECT *, last_value(CASE WHEN fresh THEN ha END IGNORE NULLS) OVER (PARTITION BY aoi ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM fh),
 f2 AS (SELECT *, CASE WHEN ha >= 100 THEN 'CRITICAL' WHEN ha >= 10 THEN 'WARNING' WHEN ha = 0 THEN 'RESOLVED' ELSE 'ADVISORY' END AS base,
@@ -151,7 +151,11 @@ def _(spark, sf):
 
 @query("flood_alert_stream", s.sql(_FA, "SELECT aoi, day, transition, severity FROM f5"))
 def _(spark, sf):
-    out = _through_stream(spark, flood_observations(spark, sf), "flood-alerts", lambda st: streams.flood_alert_stream(st, "aoi"))
+    staged = streams.stream_table(spark, flood_observations(spark, sf), "flood-observations")
+    path = scratch_path(spark, "flood-flagged")
+    streams.flag_repeats(staged, "aoi", scratch_path(spark, "flood-hashes"), path, scratch_path(spark, "flood-hashes-cp"))
+    flagged = spark.read.parquet(path).drop("batch")
+    out = _through_stream(spark, flagged, "flood-alerts", lambda st: streams.flood_alert_stream(st, "aoi"))
     return out.select("aoi", "day", "transition", "severity")
 
 

@@ -381,13 +381,14 @@ def leakage_audit(manifests):
 
 
 @query("manifest_leakage_audit", s.sql(s.PIX + """,
-mf AS (SELECT tile_id, list_sort(list(DISTINCT epoch)) AS yrs, 1995 + tile_id % 8 AS ey, CASE WHEN tile_id % 2 = 0 THEN 'REAL_OBSERVATION' ELSE 'TEST_FIXTURE' END AS mode FROM pix WHERE epoch <> 1999 GROUP BY tile_id)""",
+mf AS (SELECT tile_id, list_sort(coalesce(list(DISTINCT epoch) FILTER (WHERE tile_id % 4 = 3 OR epoch <> 1995 + tile_id % 8), [])) AS yrs, 1995 + tile_id % 8 AS ey, CASE WHEN tile_id % 2 = 0 THEN 'REAL_OBSERVATION' ELSE 'TEST_FIXTURE' END AS mode FROM pix GROUP BY tile_id)""",
     """SELECT tile_id, CAST(ey AS INTEGER) AS eval_year, list_contains(yrs, ey) AS target_in_baseline, tile_id % 3 = 0 AS inputs_overlap, mode = 'REAL_OBSERVATION' AND tile_id % 5 = 4 AS synthetic_in_real,
   sha256('{"baseline_years":[' || array_to_string(yrs, ',') || '],"eval_year":' || ey || ',"mode":"' || mode || '"}') AS digest FROM mf"""))
 def _(spark, sf):
-    px = tables.pixels(spark, sf).where("epoch <> 1999")
     t = F.col("tile_id")
-    m = px.groupBy("tile_id").agg(F.sort_array(F.collect_set("epoch")).alias("baseline_years"))
+    # every fourth tile leaves its evaluation year in its baseline
+    baseline = F.when((t % 4 == 3) | (F.col("epoch") != 1995 + t % 8), F.col("epoch"))
+    m = tables.pixels(spark, sf).groupBy("tile_id").agg(F.sort_array(F.collect_set(baseline)).alias("baseline_years"))
     m = m.select("tile_id", "baseline_years", (1995 + t % 8).cast("int").alias("eval_year"), F.array(F.lit("SPI_3M"), F.lit("NDVI")).alias("inputs"),
                  F.when(t % 3 == 0, F.array(F.lit("SPI_3M"))).otherwise(F.array(F.lit("STREAMFLOW"))).alias("comparator_inputs"),
                  F.when(t % 5 == 4, F.array(F.lit("S2A_1"), F.lit("Synthetic_7"))).otherwise(F.array(F.lit("S2A_1"))).alias("scene_ids"),
@@ -447,16 +448,26 @@ def _(spark, sf):
     return object_scores(pairs.select(*GRID, "p", "r", "iou"), size_p, size_r, (0.10, 0.30, 0.50))
 
 
-@query("object_match_strict", rsql(OBJECTS + """,
-wn AS (SELECT * FROM pairs WHERE iou > 0.3 QUALIFY count(*) OVER (PARTITION BY tile_id, epoch, p) = 1 AND count(*) OVER (PARTITION BY tile_id, epoch, r) = 1)""",
-    f"SELECT tile_id, epoch, p, r, {r6('iou')} AS iou FROM wn"))
+# competing pairs: groups by reachability, then every set of pairs without a shared end, one pair a step
+_MATCHED = OBJECTS + f""",
+el AS MATERIALIZED (SELECT tile_id, epoch, p, r, iou, iou + {matching.TIE_STEP}::DOUBLE * ((p * 31 + r * 17) % 1009) AS w, count(*) OVER (PARTITION BY tile_id, epoch, p) AS dp, count(*) OVER (PARTITION BY tile_id, epoch, r) AS dr FROM pairs WHERE iou > 0.3),
+ct AS MATERIALIZED (SELECT * FROM el WHERE dp > 1 OR dr > 1),
+rea AS (SELECT tile_id, epoch, p AS a, p AS b FROM ct UNION SELECT q.tile_id, q.epoch, q.a, y.p FROM rea q JOIN ct x ON x.tile_id = q.tile_id AND x.epoch = q.epoch AND x.p = q.b JOIN ct y ON y.tile_id = x.tile_id AND y.epoch = x.epoch AND y.r = x.r),
+gp AS (SELECT tile_id, epoch, a AS p, min(b) AS g FROM rea GROUP BY 1, 2, 3),
+np AS MATERIALIZED (SELECT c.*, g, row_number() OVER (PARTITION BY c.tile_id, c.epoch, g ORDER BY c.p, c.r) AS i FROM ct c JOIN gp USING (tile_id, epoch, p)),
+sets AS (SELECT DISTINCT tile_id, epoch, g, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS ps, CAST([] AS BIGINT[]) AS rs, 0.0::DOUBLE AS w FROM np
+  UNION ALL SELECT s.tile_id, s.epoch, s.g, n.i, CASE WHEN k.take THEN list_append(ps, n.p) ELSE ps END, CASE WHEN k.take THEN list_append(rs, n.r) ELSE rs END, s.w + CASE WHEN k.take THEN n.w ELSE 0 END
+  FROM sets s JOIN np n ON n.tile_id = s.tile_id AND n.epoch = s.epoch AND n.g = s.g AND n.i = s.i + 1, (VALUES (true), (false)) k(take) WHERE NOT k.take OR NOT (list_contains(ps, n.p) OR list_contains(rs, n.r))),
+best AS (SELECT tile_id, epoch, g, arg_max(ps, (len(ps), w)) AS ps, arg_max(rs, (len(rs), w)) AS rs FROM sets s WHERE i = (SELECT max(i) FROM np n WHERE n.tile_id = s.tile_id AND n.epoch = s.epoch AND n.g = s.g) GROUP BY 1, 2, 3),
+wn AS (SELECT tile_id, epoch, p, r, iou FROM el WHERE dp = 1 AND dr = 1 UNION ALL
+  SELECT e.tile_id, e.epoch, e.p, e.r, e.iou FROM (SELECT tile_id, epoch, UNNEST(ps) AS p, UNNEST(rs) AS r FROM best) b JOIN el e USING (tile_id, epoch, p, r))"""
+
+
+@query("object_match_strict", rsql(_MATCHED, f"SELECT tile_id, epoch, p, r, {r6('iou')} AS iou FROM wn"))
 def _(spark, sf):
     p, r = object_cells(spark, sf)
     pairs = cut_lineage(matching.overlap_pairs(p, r, GRID).where("iou > 0.3"))
-    won = matching.assign_one_to_one(pairs, GRID)
-    # pairs without competition, where the assignment is the pair itself
-    deg_p, deg_r = pairs.groupBy(*GRID, "p").agg(F.count(F.lit(1)).alias("dp")).where("dp = 1"), pairs.groupBy(*GRID, "r").agg(F.count(F.lit(1)).alias("dr")).where("dr = 1")
-    return won.join(deg_p, [*GRID, "p"]).join(deg_r, [*GRID, "r"]).select(*GRID, "p", "r", round6("iou").alias("iou"))
+    return matching.assign_one_to_one(pairs, GRID).select(*GRID, "p", "r", round6("iou").alias("iou"))
 
 
 @query("object_recall_union", rsql(OBJECTS + """,
@@ -474,11 +485,12 @@ def _(spark, sf):
 @query("fire_corroboration", rsql(LOCATED + """,
 na AS (SELECT count(DISTINCT alarm_id) AS n_alarms FROM ac), rd(r) AS (VALUES (375.0::DOUBLE), (500.0::DOUBLE), (1000.0::DOUBLE)),
 fc AS (SELECT r AS radius_m, count(*) AS n_points, count(*) FILTER (WHERE dist_m <= r) AS h, count(DISTINCT CASE WHEN dist_m <= r THEN alarm_id END) AS a, coalesce(avg((coalesce(dist_m <= r, false))::INT) FILTER (WHERE frp >= 5), 0.0) AS f FROM loc, rd GROUP BY 1)""",
-    f"SELECT radius_m, n_points, n_alarms, h AS recovered_points, {r6('h / n_points::DOUBLE')} AS recovery_rate, {r6('f')} AS high_frp_recovery FROM fc, na"))
+    f"SELECT radius_m, n_points, n_alarms, h AS recovered_points, a AS corroborated_alarms, {r6('h / n_points::DOUBLE')} AS recovery_rate, {r6('CASE WHEN n_alarms > 0 THEN a / n_alarms::DOUBLE ELSE 0 END')} AS corroboration_rate, {r6('f')} AS high_frp_recovery FROM fc, na"))
 def _(spark, sf):
     located, cells = located_points(spark, sf)
     c = fire.corroboration(located, cells.agg(F.count_distinct("alarm_id").alias("n_alarms")))
-    return c.select("radius_m", "n_points", "n_alarms", "recovered_points", round6("recovery_rate").alias("recovery_rate"), round6("high_frp_recovery").alias("high_frp_recovery"))
+    return c.select("radius_m", "n_points", "n_alarms", "recovered_points", "corroborated_alarms",
+                    *[round6(x).alias(x) for x in ("recovery_rate", "corroboration_rate", "high_frp_recovery")])
 
 
 @query("fire_lag_recovery", rsql(LOCATED + """,

@@ -48,26 +48,50 @@ def lifecycle_stream(obs: DataFrame, key: str) -> DataFrame:
     return obs.groupBy(key).applyInPandasWithState(advance, out, "last int, " + t.LIFECYCLE_STATE, "append", "NoTimeout")
 
 
-def flood_alert_stream(obs: DataFrame, key: str) -> DataFrame:
-    """Alert transitions per area. ``obs``: key (bigint), day, seq, ha, hash, status.
+def flag_repeats(stream: DataFrame, key: str, ledger: str, output: str, checkpoint: str) -> None:
+    """Flood observations with ``repeated``: their hash was processed before, in whatever area.
+
+    Evidence on hold processes nothing. The first row of a hash in the order (day, key, seq) of a
+    micro-batch counts if no earlier batch has booked the hash; rows without a hash never count.
+    Rows are written before their hashes are booked, both under the batch id, so that a repeated
+    batch replaces its own.
+    """
+    position = ["day", key, "seq"]
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        free = ~F.col("status").isin(*t.FLOOD_HOLDS)
+        booked = spark.read.schema("hash string, batch long").parquet(ledger).where(F.col("batch") != batch_id)
+        first = batch.where(free).groupBy("hash").agg(F.min(F.struct(*position)).alias("_first")).join(booked, "hash", "left_anti")
+        first = first.select("hash", *[F.col(f"_first.{c}").alias(c) for c in position], F.lit(False).alias("_again"))
+        flagged = (batch.join(first, ["hash", *position], "left").withColumn("repeated", F.coalesce("_again", F.lit(True)))
+                   .withColumn("batch", F.lit(batch_id).cast("long")).drop("_again"))
+        flagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(output)
+        (spark.read.schema(flagged.schema).parquet(output).where((F.col("batch") == batch_id) & free & ~F.col("repeated")).select("hash", "batch")
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(ledger))
+
+    empty = stream.sparkSession.createDataFrame([], "hash string, batch long")
+    empty.write.mode("append").partitionBy("batch").parquet(ledger)
+    q = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
 
-    The processed hashes of an area are part of its state.
+
+def flood_alert_stream(obs: DataFrame, key: str) -> DataFrame:
+    """Alert transitions per area. ``obs``: key (bigint), day, seq, ha, hash, status, repeated
+    (from ``flag_repeats``: a hash counts once over all areas).
     """
     out = f"{key} bigint, day date, seq bigint, transition string, severity string"
 
     def advance(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        current, seen = None, set()
-        if state.exists:
-            ha, sev, hashes = state.get
-            current, seen = ({"ha": ha, "sev": sev} if sev is not None else None), set(hashes)
+        current = dict(zip(("ha", "sev"), state.get)) if state.exists and state.get[1] is not None else None
         rows = []
         for r in pd.concat(list(batches)).sort_values(["day", "seq"]).itertuples():
-            current, action, severity = t.flood_step(current, float(r.ha), r.hash, r.status, seen)
+            current, action, severity = t.flood_step(current, float(r.ha), r.status, bool(r.repeated))
             rows.append((k[0], r.day, r.seq, action, severity))
-        state.update((current["ha"] if current else None, current["sev"] if current else None, sorted(seen)))
+        state.update(tuple(current.values()) if current else (None, None))
         yield pd.DataFrame(rows, columns=[key, "day", "seq", "transition", "severity"])
 
-    return obs.groupBy(key).applyInPandasWithState(advance, out, "ha double, sev string, hashes array<string>", "append", "NoTimeout")
+    return obs.groupBy(key).applyInPandasWithState(advance, out, "ha double, sev string", "append", "NoTimeout")
 
 
 def drought_alert_stream(obs: DataFrame, key: str) -> DataFrame:

@@ -84,6 +84,9 @@ def lifecycle_fold(series: DataFrame, keys: list[str], epoch: str, severity: str
 
 # --- flood alerts -------------------------------------------------------------
 
+FLOOD_HOLDS = ("cannot_evaluate", "no_evidence")
+
+
 def flood_transition(ha, prev_ha, prev_severity) -> tuple[Column, Column, Column, Column]:
     """(severity, transition, delta ha, delta %) for an observation after the given state."""
     base = flood.severity(ha)
@@ -108,7 +111,7 @@ def flood_alerts(obs: DataFrame, key: str = "aoi") -> DataFrame:
     consecutive areas and no row-by-row replay is needed. Observations are sorted per area and
     month only.
     """
-    o = obs.withColumns({"ha": F.round("ha", 2), "_bucket": F.trunc("day", "month"), "_hold": F.col("status").isin("cannot_evaluate", "no_evidence")})
+    o = obs.withColumns({"ha": F.round("ha", 2), "_bucket": F.trunc("day", "month"), "_hold": F.col("status").isin(*FLOOD_HOLDS)})
     position = F.struct("day", key, "seq")
     first = o.where("NOT _hold").groupBy("hash").agg(F.min(position).alias("_first"))
     # joined on the full position, so a hash seen very often is no hot key
@@ -134,13 +137,12 @@ def flood_alerts(obs: DataFrame, key: str = "aoi") -> DataFrame:
     return out.withColumn("dispatch", ~quiet)
 
 
-def flood_step(state: dict | None, ha: float, digest: str, status: str, seen: set) -> tuple[dict | None, str, str]:
+def flood_step(state: dict | None, ha: float, status: str, repeated: bool) -> tuple[dict | None, str, str]:
     """(new state, transition, severity) of one observation of one area."""
-    if status in ("cannot_evaluate", "no_evidence"):
+    if status in FLOOD_HOLDS:
         return state, "DATA_BLACKOUT_HOLD", state["sev"] if state else "UNKNOWN"
-    if digest in seen:
+    if repeated:
         return state, "DUPLICATE_SUPPRESSED", state["sev"] if state else "UNKNOWN"
-    seen.add(digest)
     ha = round(ha, 2)
     sev = "CRITICAL" if ha >= 100 else "WARNING" if ha >= 10 else "RESOLVED" if ha == 0 else "ADVISORY"
     if state is None or state["sev"] == "RESOLVED":

@@ -208,6 +208,26 @@ def test_fire_dedup_equals_the_greedy_pass(spark, seed, lat):
     assert {r["seq"]: (r["frp"], r["n_merged"]) for r in got} == greedy_fire(rows)
 
 
+@pytest.mark.parametrize("lat,lon", [(12.0, 180.0), (89.999, 0.0), (-90.0, 77.0)])
+def test_fire_dedup_across_the_date_line_and_at_the_poles(spark, lat, lon):
+    rng = random.Random(5)
+    turn = lambda x: (x + 180.0) % 360.0 - 180.0
+    rows = [(i, max(-90.0, min(90.0, lat + rng.uniform(-0.004, 0.004))), turn(lon + rng.uniform(-0.004, 0.004) * (1 if abs(lat) < 80 else 40000)),
+             1700000000 + rng.randrange(0, 5000, 60), rng.uniform(1, 50)) for i in range(80)]
+    df = spark.createDataFrame(rows, "seq int, lat double, lon double, t bigint, frp double").withColumn("ts", F.timestamp_seconds("t"))
+    got = fire.merge_duplicates(df.drop("t"), ["ts", "seq"]).collect()
+    assert {r["seq"]: (r["frp"], r["n_merged"]) for r in got} == greedy_fire(rows)
+
+
+def test_points_outside_every_grid_stay_flagged(spark):
+    grids = spark.createDataFrame([(1, 0.0, 10.0, 0.0, -10.0, 2, 2)], "tile_id int, x0 double, dx double, y0 double, dy double, width int, height int")
+    pixels = spark.createDataFrame([(1, 0, 0, 0.25), (1, 0, 1, 0.75)], "tile_id int, row int, col int, red double")
+    points = spark.createDataFrame([(1, 1, 5.0, -5.0), (2, 1, 5.0, -15.0), (3, 1, 25.0, -5.0), (4, 9, 5.0, -5.0), (5, 1, None, -5.0)], "id int, tile_id int, x double, y double")
+    out = grid.sample(grid.locate(points, "x", "y", grids), pixels, "red", "id", keys=["tile_id"]).collect()
+    assert {r["id"]: (r["red"], r["fallback"], r["outside"]) for r in out} == {
+        1: (0.25, False, False), 2: (0.5, True, False), 3: (None, False, True), 4: (None, False, True), 5: (None, False, True)}
+
+
 def test_fire_dedup_golden(spark):
     rows = [("22.350", "82.650", "2025-03-01", "0700", 5.0, 0), ("22.3501", "82.6501", "2025-03-01", "0710", 12.0, 1), ("22.400", "82.700", "2025-03-01", "0700", 3.0, 2), ("x", "82.7", "2025-03-01", "1", 1.0, 3)]
     df = spark.createDataFrame(rows, "latitude string, longitude string, acq_date string, acq_time string, frp double, seq int")

@@ -1,5 +1,6 @@
 """Registered queries: SQL agreement, plans, layout independence, streams in several batches."""
 
+import datetime as dt
 import re
 from pathlib import Path
 
@@ -81,6 +82,22 @@ def test_lifecycle_stream_over_several_batches(spark):
     assert got == want
 
 
+def test_flood_alert_stream_equals_the_batch_when_areas_share_hashes(spark):
+    rows = [(u, dt.date(2024, 1, 1 + d), 0, (u * 37 + d * 53) % 140 * 1.0, f"h{(u + d * 2) % 9}" if d % 3 else f"u{u}-{d}", "no_evidence" if (u + d) % 7 == 0 else "completed")
+            for u in range(5) for d in range(12)]
+    df = spark.createDataFrame(rows, "aoi bigint, day date, seq bigint, ha double, hash string, status string")
+    source, ledger, flagged, sink, cp1, cp2 = (scratch_path(spark, x) for x in ("in", "ledger", "flagged", "out", "cp", "cp"))
+    for low, high in ((1, 4), (5, 9), (10, 12)):
+        df.where(F.dayofmonth("day").between(low, high)).coalesce(1).write.mode("append").parquet(source)
+        streams.flag_repeats(spark.readStream.schema(df.schema).parquet(source), "aoi", ledger, flagged, cp1)
+        stream = spark.readStream.schema(spark.read.parquet(flagged).schema).parquet(flagged)
+        streams.run_to_table(streams.flood_alert_stream(stream, "aoi"), sink, cp2)
+    columns = ["aoi", "day", "transition", "severity"]
+    got = sorted(map(tuple, spark.read.parquet(sink).select(columns).collect()))
+    want = sorted(map(tuple, transitions.flood_alerts(df).select(columns).collect()))
+    assert got == want and {"DUPLICATE_SUPPRESSED", "NEW_ALERT", "DATA_BLACKOUT_HOLD"} <= {r[2] for r in got}
+
+
 def test_late_epoch_is_flagged_and_changes_nothing(spark):
     df = spark.createDataFrame([(1, 3, 0.9, True)], "unit bigint, epoch int, severity double, resolvable boolean")
     source, sink, cp = (scratch_path(spark, x) for x in ("in", "out", "cp"))
