@@ -12,29 +12,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from landpulse.functions.core import as_col
+from landpulse.operators.skew import salted_join
 from landpulse.session import cut_lineage
 
 BUCKETS = 64
+WHOLE = 256  # a group of at most so many rows is sorted in one piece
 
 
-def bucket_bounds(distinct: DataFrame, column: str, buckets: int = BUCKETS) -> list[float]:
-    """At most ``buckets - 1`` cut points balancing the rows of ``distinct``."""
-    probabilities = [i / buckets for i in range(1, buckets)]
-    return sorted(set(distinct.approxQuantile(column, probabilities, 0.5 / buckets)))
+def bucketed(distinct: DataFrame, keys: Sequence[str], value: str, name: str = "_bucket") -> DataFrame:
+    """Adds a bucket number that agrees with the order of ``value``.
 
-
-def bucket_index(column, bounds: Sequence[float]) -> Column:
-    """Number of cut points at or below the value, as a balanced tree of comparisons."""
-    x = as_col(column)
-
-    def tree(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(x < bounds[mid], tree(low, mid)).otherwise(tree(mid + 1, high))
-
-    return tree(0, len(bounds))
+    Every group of more than ``WHOLE`` rows is cut at its own approximate quantiles, so a large group
+    spreads over many buckets however narrow its range; smaller groups and NULL values are bucket 0.
+    A group gets 64 buckets, or as many as the session has shuffle partitions.
+    """
+    x = F.col(value).cast("double")
+    count = max(BUCKETS, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = F.array_distinct(F.percentile_approx(x, [i / count for i in range(1, count)], 20 * count)).alias("_cuts")
+    stats = distinct.groupBy(*keys).agg(cuts, F.count(x).alias("_rows")).where(F.col("_rows") > WHOLE).drop("_rows")
+    below = F.size(F.filter("_cuts", lambda c: c <= x))
+    known = F.col("_cuts").isNotNull() & x.isNotNull()
+    return salted_join(distinct, stats, keys, [value], how="left").withColumn(name, F.when(known, below).otherwise(0)).drop("_cuts")
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: str,
@@ -64,17 +62,15 @@ def ranked_counts(df: DataFrame, keys: Sequence[str], value: str, extra: Sequenc
                   descending: bool = False) -> DataFrame:
     """One row per (keys, distinct value) with its count and the running count.
 
-    The counted table is checkpointed because the cut points are taken from it before the
-    running totals are planned.
+    The counted table is checkpointed because cut points, bucket totals and the running counts
+    are all read from it.
     """
     counted = (df.where(F.col(value).isNotNull()).groupBy(*keys, value)
                .agg(F.count(F.lit(1)).alias("n"), *extra))
     counted = cut_lineage(counted)
-    bounds = bucket_bounds(counted.select(F.col(value).cast("double").alias(value)), value)
     names = ["n"] + [c for c in counted.columns if c not in (*keys, value, "n")]
-    bucketed = counted.withColumn("_bucket", bucket_index(F.col(value).cast("double"), bounds))
     order = [F.desc(value) if descending else F.asc(value)]
-    return running_totals(bucketed, keys, order, "_bucket", names, descending).drop("_bucket")
+    return running_totals(bucketed(counted, keys, value), keys, order, "_bucket", names, descending).drop("_bucket")
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str,

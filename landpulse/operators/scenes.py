@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from landpulse.functions.core import as_col
 from landpulse.functions.geo import bbox_coverage
-from landpulse.operators.ordered import bucket_bounds, bucket_index, bucketed_row_number
+from landpulse.operators.ordered import bucketed, bucketed_row_number
 from landpulse.session import cut_lineage
 
 FEATURE_SCHEMA = ("features array<struct<id:string,bbox:array<double>,properties:struct<datetime:string,"
@@ -166,6 +166,4 @@ def rank_scenes(scenes: DataFrame, keys: Sequence[str], reference_box: list, box
     cover = bbox_coverage(reference_box, box)
     scored = scenes.withColumn("score", 3.0 * cover - F.coalesce("cloud", F.lit(100.0)) / 100.0 - 0.05 * F.least(gap, F.lit(30.0)))
     scored = cut_lineage(scored.withColumn("_neg", -F.col("score")))
-    bounds = bucket_bounds(scored, "_neg")
-    bucketed = scored.withColumn("_b", bucket_index("_neg", bounds))
-    return bucketed_row_number(bucketed, keys, "_b", [F.asc("_neg"), F.asc("scene_id")], "rank").drop("_b", "_neg")
+    return bucketed_row_number(bucketed(scored, keys, "_neg", "_b"), keys, "_b", [F.asc("_neg"), F.asc("scene_id")], "rank").drop("_b", "_neg")

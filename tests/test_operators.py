@@ -245,6 +245,18 @@ def test_percentiles_and_ranks_with_one_dominant_group(spark):
         assert np.allclose([got[g][n] for n in "abc"], np.percentile(v, [5, 50, 95]))
 
 
+def test_every_large_group_spreads_over_buckets(spark):
+    rows = [("wide", float(i)) for i in range(9000)] + [("narrow", 5.0 + i * 1e-6) for i in range(1000)] + [("small", float(i)) for i in range(9)] + [("wide", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    out = ordered.bucketed(df, ["g"], "v").collect()
+    of = lambda g: sorted((r["v"], r["_bucket"]) for r in out if r["g"] == g and r["v"] is not None)
+    assert len(out) == len(rows) and {r["_bucket"] for r in out if r["v"] is None or r["g"] == "small"} == {0}
+    for g, n in (("wide", 9000), ("narrow", 1000)):
+        buckets = [b for _, b in of(g)]
+        assert buckets == sorted(buckets) and max(buckets.count(b) for b in set(buckets)) <= n / 30
+    assert len({r["_bucket"] for r in ordered.bucketed(df.drop("g"), [], "v").collect()}) > 30
+
+
 def test_last_before_carries_over_buckets(spark):
     rows = [("k", d, v) for d, v in enumerate([1, None, None, 4, None, None, None, 8, None])]
     df = spark.createDataFrame(rows, "k string, d int, v int").withColumn("b", F.floor(F.col("d") / 2))
