@@ -51,10 +51,15 @@ def merge_duplicates(points: DataFrame, order: Sequence[str], radius_m: float =
     step = F.array(*[F.lit(i) for i in (-1, 0, 1)])
 
     def spread(df: DataFrame) -> DataFrame:
-        """A copy of every row for each of the 81 cells around and including its own."""
-        for axis in cell:
+        """A copy of every row for each of the 81 cells around and including its own that meet the globe."""
+        for axis in cell[:3]:
             df = df.withColumn("_d", F.explode(step)).withColumn(axis, F.col(axis) + F.col("_d")).drop("_d")
-        return df
+        near, far = F.lit(0.0), F.lit(0.0)
+        for c in map(F.col, cell[:3]):
+            near = near + F.pow(F.greatest(F.lit(0), c, -c - 1), F.lit(2.0))
+            far = far + F.pow(F.greatest(F.abs(c), F.abs(c + 1)), F.lit(2.0))
+        on_globe = (F.sqrt(near) <= scale + 0.001) & (F.sqrt(far) >= scale - 0.001)
+        return df.where(on_globe).withColumn("_d", F.explode(step)).withColumn("_t", F.col("_t") + F.col("_d")).drop("_d")
 
     def reach_of(kept: DataFrame) -> DataFrame:
         return spread(kept.select(F.col("_ord").alias("_keeper"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"),
