@@ -8,6 +8,8 @@ the branches that differ locate the edit.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,26 +67,43 @@ def likeness(left: Column, right: Column) -> Column:
     return F.when(whole > 0, 2.0 * weight(F.array_intersect(left, right)) / whole).otherwise(1.0)
 
 
-def changed_branches(left: Column, right: Column) -> Column:
-    """Places of ``left`` whose branch ``right`` lacks: array<struct(section, paragraph, leaf)>, from 0.
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once and not for every element of an inner lambda."""
+    return F.transform(F.array(value), body)[0]
 
-    Sections with a digest in common are skipped whole, then paragraphs, then leaves.
+
+def _lacking(placed: Column, known: Column) -> Column:
+    """The items of ``placed``, structs with a field ``key``, whose key ``known`` lacks, in order.
+
+    Both lists are sorted together, known keys ahead of equal ones, and cut into runs of equal keys, so
+    the cost is that of a sort.
     """
-    known_sections = F.transform(right, lambda s: s["node"])
-    known_paragraphs = F.flatten(F.transform(right, lambda s: F.transform(s["paragraphs"], lambda p: p["node"])))
-    known_leaves = tree_leaves(right)
+    def runs(mixed: Column, starts: Column) -> Column:
+        ends = F.transform(starts, lambda s, j: F.struct(s.alias("s"), F.coalesce(F.get(starts, j + 1), F.size(mixed)).alias("e")))
+        fresh = F.filter(ends, lambda r: F.get(mixed, r["s"])["at"] >= 0)
+        return F.flatten(F.transform(fresh, lambda r: F.transform(F.slice(mixed, r["s"] + 1, r["e"] - r["s"]), lambda x: x["at"])))
 
-    def in_paragraph(p: Column, i: Column, j: Column) -> Column:
-        placed = F.transform(p["leaves"], lambda x, k: F.struct(i.alias("section"), j.alias("paragraph"), k.alias("leaf"), x.alias("_x")))
-        lacking = F.filter(placed, lambda x: ~F.array_contains(known_leaves, x["_x"]))
-        kept = F.transform(lacking, lambda x: F.struct(x["section"].alias("section"), x["paragraph"].alias("paragraph"), x["leaf"].alias("leaf")))
-        return F.filter(kept, lambda _: ~F.array_contains(known_paragraphs, p["node"]))
+    def search(items: Column) -> Column:
+        mixed = F.sort_array(F.concat(F.transform(items, lambda x, i: F.struct(x["key"].alias("key"), i.alias("at"))),
+                                      F.transform(known, lambda k: F.struct(k.alias("key"), F.lit(-1).alias("at")))))
+        found = _bound(mixed, lambda m: _bound(
+            F.filter(F.transform(m, lambda _, i: i), lambda i: (i == 0) | (F.get(m, i - 1)["key"] != F.get(m, i)["key"])), lambda starts: runs(m, starts)))
+        return F.transform(F.sort_array(found), lambda i: F.get(items, i))
 
-    def in_section(s: Column, i: Column) -> Column:
-        places = F.flatten(F.transform(s["paragraphs"], lambda p, j: in_paragraph(p, i, j)))
-        return F.filter(places, lambda _: ~F.array_contains(known_sections, s["node"]))
+    return _bound(placed, search)
 
-    return F.flatten(F.transform(left, in_section))
+
+def changed_branches(left: Column, right: Column) -> Column:
+    """Places of ``left`` whose branch ``right`` lacks: array<struct(section, paragraph, leaf)>, from 0.
+
+    Paragraphs with a digest in common are skipped whole (so sections are too), then leaves.
+    """
+    known_paragraphs = F.flatten(F.transform(right, lambda s: F.transform(s["paragraphs"], lambda p: p["node"])))
+    paragraphs = _lacking(F.flatten(F.transform(left, lambda s, i: F.transform(s["paragraphs"], lambda p, j: F.struct(
+        p["node"].alias("key"), i.alias("section"), j.alias("paragraph"), p["leaves"].alias("below"))))), known_paragraphs)
+    leaves = _lacking(F.flatten(F.transform(paragraphs, lambda p: F.transform(p["below"], lambda x, k: F.struct(
+        x.alias("key"), p["section"].alias("section"), p["paragraph"].alias("paragraph"), k.alias("leaf"))))), tree_leaves(right))
+    return F.transform(leaves, lambda x: F.struct(x["section"].alias("section"), x["paragraph"].alias("paragraph"), x["leaf"].alias("leaf")))
 
 
 def fingerprint_messages(alerts: DataFrame, id_column: str = "alert_id", message: str = "message_body") -> DataFrame:

@@ -74,7 +74,7 @@ def op5_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op6_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     compared = merkle.compare_with_successor(_alerts(spark, sf_dir))
-    return compared.withColumnRenamed("alert_id", "doc_id").drop("edit_places")
+    return compared.withColumnRenamed("alert_id", "doc_id")
 
 
 MIX = {"smoothing": 0.5, "epochs": 1.0, "seed": "mix-1"}

@@ -208,6 +208,18 @@ def test_merkle_locates_edits(spark):
     assert [tuple(p) for p in places] == [(1, 0, 1)]
 
 
+def test_merkle_query_returns_every_edit_place(spark, sf):
+    def leaves(fingerprint):
+        body = fingerprint.split("=", 1)[1]
+        return [((i, j, k), x) for i, s in enumerate(body.split("/")) for j, p in enumerate(s.split(";")) for k, x in enumerate(p.split(",")) if x]
+
+    rows = queries.QUERIES["op6_merkle"](spark, sf).collect()
+    assert any(r["edit_places"] for r in rows)
+    for r in rows:
+        known = {x for _, x in leaves(r["fingerprint"])}
+        assert [tuple(p) for p in r["edit_places"]] == [at for at, x in leaves(r["edited_fingerprint"]) if x not in known]
+
+
 # --- multi-index ---------------------------------------------------------------------------------
 
 def test_traverse_by_summed_distance():
