@@ -121,6 +121,42 @@ def epoch_windows(stream: DataFrame, key: str, event_time: str, value: str, widt
             .agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"), F.max(value).alias("peak")))
 
 
+def all_epoch_windows(stream: DataFrame, key: str, event_time: str, value: str, parts: str, late: str, checkpoint: str,
+                      width: str = "1 day", delay: str = "1 hour") -> DataFrame:
+    """Metrics of every epoch per area, closed or not: (key, w, n, total, peak, is_open).
+
+    An epoch is closed once the latest time seen lies ``delay`` behind its end; ``is_open`` marks the others
+    as the input ends. Rows of an epoch that earlier batches have closed, and rows without a time, go to
+    the table ``late``. Both tables hold their rows under the batch id, so a repeated batch replaces its own.
+    """
+    spark, kinds = stream.sparkSession, dict(stream.dtypes)
+    part_schema = f"{key} {kinds[key]}, w struct<start: timestamp, end: timestamp>, n bigint, total {kinds[value]}, peak {kinds[value]}, latest timestamp, batch bigint"
+    behind = lambda latest: latest - F.expr(f"INTERVAL {delay}")
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        seen = session.read.schema(part_schema).parquet(parts).where(F.col("batch") < batch_id).agg(F.max("latest")).first()[0]
+        end = F.window(event_time, width)["end"]
+        timed = batch.where(F.col(event_time).isNotNull())  # window() drops rows without a time
+        split = (timed.withColumn("_late", F.lit(False) if seen is None else end <= behind(F.lit(seen)))
+                 .unionByName(batch.where(F.col(event_time).isNull()).withColumn("_late", F.lit(True))))
+        write = lambda df, path: (df.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite")
+                                  .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path))
+        write(split.where("_late").drop("_late"), late)
+        summed = split.where("NOT _late").groupBy(key, F.window(event_time, width).alias("w")).agg(
+            F.count(F.lit(1)).alias("n"), F.sum(value).cast(kinds[value]).alias("total"), F.max(value).alias("peak"), F.max(event_time).alias("latest"))
+        write(summed, parts)
+
+    for path, schema in ((parts, part_schema), (late, f"{', '.join(f'{c} {t}' for c, t in stream.dtypes)}, batch bigint")):
+        spark.createDataFrame([], schema).write.mode("append").partitionBy("batch").parquet(path)
+    q = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    found = spark.read.schema(part_schema).parquet(parts)
+    seen = found.agg(F.max("latest")).first()[0]
+    out = found.groupBy(key, "w").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("peak").alias("peak"))
+    return out.withColumn("is_open", F.col("w.end") > behind(F.lit(seen).cast("timestamp")))
+
+
 def process_new_windows(stream: DataFrame, key_columns: list[str], ledger: str, output: str, checkpoint: str) -> None:
     """Micro-batches of work windows: only keys missing from the ledger are written and booked.
 

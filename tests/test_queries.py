@@ -148,3 +148,21 @@ def test_work_windows_of_a_batch_that_holds_nothing_new(spark, tmp_path):
     windows.union(spark.createDataFrame([(3, "b")], windows.schema)).write.mode("append").parquet(source)
     assert [(r["site"], r["month"]) for r in run().collect()] == [(3, "b")]
     assert spark.read.parquet(ledger).count() == 3
+
+
+def test_epochs_lose_no_event(spark, con, sf):
+    assert check(spark, con, sf, "tumbling_epoch_all")[0] == "ok"
+    total = entry.queries()["tumbling_epoch_all"](spark, sf).agg(F.sum("n"), F.max("is_open")).first()
+    assert tuple(total) == (tables.table(spark, sf, "events").count(), True)
+
+
+def test_late_rows_go_to_a_side_table(spark):
+    source = scratch_path(spark, "late-source")
+    paths = [scratch_path(spark, f"late-{x}") for x in ("parts", "late", "cp")]
+    at = lambda day, hour: dt.datetime(2024, 5, day, hour)
+    for rows in ([(1, at(1, 3), 10), (1, at(2, 2), 20)], [(1, at(1, 5), 30), (1, at(2, 9), 40), (1, None, 50)]):
+        spark.createDataFrame(rows, "k int, ts timestamp, v long").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("k int, ts timestamp, v long").parquet(source)
+        out = streams.all_epoch_windows(stream, "k", "ts", "v", *paths)
+    assert {(r["w"]["start"].day, r["n"], r["total"], r["peak"], r["is_open"]) for r in out.collect()} == {(1, 1, 10, 10, False), (2, 2, 60, 40, True)}
+    assert {(r["v"], r["batch"]) for r in spark.read.parquet(paths[1]).collect()} == {(30, 1), (50, 1)}
