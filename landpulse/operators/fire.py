@@ -96,9 +96,9 @@ def with_fallback(standard: DataFrame, near_real_time: DataFrame, chunk: Sequenc
             .unionByName(gaps.withColumn("processing_tier", F.lit("NRT"))))
 
 
-def nearest_alarm(points: DataFrame, alarms: DataFrame, reach_m: float, mean_lat: float | None = None) -> DataFrame:
+def nearest_alarm(points: DataFrame, alarms: DataFrame, reach_m: float, mean_lat: float | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Adds ``dist_m`` and ``alarm_id`` of the nearest alarm cell within ``reach_m`` (else NULL; ties
-    go to the smallest id). Degrees become metres at ``mean_lat``, by default the points' mean latitude.
+    go to the smallest id), among those with equal columns ``by``. Degrees become metres at ``mean_lat``, by default the points' mean latitude.
 
     Points meet only alarm cells of the 3x3 buckets around them. Alarm cells sit on a grid and cells of
     one place count once, so the candidates per point are bounded by the reach, not by the data.
@@ -108,37 +108,55 @@ def nearest_alarm(points: DataFrame, alarms: DataFrame, reach_m: float, mean_lat
     mx = config.METERS_PER_DEG_LON * math.cos(math.radians(mean_lat))
     my = config.METERS_PER_DEG_LAT
     px = points.withColumns({"_x": F.col("lon") * mx, "_y": F.col("lat") * my})
-    places = alarms.groupBy("lon", "lat").agg(F.min("alarm_id").alias("alarm_id"))
-    al = places.select("alarm_id", (F.col("lon") * mx).alias("_ax"), (F.col("lat") * my).alias("_ay"))
+    places = alarms.groupBy("lon", "lat", *by).agg(F.min("alarm_id").alias("alarm_id"))
+    al = places.select(*by, "alarm_id", (F.col("lon") * mx).alias("_ax"), (F.col("lat") * my).alias("_ay"))
     bucket = lambda c: F.floor(F.col(c) / reach_m)
     around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    spread = al.withColumn("_n", around).select("alarm_id", "_ax", "_ay", (bucket("_ax") + F.col("_n.a")).alias("_bx"),
+    spread = al.withColumn("_n", around).select(*by, "alarm_id", "_ax", "_ay", (bucket("_ax") + F.col("_n.a")).alias("_bx"),
                                                 (bucket("_ay") + F.col("_n.b")).alias("_by"))
-    sites = px.select("_x", "_y").distinct().withColumns({"_bx": bucket("_x"), "_by": bucket("_y")})
+    sites = px.select(*by, "_x", "_y").distinct().withColumns({"_bx": bucket("_x"), "_by": bucket("_y")})
     dx, dy = F.col("_x") - F.col("_ax"), F.col("_y") - F.col("_ay")
-    best = (sites.join(spread, ["_bx", "_by"]).withColumn("dist_m", F.sqrt(dx * dx + dy * dy))
-            .where(F.col("dist_m") <= reach_m).groupBy("_x", "_y")
+    best = (sites.join(spread, [*by, "_bx", "_by"]).withColumn("dist_m", F.sqrt(dx * dx + dy * dy))
+            .where(F.col("dist_m") <= reach_m).groupBy(*by, "_x", "_y")
             .agg(F.min(F.struct("dist_m", "alarm_id")).alias("_near")))
-    joined = px.join(best, ["_x", "_y"], "left")
+    joined = px.join(best, [*by, "_x", "_y"], "left")
     return joined.withColumns({"dist_m": F.col("_near.dist_m"), "alarm_id": F.col("_near.alarm_id")}).drop("_near", "_x", "_y")
 
 
-def corroboration(located: DataFrame, n_alarms: DataFrame, radii: Sequence[float] = config.FIRE_RADII_M) -> DataFrame:
-    """Recovery and corroboration rates per radius. ``n_alarms``: one row with column n_alarms."""
+def corroboration(located: DataFrame, n_alarms: DataFrame, radii: Sequence[float] = config.FIRE_RADII_M, by: Sequence[str] = ()) -> DataFrame:
+    """Recovery and corroboration rates per radius. ``n_alarms``: one row with column n_alarms, or
+    with ``by`` one row for each of these keys, all of which are returned."""
     hit = lambda r: F.coalesce(F.col("dist_m") <= r, F.lit(False))
-    per = located.agg(F.count(F.lit(1)).alias("n_points"), *[e for i, r in enumerate(radii) for e in (
+    per = located.groupBy(*by).agg(F.count(F.lit(1)).alias("n_points"), *[e for i, r in enumerate(radii) for e in (
         F.count_if(hit(r)).alias(f"h{i}"), F.count_distinct(F.when(hit(r), F.col("alarm_id"))).alias(f"a{i}"),
         share(F.when(F.col("frp") >= 5.0, hit(r))).alias(f"f{i}"))])
     rows = F.explode(F.array(*[F.struct(F.lit(float(r)).alias("radius_m"), F.col(f"h{i}").alias("recovered_points"),
                                         F.col(f"a{i}").alias("corroborated_alarms"), F.col(f"f{i}").alias("high_frp_recovery"))
                                for i, r in enumerate(radii)]))
-    flat = per.withColumn("n_alarms", n_alarms.scalar()).select("n_points", "n_alarms", rows.alias("_r")).select("n_points", "n_alarms", "_r.*")
+    if by:
+        per = n_alarms.join(per, list(by), "left").fillna(0, ["n_points", *[f"{c}{i}" for i in range(len(radii)) for c in "ha"]])
+    else:
+        per = per.withColumn("n_alarms", n_alarms.scalar())
+    flat = per.select(*by, "n_points", "n_alarms", rows.alias("_r")).select(*by, "n_points", "n_alarms", "_r.*")
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     return flat.withColumns({"recovery_rate": ratio("recovered_points", "n_points"),
                              "corroboration_rate": ratio("corroborated_alarms", "n_alarms"),
                              "high_frp_recovery": F.coalesce("high_frp_recovery", F.lit(0.0))})
 
 
+def corroboration_by_epoch(points: DataFrame, alarms: DataFrame, windows: DataFrame, radii: Sequence[float] = config.FIRE_RADII_M) -> DataFrame:
+    """Rates per epoch and radius: the points inside an epoch's time window against the alarms of that epoch.
+
+    ``alarms``: alarm_id, epoch, lon, lat. ``windows``: one row per epoch with from_day and to_day, both
+    inside. Every epoch of ``windows`` is returned.
+    """
+    mean_lat = points.agg(F.avg("lat")).first()[0]
+    inside = points.join(windows, F.to_date("ts").between(F.col("from_day"), F.col("to_day"))).drop("from_day", "to_day")
+    n_alarms = alarms.groupBy("epoch").agg(F.count_distinct("alarm_id").alias("n_alarms"))
+    located = nearest_alarm(inside, alarms, max(radii), mean_lat, ["epoch"])
+    return corroboration(located, windows.select("epoch").join(n_alarms, "epoch", "left").fillna(0, ["n_alarms"]), radii, ["epoch"])
+
+
 def lag_recovery(located: DataFrame, lag: str, radius_m: float = 375.0) -> DataFrame:
     """Points and recovery rate per lag interval, intervals without points included."""
     spark = located.sparkSession

@@ -161,7 +161,7 @@ def alarm_cells(spark, sf):
     labelled = events.label_candidates(scored, F.col("valid") & (F.col("score") >= 0.4), [], GRID, 8, LABEL_BLOCK)
     kept = labelled.groupBy(*GRID, "label").agg(F.count(F.lit(1)).alias("_k")).where("_k >= 4")
     cells = labelled.join(kept, [*GRID, "label"])
-    return cells.select(F.concat_ws("_", *GRID, "label").alias("alarm_id"),
+    return cells.select("epoch", F.concat_ws("_", *GRID, "label").alias("alarm_id"),
                         (70.0 + F.expr("tile_id div 25") * 0.01 + F.col("col") * 0.0005).alias("lon"),
                         (10.0 + (F.col("tile_id") % 25) * 0.01 + F.col("row") * 0.0005).alias("lat"))
 

@@ -10,7 +10,7 @@ from landpulse.functions.core import round6, share, with_fixed_rows
 from landpulse.operators import fire, matching, metrics
 from landpulse.operators.ordered import correlation, exact_percentiles, rank_correlation
 from landpulse.plans import sqlbase as s
-from landpulse.plans.alignment import LOCATED, OBJECTS, located_points, object_cells
+from landpulse.plans.alignment import ALARM_CELLS, LOCATED, OBJECTS, alarm_cells, located_points, object_cells
 from landpulse.plans.catalog import _IMPACT, impacts
 from landpulse.plans.detection import GRID, TRISTATE, decided_flood, rsql
 from landpulse.plans.expressions import DROUGHT_STATE, K, ROUTED, _flood, decided_drought, routed_flood, scored_flood
@@ -493,6 +493,30 @@ def _(spark, sf):
                     *[round6(x).alias(x) for x in ("recovery_rate", "corroboration_rate", "high_frp_recovery")])
 
 
+# the test tables' detections fill four weeks: epoch 1996 is paired with the first five days, 1997 with the next, and so on
+_EPOCH_DAYS = 5
+
+
+@query("fire_corroboration_by_epoch", rsql(ALARM_CELLS + s.FIRE + f""",
+pt AS (SELECT *, CAST(latitude AS DOUBLE) AS lat, CAST(longitude AS DOUBLE) AS lon FROM fp), ml AS (SELECT avg(lat) AS m FROM pt),
+ae AS (SELECT *, CAST(split_part(alarm_id, '_', 2) AS INTEGER) AS epoch FROM ac),
+wd AS (SELECT epoch, count(DISTINCT alarm_id) AS n_alarms, DATE '2024-01-01' + (epoch - 1996) * {_EPOCH_DAYS} AS d0 FROM ae GROUP BY 1),
+pw AS (SELECT p.*, epoch FROM pt p JOIN wd ON CAST(acq_date AS DATE) BETWEEN d0 AND d0 + {_EPOCH_DAYS - 1}),
+ds AS (SELECT p.seq, c.alarm_id, sqrt(pow((p.lon - c.lon) * (111320.0 * (SELECT cos(radians(m)) FROM ml)), 2) + pow((p.lat - c.lat) * 110750.0, 2)) AS d FROM pw p JOIN ae c ON p.epoch = c.epoch AND abs(p.lon - c.lon) < 0.011 AND abs(p.lat - c.lat) < 0.011),
+nd AS (SELECT seq, min(d) AS d, arg_min(alarm_id, (d, alarm_id)) AS alarm_id FROM ds WHERE d <= 1000.0 GROUP BY 1),
+rd(r) AS (VALUES (375.0::DOUBLE), (500.0::DOUBLE), (1000.0::DOUBLE)),
+fc AS (SELECT w.epoch, r AS radius_m, n_alarms, count(p.seq) AS n_points, count(*) FILTER (WHERE d <= r) AS h, count(DISTINCT CASE WHEN d <= r THEN alarm_id END) AS a, coalesce(avg((coalesce(d <= r, false))::INT) FILTER (WHERE frp >= 5), 0.0) AS f
+  FROM wd w CROSS JOIN rd LEFT JOIN pw p ON p.epoch = w.epoch LEFT JOIN nd USING (seq) GROUP BY 1, 2, 3)""",
+    f"SELECT epoch, radius_m, n_points, n_alarms, h AS recovered_points, a AS corroborated_alarms, {r6('CASE WHEN n_points > 0 THEN h / n_points::DOUBLE ELSE 0 END')} AS recovery_rate, {r6('a / n_alarms::DOUBLE')} AS corroboration_rate, {r6('f')} AS high_frp_recovery FROM fc"))
+def _(spark, sf):
+    cells = cut_lineage(alarm_cells(spark, sf))
+    start = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("epoch") - 1996) * _EPOCH_DAYS)
+    windows = cells.select("epoch").distinct().withColumns({"from_day": start, "to_day": F.date_add(start, _EPOCH_DAYS - 1)})
+    c = fire.corroboration_by_epoch(fire.parse_points(tables.fire_points(spark, sf)), cells, windows)
+    return c.select("epoch", "radius_m", "n_points", "n_alarms", "recovered_points", "corroborated_alarms",
+                    *[round6(x).alias(x) for x in ("recovery_rate", "corroboration_rate", "high_frp_recovery")])
+
+
 @query("fire_lag_recovery", rsql(LOCATED + """,
 lb(lag_from, lag_to) AS (VALUES (0, 30), (31, 90), (91, 180), (181, 365)),
 lg AS (SELECT *, date_diff('day', DATE '2023-12-12', CAST(acq_date AS DATE)) AS d FROM loc)""",

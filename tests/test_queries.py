@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from landpulse.operators import jobs
+from landpulse.operators import fire, jobs
 from landpulse.session import scratch_path
 from landpulse.sources import files, tables
 from landpulse.streaming import streams, transitions
@@ -166,3 +166,17 @@ def test_late_rows_go_to_a_side_table(spark):
         out = streams.all_epoch_windows(stream, "k", "ts", "v", *paths)
     assert {(r["w"]["start"].day, r["n"], r["total"], r["peak"], r["is_open"]) for r in out.collect()} == {(1, 1, 10, 10, False), (2, 2, 60, 40, True)}
     assert {(r["v"], r["batch"]) for r in spark.read.parquet(paths[1]).collect()} == {(30, 1), (50, 1)}
+
+
+def test_alarms_of_every_epoch_keep_their_cells(spark):
+    at = lambda day: dt.datetime(2024, 5, day, 12)
+    points = spark.createDataFrame([(10.0, 70.0, at(1), 9.0), (10.0, 70.0, at(2), 1.0)], "lat double, lon double, ts timestamp, frp double")
+    alarms = spark.createDataFrame([("0_1_1", 1, 70.0, 10.0), ("0_2_1", 2, 70.0, 10.0), ("0_3_1", 3, 70.0, 10.0)], "alarm_id string, epoch int, lon double, lat double")
+    days = [(e, dt.date(2024, 5, e), dt.date(2024, 5, e)) for e in (1, 2, 3)]
+    got = fire.corroboration_by_epoch(points, alarms, spark.createDataFrame(days, "epoch int, from_day date, to_day date"), [500.0])
+    assert {(r["epoch"], r["n_points"], r["n_alarms"], r["corroborated_alarms"], r["corroboration_rate"], r["high_frp_recovery"]) for r in got.collect()} == {
+        (1, 1, 1, 1, 1.0, 1.0), (2, 1, 1, 1, 1.0, 0.0), (3, 0, 1, 0, 0.0, 0.0)}
+
+
+def test_fire_rates_by_epoch_equal_sql(spark, con, sf):
+    assert check(spark, con, sf, "fire_corroboration_by_epoch")[0] == "ok"
