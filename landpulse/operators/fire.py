@@ -98,7 +98,7 @@ def with_fallback(standard: DataFrame, near_real_time: DataFrame, chunk: Sequenc
 
 def nearest_alarm(points: DataFrame, alarms: DataFrame, reach_m: float, mean_lat: float | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Adds ``dist_m`` and ``alarm_id`` of the nearest alarm cell within ``reach_m`` (else NULL; ties
-    go to the smallest id), among those with equal columns ``by``. Degrees become metres at ``mean_lat``, by default the points' mean latitude.
+    go to the smallest id, distances within 0.1 mm count as equal), among those with equal columns ``by``. Degrees become metres at ``mean_lat``, by default the points' mean latitude.
 
     Points meet only alarm cells of the 3x3 buckets around them. Alarm cells sit on a grid and cells of
     one place count once, so the candidates per point are bounded by the reach, not by the data.
@@ -118,7 +118,7 @@ def nearest_alarm(points: DataFrame, alarms: DataFrame, reach_m: float, mean_lat
     dx, dy = F.col("_x") - F.col("_ax"), F.col("_y") - F.col("_ay")
     best = (sites.join(spread, [*by, "_bx", "_by"]).withColumn("dist_m", F.sqrt(dx * dx + dy * dy))
             .where(F.col("dist_m") <= reach_m).groupBy(*by, "_x", "_y")
-            .agg(F.min(F.struct("dist_m", "alarm_id")).alias("_near")))
+            .agg(F.min(F.struct(F.round("dist_m", 4), "alarm_id", "dist_m")).alias("_near")))
     joined = px.join(best, [*by, "_x", "_y"], "left")
     return joined.withColumns({"dist_m": F.col("_near.dist_m"), "alarm_id": F.col("_near.alarm_id")}).drop("_near", "_x", "_y")
 

@@ -503,7 +503,7 @@ ae AS (SELECT *, CAST(split_part(alarm_id, '_', 2) AS INTEGER) AS epoch FROM ac)
 wd AS (SELECT epoch, count(DISTINCT alarm_id) AS n_alarms, DATE '2024-01-01' + (epoch - 1996) * {_EPOCH_DAYS} AS d0 FROM ae GROUP BY 1),
 pw AS (SELECT p.*, epoch FROM pt p JOIN wd ON CAST(acq_date AS DATE) BETWEEN d0 AND d0 + {_EPOCH_DAYS - 1}),
 ds AS (SELECT p.seq, c.alarm_id, sqrt(pow((p.lon - c.lon) * (111320.0 * (SELECT cos(radians(m)) FROM ml)), 2) + pow((p.lat - c.lat) * 110750.0, 2)) AS d FROM pw p JOIN ae c ON p.epoch = c.epoch AND abs(p.lon - c.lon) < 0.011 AND abs(p.lat - c.lat) < 0.011),
-nd AS (SELECT seq, min(d) AS d, arg_min(alarm_id, (d, alarm_id)) AS alarm_id FROM ds WHERE d <= 1000.0 GROUP BY 1),
+nd AS (SELECT seq, min(d) AS d, arg_min(alarm_id, (round(d, 4), alarm_id)) AS alarm_id FROM ds WHERE d <= 1000.0 GROUP BY 1),
 rd(r) AS (VALUES (375.0::DOUBLE), (500.0::DOUBLE), (1000.0::DOUBLE)),
 fc AS (SELECT w.epoch, r AS radius_m, n_alarms, count(p.seq) AS n_points, count(*) FILTER (WHERE d <= r) AS h, count(DISTINCT CASE WHEN d <= r THEN alarm_id END) AS a, coalesce(avg((coalesce(d <= r, false))::INT) FILTER (WHERE frp >= 5), 0.0) AS f
   FROM wd w CROSS JOIN rd LEFT JOIN pw p ON p.epoch = w.epoch LEFT JOIN nd USING (seq) GROUP BY 1, 2, 3)""",
