@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landpulse.llm import archives, boundaries, katz, merkle, mixing, multi_index, near_messages, packing, resampling, storage, token_counts
+from landpulse.llm import (archives, boundaries, katz, merkle, mixing, multi_index, near_messages, packing, resampling, storage, target_draw,
+                           token_counts)
 from landpulse.llm.tokens import public_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +119,53 @@ def op9_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_message_tokens(_alerts(spark, sf_dir), public_path("byte_bpe_50k.json"))
     return counted.withColumnRenamed("alert_id", "doc_id")
+
+
+@_query
+def op11_target_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("text").alias("message_body"))
+    drawn = target_draw.draw_like_target(_alerts(spark, sf_dir), target)
+    return drawn.withColumnRenamed("alert_id", "doc_id")
+
+
+ORACLES["op11_target_draw"] = """
+WITH RECURSIVE steps AS (
+  SELECT n AS byte, 0 AS round, n::BIGINT AS c FROM range(256) AS r(n)
+  UNION ALL SELECT byte, round + 1, CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END FROM steps WHERE round < 8),
+crc_byte AS (SELECT byte, c FROM steps WHERE round = 8),
+words AS (
+  SELECT 'd' AS side, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT 't', NULL, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+occurrences AS (
+  SELECT side, doc_id, f, count(*) AS n FROM (
+    SELECT side, doc_id, unnest(w) AS f FROM words
+    UNION ALL SELECT side, doc_id, unnest(list_transform(list_zip(w[:-2], w[2:]), lambda p: p[1] || ' ' || p[2])) FROM words) GROUP BY ALL),
+features AS (SELECT f, hex(encode(f)) AS h, length(hex(encode(f))) // 2 AS size FROM (SELECT DISTINCT f FROM occurrences)),
+longest AS (SELECT max(size) AS size FROM features),
+behind AS (  -- what a byte adds to the crc when k bytes follow it
+  SELECT byte, 0 AS k, c FROM crc_byte
+  UNION ALL SELECT b.byte, b.k + 1, xor(b.c // 256, t.c) FROM behind b JOIN crc_byte t ON t.byte = b.c % 256 JOIN longest ON b.k < longest.size),
+start AS (
+  SELECT 0 AS size, 4294967295 AS c
+  UNION ALL SELECT s.size + 1, xor(s.c // 256, t.c) FROM start s JOIN crc_byte t ON t.byte = s.c % 256 JOIN longest ON s.size < longest.size),
+bytes AS (SELECT f, size, i, ('0x' || substr(h, (2 * i + 1)::BIGINT, 2))::BIGINT AS byte FROM features, unnest(range(size)) AS r(i)),
+buckets AS (
+  SELECT f, xor(xor(bit_xor(behind.c), any_value(start.c)), 4294967295) % 10000 AS bucket
+  FROM bytes JOIN behind ON behind.byte = bytes.byte AND behind.k = bytes.size - 1 - bytes.i JOIN start ON start.size = bytes.size GROUP BY f),
+held AS (
+  SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 't'), 0)::DOUBLE AS t
+  FROM occurrences JOIN buckets USING (f) GROUP BY bucket),
+totals AS (SELECT sum(s) AS s, sum(t) AS t FROM held),
+gains AS (SELECT bucket, floor(1000 * ln((held.t + 1) * (totals.s + 10000) / ((held.s + 1) * (totals.t + 10000)))) AS gain FROM held, totals),
+sums AS (SELECT doc_id, sum(n)::BIGINT AS n_features, floor(sum(n * gain) / sum(n))::BIGINT AS weight
+         FROM occurrences JOIN buckets USING (f) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY doc_id),
+scored AS (
+  SELECT d.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, len(w) >= 20 AS able,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM words d LEFT JOIN sums USING (doc_id) WHERE d.side = 'd'),
+placed AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY able) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 25 * n // 100 THEN place END AS rank FROM placed
+"""
