@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landpulse.llm import (archives, boundaries, katz, merkle, mixing, multi_index, near_messages, packing, ranked_search, resampling, storage,
-                           target_draw, token_counts)
+from landpulse.llm import (archives, boundaries, katz, merkle, mixing, multi_index, near_messages, packing, ranked_search, repeated_passages,
+                           resampling, storage, target_draw, token_counts)
 from landpulse.llm.tokens import public_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,6 +171,34 @@ SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 25 * n //
 """
 
 
+@_query
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeated_passages.remove_repeated_passages(_alerts(spark, sf_dir))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return cut.select(F.col("alert_id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept_body", 256).alias("kept_sha256"))
+
+
+ORACLES["op12_suffix_dedup"] = """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, length(hex(encode(coalesce(text, '')))) // 2 AS n FROM documents),
+windows AS (SELECT doc_id, p, substr(h, (2 * p + 1)::BIGINT, 200) AS s FROM docs, unnest(range(n - 99)) AS r(p)),
+numbered AS (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS place FROM windows),
+steps AS (SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 100 AS apart FROM numbered WHERE place > 1),
+runs AS (SELECT doc_id, p, coalesce(count_if(apart) OVER (PARTITION BY doc_id ORDER BY p), 0) AS run FROM steps),
+spans AS (SELECT doc_id, min(p) AS b, max(p) + 100 AS e FROM runs GROUP BY doc_id, run),
+around AS (  -- what is kept before each span, and after the last
+  SELECT doc_id, b, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS from_byte, b AS to_byte FROM spans
+  UNION ALL SELECT doc_id, max(e), NULL, max(e), NULL FROM spans GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(substr(h, (2 * from_byte + 1)::BIGINT, (2 * (coalesce(to_byte, n) - from_byte))::BIGINT), '' ORDER BY from_byte) AS body,
+         sum(e - b)::BIGINT AS n_removed, count(e) AS n_spans
+  FROM around JOIN docs USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(body, h))) AS kept_sha256
+FROM docs d LEFT JOIN kept USING (doc_id)
+"""
+
+
 @_query
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     titles = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("alert_id"), F.col("text").alias("message_title"))
