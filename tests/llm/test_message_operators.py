@@ -385,7 +385,7 @@ def test_words_split_like_text():
 def test_queries_and_pipeline(spark, sf):
     import corpus_pipeline
 
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = corpus_pipeline.quality(spark, docs, sf)
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
