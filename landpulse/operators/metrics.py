@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from landpulse.functions.core import as_col
 from landpulse.operators.ordered import ranked_counts
+from landpulse.operators.replicates import REPLICATES, correlation_measure, curve_measures, replicate_intervals, replicate_sums
 
 
 def curve_areas(df: DataFrame, keys: Sequence[str], score: str, label: str) -> DataFrame:
@@ -75,36 +76,28 @@ def logit(p) -> Column:
     return F.log(p / (1.0 - p))
 
 
-def with_poisson_weight(df: DataFrame, parts: Sequence, name: str = "w") -> DataFrame:
-    """Adds a Poisson(1) count taken from a digest of the parts: the same in every run and engine.
+def bootstrap_correlation(units: DataFrame, unit: str, x: str, y: str, replicates: int = REPLICATES, seed: int = 42) -> DataFrame:
+    """Percentile interval of Pearson r over resamples of the units: low, mid, high, n_replicates."""
+    X, Y = F.col(x).cast("double"), F.col(y).cast("double")
+    moments = {"n": F.lit(1.0), "x": X, "y": Y, "xx": X * X, "yy": Y * Y, "xy": X * Y}
+    rows = units.where(X.isNotNull() & Y.isNotNull()).select(F.col(unit).cast("string").alias("_name"), *[e.alias(k) for k, e in moments.items()])
+    sums = replicate_sums(rows, [F.col("_name")], [], list(moments), replicates, seed)
+    out = replicate_intervals(sums, [], correlation_measure, ["r"], {"low": 0.025, "mid": 0.5, "high": 0.975})
+    return out.select(F.col("r_low").alias("low"), F.col("r_mid").alias("mid"), F.col("r_high").alias("high"), F.col("r_n").alias("n_replicates"))
 
-    The uniform number is a column of its own, so it is computed once per row.
+
+def block_bootstrap(scored: DataFrame, block: Column, group: str, score: str, label: str, threshold: float, levels: int = 100,
+                    replicates: int = REPLICATES, seed: int = 42) -> DataFrame:
+    """Per group 95 % intervals of precision, recall, F1 and PR-AUC over resampled spatial blocks.
+
+    Pixels collapse to positive and negative counts per block, group and score level; the replicates
+    are weighted sums of these counts. A score within 1e-8 below a level belongs to it; alarms are
+    the levels from ``threshold`` on.
     """
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("double") / 4294967296.0
-    cumulative = (0.367879, 0.735759, 0.919699, 0.981012, 0.996340, 0.999406, 0.999917)  # Poisson(1)
-    count = F.lit(0)
-    for c in cumulative:
-        count = count + (F.col("_u") >= c).cast("int")
-    return df.withColumn("_u", u).withColumn(name, count).drop("_u")
-
-
-def replicated(units: DataFrame, key: str, replicates: int) -> DataFrame:
-    """Every unit once per replicate ``b``. The units are spread over all cores first, as a small
-    table would otherwise multiply inside one task."""
-    cores = units.sparkSession.sparkContext.defaultParallelism
-    return units.repartition(cores, key).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-
-
-def bootstrap_correlation(units: DataFrame, unit: str, x: str, y: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
-    """Percentile interval of Pearson r over resamples of the units."""
-    r = replicated(units.select(unit, x, y), unit, replicates)
-    r = with_poisson_weight(r, [F.col(unit).cast("string"), F.col("b").cast("string"), F.lit(str(seed))])
-    s = lambda e: F.sum(F.col("w") * e)
-    m = r.groupBy("b").agg(F.sum("w").alias("n"), s(F.col(x)).alias("sx"), s(F.col(y)).alias("sy"), s(F.col(x) * F.col(x)).alias("sxx"),
-                            s(F.col(y) * F.col(y)).alias("syy"), s(F.col(x) * F.col(y)).alias("sxy"))
-    vx, vy = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"), F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")
-    cov = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
-    each = m.select(F.when((vx > 1e-12) & (vy > 1e-12), cov / F.sqrt(vx) / F.sqrt(vy)).alias("r"))
-    p = F.percentile("r", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
-    return each.agg(p.alias("_p"), F.count("r").alias("n_replicates")).select(
-        F.col("_p")[0].alias("low"), F.col("_p")[1].alias("mid"), F.col("_p")[2].alias("high"), "n_replicates")
+    at = F.least(F.greatest(F.floor(F.col(score) * levels + 1e-6), F.lit(0)), F.lit(levels)).cast("int")
+    counts = (scored.where(F.col(score).isNotNull()).groupBy(block.cast("string").alias("block"), group, at.alias("level"))
+              .agg(F.count_if(label).alias("pos"), F.count_if(~as_col(label)).alias("neg")))
+    sums = replicate_sums(counts, [F.col("block")], [group, "level"], ["pos", "neg"], replicates, seed)
+    names = ["precision", "recall", "f1", "pr_auc"]
+    out = replicate_intervals(sums, [group], curve_measures(round(threshold * levels)), names, {"low": 0.025, "high": 0.975}, order="level")
+    return out.select(group, *[f"{n}_{e}" for n in names for e in ("low", "high")])

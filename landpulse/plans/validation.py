@@ -9,6 +9,7 @@ from landpulse.functions import metrics as M
 from landpulse.functions.core import round6, share, with_fixed_rows
 from landpulse.operators import fire, matching, metrics
 from landpulse.operators.ordered import correlation, exact_percentiles, rank_correlation
+from landpulse.operators.replicates import weights_sql
 from landpulse.plans import sqlbase as s
 from landpulse.plans.alignment import ALARM_CELLS, LOCATED, OBJECTS, alarm_cells, located_points, object_cells
 from landpulse.plans.catalog import _IMPACT, impacts
@@ -242,13 +243,9 @@ def _(spark, sf):
     return out.select("station", "remaining_stations", "remaining_pairs", *[round6(c).alias(c) for c in ("pearson_r", "rmse", "delta_r")])
 
 
-_U = lambda key: f"(CAST('0x' || substr(md5({key}), 1, 8) AS UBIGINT) / 4294967296.0::DOUBLE)"
-_POIS = lambda key: (f"(CASE WHEN {_U(key)} < 0.367879 THEN 0 WHEN {_U(key)} < 0.735759 THEN 1 WHEN {_U(key)} < 0.919699 THEN 2 WHEN {_U(key)} < 0.981012 THEN 3 WHEN {_U(key)} < 0.996340 THEN 4 "
-                     f"WHEN {_U(key)} < 0.999406 THEN 5 WHEN {_U(key)} < 0.999917 THEN 6 ELSE 7 END)")
-
-
 @query("bootstrap_ci", s.sql(_PAIR + f""",
-bs AS (SELECT b.i AS b, x, y, {_POIS("concat_ws('|', station, b.i, '42')")} AS w FROM st, range(1, 1001) b(i)),
+un AS (SELECT station::VARCHAR AS unit FROM st), {weights_sql("un", "wt")},
+bs AS (SELECT b, x, y, w FROM st JOIN wt ON unit = station::VARCHAR),
 mo AS (SELECT b, sum(w)::DOUBLE AS n, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * y * y) AS syy, sum(w * x * y) AS sxy FROM bs GROUP BY 1),
 rr AS (SELECT CASE WHEN n * sxx - sx * sx > 1e-12 AND n * syy - sy * sy > 1e-12 THEN (n * sxy - sx * sy) / sqrt(n * sxx - sx * sx) / sqrt(n * syy - sy * sy) END AS r FROM mo)""",
     f"SELECT {r6('quantile_cont(r, 0.025)')} AS low, {r6('quantile_cont(r, 0.5)')} AS mid, {r6('quantile_cont(r, 0.975)')} AS high, count(r) AS n_replicates FROM rr"))
@@ -257,45 +254,24 @@ def _(spark, sf):
     return b.select(round6("low").alias("low"), round6("mid").alias("mid"), round6("high").alias("high"), "n_replicates")
 
 
-def block_bootstrap(binned, block, replicates=1000, seed=42):
-    """Per-bin precision and recall intervals over resampled spatial blocks.
-
-    Pixels collapse to one row per block holding the counts of all bins; only those rows meet
-    the replicates.
-    """
-    n_bins = len(config.OBSERVABILITY_BINS)
-    p, r = F.col("score") >= 0.2, F.col("reference")
-    cells = [F.count_if((F.col("bin") == i) & c).alias(f"{n}{i}") for i in range(n_bins) for n, c in (("tp", p & r), ("fp", p & ~r), ("fn", ~p & r))]
-    per = binned.groupBy(block.alias("block")).agg(*cells)
-    rep = metrics.replicated(per, "block", replicates)
-    rep = metrics.with_poisson_weight(rep, [F.col("block"), F.col("b").cast("string"), F.lit(str(seed))])
-    sums = rep.groupBy("b").agg(*[F.sum(F.col("w") * F.col(f"{n}{i}")).alias(f"{n}{i}") for i in range(n_bins) for n in ("tp", "fp", "fn")])
-    rows = F.explode(F.array(*[F.struct(F.lit(i).alias("bin"), F.col(f"tp{i}").alias("tp"), F.col(f"fp{i}").alias("fp"), F.col(f"fn{i}").alias("fn")) for i in range(n_bins)]))
-    each = sums.select("b", rows.alias("_r")).select("_r.*")
-    ratio = lambda a, b_: F.when(b_ > 0, a / b_).otherwise(0.0)
-    precision, recall = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
-    each = each.select("bin", precision.alias("p"), recall.alias("r"))
-    f1 = F.when(F.col("p") + F.col("r") > 0, 2.0 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))).otherwise(0.0)
-    each = each.withColumn("f", f1)
-    ci = lambda c: F.percentile(c, F.array(F.lit(0.025), F.lit(0.975)))
-    g = each.groupBy("bin").agg(ci("p").alias("p"), ci("r").alias("r"), ci("f").alias("f"))
-    return g.select("bin", *[round6(F.col(c)[k]).alias(f"{n}_{e}") for c, n in (("p", "precision"), ("r", "recall"), ("f", "f1")) for k, e in ((0, "low"), (1, "high"))])
-
-
 _BLK = "concat_ws('_', tile_id, epoch, row // 8, col // 8)"
 _QQ = lambda c, n: f"{r6(f'quantile_cont({c}, 0.025)')} AS {n}_low, {r6(f'quantile_cont({c}, 0.975)')} AS {n}_high"
 
 
 @query("block_bootstrap_ci", s.sql(_OBIN + f""",
-bk AS (SELECT {_BLK} AS block, bin, count(*) FILTER (WHERE score >= 0.2 AND reference) AS tp, count(*) FILTER (WHERE score >= 0.2 AND NOT reference) AS fp, count(*) FILTER (WHERE score < 0.2 AND reference) AS fn FROM ov GROUP BY 1, 2),
-wt AS (SELECT block, b.i AS b, {_POIS("concat_ws('|', block, b.i, '42')")} AS w FROM (SELECT DISTINCT block FROM bk), range(1, 1001) b(i)),
-sm AS (SELECT b, bin, sum(w * tp) AS tp, sum(w * fp) AS fp, sum(w * fn) AS fn FROM bk JOIN wt USING (block) GROUP BY 1, 2),
-ea AS (SELECT bin, CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0.0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 0.0 END AS r FROM sm),
-eb AS (SELECT *, CASE WHEN p + r > 0 THEN 2.0 * p * r / (p + r) ELSE 0.0 END AS f FROM ea)""",
-    f"SELECT bin, {_QQ('p', 'precision')}, {_QQ('r', 'recall')}, {_QQ('f', 'f1')} FROM eb GROUP BY 1"))
+bk AS MATERIALIZED (SELECT {_BLK} AS block, bin, least(greatest(floor(score * 100 + 1e-6::DOUBLE), 0), 100) AS level, count(*) FILTER (WHERE reference) AS pos, count(*) FILTER (WHERE NOT reference) AS neg FROM ov GROUP BY 1, 2, 3),
+un AS (SELECT DISTINCT block AS unit FROM bk), {weights_sql("un", "wt")},
+sm AS MATERIALIZED (SELECT b, bin, level, sum(w * pos)::DOUBLE AS pos, sum(w * neg)::DOUBLE AS neg FROM bk JOIN wt ON unit = block GROUP BY 1, 2, 3),
+cv AS (SELECT *, sum(pos) OVER d AS cp, sum(pos + neg) OVER d AS cn, sum(pos) OVER (PARTITION BY b, bin) AS ap FROM sm WINDOW d AS (PARTITION BY b, bin ORDER BY level DESC)),
+ea AS (SELECT b, bin, coalesce(sum(pos) FILTER (level >= 20), 0) AS tp, coalesce(sum(neg) FILTER (level >= 20), 0) AS fp, max(ap) AS ap,
+  sum(CASE WHEN ap > 0 AND cn > 0 THEN pos / ap * (cp / cn + CASE WHEN cn - pos - neg > 0 THEN (cp - pos) / (cn - pos - neg) ELSE 1.0 END) / 2.0 ELSE 0.0 END) AS area FROM cv GROUP BY 1, 2),
+eb AS (SELECT bin, area, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS p, CASE WHEN ap > 0 THEN tp / ap ELSE 0.0 END AS r FROM ea),
+ec AS (SELECT *, CASE WHEN p + r > 0 THEN 2.0 * p * r / (p + r) ELSE 0.0 END AS f FROM eb)""",
+    f"SELECT bin, {_QQ('p', 'precision')}, {_QQ('r', 'recall')}, {_QQ('f', 'f1')}, {_QQ('area', 'pr_auc')} FROM ec GROUP BY 1"))
 def _(spark, sf):
     block = F.concat_ws("_", "tile_id", "epoch", F.floor(F.col("row") / 8), F.floor(F.col("col") / 8))
-    return block_bootstrap(observability_binned(spark, sf), block)
+    out = metrics.block_bootstrap(observability_binned(spark, sf), block, "bin", "score", "reference", 0.2)
+    return out.select("bin", *[round6(c).alias(c) for c in out.columns[1:]])
 
 
 _SW = ", ".join(f"({t})" for t in config.SWEEP_THRESHOLDS)
