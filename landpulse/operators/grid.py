@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landpulse.functions.geo import ring_contains
@@ -77,6 +77,75 @@ def resample_bilinear(src: DataFrame, factor: float, keys: Sequence[str], band:
     return out.where("_s > 0").select(*keys, "row", "col", (F.col("_v") / F.col("_s")).alias(band))
 
 
+METHODS = ("nearest", "bilinear", "average")
+_EDGE = 1e-9  # cells: what two grids may differ by where their edges are meant to meet
+
+
+def _axis_weights(index: Column, source: tuple[Column, Column, Column], target: tuple[Column, Column, Column], pad: bool) -> Column:
+    """Target cells along one axis that a source cell contributes to, with its weight per method.
+
+    ``source`` and ``target`` are (origin, step, size). ``average`` is the share of the target cell that
+    the source cell covers; ``bilinear`` falls from 1 to 0 over one source cell around its centre, for
+    target centres inside the source; ``nearest`` is 1 where the target centre lies in the source cell.
+    """
+    (s0, sd, size), (t0, td, count) = source, target
+    place = lambda edge: (s0 + edge * sd - t0) / td  # source edge -> target cells
+    low, high = F.least(place(index), place(index + 1)), F.greatest(place(index), place(index + 1))
+    wide = (F.least(place(index - F.lit(0.5)), place(index + F.lit(1.5))), F.greatest(place(index - F.lit(0.5)), place(index + F.lit(1.5)))) if pad else (low, high)
+    first = F.greatest(F.floor(wide[0]), F.lit(0)).cast("int")
+    last = F.least(F.floor(wide[1]), count - 1).cast("int")
+
+    def weights(c: Column) -> Column:
+        centre = (t0 + (c + F.lit(0.5)) * td - s0) / sd
+        inside = (centre >= -_EDGE) & (centre <= size + _EDGE)
+        covered = F.least(high, c + 1) - F.greatest(low, c.cast("double"))
+        return F.struct(c.alias("at"), F.when(covered > _EDGE, covered).otherwise(0.0).alias("average"),
+                        F.when(inside, F.greatest(F.lit(0.0), 1.0 - F.abs(centre - 0.5 - index))).otherwise(0.0).alias("bilinear"),
+                        (inside & (F.least(F.floor(centre + _EDGE), size - 1) == index)).cast("double").alias("nearest"))
+
+    cells = F.when(first <= last, F.transform(F.sequence(first, last), weights))
+    return F.filter(cells, lambda w: (w["average"] > 0) | (w["bilinear"] > 0) | (w["nearest"] > 0))
+
+
+def regrid(src: DataFrame, source_grids: DataFrame, target_grids: DataFrame, bands: Mapping[str, tuple[str, str]],
+           keys: Sequence[str] = ("tile_id", "epoch"), complete: bool = True) -> DataFrame:
+    """Bands of ``src`` on other grids: (keys, row, col, one column per entry of ``bands``).
+
+    ``bands`` maps an output column to (band, method); methods are ``nearest``, ``bilinear`` and
+    ``average``, which weighs by the exact area that cells share. The two grid tables have one row per
+    ``tile_id`` (x0, dx, y0, dy, width, height in one coordinate system); origins, steps, their signs
+    and sizes may differ freely and from tile to tile. A missing or NULL source cell takes no part and
+    the others' weights make up for it. Target centres outside the source grid have no nearest or
+    bilinear value. With ``complete`` every cell of the target grid is returned for each (tile, epoch)
+    present, else only those with a value.
+
+    Each source cell is sent to the target cells that it touches, and one aggregation serves all bands
+    and methods, so that nothing but the source cells is shuffled.
+    """
+    wrong = {m for _, m in bands.values()} - set(METHODS)
+    if wrong:
+        raise ValueError(f"unknown method: {sorted(wrong)}")
+    fields = ("x0", "dx", "y0", "dy", "width", "height")
+    pairs = source_grids.select("tile_id", *[F.col(f).alias(f"_s_{f}") for f in fields]).join(
+        target_grids.select("tile_id", *[F.col(f).alias(f"_t_{f}") for f in fields]), "tile_id")
+    used = sorted({b for b, _ in bands.values()})
+    placed = salted_join(src.select(*keys, "row", "col", *used), pairs, ["tile_id"], ["row", "col"])
+    pad = any(m == "bilinear" for _, m in bands.values())
+    axis = lambda side, index, o, d, n: _axis_weights(F.col(index), *[(F.col(f"_{g}_{o}"), F.col(f"_{g}_{d}"), F.col(f"_{g}_{n}")) for g in ("s", "t")], pad)
+    sent = (placed.withColumn("_r", F.explode(axis("r", "row", "y0", "dy", "height"))).withColumn("_c", F.explode(axis("c", "col", "x0", "dx", "width")))
+            .select(*keys, F.col("_r.at").alias("row"), F.col("_c.at").alias("col"), *used, *[(F.col(f"_r.{m}") * F.col(f"_c.{m}")).alias(f"_{m}") for m in METHODS]))
+    known = lambda band, m: F.when(F.col(band).isNotNull() & (F.col(f"_{m}") > 0), F.col(f"_{m}"))
+    sums = {name: (F.sum(known(b, m) * F.col(b)) / F.sum(known(b, m))).alias(name) for name, (b, m) in bands.items()}
+    out = sent.groupBy(*keys, "row", "col").agg(*sums.values())
+    names = list(bands)
+    if not complete:
+        return out.where(F.coalesce(*[F.col(n) for n in names]).isNotNull())
+    size = target_grids.select("tile_id", F.col("height").alias("_h"), F.col("width").alias("_w"))
+    spine = (src.select(*keys).distinct().join(size, "tile_id")
+             .withColumn("row", F.explode(F.sequence(F.lit(0), F.col("_h") - 1))).withColumn("col", F.explode(F.sequence(F.lit(0), F.col("_w") - 1))))
+    return spine.select(*keys, "row", "col").join(out, [*keys, "row", "col"], "left")
+
+
 def map_blocks(df: DataFrame, fn, schema, keys: Sequence[str] = ("tile_id", "epoch"), block: int = 256) -> DataFrame:
     """User hook: ``fn(pandas.DataFrame) -> pandas.DataFrame`` per square block of a grid. A block
     holds at most ``block**2`` cells, however large the tile is."""

@@ -63,11 +63,39 @@ bl AS (SELECT tile_id, epoch, row // 2 AS row, col // 2 AS col, sum(0.25 * swir)
 @query("stack_harmonize_join", s.sql(_HARM, f"SELECT nr.tile_id, nr.epoch, nr.row, nr.col, {r6('red')} AS red_nearest, {r6('nir')} AS nir_average, {r6('swir')} AS swir_bilinear FROM nr LEFT JOIN av USING (tile_id, epoch, row, col) LEFT JOIN bl USING (tile_id, epoch, row, col)"))
 def _(spark, sf):
     px = tables.pixels(spark, sf)
-    near = grid.resample_nearest(px, 2.0, GRID, ["red"], SIDE, SIDE)
-    mean = grid.block_aggregate(px, 2, "nir", GRID).select(*CELL, F.col("mean").alias("nir"))
-    linear = grid.resample_bilinear(px, 2.0, GRID, "swir", SIDE, SIDE)
-    out = near.join(mean, CELL, "left").join(linear, CELL, "left")
-    return out.select(*CELL, round6("red").alias("red_nearest"), round6("nir").alias("nir_average"), round6("swir").alias("swir_bilinear"))
+    own = tables.grids(px)
+    target = own.withColumns({"dx": F.col("dx") * 2, "dy": F.col("dy") * 2, "width": F.ceil(F.col("width") / 2).cast("int"), "height": F.ceil(F.col("height") / 2).cast("int")})
+    bands = {"red_nearest": ("red", "nearest"), "nir_average": ("nir", "average"), "swir_bilinear": ("swir", "bilinear")}
+    return grid.regrid(px, own, target, bands).select(*CELL, *[round6(b).alias(b) for b in bands])
+
+
+# two target grids per tile: coarser by a fraction and shifted, and finer and reaching past the border
+_VARIANTS = (("coarse", 3.0, 2.5, 25.0, 7), ("fine", -1.5, 4.0, 6.0, 28))
+_AFFINE = s.PIX + ",\nvr(variant, sx, sy, d, n) AS (VALUES " + ", ".join(f"('{v}', {x}::DOUBLE, {y}::DOUBLE, {d}::DOUBLE, {n})" for v, x, y, d, n in _VARIANTS) + """),
+ax AS (SELECT variant, side, j, c, least((10 * j + 10 - shift) / d, c + 1) - greatest((10 * j - shift) / d, c::DOUBLE) AS wa, (shift + (c + 0.5) * d) / 10.0 AS q
+  FROM (SELECT variant, 'r' AS side, sy AS shift, d, n FROM vr UNION ALL SELECT variant, 'c', sx, d, n FROM vr) v, range(16) a(j), range(28) b(c) WHERE c < n),
+aw AS (SELECT variant, side, j, c, CASE WHEN wa > 1e-9 THEN wa ELSE 0 END AS wa, CASE WHEN q >= -1e-9 AND q <= 16 + 1e-9 THEN greatest(0.0, 1.0 - abs(q - 0.5 - j)) ELSE 0 END AS wl,
+  CASE WHEN q >= -1e-9 AND q <= 16 + 1e-9 AND least(floor(q + 1e-9), 15) = j THEN 1.0 ELSE 0.0 END AS wn FROM ax),
+sn AS (SELECT p.tile_id, p.epoch, r.variant, r.c AS row, c.c AS col, p.red, p.nir, p.swir, r.wa * c.wa AS wa, r.wl * c.wl AS wl, r.wn * c.wn AS wn
+  FROM pix p JOIN aw r ON r.side = 'r' AND r.j = p.row JOIN aw c ON c.side = 'c' AND c.variant = r.variant AND c.j = p.col),
+rg AS (SELECT tile_id, epoch, variant, row, col, sum(wn * red) FILTER (wn > 0) / sum(wn) FILTER (wn > 0) AS red, sum(wa * nir) FILTER (wa > 0) / sum(wa) FILTER (wa > 0) AS nir,
+  sum(wl * swir) FILTER (wl > 0) / sum(wl) FILTER (wl > 0) AS swir FROM sn GROUP BY 1, 2, 3, 4, 5),
+sp AS (SELECT t.tile_id, t.epoch, variant, r.i AS row, c.i AS col FROM (SELECT DISTINCT tile_id, epoch FROM pix) t, vr, range(28) r(i), range(28) c(i) WHERE r.i < n AND c.i < n)"""
+
+
+@query("stack_harmonize_affine", s.sql(_AFFINE, f"SELECT sp.tile_id, sp.epoch, sp.variant, CAST(sp.row AS INTEGER) AS row, CAST(sp.col AS INTEGER) AS col, {r6('red')} AS red_nearest, {r6('nir')} AS nir_average, {r6('swir')} AS swir_bilinear "
+                                       "FROM sp LEFT JOIN rg USING (tile_id, epoch, variant, row, col)"))
+def _(spark, sf):
+    px = tables.pixels(spark, sf)
+    own = tables.grids(px)
+    bands = {"red_nearest": ("red", "nearest"), "nir_average": ("nir", "average"), "swir_bilinear": ("swir", "bilinear")}
+    parts = []
+    for name, dx, dy, step, size in _VARIANTS:
+        target = own.select("tile_id", (F.col("x0") + dx).alias("x0"), F.lit(step).alias("dx"), (F.col("y0") - dy).alias("y0"), F.lit(-step).alias("dy"),
+                            F.lit(size).alias("width"), F.lit(size).alias("height"))
+        parts.append(grid.regrid(px, own, target, bands).withColumn("variant", F.lit(name)))
+    out = parts[0].unionByName(parts[1])
+    return out.select(*GRID, "variant", "row", "col", *[round6(b).alias(b) for b in bands])
 
 
 def radar_scenes(spark, sf):
