@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -10,75 +10,173 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from landpulse.session import cut_lineage
+from landpulse.session import cut_lineage, stored
 
 BLOCK = 256
 _SHIFT = 32
 
 
-def _min_labels(rows: np.ndarray, cols: np.ndarray, connectivity: int) -> np.ndarray:
-    """Smallest cell code (row << 32 | col) of each cell's component."""
-    code = (rows.astype(np.int64) << _SHIFT) | cols.astype(np.int64)
-    order = np.argsort(code)
-    code = code[order]
-    steps = [(0, 1), (1, 0)] + ([(1, -1), (1, 1)] if connectivity == 8 else [])
-    a, b = [], []
-    for dr, dc in steps:
-        target = code + (dr << _SHIFT) + dc
-        at = np.minimum(np.searchsorted(code, target), len(code) - 1)
-        hit = np.flatnonzero(code[at] == target)
-        a.append(hit)
-        b.append(at[hit])
-    a, b = np.concatenate(a), np.concatenate(b)
-    parent = np.arange(len(code))
+def _steps(connectivity: int) -> list[tuple[int, int]]:
+    """Half of the neighbours; the other half finds the same pairs."""
+    return [(0, 1), (1, 0)] + ([(1, -1), (1, 1)] if connectivity == 8 else [])
+
+
+def _joined(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest member of each number's set, where ``a[i]`` and ``b[i]`` belong together."""
+    parent = np.arange(count)
     while True:
-        pa, pb = parent[a], parent[b]
-        differ = pa != pb
+        pa_, pb = parent[a], parent[b]
+        differ = pa_ != pb
         if not differ.any():
-            break
-        np.minimum.at(parent, np.maximum(pa, pb)[differ], np.minimum(pa, pb)[differ])
+            return parent
+        np.minimum.at(parent, np.maximum(pa_, pb)[differ], np.minimum(pa_, pb)[differ])
         while True:
             jump = parent[parent]
             if np.array_equal(jump, parent):
                 break
             parent = jump
-    out = np.empty_like(code)
-    out[order] = code[parent]
-    return out
+
+
+def _touching(group: np.ndarray, rows: np.ndarray, cols: np.ndarray, connectivity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order of distinct cells, number of the distinct cell of each row, pairs of distinct cells that
+    touch inside one group). Distinct cells are in (group, row, column) order."""
+    height, width = int(rows.max() - rows.min()) + 3, int(cols.max() - cols.min()) + 3
+    code = (group.astype(np.int64) * height + (rows - rows.min() + 1)) * width + (cols - cols.min() + 1)  # a free border around each group
+    distinct, first, number = np.unique(code, return_index=True, return_inverse=True)
+    a, b = [], []
+    for dr, dc in _steps(connectivity):
+        target = distinct + dr * width + dc
+        at = np.minimum(np.searchsorted(distinct, target), len(distinct) - 1)
+        hit = np.flatnonzero(distinct[at] == target)
+        a.append(hit)
+        b.append(at[hit])
+    return first, number, np.concatenate(a), np.concatenate(b)
+
+
+def _whole_groups(columns: Sequence[str], fn: Callable[[pa.Table, np.ndarray], pa.Table]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Feeds ``fn`` with many whole groups at a time (and each row's group number) from rows that are
+    sorted by ``columns``; a group's rows wait until its last one has come."""
+    def numbers(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows, bool)
+        for c in columns:
+            codes = table.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            new[1:] |= codes[1:] != codes[:-1]
+        return np.cumsum(new)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            group = numbers(table)
+            last = int(np.searchsorted(group, group[-1]))
+            if last:
+                yield from fn(table.slice(0, last), group[:last]).to_batches()
+            held = table.slice(last)
+        if held is not None:
+            yield from fn(held, np.zeros(held.num_rows, np.int64)).to_batches()
+
+    return run
+
+
+def _left_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Left join in which NULL keys meet NULL keys."""
+    named = right.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    same = F.lit(True)
+    for c in on:
+        same = same & left[c].eqNullSafe(named[f"_on_{c}"])
+    return left.join(named, same, "left").drop(*[f"_on_{c}" for c in on])
 
 
 def label_cells(cells: DataFrame, keys: Sequence[str], connectivity: int = 8, block: int = BLOCK) -> DataFrame:
     """Adds ``label``: the code of the first cell (in row, column order) of the component.
 
     All columns of ``cells`` travel along, so no join is needed to get them back; select the
-    wanted ones first. Cells are labelled inside square blocks (at most ``block**2`` cells per group, whatever the
-    tile size) and written out once, then labels meeting across block borders are merged as a graph,
-    which is empty where none meet.
+    wanted ones first. Cells are labelled inside square blocks and written out once. Blocks are
+    then merged two by two in both directions, level by level, until one is left (see
+    ``merge_blocks``); grids of a single block need no merging at all.
     """
-    columns = [*keys, "row", "col"]
     placed = cells.withColumns({
         "_br": F.floor(F.col("row") / block).cast("int"), "_bc": F.floor(F.col("col") / block).cast("int")})
     schema = T.StructType(placed.schema.fields + [T.StructField("label", T.LongType())])
-
-    def one_block(cells: pa.Table) -> pa.Table:
-        labels = _min_labels(cells["row"].to_numpy(), cells["col"].to_numpy(), connectivity)
-        return cells.append_column("label", pa.array(labels, pa.int64()))
-
-    labelled = cut_lineage(placed.groupBy(*keys, "_br", "_bc").applyInArrow(one_block, schema))
-    rest_r, rest_c = F.pmod(F.col("row"), F.lit(block)), F.pmod(F.col("col"), F.lit(block))
-    border = labelled.where((rest_r == 0) | (rest_r == block - 1) | (rest_c == 0) | (rest_c == block - 1))
-    steps = [(0, 1), (1, 0)] + ([(1, -1), (1, 1)] if connectivity == 8 else [])
-    offsets = F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r, c in steps])
-    reach = (border.select(*keys, "_br", "_bc", F.col("label").alias("src"), "row", "col", F.explode(offsets).alias("_o"))
-             .select(*keys, "_br", "_bc", "src", (F.col("row") + F.col("_o.dr")).alias("row"),
-                     (F.col("col") + F.col("_o.dc")).alias("col")))
-    other = border.select(*columns, F.col("label").alias("dst"), F.col("_br").alias("_or"), F.col("_bc").alias("_oc"))
-    edges = (reach.join(other, columns).where("_br <> _or OR _bc <> _oc").select(*keys, "src", "dst").distinct())
-    merged = graph_components(edges, keys).select(*keys, F.col("node").alias("label"), F.col("component").alias("_to"))
-    joined = labelled.join(merged, [*keys, "label"], "left")
+    by = [*keys, "_br", "_bc"]
+
+    def label_blocks(table: pa.Table, group: np.ndarray) -> pa.Table:
+        row, col = (table.column(c).to_numpy().astype(np.int64) for c in ("row", "col"))
+        inner_r, inner_c = row - table.column("_br").to_numpy().astype(np.int64) * block, col - table.column("_bc").to_numpy().astype(np.int64) * block
+        first, number, a, b = _touching(group, inner_r, inner_c, connectivity)
+        code = (row[first] << _SHIFT) | col[first]
+        return table.append_column("label", pa.array(code[_joined(len(first), a, b)][number], pa.int64()))
+
+    sorted_blocks = placed.repartition(*by).sortWithinPartitions(*by)
+    labelled = stored(sorted_blocks.mapInArrow(_whole_groups(by, label_blocks), schema), "labelled")
+    merged = merge_blocks(labelled, keys, connectivity, block)
+    if merged is None:
+        return labelled.drop("_br", "_bc")
+    joined = _left_join(labelled, merged, [*keys, "label"])
     return joined.withColumn("label", F.coalesce("_to", "label")).drop("_to", "_br", "_bc")
 
 
+def merge_blocks(labelled: DataFrame, keys: Sequence[str], connectivity: int, block: int) -> DataFrame | None:
+    """(keys, label, _to) of the labels that change when touching blocks are joined; None if every grid
+    has a single block.
+
+    A level joins 2 x 2 blocks: only cells on the blocks' outer borders travel, to the task of the
+    larger block, which unites their labels and hands its own border on. So n blocks a side take
+    log2(n) passes, and a task holds the border cells of four blocks. Renamings of the levels are
+    composed from the last one down.
+    """
+    keys = list(keys)
+    ends = labelled.agg(*[f(c).alias(f"{c}{n}") for c in ("_br", "_bc") for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    if ends["_brlo"] is None:
+        return None
+    row0, col0 = ends["_brlo"] * block, ends["_bclo"] * block
+    levels = max(ends["_brhi"] - ends["_brlo"], ends["_bchi"] - ends["_bclo"]).bit_length()
+    at = lambda c, zero, size: F.pmod(F.col(c) - zero, F.lit(size)).isin(0, size - 1)
+    border = labelled.where(at("row", row0, block) | at("col", col0, block)).select(*keys, "row", "col", "label")
+    by = [*keys, "_gr", "_gc"]
+    renamed = []
+    for level in range(1, levels + 1):
+        size, last = block << level, level == levels
+        placed = border.withColumns({"_gr": F.floor((F.col("row") - row0) / size).cast("int"), "_gc": F.floor((F.col("col") - col0) / size).cast("int")})
+        schema = T.StructType([*[placed.schema[k] for k in keys], T.StructField("row", T.IntegerType()), T.StructField("col", T.IntegerType()),
+                               T.StructField("label", T.LongType()), T.StructField("_to", T.LongType())])
+
+        def unite(table: pa.Table, group: np.ndarray, size=size, last=last) -> pa.Table:
+            row, col, label = (table.column(c).to_numpy().astype(np.int64) for c in ("row", "col", "label"))
+            first, number, a, b = _touching(group, row, col, connectivity)
+            order = np.lexsort((label, group))
+            new = np.append(True, (group[order][1:] != group[order][:-1]) | (label[order][1:] != label[order][:-1]))
+            name = np.empty(len(label), np.int64)
+            name[order] = np.cumsum(new) - 1  # labels numbered in ascending order inside each group
+            value, holder = label[order][new], order[new]
+            to = value[_joined(len(value), name[first][a], name[first][b])]
+            changed = np.flatnonzero(to != value)
+            out = [holder[changed]]
+            if not last:
+                r, c = (row - row0) % size, (col - col0) % size
+                out.append(np.flatnonzero((r == 0) | (r == size - 1) | (c == 0) | (c == size - 1)))
+            rows = np.concatenate(out)
+            renaming = np.arange(len(rows)) < len(changed)
+            return pa.table([*[table.column(k).take(pa.array(rows)) for k in keys], pa.array(row[rows], pa.int32(), mask=renaming), pa.array(col[rows], pa.int32()),
+                             pa.array(np.where(renaming, label[rows], to[name[rows]])), pa.array(to[name[rows]])], names=schema.names)
+
+        step = placed.repartition(*by).sortWithinPartitions(*by).mapInArrow(_whole_groups(by, unite), schema)
+        step = step if last else stored(step, "borders")
+        renamed.append(step.where("row IS NULL").select(*keys, "label", "_to"))
+        border = step.where("row IS NOT NULL").select(*keys, "row", "col", "label")
+    if not renamed:
+        return None
+    total = renamed[-1]
+    for step in renamed[-2::-1]:
+        total = stored(total, "renamed")
+        on = total.select(*keys, F.col("label").alias("_to"), F.col("_to").alias("_end"))
+        total = _left_join(step, on, [*keys, "_to"]).select(*keys, "label", F.coalesce("_end", "_to").alias("_to")).unionByName(total)
+    return total
+
+
 def graph_components(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, node, component) with component = smallest node id, by alternating star steps.
 

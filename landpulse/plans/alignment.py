@@ -14,7 +14,7 @@ from landpulse.plans.expressions import scored_drought, scored_flood
 from landpulse.plans.catalog import _IMPACT, impacts
 from landpulse.plans.registry import query
 from landpulse.plans.sqlbase import r6
-from landpulse.session import cut_lineage
+from landpulse.session import cut_lineage, stored
 from landpulse.sources import tables
 from landpulse.sources.tables import CELL, SIDE
 
@@ -237,14 +237,14 @@ pairs AS (SELECT tile_id, epoch, p, r, n_shared, n_p, n_r, n_shared / (n_p + n_r
 
 
 def object_cells(spark, sf, min_pixels=4):
-    """(predicted cells with p, reference cells with r); small predictions are dropped. Both are
-    written out, as the overlap count and the sizes read them in turn."""
+    """(predicted cells with p, reference cells with r); small predictions are dropped. Both masks are
+    labelled in one pass and written out once, as the overlap count and the sizes read them in turn."""
     scored = scored_flood(tables.flood_inputs(tables.pixels(spark, sf)))
-    p = components.label_cells(scored.where("valid AND score >= 0.4").select(*CELL), GRID, 8, LABEL_BLOCK)
-    r = components.label_cells(scored.where("reference").select(*CELL), GRID, 8, LABEL_BLOCK)
-    size = p.groupBy(*GRID, "label").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") >= min_pixels)
-    p = p.join(size, [*GRID, "label"])
-    return cut_lineage(p.select(*CELL, F.col("label").alias("p"))), cut_lineage(r.select(*CELL, F.col("label").alias("r")))
+    masks = F.array_compact(F.array(F.when(F.expr("valid AND score >= 0.4"), "p"), F.when(F.col("reference"), "r")))
+    both = stored(components.label_cells(scored.select(*CELL, F.explode(masks).alias("mask")), [*GRID, "mask"], 8, LABEL_BLOCK), "objects")
+    size = both.where("mask = 'p'").groupBy(*GRID, "label").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") >= min_pixels)
+    p = both.where("mask = 'p'").join(size, [*GRID, "label"])
+    return p.select(*CELL, F.col("label").alias("p")), both.where("mask = 'r'").select(*CELL, F.col("label").alias("r"))
 
 
 @query("overlap_pairs", rsql(OBJECTS, f"SELECT tile_id, epoch, p, r, n_shared, n_p, n_r, {r6('iou')} AS iou FROM pairs"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -35,14 +38,16 @@ def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "8g
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the one the session names for checkpoints.
 
-    A machine-local folder is only ever chosen for a local master.
+    A machine-local folder is only ever chosen where driver and executors are one process; it is
+    removed when the driver ends. What lies in a named folder is the cluster's to clean.
     """
     sc = spark.sparkContext
     named = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", "")
     if not named:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise ValueError("Set spark.checkpoint.dir to a folder shared by all executors.")
         named = tempfile.mkdtemp(prefix="landpulse-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named
@@ -57,3 +62,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the result survives the loss of executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once as a table in the shared folder and read back: later uses read only the
+    columns they need and depend on no executor."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

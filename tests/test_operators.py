@@ -45,6 +45,20 @@ def test_labels_equal_flood_fill_across_blocks(spark, conn, block):
     assert {(r["row"], r["col"]): r["label"] for r in got} == flood_fill(mask, conn)
 
 
+@pytest.mark.parametrize("conn,block,shape", [(8, 2, (37, 70)), (4, 3, (50, 29)), (8, 5, (90, 41)), (8, 1, (9, 17))])
+def test_labels_merge_over_many_levels(spark, conn, block, shape):
+    """A snake through the whole grid, random cells, and cells at negative rows of another grid."""
+    mask = np.random.default_rng(block).random(shape) < 0.5
+    mask[::4], mask[1::4, -1], mask[2::4], mask[3::4, 0] = True, True, True, True
+    mask[1::4, :-1] &= np.random.default_rng(9).random(mask[1::4, :-1].shape) < 0.3
+    px = cells(spark, mask).withColumn("note", F.lit(None).cast("string"))
+    far = spark.createDataFrame([(7, None, r, 400 + r, "x") for r in range(12)] + [(7, None, 3, 403, "again")], "tile_id bigint, epoch int, row int, col int, note string")
+    got = components.label_cells(px.unionByName(far.select(px.columns)), GRID, conn, block).collect()
+    assert {(r["row"], r["col"]): r["label"] for r in got if r["tile_id"] != 7} == flood_fill(mask, conn)
+    diagonal = [r["label"] for r in got if r["tile_id"] == 7]
+    assert len(diagonal) == 13 and len(set(diagonal)) == (1 if conn == 8 else 12)
+
+
 def test_block_size_changes_no_label(spark):
     mask = np.zeros((12, 300), bool)
     mask[3, 250:262] = mask[0, :20] = mask[5:9, 30] = True
