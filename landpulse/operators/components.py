@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from landpulse.operators.groups import whole_groups
 from landpulse.session import cut_lineage, stored
 
 BLOCK = 256
@@ -53,34 +54,6 @@ def _touching(group: np.ndarray, rows: np.ndarray, cols: np.ndarray, connectivit
     return first, number, np.concatenate(a), np.concatenate(b)
 
 
-def _whole_groups(columns: Sequence[str], fn: Callable[[pa.Table, np.ndarray], pa.Table]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Feeds ``fn`` with many whole groups at a time (and each row's group number) from rows that are
-    sorted by ``columns``; a group's rows wait until its last one has come."""
-    def numbers(table: pa.Table) -> np.ndarray:
-        new = np.zeros(table.num_rows, bool)
-        for c in columns:
-            codes = table.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
-            new[1:] |= codes[1:] != codes[:-1]
-        return np.cumsum(new)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            table = pa.Table.from_batches([batch])
-            table = table if held is None else pa.concat_tables([held, table])
-            group = numbers(table)
-            last = int(np.searchsorted(group, group[-1]))
-            if last:
-                yield from fn(table.slice(0, last), group[:last]).to_batches()
-            held = table.slice(last)
-        if held is not None:
-            yield from fn(held, np.zeros(held.num_rows, np.int64)).to_batches()
-
-    return run
-
-
 def _left_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     """Left join in which NULL keys meet NULL keys."""
     named = right.withColumnsRenamed({c: f"_on_{c}" for c in on})
@@ -111,7 +84,7 @@ def label_cells(cells: DataFrame, keys: Sequence[str], connectivity: int = 8, bl
         return table.append_column("label", pa.array(code[_joined(len(first), a, b)][number], pa.int64()))
 
     sorted_blocks = placed.repartition(*by).sortWithinPartitions(*by)
-    labelled = stored(sorted_blocks.mapInArrow(_whole_groups(by, label_blocks), schema), "labelled")
+    labelled = stored(sorted_blocks.mapInArrow(whole_groups(by, label_blocks), schema), "labelled")
     merged = merge_blocks(labelled, keys, connectivity, block)
     if merged is None:
         return labelled.drop("_br", "_bc")
@@ -163,7 +136,7 @@ def merge_blocks(labelled: DataFrame, keys: Sequence[str], connectivity: int, bl
             return pa.table([*[table.column(k).take(pa.array(rows)) for k in keys], pa.array(row[rows], pa.int32(), mask=renaming), pa.array(col[rows], pa.int32()),
                              pa.array(np.where(renaming, label[rows], to[name[rows]])), pa.array(to[name[rows]])], names=schema.names)
 
-        step = placed.repartition(*by).sortWithinPartitions(*by).mapInArrow(_whole_groups(by, unite), schema)
+        step = placed.repartition(*by).sortWithinPartitions(*by).mapInArrow(whole_groups(by, unite), schema)
         step = step if last else stored(step, "borders")
         renamed.append(step.where("row IS NULL").select(*keys, "label", "_to"))
         border = step.where("row IS NOT NULL").select(*keys, "row", "col", "label")

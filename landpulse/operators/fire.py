@@ -5,13 +5,16 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landpulse import config
 from landpulse.functions.core import share
-from landpulse.functions.geo import EARTH_RADIUS_M, haversine_m
-from landpulse.session import cut_lineage
+from landpulse.functions.geo import EARTH_RADIUS_M
+from landpulse.operators.groups import whole_groups
+from landpulse.session import stored
 
 
 def parse_points(raw: DataFrame) -> DataFrame:
@@ -21,71 +24,132 @@ def parse_points(raw: DataFrame) -> DataFrame:
                             "ts": F.try_to_timestamp(text_time, F.lit("yyyy-MM-dd HHmm"))})
 
 
+UNDECIDED, KEPT, DROPPED = 0, 1, 2
+SIDE, SPAN, FINER = 32, 480, 8  # block side in radii, its time in tolerances, and parts a side of a crowded block
+CROWDED = 20_000
+
+
 def merge_duplicates(points: DataFrame, order: Sequence[str], radius_m: float = 250.0,
-                     minutes: int = 30) -> DataFrame:
+                     minutes: int = 30, crowded: int = CROWDED) -> DataFrame:
     """Drop detections within ``radius_m`` and ``minutes`` of an earlier kept one.
 
-    Records are taken in the given order; the earliest kept neighbour inherits the largest frp
-    of its duplicates; unparsed rows are kept. Adds ``n_merged``.
+    Records are taken in the given order, then by position and time; the earliest kept neighbour
+    inherits the largest frp of its duplicates; unparsed rows are kept. Adds ``n_merged``.
 
-    Records equal in position and time collapse first, so repeated copies cost one row. The kept
-    set is then found in rounds: a record that comes before every undecided record of its cell and
-    the 80 cells around it is kept, and everything close to a kept record is dropped. Cells are cubes
-    in space, so that the poles and the date line are places like any other. Kept records
-    lie more than the tolerance apart, so a cell holds few of them and no list of all pairs is
-    ever built. Every round decides at least the earliest open record; a crowded cell is split by
-    adaptive execution.
+    Records equal in position and time collapse first, so repeated copies cost one row. The others are
+    dealt to blocks of space and time, with a copy in every block that lies within the tolerance.
+    Blocks are cubes in space, so that the poles and the date line are places like any other; one of
+    more than ``crowded`` records is cut finer. Each block walks through its records in order and
+    decides all whose earlier neighbours are decided, so a chain of records at one place takes a single
+    round; only blocks that wait for a neighbour's decision run again.
     """
-    parsed = points.withColumn("_ord", F.struct(*order))
+    columns = points.columns
+    parsed = points.withColumn("_row", F.struct(*columns))
     bad = parsed.where("lat IS NULL OR lon IS NULL OR ts IS NULL")
     good = parsed.where("lat IS NOT NULL AND lon IS NOT NULL AND ts IS NOT NULL")
-    place = ["lat", "lon", "ts"]
-    sites = good.groupBy(*place).agg(F.min("_ord").alias("_ord"), F.max("frp").alias("_frp"),
-                                     F.count(F.lit(1)).alias("_copies"))
+    sites = good.groupBy("lat", "lon", "ts").agg(F.min(F.struct(*order)).alias("_ord"), F.min_by("_row", F.struct(*order)).alias("_row"), F.max("frp").alias("_frp"),
+                                                 F.count(F.lit(1)).alias("_copies"))
     # a straight line is never longer than the arc, so cubes of the tolerance reach far enough
     lat, lon = F.radians("lat"), F.radians("lon")
     scale = EARTH_RADIUS_M / (radius_m * (1.0 + 1e-9))
-    sites = cut_lineage(sites.withColumns({"_x": F.floor(F.cos(lat) * F.cos(lon) * scale), "_y": F.floor(F.cos(lat) * F.sin(lon) * scale),
-                                           "_z": F.floor(F.sin(lat) * scale), "_t": F.floor(F.unix_timestamp("ts") / (minutes * 60))}))
-    cell = ["_x", "_y", "_z", "_t"]
-    step = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-
-    def spread(df: DataFrame) -> DataFrame:
-        """A copy of every row for each of the 81 cells around and including its own that meet the globe."""
-        for axis in cell[:3]:
-            df = df.withColumn("_d", F.explode(step)).withColumn(axis, F.col(axis) + F.col("_d")).drop("_d")
-        near, far = F.lit(0.0), F.lit(0.0)
-        for c in map(F.col, cell[:3]):
-            near = near + F.pow(F.greatest(F.lit(0), c, -c - 1), F.lit(2.0))
-            far = far + F.pow(F.greatest(F.abs(c), F.abs(c + 1)), F.lit(2.0))
-        on_globe = (F.sqrt(near) <= scale + 0.001) & (F.sqrt(far) >= scale - 0.001)
-        return df.where(on_globe).withColumn("_d", F.explode(step)).withColumn("_t", F.col("_t") + F.col("_d")).drop("_d")
-
-    def reach_of(kept: DataFrame) -> DataFrame:
-        return spread(kept.select(F.col("_ord").alias("_keeper"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"),
-                                  F.col("ts").alias("ts2"), *cell))
-
-    close = ((haversine_m("lat", "lon", "lat2", "lon2") <= radius_m)
-             & (F.abs(F.unix_timestamp("ts") - F.unix_timestamp("ts2")) <= minutes * 60))
-    undecided, kept_parts = sites, []
-    while not undecided.isEmpty():
-        lows = spread(undecided.groupBy(*cell).agg(F.min("_ord").alias("_min"))).groupBy(*cell).agg(F.min("_min").alias("_min"))
-        kept = cut_lineage(undecided.join(lows, cell).where("_ord = _min").select(*sites.columns))
-        kept_parts.append(kept)
-        gone = undecided.join(reach_of(kept), cell).where(close).select(*place).distinct()
-        undecided = cut_lineage(undecided.join(gone, place, "left_anti"))
-    if not kept_parts:
-        return points.withColumn("n_merged", F.lit(1).cast("bigint"))
-    kept = kept_parts[0]
-    for part in kept_parts[1:]:
-        kept = kept.unionByName(part)
-    # every site goes to its earliest kept neighbour (itself when kept)
-    homes = (sites.join(reach_of(kept), cell).where(close).groupBy(*place)
-             .agg(F.min("_keeper").alias("_keeper"), F.first("_frp").alias("_frp"), F.first("_copies").alias("_copies")))
-    merged = homes.groupBy("_keeper").agg(F.max("_frp").alias("_best"), F.sum("_copies").alias("n_merged"))
-    survivors = (good.join(merged, good["_ord"] == merged["_keeper"])
-                 .withColumn("frp", F.col("_best")).drop("_best", "_keeper", "_ord"))
-    return survivors.unionByName(bad.drop("_ord").withColumn("n_merged", F.lit(1).cast("bigint")))
+    sites = stored(sites.withColumns({"_x": F.cos(lat) * F.cos(lon) * scale, "_y": F.cos(lat) * F.sin(lon) * scale, "_z": F.sin(lat) * scale,
+                                      "_t": F.unix_timestamp("ts") / float(minutes * 60), "_site": F.monotonically_increasing_id()}), "sites")
+    copies = stored(_with_halo(sites.select("_site", "_ord", "lat", "lon", "ts", "_x", "_y", "_z", "_t"), crowded), "copies")
+    homes = _decide(copies, radius_m, minutes)
+    merged = (homes.join(sites.select("_site", "_frp", "_copies"), "_site").groupBy(F.col("_keeper").alias("_site"))
+              .agg(F.max("_frp").alias("_best"), F.sum("_copies").alias("n_merged")))
+    survivors = sites.select("_site", "_row").join(merged, "_site")
+    best = [F.col("_best").alias(c) if c == "frp" else F.col(f"_row.{c}").alias(c) for c in columns]
+    return survivors.select(*best, "n_merged").unionByName(bad.select(*columns, F.lit(1).cast("bigint").alias("n_merged")))
+
+
+def _block(x, y, z, t, parts: int = 1) -> Column:
+    return F.xxhash64(F.lit(parts), *[F.floor(c * (parts / SIDE)) for c in (x, y, z)], F.floor(t * (parts / SPAN)))
+
+
+def _with_halo(sites: DataFrame, crowded: int) -> DataFrame:
+    """A copy of each record for every block within one unit of it: ``_block``, and ``_own`` for the block
+    that holds it. A block is larger than two units, so the corners of the unit box tell all of them."""
+    at = [F.col(c) for c in ("_x", "_y", "_z", "_t")]
+    corners = [[c + d for c, d in zip(at, ((i >> k & 1) * 2 - 1 for k in range(4)))] for i in range(16)]
+    crowds = sites.groupBy(_block(*at).alias("_whole")).count().where(F.col("count") > crowded).select("_whole", F.lit(True).alias("_cut"))
+    if crowds.isEmpty():
+        near = F.array_distinct(F.array(*[_block(*c) for c in corners]))
+        return sites.withColumn("_own_block", _block(*at)).withColumn("_block", F.explode(near)).withColumn("_own", F.expr("_block = _own_block")).drop("_own_block")
+    pair = lambda c: F.struct(_block(*c).alias("_whole"), _block(*c, parts=FINER).alias("_part"))
+    spread = sites.withColumn("_home", pair(at)).withColumn("_b", F.explode(F.array_distinct(F.array(*map(pair, corners)))))
+    spread = spread.select(*sites.columns, "_home", "_b._whole", "_b._part").join(crowds, "_whole", "left")
+    block = lambda whole, part: F.when(F.col("_cut"), F.col(part)).otherwise(F.col(whole))
+    own = F.col("_home._whole") == F.col("_whole")
+    placed = spread.withColumns({"_block": block("_whole", "_part"), "_own": own & (F.col("_cut").isNull() | (F.col("_home._part") == F.col("_part")))})
+    return placed.select(*sites.columns, "_block", "_own").distinct()
+
+
+def _decide(copies: DataFrame, radius_m: float, minutes: int) -> DataFrame:
+    """(_site, _keeper) of every record: itself where kept, else its earliest kept neighbour."""
+    schema = "_site long, _block long, _status int, _keeper long"
+    by = ["_block"]
+
+    def walk(table: pa.Table, group: np.ndarray) -> pa.Table:
+        site, own, status = (table.column(c).to_numpy().copy() for c in ("_site", "_own", "_status"))
+        keeper = site.copy()
+        lat, lon, seconds = np.radians(table.column("lat").to_numpy()), np.radians(table.column("lon").to_numpy()), table.column("_s").to_numpy().tolist()
+        cosine, lat, lon = np.cos(lat).tolist(), lat.tolist(), lon.tolist()
+        cells = list(zip(*(np.floor(table.column(c).to_numpy()).astype(np.int64).tolist() for c in ("_x", "_y", "_z", "_t"))))
+        open_before = own & (status == UNDECIDED)
+
+        def close(i: int, j: int) -> bool:
+            if abs(seconds[i] - seconds[j]) > minutes * 60:
+                return False
+            h = math.sin((lat[j] - lat[i]) / 2.0) ** 2 + cosine[i] * cosine[j] * math.sin((lon[j] - lon[i]) / 2.0) ** 2
+            return 2.0 * EARTH_RADIUS_M * math.asin(math.sqrt(min(1.0, h))) <= radius_m
+
+        held: dict[tuple, list[int]] = {}
+        for i, here in enumerate(cells):
+            if i and group[i] != group[i - 1]:
+                held = {}
+            if open_before[i]:
+                first = -1  # the earliest neighbour that is kept or may still be
+                for a in (here[0] - 1, here[0], here[0] + 1):
+                    for b in (here[1] - 1, here[1], here[1] + 1):
+                        for c in (here[2] - 1, here[2], here[2] + 1):
+                            for d in (here[3] - 1, here[3], here[3] + 1):
+                                for j in held.get((a, b, c, d), ()):
+                                    if 0 <= first < j:
+                                        break
+                                    if close(i, j):
+                                        first = j
+                                        break
+                if first < 0:
+                    status[i] = KEPT
+                elif status[first] == KEPT:
+                    status[i], keeper[i] = DROPPED, site[first]
+            if status[i] != DROPPED:
+                held.setdefault(here, []).append(i)
+        at = np.flatnonzero(open_before)
+        return pa.table([pa.array(site[at]), table.column("_block").take(pa.array(at)), pa.array(status[at], pa.int32()), pa.array(keeper[at])],
+                        names=["_site", "_block", "_status", "_keeper"])
+
+    def run(rows: DataFrame) -> DataFrame:
+        ready = rows.withColumn("_s", F.unix_timestamp("ts")).repartition(*by).sortWithinPartitions(*by, "_ord", "lat", "lon", "ts")
+        needed = ["_site", "_block", "_own", "_status", "lat", "lon", "_s", "_x", "_y", "_z", "_t"]
+        return stored(ready.select(*needed).mapInArrow(whole_groups(by, walk), schema), "decided")
+
+    found = run(copies.withColumn("_status", F.lit(UNDECIDED)))
+    settled = [found.where(F.col("_status") != UNDECIDED)]
+    waiting = found.where(F.col("_status") == UNDECIDED)
+    while not waiting.isEmpty():
+        known = settled[0]
+        for part in settled[1:]:
+            known = known.unionByName(part)
+        again = copies.join(waiting.select("_block").distinct(), "_block", "left_semi").join(known.select("_site", "_status"), "_site", "left")
+        found = run(again.withColumn("_status", F.coalesce("_status", F.lit(UNDECIDED))))
+        settled.append(found.where(F.col("_status") != UNDECIDED))
+        waiting = found.where(F.col("_status") == UNDECIDED)
+    homes = settled[0]
+    for part in settled[1:]:
+        homes = homes.unionByName(part)
+    return homes.select("_site", "_keeper")
 
 
 def with_fallback(standard: DataFrame, near_real_time: DataFrame, chunk: Sequence[str]) -> DataFrame:
