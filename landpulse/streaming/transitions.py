@@ -1,17 +1,22 @@
-"""State transitions, as batch folds and as per-key steps for streams.
+"""State transitions, over whole series in batches and as per-key steps for streams.
 
-Each machine is written once as a Spark expression (batch) and once as a small Python step
-(streams); the tests hold the two against each other.
+Streams advance a small Python step. In batches the flood and lifecycle machines are Spark windows, and
+drought alerts replay the step bucket by bucket; the tests hold both sides against each other.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from landpulse.config import DROUGHT, DroughtSettings
 from landpulse.functions import flood
-from landpulse.functions.drought import severity_tier
+from landpulse.operators.groups import whole_groups
 from landpulse.operators.ordered import last_before
 
 LIFECYCLE_STATE = "state string, stress int, normal int, peak double, total int"
@@ -47,39 +52,84 @@ def lifecycle_step(prev: dict, severity: float | None, resolvable: bool, s: Drou
 LIFECYCLE_START = {"state": "NORMAL", "stress": 0, "normal": 0, "peak": 0.0, "total": 0}
 
 
-def lifecycle_fold(series: DataFrame, keys: list[str], epoch: str, severity: str, resolvable: str,
-                   s: DroughtSettings = DROUGHT) -> DataFrame:
-    """State after every epoch, per key, without leaving the JVM.
+EPOCHS_PER_BUCKET = 1024
+
 
-    ``series`` holds one row per key and epoch, so the folded array is as long as the calendar.
+def lifecycle_fold(series: DataFrame, keys: list[str], epoch: str, severity: str, resolvable: str,
+                   s: DroughtSettings = DROUGHT, per_bucket: int = EPOCHS_PER_BUCKET) -> DataFrame:
+    """State after every epoch, per key, without leaving the JVM. ``series`` has one row per key and
+    (numeric) epoch.
+
+    The machine follows from the runs of dry and wet epochs among the resolvable ones: a dry epoch's
+    state from the length of its run, a wet one's from its own run and the dry run before it, peak and
+    total from the dry epochs since the last reset. Runs are counted inside buckets of ``per_bucket``
+    epochs; what a bucket takes over from earlier ones (open run, last dry run, peak and total) comes
+    from a table of one row per bucket. So a long series spreads over tasks, and the rows themselves
+    are shuffled once, by key and bucket.
     """
-    item = F.struct(F.col(epoch).alias("epoch"), F.col(severity).cast("double").alias("sev"),
-                    (F.col(resolvable) & F.col(severity).isNotNull()).alias("ok"))
-    step_type = f"struct<epoch:{dict(series.dtypes)[epoch]},state:string,stress:int,normal:int,peak:double,total:int>"
-    acc_type = f"struct<state:string,stress:int,normal:int,peak:double,total:int,out:array<{step_type}>>"
-    start = F.struct(F.lit("NORMAL").alias("state"), F.lit(0).alias("stress"), F.lit(0).alias("normal"), F.lit(0.0).alias("peak"),
-                     F.lit(0).alias("total"), F.array().cast(f"array<{step_type}>").alias("out")).cast(acc_type)
-
-    def merge(a: Column, x: Column) -> Column:
-        dry = x["sev"] >= s.detect
-        stress, normal = a["stress"] + 1, a["normal"] + 1
-        new_peak = (x["sev"] >= s.severe) & (x["sev"] > a["peak"]) & (stress > s.active_epochs)
-        in_dry = (F.when(stress < s.watch_epochs, "WATCH").when(stress < s.active_epochs, "EMERGING")
-                  .when(new_peak, "PEAK").otherwise("ACTIVE"))
-        in_wet = F.when(a["state"].isin("EMERGING", "ACTIVE", "PEAK", "RECOVERY"),
-                        F.when(normal < s.recovery_epochs, "RECOVERY").otherwise("RESOLVED")).otherwise("NORMAL")
-        state = F.when(~x["ok"], F.when(a["state"] == "NORMAL", "UNRESOLVED").otherwise(a["state"])).when(dry, in_dry).otherwise(in_wet)
-        ended = in_wet.isin("NORMAL", "RESOLVED")
-        pick = lambda held, in_d, in_w: F.when(~x["ok"], held).when(dry, in_d).otherwise(in_w)
-        now = [state.alias("state"), pick(a["stress"], stress, F.lit(0)).alias("stress"), pick(a["normal"], F.lit(0), normal).alias("normal"),
-               pick(a["peak"], F.greatest(a["peak"], x["sev"]), F.when(ended, 0.0).otherwise(a["peak"])).alias("peak"),
-               pick(a["total"], a["total"] + 1, F.when(ended, 0).otherwise(a["total"])).alias("total")]
-        row = F.struct(x["epoch"].alias("epoch"), *now).cast(step_type)
-        return F.struct(*now, F.concat(a["out"], F.array(row)).alias("out")).cast(acc_type)
-
-    per = series.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_s"))
-    out = per.select(*keys, F.explode(F.aggregate("_s", start, merge, lambda a: a["out"])).alias("_o"))
-    return out.select(*keys, F.col("_o.epoch").alias(epoch), *[F.col(f"_o.{c}").alias(c) for c in ("state", "stress", "normal", "peak", "total")])
+    part = [*keys, "_bucket"]
+    inside, per_key = Window.partitionBy(*part).orderBy("_epoch"), Window.partitionBy(*keys).orderBy("_bucket")
+    upto, earlier = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(Window.unboundedPreceding, -1)
+    before = per_key.rowsBetween(Window.unboundedPreceding, -1)
+    sev = F.col(severity).cast("double")
+    rows = series.select(*keys, F.col(epoch).alias("_epoch"), sev.alias("_sev"), F.when(F.col(resolvable) & sev.isNotNull(), sev >= s.detect).alias("_dry"))
+    rows = rows.withColumn("_bucket", F.floor(F.col("_epoch") / per_bucket))
+
+    # runs of equal epochs, and what they continue
+    rows = rows.withColumn("_last", F.last("_dry", ignorenulls=True).over(earlier)).withColumn("_opens", F.col("_dry").isNotNull() & ~F.col("_dry").eqNullSafe(F.col("_last")))
+    rows = rows.withColumns({"_run": F.count_if("_opens").over(upto), "_seen": F.count("_dry").over(upto)})
+    rows = rows.withColumn("_length", F.col("_seen") - F.max(F.when(F.col("_opens"), F.col("_seen"))).over(upto) + 1)
+    known, dry = F.col("_dry").isNotNull(), F.coalesce("_dry", F.lit(False))
+    at = F.when(known, F.col("_epoch"))
+    runs = (rows.groupBy(*part).agg(F.count("_dry").alias("_n"), F.min_by("_dry", at).alias("_first"), F.max_by("_dry", at).alias("_end"), F.max_by("_length", at).alias("_tail"),
+                                    F.max("_run").alias("_runs"), F.max_by("_length", F.when(dry, F.col("_epoch"))).alias("_dry_tail"), F.max(F.when(dry, F.col("_run"))).alias("_dry_run"))
+            .where("_n > 0"))
+    runs = runs.withColumn("_goes_on", F.lag("_end").over(per_key).eqNullSafe(F.col("_first")) & F.lag("_end").over(per_key).isNotNull())
+    runs = runs.withColumn("_adds", F.col("_goes_on") & (F.col("_runs") == 1))
+    runs = runs.withColumn("_island", F.count_if(~F.col("_adds")).over(per_key))
+    island = Window.partitionBy(*keys, "_island").orderBy("_bucket")
+    runs = runs.withColumn("_open", F.sum(F.when(F.col("_adds"), F.col("_n")).otherwise(F.col("_tail"))).over(island))
+    runs = runs.withColumn("_carried", F.when(F.col("_goes_on"), F.lag("_open").over(per_key)).otherwise(0))
+    runs = runs.withColumn("_dry_end", F.col("_dry_tail") + F.when(F.col("_dry_run") == 1, F.col("_carried")).otherwise(0))
+    runs = runs.select(*part, "_carried", F.last("_dry_end", ignorenulls=True).over(before).alias("_dry_before"))
+    rows = rows.join(runs, part, "left").withColumn("_length", F.col("_length") + F.when(F.col("_run") == 1, F.coalesce("_carried", F.lit(0))).otherwise(0))
+    rows = rows.withColumn("_ended", F.coalesce(F.last(F.when(dry, F.col("_length")), ignorenulls=True).over(earlier), "_dry_before", F.lit(0)))
+    wet_state = F.when((F.col("_ended") < s.watch_epochs) | (F.col("_length") > s.recovery_epochs), "NORMAL").when(F.col("_length") < s.recovery_epochs, "RECOVERY").otherwise("RESOLVED")
+    rows = rows.withColumn("_wet", F.when(~F.col("_dry"), wet_state))
+
+    # peak and total since the last reset
+    reset = F.coalesce(F.col("_wet").isin("NORMAL", "RESOLVED"), F.lit(False))
+    rows = rows.withColumn("_span", F.count_if(reset).over(upto))
+    span = Window.partitionBy(*part, "_span").orderBy("_epoch")
+    dry_sev = F.when(dry, F.col("_sev"))
+    rows = rows.withColumns({"_peak0": F.max(dry_sev).over(span.rowsBetween(Window.unboundedPreceding, -1)), "_total": F.count(dry_sev).over(span.rowsBetween(Window.unboundedPreceding, 0))})
+    judged = F.struct("_dry", "_length", "_wet", "_sev", "_span", "_peak0", "_total")
+    ends = rows.groupBy(*part).agg(F.max("_span").alias("_resets"), F.max_by(F.struct(F.greatest("_peak0", dry_sev).alias("peak"), F.col("_total").alias("total")), "_epoch").alias("_tail"),
+                                   F.max_by(judged, at).alias("_judged"))
+    ends = ends.withColumn("_island", F.count_if(F.col("_resets") > 0).over(per_key))
+    ends = ends.withColumns({"_p": F.max("_tail.peak").over(island), "_t": F.sum("_tail.total").over(island)})
+    ends = ends.withColumns({"_peak_in": F.lag("_p").over(per_key), "_total_in": F.lag("_t").over(per_key)})
+    ends = ends.withColumn("_exit", F.when(F.col("_judged").isNotNull(), _lifecycle_state(lambda c: F.col(f"_judged.{c}"), s)))
+    ends = ends.select(*part, "_peak_in", "_total_in", F.last("_exit", ignorenulls=True).over(before).alias("_held"))
+    rows = rows.join(ends, part, "left").withColumn("_now", F.when(known, _lifecycle_state(F.col, s)))
+
+    # epochs that cannot be judged keep what was known
+    start = F.struct(F.lit("NORMAL").alias("state"), F.lit(0).alias("stress"), F.lit(0).alias("normal"), F.lit(0.0).alias("peak"), F.lit(0).alias("total"))
+    rows = rows.withColumn("_is", F.coalesce(F.last("_now", ignorenulls=True).over(upto), "_held", start))
+    named = F.when(F.col("_now").isNull() & (F.col("_is.state") == "NORMAL"), "UNRESOLVED").otherwise(F.col("_is.state"))
+    return rows.select(*keys, F.col("_epoch").alias(epoch), named.alias("state"), *[F.col(f"_is.{c}").alias(c) for c in ("stress", "normal", "peak", "total")])
+
+
+def _lifecycle_state(of: Callable[[str], Column], s: DroughtSettings) -> Column:
+    """State after a judged epoch from its runs (``of`` names the columns) and what its bucket took over."""
+    dry, length, wet, leading = F.coalesce(of("_dry"), F.lit(False)), of("_length"), of("_wet"), of("_span") == 0
+    peak0 = F.coalesce(F.greatest(of("_peak0"), F.when(leading, F.col("_peak_in"))), F.lit(0.0))
+    total = of("_total") + F.when(leading, F.coalesce("_total_in", F.lit(0))).otherwise(0)
+    new_peak = (of("_sev") >= s.severe) & (of("_sev") > peak0) & (length > s.active_epochs)
+    in_dry = F.when(length < s.watch_epochs, "WATCH").when(length < s.active_epochs, "EMERGING").when(new_peak, "PEAK").otherwise("ACTIVE")
+    ended = wet.isin("NORMAL", "RESOLVED")
+    return F.struct(F.when(dry, in_dry).otherwise(wet).alias("state"), F.when(dry, length).otherwise(0).cast("int").alias("stress"), F.when(dry, 0).otherwise(length).cast("int").alias("normal"),
+                    F.when(dry, F.greatest(peak0, of("_sev"))).when(ended, 0.0).otherwise(peak0).alias("peak"), F.when(ended, 0).otherwise(total).cast("int").alias("total"))
 
 
 # --- flood alerts -------------------------------------------------------------
@@ -162,12 +212,16 @@ def flood_step(state: dict | None, ha: float, status: str, repeated: bool) -> tu
 
 # --- drought alerts -----------------------------------------------------------
 
+def drought_tier(severity: float) -> str:
+    return "EXTREME" if severity >= 0.75 else "SEVERE" if severity >= 0.60 else "MODERATE" if severity >= 0.45 else "MILD"
+
+
 def drought_step(state: dict | None, day: float, severity: float | None, blackout: bool,
                  window: float = DROUGHT.suppression_days) -> tuple[dict | None, str, str]:
     """(new state, action, tier) of one observation of one tracked event."""
     if blackout or severity is None:
         return state, "DATA_BLACKOUT_HOLD", "UNKNOWN"
-    tier = "EXTREME" if severity >= 0.75 else "SEVERE" if severity >= 0.60 else "MODERATE" if severity >= 0.45 else "MILD"
+    tier = drought_tier(severity)
     if state is None:
         return {"tier": tier, "day": day, "count": 1}, "NEW_ALERT", tier
     change = TIER_RANK[tier] - TIER_RANK[state["tier"]]
@@ -177,29 +231,103 @@ def drought_step(state: dict | None, day: float, severity: float | None, blackou
     return {"tier": tier, "day": day, "count": state["count"] + 1}, action, tier
 
 
+DAYS_PER_BUCKET = 64  # suppression windows a bucket
+
+
 def drought_alerts(series: DataFrame, keys: list[str], day: str, severity: str, blackout: str,
-                   window: float = DROUGHT.suppression_days) -> DataFrame:
-    """Action per key and day (one observation a day, so the folded array is as long as the
-    calendar). A change of tier wins; the same tier inside the window is suppressed; a blackout
-    changes nothing."""
-    tier = severity_tier(severity)
-    rank = F.when(tier == "EXTREME", 4).when(tier == "SEVERE", 3).when(tier == "MODERATE", 2).otherwise(1)
-    item = F.struct(F.col(day).cast("double").alias("day"), rank.alias("rank"), (F.col(blackout) | F.col(severity).isNull()).alias("out"))
-    step_type = "struct<day:double,action:string,rank:int,n:int>"
-    acc_type = f"struct<rank:int,day:double,n:int,out:array<{step_type}>>"
-    start = F.struct(F.lit(0).alias("rank"), F.lit(0.0).alias("day"), F.lit(0).alias("n"), F.array().cast(f"array<{step_type}>").alias("out")).cast(acc_type)
-
-    def merge(a: Column, x: Column) -> Column:
-        action = (F.when(x["out"], "DATA_BLACKOUT_HOLD").when(a["n"] == 0, "NEW_ALERT").when(x["rank"] > a["rank"], "SEVERITY_ESCALATION")
-                  .when(x["rank"] < a["rank"], "SEVERITY_DEESCALATION").when(x["day"] - a["day"] < window, "DUPLICATE_SUPPRESSED").otherwise("ALERT_UPDATE"))
-        moved = ~action.isin("DATA_BLACKOUT_HOLD", "DUPLICATE_SUPPRESSED")
-        n = F.when(moved, a["n"] + 1).otherwise(a["n"])
-        row = F.struct(x["day"].alias("day"), action.alias("action"), F.when(x["out"], 0).otherwise(x["rank"]).alias("rank"), n.alias("n")).cast(step_type)
-        return F.struct(F.when(moved, x["rank"]).otherwise(a["rank"]).alias("rank"), F.when(moved, x["day"]).otherwise(a["day"]).alias("day"),
-                        n.alias("n"), F.concat(a["out"], F.array(row)).alias("out")).cast(acc_type)
-
-    per = series.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_s"))
-    out = per.select(*keys, F.explode(F.aggregate("_s", start, merge, lambda a: a["out"])).alias("_o"))
-    names = F.array(F.lit("UNKNOWN"), F.lit("MILD"), F.lit("MODERATE"), F.lit("SEVERE"), F.lit("EXTREME"))
-    return out.select(*keys, F.col("_o.day").alias(day), F.col("_o.action").alias("action"),
-                      F.element_at(names, F.col("_o.rank") + 1).alias("tier"), F.col("_o.n").alias("alert_count"))
+                   window: float = DROUGHT.suppression_days, per_bucket: int = DAYS_PER_BUCKET) -> DataFrame:
+    """Action per key and day (one observation a day). A change of tier wins; the same tier inside the
+    window is suppressed; a blackout changes nothing.
+
+    A series is cut into buckets of ``per_bucket`` windows. The last alert before a bucket matters only
+    for its first stretch of equal tier, and there only for which of the first window's days speaks
+    first. So a bucket hands on a small table, how it ends for each such day; these are composed along
+    the key, and every bucket is then replayed from its own start with ``drought_step``.
+    """
+    part = [*keys, "_bucket"]
+    rows = series.select(*keys, F.col(day).cast("double").alias("_day"), F.col(severity).cast("double").alias("_sev"), F.coalesce(F.col(blackout), F.lit(False)).alias("_out"))
+    rows = rows.withColumn("_bucket", F.floor(F.col("_day") / (window * per_bucket)))
+    key_fields = [rows.schema[k] for k in keys]
+    turn = T.ArrayType(T.StructType([T.StructField("day", T.DoubleType()), T.StructField("last", T.DoubleType()), T.StructField("moves", T.LongType())]))
+    summary = T.StructType([*key_fields, T.StructField("_bucket", T.LongType()), T.StructField("_first", T.StringType()), T.StructField("_end", T.StringType()),
+                            T.StructField("_turns", turn), T.StructField("_rest", T.LongType()), T.StructField("_rest_day", T.DoubleType())])
+    entry = T.StructType([*key_fields, T.StructField("_bucket", T.LongType()), T.StructField("_tier", T.StringType()), T.StructField("_since", T.DoubleType()), T.StructField("_n", T.LongType())])
+    result = T.StructType([*key_fields, T.StructField(day, T.DoubleType()), T.StructField("action", T.StringType()), T.StructField("tier", T.StringType()), T.StructField("alert_count", T.LongType())])
+
+    def summarise(table: pa.Table, group: np.ndarray) -> pa.Table:
+        days, sev = table.column("_day").to_numpy(), table.column("_sev").to_numpy(zero_copy_only=False).astype(float)
+        judged = ~np.isnan(sev) & ~table.column("_out").to_numpy(zero_copy_only=False).astype(bool)
+        places, out = [], {n: [] for n in summary.names[len(keys) + 1:]}
+        for begin, end in _stretches(group):
+            at = begin + np.flatnonzero(judged[begin:end])
+            if len(at) == 0:  # nothing to judge: the bucket only hands on
+                places.append(begin)
+                for name, value in zip(out, (None, None, [], 0, None)):
+                    out[name].append(value)
+                continue
+            tiers = [drought_tier(v) for v in sev[at].tolist()]
+            when = days[at]
+            lead = next((i for i, t in enumerate(tiers) if t != tiers[0]), len(tiers))
+            turns = []
+            for i in range(lead):
+                moves, last, j = 0, when[i], i
+                while j < lead:
+                    moves, last = moves + 1, when[j]
+                    j = int(np.searchsorted(when[:lead], last + window))
+                turns.append({"day": float(when[i]), "last": float(last), "moves": moves})
+                if when[i] >= when[0] + window:
+                    break
+            state, rest = None, 0
+            for i in range(lead, len(tiers)):
+                state, action, _ = drought_step(state, float(when[i]), float(sev[at[i]]), False, window)
+                rest += action != "DUPLICATE_SUPPRESSED"
+            places.append(begin)
+            for name, value in zip(out, (tiers[0], tiers[-1], turns, rest, state["day"] if state else None)):
+                out[name].append(value)
+        named = [table.column(c).take(pa.array(places, pa.int64())) for c in part]
+        kinds = (pa.string(), pa.string(), pa.list_(pa.struct([("day", pa.float64()), ("last", pa.float64()), ("moves", pa.int64())])), pa.int64(), pa.float64())
+        return pa.table([*named, *[pa.array(v, k) for v, k in zip(out.values(), kinds)]], names=summary.names)
+
+    def compose(table: pa.Table, group: np.ndarray) -> pa.Table:
+        tier, since, n, out = None, None, 0, []
+        opens = {b for b, _ in _stretches(group)}
+        for i, r in enumerate(table.select(summary.names[len(keys) + 1:]).to_pylist()):
+            if i in opens:
+                tier, since, n = None, None, 0
+            out.append((tier, since, n))
+            if r["_first"] is None:
+                continue
+            turn = r["_turns"][0] if tier != r["_first"] else next((t for t in r["_turns"] if t["day"] >= since + window), None)
+            if turn:
+                since, n = turn["last"], n + turn["moves"]
+            if r["_rest"]:
+                since, n = r["_rest_day"], n + r["_rest"]
+            tier = r["_end"]
+        columns = [pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.int64()))]
+        return pa.table([*[table.column(c) for c in part], *columns], names=entry.names)
+
+    def replay(table: pa.Table, group: np.ndarray) -> pa.Table:
+        out, state = [], None
+        opens = {b for b, _ in _stretches(group)}
+        named = table.select(["_day", "_sev", "_out", "_tier", "_since", "_n"]).to_pylist()
+        for i, r in enumerate(named):
+            if i in opens:
+                state = {"tier": r["_tier"], "day": r["_since"], "count": r["_n"]} if r["_tier"] else None
+            state, action, tier = drought_step(state, r["_day"], r["_sev"], r["_out"], window)
+            out.append((r["_day"], action, tier, state["count"] if state else 0))
+        columns = [pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.float64(), pa.string(), pa.string(), pa.int64()))]
+        return pa.table([*[table.column(k) for k in keys], *columns], names=result.names)
+
+    def in_order(df: DataFrame, by: list[str], order: str) -> DataFrame:
+        return df.repartition(*by).sortWithinPartitions(*by, order)
+
+    found = in_order(rows, part, "_day").mapInArrow(whole_groups(part, summarise), summary)
+    starts = in_order(found, keys, "_bucket").mapInArrow(whole_groups(keys, compose), entry)
+    entered = rows.join(starts, part, "left")
+    return in_order(entered, part, "_day").mapInArrow(whole_groups(part, replay), result).withColumn("alert_count", F.col("alert_count").cast("int"))
+
+
+def _stretches(group: np.ndarray) -> list[tuple[int, int]]:
+    """(first row, past the last) of each group."""
+    cuts = np.flatnonzero(np.diff(group, prepend=-1))
+    return list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(group)]))
