@@ -7,6 +7,7 @@ Zstandard frame of its own, so a reader decodes record by record and can start a
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import struct
 import uuid
@@ -65,13 +66,13 @@ def record_bytes(scene_id, href: str | None, payload: bytes, refers_to) -> bytes
     """
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + (payload if refers_to is None else b"")
-    target = re.sub(r"[\x00-\x20]", lambda m: f"%{ord(m[0]):02X}", href) if href else f"urn:scene:{scene_id}"
+    target = re.sub(r"[\x00-\x20]", lambda m: f"%{ord(m[0]):02X}", href or f"urn:scene:{scene_id}")
     head = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_id(scene_id)),
-            ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Target-URI", target), ("WARC-Scene-ID", str(scene_id)),
+            ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Target-URI", target), ("WARC-Scene-ID", json.dumps(scene_id)),
             ("WARC-Payload-Digest", _digest(payload)), ("WARC-Block-Digest", _digest(block)),
             ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     if refers_to is not None:
-        head += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(refers_to)), ("WARC-Refers-To-Scene", str(refers_to))]
+        head += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(refers_to)), ("WARC-Refers-To-Scene", json.dumps(refers_to))]
     return VERSION + b"\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
@@ -174,7 +175,7 @@ def mark_revisits(scenes: DataFrame, at_least: int = 100, id_column: str = "scen
     and only groups of two or more are joined back.
     """
     body = F.coalesce(F.col(content).cast("binary"), F.lit(b""))
-    rows = scenes.select(F.col(id_column).cast("long").alias("scene_id"), *([F.col("href")] if "href" in scenes.columns else [F.lit(None).cast("string").alias("href")]),
+    rows = scenes.select(F.col(id_column).alias("scene_id"), *([F.col("href")] if "href" in scenes.columns else [F.lit(None).cast("string").alias("href")]),
                          body.alias("content")).withColumn("_digest", F.unhex(F.sha2("content", 256)))
     first = (rows.where(F.length("content") >= at_least).groupBy("_digest")
              .agg(F.min("scene_id").alias("refers_to"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"))
@@ -188,7 +189,7 @@ def write_archives(scenes: DataFrame, folder: str, at_least: int = 100, sample:
 
     ``content`` is text (stored in UTF-8) or binary; NULL is empty. Each archive takes its
     dictionary from its own first ``sample`` responses, and a new one begins after about
-    ``archive_bytes``. A NULL scene id is written as ``None`` and reads back as NULL; rows that
+    ``archive_bytes``. Scene ids, numbers or text, are written as JSON, so that a NULL one reads back as NULL; rows that
     repeat an id are written one by one, and only a larger id refers to a smaller one. Other columns are ignored; an empty table
     writes no archive.
     """
@@ -223,10 +224,13 @@ def write_archives(scenes: DataFrame, folder: str, at_least: int = 100, sample:
     return storage.stored(marked.mapInArrow(write, "path string, records long"), "archives")
 
 
-def read_archives(archives: DataFrame) -> DataFrame:
+def read_archives(archives: DataFrame, id_type: str = "long") -> DataFrame:
     """Validated records of the archives in ``path``: (scene_id, href, record_type, payload_bytes,
-    payload_digest, refers_to, payload); ``payload`` is NULL for revisits. A bad frame or record fails
+    payload_digest, refers_to, payload); ``payload`` is NULL for revisits; ``id_type`` is the type of the
+    scene ids (``long`` or ``string``). A bad frame or record fails
     the job."""
+    kind = pa.string() if id_type == "string" else pa.int64()
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
@@ -234,24 +238,24 @@ def read_archives(archives: DataFrame) -> DataFrame:
                     rows, size = [], 0
                     for record in read_archive(stream):
                         f = record["fields"]
-                        number = lambda text: None if text in (None, "None") else int(text)
-                        rows.append((number(f["warc-scene-id"]), f.get("warc-target-uri"), f["warc-type"], record["payload_bytes"],
-                                     f["warc-payload-digest"].partition(":")[2], number(f.get("warc-refers-to-scene")), record["payload"]))
+                        name = lambda text: json.loads(text or "null")
+                        rows.append((name(f["warc-scene-id"]), f.get("warc-target-uri"), f["warc-type"], record["payload_bytes"],
+                                     f["warc-payload-digest"].partition(":")[2], name(f.get("warc-refers-to-scene")), record["payload"]))
                         size += record["payload_bytes"]
                         if size > 4 << 20 or len(rows) >= 2000:
-                            yield _batch(rows)
+                            yield _batch(rows, kind)
                             rows, size = [], 0
                     if rows:
-                        yield _batch(rows)
+                        yield _batch(rows, kind)
 
-    return storage.dealt(archives.select("path"), "path").mapInArrow(read, READ_SCHEMA)
+    return storage.dealt(archives.select("path"), "path").mapInArrow(read, READ_SCHEMA.format(id_type))
 
 
-READ_SCHEMA = ("scene_id long, href string, record_type string, payload_bytes long, payload_digest string, refers_to long, "
+READ_SCHEMA = ("scene_id {0}, href string, record_type string, payload_bytes long, payload_digest string, refers_to {0}, "
                "payload binary")
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+def _batch(rows: list[tuple], id_kind: pa.DataType) -> pa.RecordBatch:
+    kinds = [id_kind, pa.string(), pa.string(), pa.int64(), pa.string(), id_kind, pa.binary()]
     names = [c.split()[0] for c in READ_SCHEMA.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)

@@ -12,9 +12,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LONGEST = 32  # code points of a leaf
-LEAF = 12  # hex digits kept of a leaf's digest; the root keeps all 64
+LEAF = 12  # hex digits that the written tree keeps of a leaf's digest; nodes are made of all 64
 
 
 def _parts(text: Column, pattern: str) -> Column:
@@ -28,10 +29,10 @@ def _node(children: Column) -> Column:
 def merkle_tree(text: Column) -> Column:
     """struct(root, sections array<struct(node, paragraphs array<struct(node, leaves array<string>)>)>).
 
-    A leaf is written ``digest.length``, the length in code points. An empty text has no sections.
+    A leaf is ``digest.length``, the length in code points. An empty text has no sections.
     """
     def leaf(sentence: Column) -> Column:
-        return F.concat_ws(".", F.substring(F.sha2(sentence, 256), 1, LEAF), F.length(sentence).cast("string"))
+        return F.concat_ws(".", F.sha2(sentence, 256), F.length(sentence).cast("string"))
 
     def paragraph(part: Column) -> Column:
         return F.transform(_parts(part, f"(?<=[.!?] )|(?<=\\G(?s:.{{{LONGEST}}}))"), leaf)
@@ -51,8 +52,10 @@ def tree_leaves(sections: Column) -> Column:
 
 
 def tree_text(sections: Column) -> Column:
-    """The tree as text: root, then sections ``/``, their paragraphs ``;`` and leaves ``,``."""
-    body = F.transform(sections, lambda s: F.concat_ws(";", F.transform(s["paragraphs"], lambda p: F.concat_ws(",", p["leaves"]))))
+    """The tree as text: root, then sections ``/``, their paragraphs ``;`` and leaves ``,``, leaf digests
+    cut to ``LEAF`` digits."""
+    short = lambda x: F.concat(F.substring(x, 1, LEAF), F.substring(x, 65, 12))
+    body = F.transform(sections, lambda s: F.concat_ws(";", F.transform(s["paragraphs"], lambda p: F.concat_ws(",", F.transform(p["leaves"], short)))))
     return F.concat(tree_root(sections), F.lit("="), F.concat_ws("/", body))
 
 
@@ -72,49 +75,101 @@ def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _lacking(placed: Column, known: Column) -> Column:
-    """The items of ``placed``, structs with a field ``key``, whose key ``known`` lacks, in order.
+def _common_ends(left: Column, right: Column, body: Callable[[Column, Column], Column], key: Callable[[Column], Column]) -> Column:
+    """``body`` of both lists without the items that they begin and end with in common."""
+    def same(a: Column, b: Column) -> Column:
+        wrong = F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(key(x) == key(y), F.lit(False))), False)
+        return F.when(wrong > 0, wrong - 1).otherwise(F.size(a)).cast("int")
 
-    Both lists are sorted together, known keys ahead of equal ones, and cut into runs of equal keys, so
-    the cost is that of a sort.
-    """
-    def runs(mixed: Column, starts: Column) -> Column:
-        ends = F.transform(starts, lambda s, j: F.struct(s.alias("s"), F.coalesce(F.get(starts, j + 1), F.size(mixed)).alias("e")))
-        fresh = F.filter(ends, lambda r: F.get(mixed, r["s"])["at"] >= 0)
-        return F.flatten(F.transform(fresh, lambda r: F.transform(F.slice(mixed, r["s"] + 1, r["e"] - r["s"]), lambda x: x["at"])))
+    def cut(x: Column, first: Column, last: Column) -> Column:
+        return F.slice(x, first + 1, F.greatest(F.size(x) - first - last, F.lit(0)))
 
-    def search(items: Column) -> Column:
-        mixed = F.sort_array(F.concat(F.transform(items, lambda x, i: F.struct(x["key"].alias("key"), i.alias("at"))),
-                                      F.transform(known, lambda k: F.struct(k.alias("key"), F.lit(-1).alias("at")))))
-        found = _bound(mixed, lambda m: _bound(
-            F.filter(F.transform(m, lambda _, i: i), lambda i: (i == 0) | (F.get(m, i - 1)["key"] != F.get(m, i)["key"])), lambda starts: runs(m, starts)))
-        return F.transform(F.sort_array(found), lambda i: F.get(items, i))
+    def without_end(rest: Column) -> Column:
+        end = same(F.reverse(rest["a"]), F.reverse(rest["b"]))
+        return _bound(F.struct(cut(rest["a"], F.lit(0), end).alias("a"), cut(rest["b"], F.lit(0), end).alias("b")), lambda r: body(r["a"], r["b"]))
 
-    return _bound(placed, search)
+    both = F.struct(left.alias("a"), right.alias("b"))
+    return _bound(both, lambda x: _bound(same(x["a"], x["b"]), lambda first: _bound(
+        F.struct(cut(x["a"], first, F.lit(0)).alias("a"), cut(x["b"], first, F.lit(0)).alias("b")), without_end)))
 
 
-def changed_branches(left: Column, right: Column) -> Column:
-    """Places of ``left`` whose branch ``right`` lacks: array<struct(section, paragraph, leaf)>, from 0.
+def _matched(left: Column, right: Column) -> Column:
+    """array<struct(l, r, from, to)>: leaves of two lists with equal keys, the k-th of a key with the k-th;
+    ``l`` and ``r`` are places in the lists, NULL where a leaf has no partner. One sort of both lists."""
+    def groups(mixed: Column, starts: Column) -> Column:
+        ends = F.transform(starts, lambda s, j: F.slice(mixed, s + 1, F.coalesce(F.get(starts, j + 1), F.size(mixed)) - s))
+        sides = F.transform(ends, lambda g: F.struct(F.filter(g, lambda x: x["side"] == 0).alias("l"), F.filter(g, lambda x: x["side"] == 1).alias("r")))
+        return F.flatten(F.transform(sides, lambda g: F.zip_with(g["l"], g["r"], lambda a, b: F.struct(a["at"].alias("l"), b["at"].alias("r")))))
+
+    def entries(items: Column, side: int) -> Column:
+        return F.transform(items, lambda x, i: F.struct(x["key"].alias("key"), F.lit(side).alias("side"), i.alias("at")))
+
+    return _bound(F.sort_array(F.concat(entries(left, 0), entries(right, 1))), lambda m: _bound(
+        F.filter(F.transform(m, lambda _, i: i), lambda i: (i == 0) | (F.get(m, i - 1)["key"] != F.get(m, i)["key"])), lambda starts: groups(m, starts)))
+
+
+def _edits(left: Column, right: Column) -> Column:
+    """array<struct(kind, before, after)> of two lists of leaves (key, place); see ``changed_branches``."""
+    def named(kind: str) -> Callable[[Column], Column]:
+        return lambda p: F.struct(F.lit(kind).alias("kind"), F.get(left, p["l"])["place"].alias("before"), F.get(right, p["r"])["place"].alias("after"))
+
+    def moves(pairs: Column) -> Column:
+        by_left = F.transform(F.sort_array(F.filter(pairs, lambda p: p["l"].isNotNull() & p["r"].isNotNull())), lambda p, i: F.struct(p["r"].alias("r"), i.alias("i"), p["l"].alias("l")))
+        by_right = F.sort_array(F.transform(F.sort_array(by_left), lambda p, j: F.struct(p["i"].alias("i"), (j - p["i"]).alias("shift"), p["l"].alias("l"), p["r"].alias("r"))))
+
+        def outside(rows: Column, starts: Column) -> Column:
+            lengths = F.transform(starts, lambda s, j: F.struct((F.coalesce(F.get(starts, j + 1), F.size(rows)) - s).alias("n"), (-s).alias("s")))
+            return _bound(F.array_max(lengths), lambda run: F.filter(rows, lambda p: (p["i"] < -run["s"]) | (p["i"] >= run["n"] - run["s"])))
+
+        return _bound(by_right, lambda rows: _bound(
+            F.filter(F.transform(rows, lambda _, i: i), lambda i: (i == 0) | (F.get(rows, i - 1)["shift"] != F.get(rows, i)["shift"])), lambda starts: outside(rows, starts)))
 
-    Paragraphs with a digest in common are skipped whole (so sections are too), then leaves.
+    def all_of(pairs: Column) -> Column:
+        removed = F.transform(F.sort_array(F.filter(pairs, lambda p: p["r"].isNull())), named("removed"))
+        added = F.transform(F.sort_array(F.filter(pairs, lambda p: p["l"].isNull())), named("added"))
+        return F.concat(removed, added, F.coalesce(F.transform(moves(pairs), named("moved")), F.array().cast(EDITS)))
+
+    return _bound(_matched(left, right), all_of)
+
+
+PLACE = "struct<section:int,paragraph:int,leaf:int>"
+EDITS = f"array<struct<kind:string,before:{PLACE},after:{PLACE}>>"
+
+
+def changed_branches(left: Column, right: Column) -> Column:
+    """Where the text of tree ``right`` differs from that of ``left``: array<struct(kind, before, after)>.
+
+    ``before`` and ``after`` are places struct(section, paragraph, leaf), from 0, in either text. A leaf is
+    ``removed`` (no ``after``), ``added`` (no ``before``) or ``moved``. Both trees are walked from the root:
+    sections, then paragraphs, that both begin or end with, told by their digests, are passed over whole,
+    and so are leaves. Of what is left, the k-th leaf with a digest belongs to the k-th one with it on the
+    other side. Leaves without a partner were removed or added; the longest run of partners that follow
+    each other on both sides stays in place (the first of equally long ones), other partners were moved.
+    Equal texts have no edits, and texts that differ have one at least.
     """
-    known_paragraphs = F.flatten(F.transform(right, lambda s: F.transform(s["paragraphs"], lambda p: p["node"])))
-    paragraphs = _lacking(F.flatten(F.transform(left, lambda s, i: F.transform(s["paragraphs"], lambda p, j: F.struct(
-        p["node"].alias("key"), i.alias("section"), j.alias("paragraph"), p["leaves"].alias("below"))))), known_paragraphs)
-    leaves = _lacking(F.flatten(F.transform(paragraphs, lambda p: F.transform(p["below"], lambda x, k: F.struct(
-        x.alias("key"), p["section"].alias("section"), p["paragraph"].alias("paragraph"), k.alias("leaf"))))), tree_leaves(right))
-    return F.transform(leaves, lambda x: F.struct(x["section"].alias("section"), x["paragraph"].alias("paragraph"), x["leaf"].alias("leaf")))
+    def paragraphs(sections: Column) -> Column:
+        return F.flatten(F.transform(sections, lambda s: F.transform(s["item"]["paragraphs"], lambda p, j: F.struct(
+            p["node"].alias("key"), s["at"].alias("section"), j.alias("paragraph"), p["leaves"].alias("leaves")))))
+
+    def leaves(rows: Column) -> Column:
+        return F.flatten(F.transform(rows, lambda p: F.transform(p["leaves"], lambda x, k: F.struct(x.alias("key"), F.struct(
+            p["section"].alias("section"), p["paragraph"].alias("paragraph"), k.alias("leaf")).alias("place")))))
+
+    key = lambda x: x["key"]
+    placed = [F.transform(t, lambda s, i: F.struct(s["node"].alias("key"), i.alias("at"), s.alias("item"))) for t in (left, right)]
+    return _common_ends(*placed, lambda a, b: _common_ends(paragraphs(a), paragraphs(b), lambda c, d: _common_ends(leaves(c), leaves(d), _edits, key), key), key)
 
 
 def fingerprint_messages(alerts: DataFrame, id_column: str = "alert_id", message: str = "message_body") -> DataFrame:
     """(alert_id, n_chars, tree, fingerprint) of every alert. A NULL message is empty. Rows with NULL
-    or repeated ids are kept one by one; other columns are ignored."""
+    or repeated ids are kept one by one; messages are taken whole; other columns are ignored; an empty
+    table stays empty."""
     text = F.coalesce(F.col(message), F.lit(""))
     rows = alerts.select(F.col(id_column).alias("alert_id"), F.length(text).cast("long").alias("n_chars"), merkle_tree(text).alias("tree"))
     return rows.withColumn("fingerprint", tree_text(F.col("tree")))
 
 
-def _bucket(key: Column, cuts: list[float]) -> Column:
+def _bucket(key: Column, cuts: list) -> Column:
     """Number of cuts at or below ``key``, in about 2 * sqrt(cuts) comparisons a row."""
     if not cuts:
         return F.lit(0)
@@ -132,7 +187,7 @@ def compare_with_successor(alerts: DataFrame, share: int = 3, id_column: str = "
     The alert after it is the next in descending id order; the first follows the last. In the
     edited message the last ``n_chars // share`` code points are replaced by as many (or all) of the
     next message's first. Returns (alert_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next, edit_places: the changed branches of the edited tree).
+    near_edited, near_next, edit_places: what ``changed_branches`` finds in the edited message).
 
     Ids are cut into ``buckets`` ranges (by default four per shuffle partition) and every range also
     gets a copy of the first row of the range after it, so neighbours are found inside ranges, in one
@@ -143,16 +198,23 @@ def compare_with_successor(alerts: DataFrame, share: int = 3, id_column: str = "
     spark = alerts.sparkSession
     wanted = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(message), F.lit(""))
-    rows = alerts.select(F.col(id_column).cast("long").alias("alert_id"), text.alias("_text"))
-    cuts = sorted(set(rows.stat.approxQuantile("alert_id", [i / wanted for i in range(1, wanted)], 0.2 / wanted)))  # at most `wanted` numbers
-    placed = rows.withColumn("_bucket", F.when(F.col("alert_id").isNull(), -1).otherwise(_bucket(F.col("alert_id").cast("double"), cuts)))
+    rows = alerts.select(F.col(id_column).alias("alert_id"), text.alias("_text"))
+    id_type = rows.schema["alert_id"].dataType
+    if isinstance(id_type, T.NumericType):
+        cuts = sorted(set(rows.stat.approxQuantile("alert_id", [i / wanted for i in range(1, wanted)], 0.2 / wanted)))  # at most `wanted` numbers
+        place = _bucket(F.col("alert_id").cast("double"), cuts)
+    else:  # about 16 sampled ids a range
+        known = rows.where("alert_id IS NOT NULL").select("alert_id")
+        sample = sorted(r[0] for r in known.sample(min(1.0, 16 * wanted / max(1, known.count())), seed=7).collect())
+        place = _bucket(F.col("alert_id"), sorted({sample[i * len(sample) // wanted] for i in range(1, wanted)} if sample else ()))
+    placed = rows.withColumn("_bucket", F.when(F.col("alert_id").isNull(), -1).otherwise(place))
     rank = F.struct("alert_id", F.xxhash64("_text"))
     heads = placed.groupBy("_bucket").agg(F.max_by("_text", rank).alias("_text"), F.max("_bucket").alias("_at"))
     by_bucket = Window.orderBy(F.desc("_bucket"))  # one row per bucket, keys only
     keys = placed.select("_bucket").distinct()
     chain = keys.select("_bucket", F.coalesce(F.lead("_bucket").over(by_bucket), F.first("_bucket").over(by_bucket)).alias("_next"))
     guests = chain.join(heads.select(F.col("_at").alias("_next"), "_text"), "_next").select(
-        F.lit(None).cast("long").alias("alert_id"), "_text", "_bucket", F.lit(1).alias("_guest"))
+        F.lit(None).cast(id_type).alias("alert_id"), "_text", "_bucket", F.lit(1).alias("_guest"))
     together = placed.select("alert_id", "_text", "_bucket", F.lit(0).alias("_guest")).unionByName(guests)
     order = Window.partitionBy("_bucket").orderBy("_guest", F.desc_nulls_last("alert_id"), F.desc(F.xxhash64("_text")))
     # trees are grown behind the shuffle, which then carries the messages alone
@@ -171,4 +233,4 @@ def compare_with_successor(alerts: DataFrame, share: int = 3, id_column: str = "
         tree_text(F.col("_edited_tree")).alias("edited_fingerprint"),
         likeness(F.col("_leaves"), F.col("_edited_leaves")).alias("near_edited"),
         likeness(F.col("_leaves"), tree_leaves(F.col("_next_tree"))).alias("near_next"),
-        changed_branches(F.col("_edited_tree"), F.col("_tree")).alias("edit_places"))
+        changed_branches(F.col("_tree"), F.col("_edited_tree")).alias("edit_places"))

@@ -7,8 +7,9 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from landpulse.llm import storage
 from landpulse.llm.lexing import mix64
@@ -146,6 +147,11 @@ def jaccard_pairs(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, threshol
     return good & (sizes[a] > 0)
 
 
+def text_digest(body: Column) -> Column:
+    """64 bits of a digest of a message."""
+    return F.xxhash64(F.sha2(body, 256))
+
+
 def _prepared(alerts: DataFrame, n: int) -> DataFrame:
     """(alert_id, text, signature) of every alert, in one pass over the messages."""
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,20 +162,22 @@ def _prepared(alerts: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), batch.column(2).slice(begin, end - begin),
                                                   pa.array(sig, pa.binary())], ["alert_id", "text", "signature"])
 
-    return alerts.mapInArrow(prepare, "alert_id long, text long, signature binary")
+    schema = T.StructType([alerts.schema["alert_id"], T.StructField("text", T.LongType()), T.StructField("signature", T.BinaryType())])
+    return alerts.mapInArrow(prepare, schema)
 
 
 def near_messages(alerts: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, id_column: str = "alert_id",
                   message: str = "message_body") -> DataFrame:
-    """One row per alert: (alert_id, text_id, class_id, n_links).
+    """One row per alert: (alert_id, text_id, class_id, n_links, text, class_text).
 
     Equal messages share ``text_id``, the smallest id among them. Two different messages are linked
     when the Jaccard similarity of their sets of ``n``-word shingles is at least ``threshold``;
     ``n_links`` counts an alert's links to other texts, and ``class_id`` is the smallest id of the
-    texts connected with it. A text of fewer than ``n`` words is one shingle; texts without words link
+    texts connected with it. ``text`` is the message's digest (see ``text_digest``) and ``class_text`` the
+    smallest digest of its class, which names the class where ids repeat. A text of fewer than ``n`` words is one shingle; texts without words link
     to none. NULL messages are empty, alerts with NULL ids are left out of classes (all NULL but
-    the id); repeated ids with one message count once, with two messages are two rows; other columns
-    are ignored.
+    the id and the digest); repeated ids with one message count once, with two messages are two rows; other columns
+    are ignored; an empty table gives no rows. Messages are compared whole, however long.
 
     Candidates share a band of MinHash values (``BANDS`` of ``ROWS`` values, which misses a pair at
     0.8 with probability below 1e-7). MinHash values of a pair are then compared ``STEP`` at a time and
@@ -181,8 +189,8 @@ def near_messages(alerts: DataFrame, n: int = 5, threshold: float = 0.8, toleran
     """
     needs = fewest_matches(threshold, tolerance)
     body = F.coalesce(F.col(message), F.lit(""))
-    rows = alerts.select(F.col(id_column).cast("long").alias("alert_id"), body.alias("message_body"),
-                         F.xxhash64(F.sha2(body, 256)).alias("text"))  # 64 bits of a digest name a text from here on
+    rows = alerts.select(F.col(id_column).alias("alert_id"), body.alias("message_body"),
+                         text_digest(body).alias("text"))  # names a text from here on
     prepared = storage.stored(_prepared(rows, n), "message-signatures")
     unique = storage.stored(prepared.where("alert_id IS NOT NULL").groupBy("text").agg(
         F.min("alert_id").alias("text_id"), F.any_value("signature").alias("signature")), "unique-texts")
@@ -240,9 +248,11 @@ def near_messages(alerts: DataFrame, n: int = 5, threshold: float = 0.8, toleran
     edges = found.where("text <> linked_to").select(F.col("text").alias("src"), F.col("linked_to").alias("dst"))
     parts = graph_components(edges).select(F.col("node").alias("text"), "component")
     least = (parts.join(unique.select("text", "text_id"), "text").groupBy("component").agg(F.min("text_id").alias("class_id")))
-    classes = parts.join(least, "component").select("text", "class_id")
+    classes = parts.join(least, "component").select("text", "class_id", F.col("component").alias("class_text"))
     known = unique.select("text", "text_id").join(counts, "text", "left").join(classes, "text", "left").select(
-        "text", "text_id", F.coalesce("class_id", "text_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        "text", "text_id", F.coalesce("class_id", "text_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.coalesce("class_text", "text").alias("class_text"))
     named = prepared.where("alert_id IS NOT NULL").select("alert_id", "text").join(known, "text")
-    nameless = prepared.where("alert_id IS NULL").select("alert_id", *[F.lit(None).cast("long").alias(c) for c in ("text_id", "class_id", "n_links")])
+    none = {"text_id": rows.schema["alert_id"].dataType, "class_id": rows.schema["alert_id"].dataType, "n_links": T.LongType()}
+    nameless = prepared.where("alert_id IS NULL").select("alert_id", *[F.lit(None).cast(kind).alias(c) for c, kind in none.items()], "text", F.lit(None).cast("long").alias("class_text"))
     return named.select(*nameless.columns).unionByName(nameless)

@@ -9,11 +9,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from landpulse.llm import storage
 from landpulse.llm.tokens import encoder
 
-PIECE_SCHEMA = "alert_id long, piece int, start long, length long, ids_crc32 long"
+PIECE_FIELDS = [T.StructField("piece", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32")]]
 
 
 def message_pieces(alerts: DataFrame, path: str, kind: str = "word", capacity: int = 2048, end_id: int = 0,
@@ -23,7 +24,8 @@ def message_pieces(alerts: DataFrame, path: str, kind: str = "word", capacity: i
 
     Each message is followed by ``end_id``. Only longer ones are cut; the last piece is the rest.
     A NULL message is empty (one piece with the end id); rows with NULL or repeated ids are cut one
-    by one; other columns are ignored.
+    by one; very long messages are encoded alone, whole; other columns, whatever their names, are
+    ignored; an empty table gives no pieces.
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -41,8 +43,8 @@ def message_pieces(alerts: DataFrame, path: str, kind: str = "word", capacity: i
                     [ids.take(pa.array(owner)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
                      pa.array(crc, pa.int64())], ["alert_id", "piece", "start", "length", "ids_crc32"])
 
-    rows = alerts.select(F.col(id_column).cast("long").alias("alert_id"), F.coalesce(F.col(message), F.lit("")).alias("message_body"))
-    return rows.mapInArrow(cut, PIECE_SCHEMA)
+    rows = alerts.select(F.col(id_column).alias("alert_id"), F.coalesce(F.col(message), F.lit("")).alias("message_body"))
+    return rows.mapInArrow(cut, T.StructType([rows.schema["alert_id"], *PIECE_FIELDS]))
 
 
 def fullest(available: dict[int, int], room: int) -> dict[int, int]:
@@ -126,7 +128,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """
     spark = pieces.sparkSession
     salts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    salted = storage.stored(pieces.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in ("alert_id", "piece", "start") if c in pieces.columns]), F.lit(salts))), "pieces")
+    salted = storage.stored(pieces.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in ("alert_id", "piece", "start", "ids_crc32") if c in pieces.columns]), F.lit(salts))), "pieces")
     counts = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # <= capacity rows
     if any(not 1 <= k <= capacity for k in histogram):

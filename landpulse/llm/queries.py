@@ -25,8 +25,10 @@ def _query(fn):
 
 
 def alerts_of(documents: DataFrame) -> DataFrame:
-    """Documents as alerts: doc_id -> alert_id, text -> message_body, source -> aoi_name."""
-    return documents.withColumnsRenamed({"doc_id": "alert_id", "text": "message_body", "source": "aoi_name"})
+    """Documents as alerts: doc_id -> alert_id, text -> message_body, source -> aoi_name; columns that
+    have these names already give way."""
+    names = {"doc_id": "alert_id", "text": "message_body", "source": "aoi_name"}
+    return documents.drop(*names.values()).withColumnsRenamed(names)
 
 
 def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +108,7 @@ FROM counts, range(0, 200) AS c(copy) WHERE c.copy < copies
 @_query
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = near_messages.near_messages(_alerts(spark, sf_dir))
-    return linked.withColumnsRenamed({"alert_id": "doc_id"})
+    return linked.select(F.col("alert_id").alias("doc_id"), "text_id", "class_id", "n_links")
 
 
 @_query

@@ -2,6 +2,7 @@ import hashlib
 import io
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -201,23 +202,104 @@ def test_merkle(alerts, empty):
     assert merkle.compare_with_successor(empty).count() == 0 and len(merkle.fingerprint_messages(alerts).collect()) == 11
 
 
-def test_merkle_locates_edits(spark):
-    left = "Head one.\nHead two.\n\nBody one. Body two.\nLast."
-    df = spark.createDataFrame([(left, left.replace("Body two", "Body 2"))], "a string, b string")
-    places = df.select(merkle.changed_branches(merkle.merkle_tree(F.col("a")), merkle.merkle_tree(F.col("b"))).alias("p")).first()["p"]
-    assert [tuple(p) for p in places] == [(1, 0, 1)]
-
+def hand_cut(text):
+    """Sections of paragraphs of leaves: (text, place), sentences of 32 code points at most."""
+    sections = []
+    for i, section in enumerate(re.findall(r"(?s:.*?\n\n|.+\Z)", text)):
+        paragraphs = []
+        for j, paragraph in enumerate(re.findall(r"[^\n]*\n|[^\n]+\Z", section)):
+            leaves, leaf = [], ""
+            for n, c in enumerate(paragraph):
+                leaf += c
+                if n + 1 == len(paragraph) or re.search(r"[.!?] \Z", paragraph[:n + 1]) or len(leaf) == 32:
+                    leaves.append((leaf, (i, j, len(leaves))))
+                    leaf = ""
+            paragraphs.append(leaves)
+        sections.append(paragraphs)
+    return sections
+
+
+def placed_leaves(text):
+    return [x for s in hand_cut(text) for p in s for x in p]
+
+
+def brute_edits(a, b):
+    def words(item):
+        return item[0] if isinstance(item, tuple) else [words(x) for x in item]
+
+    left, right = hand_cut(a), hand_cut(b)
+    for level in range(3):  # sections, paragraphs, leaves
+        while left and right and words(left[0]) == words(right[0]):
+            left, right = left[1:], right[1:]
+        while left and right and words(left[-1]) == words(right[-1]):
+            left, right = left[:-1], right[:-1]
+        if level < 2:
+            left, right = [x for s in left for x in s], [x for s in right for x in s]
+    spare = {}
+    for n, (x, _) in enumerate(right):
+        spare.setdefault(x, []).append(n)
+    pairs = [(m, spare[x].pop(0)) if spare.get(x) else (m, None) for m, (x, _) in enumerate(left)]
+    there = [(m, n) for m, n in pairs if n is not None]
+    rank = {n: j for j, n in enumerate(sorted(n for _, n in there))}
+    shift = [rank[n] - i for i, (_, n) in enumerate(there)]
+    runs = [0] + [i for i in range(1, len(shift)) if shift[i] != shift[i - 1]] + [len(shift)]
+    size, start = max(((b - a, -a) for a, b in zip(runs, runs[1:])), default=(0, 0))
+    taken = {n for _, n in there}
+    return ([("removed", left[m][1], None) for m, n in pairs if n is None] + [("added", None, at) for n, (_, at) in enumerate(right) if n not in taken]
+            + [("moved", left[m][1], right[n][1]) for i, (m, n) in enumerate(there) if not -start <= i < size - start])
+
+
+def edits_of(spark, pairs):
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    found = df.select("i", merkle.changed_branches(merkle.merkle_tree(F.col("a")), merkle.merkle_tree(F.col("b"))).alias("e")).collect()
+    return [[(e["kind"], *(tuple(e[s]) if e[s] else None for s in ("before", "after"))) for e in r["e"]] for r in sorted(found, key=lambda r: r["i"])]
 
-def test_merkle_query_returns_every_edit_place(spark, sf):
-    def leaves(fingerprint):
-        body = fingerprint.split("=", 1)[1]
-        return [((i, j, k), x) for i, s in enumerate(body.split("/")) for j, p in enumerate(s.split(";")) for k, x in enumerate(p.split(",")) if x]
 
-    rows = queries.QUERIES["op6_merkle"](spark, sf).collect()
-    assert any(r["edit_places"] for r in rows)
-    for r in rows:
-        known = {x for _, x in leaves(r["fingerprint"])}
-        assert [tuple(p) for p in r["edit_places"]] == [at for at, x in leaves(r["edited_fingerprint"]) if x not in known]
+def test_merkle_locates_edits(spark):
+    text = "Head one.\nHead two.\n\nBody one. Body two. Body three. Body four.\nLast."
+    swap, twice = text.replace("Body two. Body three.", "Body three. Body two."), text.replace("Body two. ", "Body two. Body two. ")
+    got = edits_of(spark, [(text, text), (text, text.replace("Body two. ", "")), (text, swap), (text, twice), (text, text.replace("Body two", "Body 2")), ("", ""), ("", "New.")])
+    assert got == [[], [("removed", (1, 0, 1), None)], [("moved", (1, 0, 2), (1, 0, 1))], [("added", None, (1, 0, 2))],
+                   [("removed", (1, 0, 1), None), ("added", None, (1, 0, 1))], [], [("added", None, (0, 0, 0))]]
+
+
+def test_merkle_edits_equal_brute_force(spark):
+    rng = random.Random(9)
+    piece = lambda: rng.choice(["Rain. ", "Gauge up! ", "Is it? ", "a", "the river ran high and higher all night long ", "x\n", "\n\n", "é. "])
+    pairs = []
+    for _ in range(150):
+        a = [piece() for _ in range(rng.randrange(25))]
+        b = list(a)
+        for _ in range(rng.randrange(4)):
+            at, to = rng.randrange(len(b) + 1), rng.randrange(len(b) + 1)
+            b[at:at + rng.randrange(3)] = [piece() for _ in range(rng.randrange(3))]
+            if b and rng.random() < 0.4:
+                b.insert(to % len(b), b.pop(at % len(b)))
+        pairs.append(("".join(a), "".join(b)))
+    for (a, b), got in zip(pairs, edits_of(spark, pairs)):
+        assert got == brute_edits(a, b), (a, b)
+        assert bool(got) == (a != b)
+
+
+def test_merkle_query_returns_every_edit_and_likeness(spark, sf):
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    order = sorted(docs, reverse=True)
+    compared = queries.QUERIES["op6_merkle"](spark, sf)
+    assert not re.search("Python|Arrow|Pandas", compared._jdf.queryExecution().executedPlan().toString())
+
+    def likeness(a, b):
+        a, b = {x for x, _ in placed_leaves(a)}, {x for x, _ in placed_leaves(b)}
+        size = lambda leaves: sum(map(len, leaves))
+        return 2 * size(a & b) / (size(a) + size(b)) if a | b else 1.0
+
+    rows = {r["doc_id"]: r for r in compared.collect()}
+    assert set(rows) == set(docs)
+    for i, d in enumerate(order):
+        text, after = docs[d], docs[order[(i + 1) % len(order)]]
+        edited = text[:len(text) - len(text) // 3] + after[:len(text) // 3]
+        found = [(e["kind"], *(tuple(e[s]) if e[s] else None for s in ("before", "after"))) for e in rows[d]["edit_places"]]
+        assert found == brute_edits(text, edited)
+        assert rows[d]["near_edited"] == pytest.approx(likeness(text, edited)) and rows[d]["near_next"] == pytest.approx(likeness(text, after))
 
 
 # --- multi-index ---------------------------------------------------------------------------------
