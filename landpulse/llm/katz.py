@@ -13,14 +13,17 @@ histories these need.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from landpulse.llm import storage
 from landpulse.llm.lexing import mix64
@@ -84,7 +87,8 @@ class _Batch:
     """The tokens of one batch in a fixed order: messages by id and content."""
 
     def __init__(self, table: pa.Table):
-        order = np.lexsort((table["digest"].to_numpy(), table["alert_id"].fill_null(-1 << 62).to_numpy()))
+        rank = pc.rank(table["alert_id"].combine_chunks(), sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
+        order = np.lexsort((table["digest"].to_numpy(), rank))
         table = table.take(pa.array(order))
         self.ids, self.held = table["alert_id"], table["held_out"].to_numpy(zero_copy_only=False).astype(bool)
         words, sizes = [], []
@@ -197,9 +201,8 @@ def _send(parts: int, buckets: int):
 
 
 def _pack_documents(batch: _Batch, count: np.ndarray, n_docs: int) -> bytes:
-    missing = np.array([v is None for v in batch.ids.to_pylist()], bool)
-    ids = batch.ids.fill_null(0).to_numpy().astype(np.int64).view(np.float64)  # packed as they are
-    return _pack(ids=ids, missing=missing, held=batch.held, size=batch.sizes,
+    names = [json.dumps(i).encode() for i in batch.ids.to_pylist()]  # numbers or text
+    return _pack(ids=np.frombuffer(b"".join(names), np.uint8), id_size=np.array([len(i) for i in names], np.int64), held=batch.held, size=batch.sizes,
                  known=np.bincount(batch.doc, count > 0, n_docs).astype(np.int64), base=np.bincount(batch.doc, np.log10(count + 0.1), n_docs))
 
 
@@ -261,14 +264,16 @@ def _look_up(key: tuple, table: pa.Table) -> pa.Table:
     return pa.concat_tables(out)
 
 
-SCORED = ("batch int, doc int, alert_id long, held_out boolean, n_tokens long, n_known long, base double, sums double, "
+SCORED = ("batch int, doc int, alert_id {}, held_out boolean, n_tokens long, n_known long, base double, sums double, "
           "k1 long, k2 long, k3 long, k4 long, k5 long")
 
 
-def _gather(key: tuple, table: pa.Table) -> pa.Table:
+def _gather(id_kind: pa.DataType, key: tuple, table: pa.Table) -> pa.Table:
     kinds, blobs = table["kind"].to_pylist(), table["blob"].to_pylist()
     told = next(_unpack(b) for k, b in zip(kinds, blobs) if k == DOCS)
     n = len(told["size"])
+    ends, letters = np.cumsum(told["id_size"].astype(np.int64)).tolist(), told["ids"].tobytes()
+    ids = [json.loads(letters[a:b]) for a, b in zip([0, *ends], ends)]
     sums, rare = np.zeros(n), np.zeros((LIMIT, n), np.int64)
     for kind, blob in zip(kinds, blobs):
         if kind == SUMS:
@@ -277,7 +282,7 @@ def _gather(key: tuple, table: pa.Table) -> pa.Table:
             for r in range(LIMIT):
                 rare[r, part["doc"]] += part[f"k{r + 1}"]
     return pa.table({"batch": pa.array(np.full(n, key[0].as_py()), pa.int32()), "doc": pa.array(np.arange(n), pa.int32()),
-                     "alert_id": pa.array(told["ids"].view(np.int64), mask=told["missing"]), "held_out": pa.array(told["held"]),
+                     "alert_id": pa.array(ids, id_kind), "held_out": pa.array(told["held"]),
                      "n_tokens": pa.array(told["size"].astype(np.int64)), "n_known": pa.array(told["known"].astype(np.int64)), "base": told["base"], "sums": sums,
                      **{f"k{r + 1}": rare[r] for r in range(LIMIT)}})
 
@@ -299,8 +304,10 @@ def katz_scores(alerts: DataFrame, held_out: Column, id_column: str = "alert_id"
     split by the next word over several parts.
     """
     text = F.coalesce(F.col(message), F.lit(""))
-    rows = alerts.select(F.col(id_column).cast("long").alias("alert_id"), text.alias("message_body"), F.coalesce(held_out, F.lit(False)).alias("held_out"),
+    rows = alerts.select(F.col(id_column).alias("alert_id"), text.alias("message_body"), F.coalesce(held_out, F.lit(False)).alias("held_out"),
                          F.xxhash64(text).alias("digest"))
+    id_type = rows.schema["alert_id"].dataType
+    id_kind = to_arrow_type(id_type)
     size = rows.agg(F.sum(F.octet_length("message_body"))).first()[0] or 0
     batches = int(size // BATCH_BYTES) + 1
     dealt = rows.withColumn("batch", F.pmod(F.xxhash64("alert_id", "digest"), F.lit(batches)).cast("int"))
@@ -327,7 +334,8 @@ def katz_scores(alerts: DataFrame, held_out: Column, id_column: str = "alert_id"
         (left / F.greatest(1.0 - F.sum("mass"), F.lit(1e-12))).alias("backoff")), "backoff")
     unseen = (found.where(F.col("kind") == UNSEEN).select("batch", "doc", "history", "value").join(backoff, "history")
               .groupBy("batch", "doc").agg(F.sum(F.col("value") + F.log10("backoff")).alias("unseen")))
-    summed = found.where(F.col("kind").isin(DOCS, SUMS)).select("batch", "kind", "blob").groupBy("batch").applyInArrow(_gather, SCORED)
+    summed = found.where(F.col("kind").isin(DOCS, SUMS)).select("batch", "kind", "blob").groupBy("batch").applyInArrow(
+        lambda key, table: _gather(id_kind, key, table), SCORED.format(id_type.simpleString()))
     score = F.col("sums") + F.coalesce("unseen", F.lit(0.0))
     for r, factor in enumerate(factors, 1):
         score = score + F.col(f"k{r}") * F.lit(math.log10(factor))
