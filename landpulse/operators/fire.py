@@ -214,13 +214,25 @@ def corroboration_by_epoch(points: DataFrame, alarms: DataFrame, windows: DataFr
     ``alarms``: alarm_id, epoch, lon, lat. ``windows``: one row per epoch with from_day and to_day, both
     inside. Every epoch of ``windows`` is returned.
     """
-    mean_lat = points.agg(F.avg("lat")).first()[0]
-    inside = points.join(windows, F.to_date("ts").between(F.col("from_day"), F.col("to_day"))).drop("from_day", "to_day")
     n_alarms = alarms.groupBy("epoch").agg(F.count_distinct("alarm_id").alias("n_alarms"))
-    located = nearest_alarm(inside, alarms, max(radii), mean_lat, ["epoch"])
+    located = _located_by_epoch(points, alarms, windows, max(radii))
     return corroboration(located, windows.select("epoch").join(n_alarms, "epoch", "left").fillna(0, ["n_alarms"]), radii, ["epoch"])
 
 
+def corroboration_over_epochs(points: DataFrame, alarms: DataFrame, windows: DataFrame, radii: Sequence[float] = config.FIRE_RADII_M) -> DataFrame:
+    """Rates per radius over all epochs: each point counts in the epochs whose window holds its day, and an
+    alarm only for points of its own epoch. Arguments as in ``corroboration_by_epoch``."""
+    located = _located_by_epoch(points, alarms, windows, max(radii))
+    return corroboration(located, alarms.agg(F.count_distinct("alarm_id").alias("n_alarms")), radii)
+
+
+def _located_by_epoch(points: DataFrame, alarms: DataFrame, windows: DataFrame, reach_m: float) -> DataFrame:
+    """Points with the nearest alarm of their epochs. Windows are listed by day, so the join is on the day."""
+    days = windows.select("epoch", F.explode(F.sequence("from_day", "to_day")).alias("_day"))
+    inside = points.withColumn("_day", F.to_date("ts")).join(days, "_day").drop("_day")
+    return nearest_alarm(inside, alarms, reach_m, points.agg(F.avg("lat")).first()[0], ["epoch"])
+
+
 def lag_recovery(located: DataFrame, lag: str, radius_m: float = 375.0) -> DataFrame:
     """Points and recovery rate per lag interval, intervals without points included."""
     spark = located.sparkSession

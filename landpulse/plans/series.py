@@ -203,20 +203,22 @@ def _(spark, sf):
     return spark.read.schema("site int, platform string, month string, job_key string, batch int").parquet(output).select("site", "platform", "month", "job_key")
 
 
+def every_epoch(spark, sf):
+    e = tables.table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", F.round(F.col("value") * 100).cast("bigint").alias("cents"))
+    return streams.all_epoch_windows(streams.stream_table(spark, e, "all-epochs"), "event_type", "ts", "cents", *[scratch_path(spark, f"all-epochs-{x}") for x in ("parts", "late", "cp")])
+
+
 @query("tumbling_epoch_agg", f"SELECT event_type, CAST(date_trunc('day', ts) AS TIMESTAMP) AS epoch_start, count(*) AS n, {r6('sum(CAST(round(value * 100) AS BIGINT)) / 100.0')} AS total, {r6('max(value)')} AS peak FROM events "
-                             "WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2")
+                             "GROUP BY 1, 2")
 def _(spark, sf):
-    e = tables.table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", F.round(F.col("value") * 100).cast("bigint").alias("cents"))
-    out = _through_stream(spark, e, "epochs", lambda st: streams.epoch_windows(st, "event_type", "ts", "cents"))
+    out = every_epoch(spark, sf)
     return out.select("event_type", F.col("w.start").alias("epoch_start"), "n", round6(F.col("total") / 100.0).alias("total"), round6(F.col("peak") / 100.0).alias("peak"))
 
 
 @query("tumbling_epoch_all", f"SELECT event_type, CAST(date_trunc('day', ts) AS TIMESTAMP) AS epoch_start, count(*) AS n, {r6('sum(CAST(round(value * 100) AS BIGINT)) / 100.0')} AS total, {r6('max(value)')} AS peak, "
                              "date_trunc('day', ts) + INTERVAL 1 DAY > (SELECT max(ts) - INTERVAL 1 HOUR FROM events) AS is_open FROM events GROUP BY 1, 2, 6")
 def _(spark, sf):
-    e = tables.table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", F.round(F.col("value") * 100).cast("bigint").alias("cents"))
-    out = streams.all_epoch_windows(streams.stream_table(spark, e, "all-epochs"), "event_type", "ts", "cents",
-                                    *[scratch_path(spark, f"all-epochs-{x}") for x in ("parts", "late", "cp")])
+    out = every_epoch(spark, sf)
     return out.select("event_type", F.col("w.start").alias("epoch_start"), "n", round6(F.col("total") / 100.0).alias("total"), round6(F.col("peak") / 100.0).alias("peak"), "is_open")
 
 

@@ -24,11 +24,11 @@ from landpulse.sources.tables import CELL
 
 
 def _scored(spark, sf):
-    """Flood scores (six decimals, so that ties are the same everywhere) of the valid pixels."""
-    return scored_flood(_flood(spark, sf)).where("valid").withColumn("score", round6("score"))
+    """Flood scores of the valid pixels."""
+    return scored_flood(_flood(spark, sf)).where("valid")
 
 
-_V = s.FLOODSCORE + f", sp AS (SELECT * REPLACE ({r6('score')} AS score) FROM flood WHERE valid)"
+_V = s.FLOODSCORE + ", sp AS (SELECT * FROM flood WHERE valid)"
 
 
 @query("confusion_metrics", s.sql(_V + f", cm AS (SELECT epoch, {count_sql('score >= 0.2', 'reference')} FROM sp GROUP BY 1)", f"SELECT epoch, tp, fp, fn, tn, {metrics_sql()} FROM cm"))
@@ -138,14 +138,14 @@ def _(spark, sf):
     return a.select("epoch", "n_positive", round6("pr_auc_grid").alias("pr_auc_grid"))
 
 
-_GAIN = TRISTATE + f", tv AS (SELECT tile_id, tile_id % 3 AS cohort, {r6('score')} AS score, reference, o >= 0.5 AS resolvable FROM tri WHERE score IS NOT NULL)," + auc_sql("tv", "tile_id, cohort", "fullauc") + \
+_GAIN = TRISTATE + f", tv AS (SELECT tile_id, tile_id % 3 AS cohort, score, reference, o >= 0.5 AS resolvable FROM tri WHERE score IS NOT NULL)," + auc_sql("tv", "tile_id, cohort", "fullauc") + \
     ", tvr AS (SELECT * FROM tv WHERE resolvable)," + auc_sql("tvr", "tile_id, cohort", "resauc")
 
 
 @query("resolvable_gain", s.sql(_GAIN, f"SELECT f.cohort, count(*) AS n_tiles, {r6('avg(f.pr_auc)')} AS full_auc, {r6('avg(r.pr_auc)')} AS resolvable_auc, {r6('avg(r.pr_auc) - avg(f.pr_auc)')} AS gain, {r6('(avg(r.pr_auc) - avg(f.pr_auc)) / avg(f.pr_auc) * 100.0')} AS gain_pct "
                                        "FROM fullauc f JOIN resauc r USING (tile_id) GROUP BY 1"))
 def _(spark, sf):
-    d = decided_flood(tables.pixels(spark, sf)).where("score IS NOT NULL").select("tile_id", (F.col("tile_id") % 3).alias("cohort"), round6("score").alias("score"), "reference", (F.col("o") >= 0.5).alias("ok"))
+    d = decided_flood(tables.pixels(spark, sf)).where("score IS NOT NULL").select("tile_id", (F.col("tile_id") % 3).alias("cohort"), "score", "reference", (F.col("o") >= 0.5).alias("ok"))
     # both domains in one ranking: the resolvable pixels count again under their own key
     both = d.withColumn("domain", F.explode(F.when(F.col("ok"), F.array(F.lit("full"), F.lit("res"))).otherwise(F.array(F.lit("full")))))
     a = metrics.curve_areas(both, ["tile_id", "cohort", "domain"], "score", "reference")
@@ -157,7 +157,7 @@ def _(spark, sf):
 
 
 _OB = "CASE WHEN o < 0.2 THEN 0 WHEN o < 0.4 THEN 1 WHEN o < 0.6 THEN 2 WHEN o < 0.8 THEN 3 ELSE 4 END"
-_OBIN = TRISTATE + f", ov AS (SELECT CAST({_OB} AS INTEGER) AS bin, tile_id, epoch, row, col, {r6('score')} AS score, reference FROM tri WHERE score IS NOT NULL)"
+_OBIN = TRISTATE + f", ov AS (SELECT CAST({_OB} AS INTEGER) AS bin, tile_id, epoch, row, col, score, reference FROM tri WHERE score IS NOT NULL)"
 
 
 def observability_binned(spark, sf):
@@ -166,7 +166,7 @@ def observability_binned(spark, sf):
     for i, (low, high) in enumerate(config.OBSERVABILITY_BINS):
         inside = (F.col("o") >= low) & (F.col("o") < high)
         b = F.when(inside, i) if b is None else b.when(inside, i)
-    return d.select(*CELL, b.alias("bin"), round6("score").alias("score"), "reference")
+    return d.select(*CELL, b.alias("bin"), "score", "reference")
 
 
 @query("observability_bins", s.sql(_OBIN + "," + auc_sql("ov", "bin") + f""",
@@ -292,7 +292,7 @@ def _(spark, sf):
 
 
 _RDL = ROUTED + f""",
-rv AS (SELECT tile_id, 'global' AS strategy, {r6('score')} AS score, reference FROM routed WHERE valid UNION ALL SELECT tile_id, 'routed', {r6('routed_score')}, reference FROM routed WHERE valid),""" + auc_sql("rv", "tile_id, strategy") + f""",
+rv AS (SELECT tile_id, 'global' AS strategy, score, reference FROM routed WHERE valid UNION ALL SELECT tile_id, 'routed', routed_score, reference FROM routed WHERE valid),""" + auc_sql("rv", "tile_id, strategy") + f""",
 rc AS (SELECT tile_id, strategy, {count_sql('score >= 0.2', 'reference')} FROM rv GROUP BY 1, 2),
 rm AS (SELECT *, {METRIC_SQL['precision']} AS pr, {METRIC_SQL['f1']} AS f1, {METRIC_SQL['area_bias']} AS bias FROM rc JOIN auc USING (tile_id, strategy))"""
 
@@ -301,7 +301,7 @@ rm AS (SELECT *, {METRIC_SQL['precision']} AS pr, {METRIC_SQL['f1']} AS f1, {MET
   {r6('CASE WHEN g.fp > 0 THEN (g.fp - r.fp) / g.fp::DOUBLE * 100.0 ELSE 0.0 END')} AS fp_reduction_pct, {r6('CASE WHEN g.tp > 0 THEN r.tp / g.tp::DOUBLE ELSE 0.0 END')} AS tp_retention FROM rm g JOIN rm r USING (tile_id) WHERE g.strategy = 'global' AND r.strategy = 'routed'"""))
 def _(spark, sf):
     d = routed_flood(scored_flood(_flood(spark, sf))).where("valid")
-    both = F.explode(F.array(F.struct(F.lit("global").alias("strategy"), round6("score").alias("score")), F.struct(F.lit("routed").alias("strategy"), round6("routed_score").alias("score"))))
+    both = F.explode(F.array(F.struct(F.lit("global").alias("strategy"), F.col("score").alias("score")), F.struct(F.lit("routed").alias("strategy"), F.col("routed_score").alias("score"))))
     long = d.select("tile_id", "reference", both.alias("b")).select("tile_id", "reference", "b.*")
     keys = ["tile_id", "strategy"]
     m = long.groupBy(*keys).agg(*M.counts(F.col("score") >= 0.2, "reference")).join(metrics.curve_areas(long, keys, "score", "reference"), keys)
@@ -458,37 +458,42 @@ def _(spark, sf):
     return ref.groupBy("tile_id").agg(F.count(F.lit(1)).alias("n_reference"), F.count_if(hit).alias("n_matched"), round6(share(hit)).alias("object_recall"))
 
 
-@query("fire_corroboration", rsql(LOCATED + """,
-na AS (SELECT count(DISTINCT alarm_id) AS n_alarms FROM ac), rd(r) AS (VALUES (375.0::DOUBLE), (500.0::DOUBLE), (1000.0::DOUBLE)),
-fc AS (SELECT r AS radius_m, count(*) AS n_points, count(*) FILTER (WHERE dist_m <= r) AS h, count(DISTINCT CASE WHEN dist_m <= r THEN alarm_id END) AS a, coalesce(avg((coalesce(dist_m <= r, false))::INT) FILTER (WHERE frp >= 5), 0.0) AS f FROM loc, rd GROUP BY 1)""",
-    f"SELECT radius_m, n_points, n_alarms, h AS recovered_points, a AS corroborated_alarms, {r6('h / n_points::DOUBLE')} AS recovery_rate, {r6('CASE WHEN n_alarms > 0 THEN a / n_alarms::DOUBLE ELSE 0 END')} AS corroboration_rate, {r6('f')} AS high_frp_recovery FROM fc, na"))
-def _(spark, sf):
-    located, cells = located_points(spark, sf)
-    c = fire.corroboration(located, cells.agg(F.count_distinct("alarm_id").alias("n_alarms")))
-    return c.select("radius_m", "n_points", "n_alarms", "recovered_points", "corroborated_alarms",
-                    *[round6(x).alias(x) for x in ("recovery_rate", "corroboration_rate", "high_frp_recovery")])
-
-
 # the test tables' detections fill four weeks: epoch 1996 is paired with the first five days, 1997 with the next, and so on
 _EPOCH_DAYS = 5
-
-
-@query("fire_corroboration_by_epoch", rsql(ALARM_CELLS + s.FIRE + f""",
+_BY_EPOCH = ALARM_CELLS + s.FIRE + f""",
 pt AS (SELECT *, CAST(latitude AS DOUBLE) AS lat, CAST(longitude AS DOUBLE) AS lon FROM fp), ml AS (SELECT avg(lat) AS m FROM pt),
 ae AS (SELECT *, CAST(split_part(alarm_id, '_', 2) AS INTEGER) AS epoch FROM ac),
 wd AS (SELECT epoch, count(DISTINCT alarm_id) AS n_alarms, DATE '2024-01-01' + (epoch - 1996) * {_EPOCH_DAYS} AS d0 FROM ae GROUP BY 1),
 pw AS (SELECT p.*, epoch FROM pt p JOIN wd ON CAST(acq_date AS DATE) BETWEEN d0 AND d0 + {_EPOCH_DAYS - 1}),
 ds AS (SELECT p.seq, c.alarm_id, sqrt(pow((p.lon - c.lon) * (111320.0 * (SELECT cos(radians(m)) FROM ml)), 2) + pow((p.lat - c.lat) * 110750.0, 2)) AS d FROM pw p JOIN ae c ON p.epoch = c.epoch AND abs(p.lon - c.lon) < 0.011 AND abs(p.lat - c.lat) < 0.011),
 nd AS (SELECT seq, min(d) AS d, arg_min(alarm_id, (round(d, 4), alarm_id)) AS alarm_id FROM ds WHERE d <= 1000.0 GROUP BY 1),
-rd(r) AS (VALUES (375.0::DOUBLE), (500.0::DOUBLE), (1000.0::DOUBLE)),
+rd(r) AS (VALUES (375.0::DOUBLE), (500.0::DOUBLE), (1000.0::DOUBLE))"""
+
+
+def epoch_windows(cells):
+    """First and last day of each epoch that has alarms."""
+    start = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("epoch") - 1996) * _EPOCH_DAYS)
+    return cells.select("epoch").distinct().withColumns({"from_day": start, "to_day": F.date_add(start, _EPOCH_DAYS - 1)})
+
+
+@query("fire_corroboration", rsql(_BY_EPOCH + """,
+fc AS (SELECT r AS radius_m, (SELECT sum(n_alarms) FROM wd)::BIGINT AS n_alarms, count(p.seq) AS n_points, count(*) FILTER (WHERE d <= r) AS h, count(DISTINCT CASE WHEN d <= r THEN alarm_id END) AS a,
+  coalesce(avg((coalesce(d <= r, false))::INT) FILTER (WHERE frp >= 5), 0.0) AS f FROM rd CROSS JOIN pw p LEFT JOIN nd USING (seq) GROUP BY 1)""",
+    f"SELECT radius_m, n_points, n_alarms, h AS recovered_points, a AS corroborated_alarms, {r6('h / n_points::DOUBLE')} AS recovery_rate, {r6('CASE WHEN n_alarms > 0 THEN a / n_alarms::DOUBLE ELSE 0 END')} AS corroboration_rate, {r6('f')} AS high_frp_recovery FROM fc"))
+def _(spark, sf):
+    cells = cut_lineage(alarm_cells(spark, sf))
+    c = fire.corroboration_over_epochs(fire.parse_points(tables.fire_points(spark, sf)), cells, epoch_windows(cells))
+    return c.select("radius_m", "n_points", "n_alarms", "recovered_points", "corroborated_alarms",
+                    *[round6(x).alias(x) for x in ("recovery_rate", "corroboration_rate", "high_frp_recovery")])
+
+
+@query("fire_corroboration_by_epoch", rsql(_BY_EPOCH + f""",
 fc AS (SELECT w.epoch, r AS radius_m, n_alarms, count(p.seq) AS n_points, count(*) FILTER (WHERE d <= r) AS h, count(DISTINCT CASE WHEN d <= r THEN alarm_id END) AS a, coalesce(avg((coalesce(d <= r, false))::INT) FILTER (WHERE frp >= 5), 0.0) AS f
   FROM wd w CROSS JOIN rd LEFT JOIN pw p ON p.epoch = w.epoch LEFT JOIN nd USING (seq) GROUP BY 1, 2, 3)""",
     f"SELECT epoch, radius_m, n_points, n_alarms, h AS recovered_points, a AS corroborated_alarms, {r6('CASE WHEN n_points > 0 THEN h / n_points::DOUBLE ELSE 0 END')} AS recovery_rate, {r6('a / n_alarms::DOUBLE')} AS corroboration_rate, {r6('f')} AS high_frp_recovery FROM fc"))
 def _(spark, sf):
     cells = cut_lineage(alarm_cells(spark, sf))
-    start = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("epoch") - 1996) * _EPOCH_DAYS)
-    windows = cells.select("epoch").distinct().withColumns({"from_day": start, "to_day": F.date_add(start, _EPOCH_DAYS - 1)})
-    c = fire.corroboration_by_epoch(fire.parse_points(tables.fire_points(spark, sf)), cells, windows)
+    c = fire.corroboration_by_epoch(fire.parse_points(tables.fire_points(spark, sf)), cells, epoch_windows(cells))
     return c.select("epoch", "radius_m", "n_points", "n_alarms", "recovered_points", "corroborated_alarms",
                     *[round6(x).alias(x) for x in ("recovery_rate", "corroboration_rate", "high_frp_recovery")])
 
