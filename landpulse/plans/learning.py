@@ -30,6 +30,7 @@ def key():
 
 
 TRAINING_ROWS_PER_CLASS = 10_000  # training takes a bounded sample of labelled rows per class
+QUERY_DEPTH = 10  # of the forests in the queries; the operator grows to 30 by default
 
 
 def split_samples(spark, sf):
@@ -41,14 +42,14 @@ def split_samples(spark, sf):
 @query("train_rf")
 def _(spark, sf):
     rows = split_samples(spark, sf)
-    model = learning.train_forest(rows.where("NOT is_test"), FEATURES, "label")
+    model = learning.train_forest(rows.where("NOT is_test"), FEATURES, "label", depth=QUERY_DEPTH)
     scored = learning.predict(model, rows.where("is_test"), FEATURES)
     return learning.classification_report(scored, [], "label", "predicted")
 
 
 @query("infer_rf")
 def _(spark, sf):
-    model = learning.train_forest(split_samples(spark, sf).where("NOT is_test"), FEATURES, "label")
+    model = learning.train_forest(split_samples(spark, sf).where("NOT is_test"), FEATURES, "label", depth=QUERY_DEPTH)
     scored = learning.predict(model, samples(spark, sf), FEATURES)
     return scored.select(*CELL, "predicted", round6("confidence").alias("confidence"))
 
@@ -77,7 +78,7 @@ def _(spark, sf):
 @query("temporal_holdout")
 def _(spark, sf):
     rows = cut_lineage(learning.labelled_rows(samples(spark, sf), FEATURES, "label"))
-    model = learning.train_forest(rows.where("epoch <= 1998"), FEATURES, "label")
+    model = learning.train_forest(rows.where("epoch <= 1998"), FEATURES, "label", depth=QUERY_DEPTH)
     later = learning.predict(model, rows.where("epoch > 1998"), FEATURES)
     return learning.classification_report(later, ["epoch"], "label", "predicted")
 
