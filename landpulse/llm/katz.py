@@ -1,14 +1,17 @@
-"""Katz backoff scores of alert messages: Good-Turing discounted word pairs over words.
-
-P(w | h) of a word after a word h is the discounted share of the pair where training text has it;
-otherwise it is backoff(h) * P(w), with P(w) the discounted share of the word, and what the words gave
-up for one that training text lacks. Backoff weights make every history's probabilities sum to 1.
-
-Words never leave as rows. Messages are dealt into batches; a batch asks the word table for the numbers
-and counts of its distinct words, and then sends its pairs, as packed arrays, to the part of the pair table that
-its history belongs to. There pairs are counted and looked up in one place, so text and pairs
-move once each. What comes back are sums per message, the pairs that back off, and the
-histories these need.
+"""Katz backoff scores of alert messages: Good-Turing discounted n-grams, by default three words long.
+
+P(w | h) of a word after a history h is the discounted share of the n-gram where training text has it;
+otherwise it is backoff(h) * P(w | h without its first word), down to the discounted share of the word and
+what the words gave up for one that training text lacks. Backoff weights make every history's
+probabilities sum to 1.
+
+Words never leave as rows. Messages are dealt into batches, and one round an order goes through the
+parts of that order's table: a batch sends its distinct n-grams, as packed arrays, to the parts that
+their histories belong to; a part adds up the counts of all batches and answers with count and number of
+each n-gram. Numbers of one order name the histories of the next, and its counts tell which histories
+are long enough to be split. A batch sends at most one array for each distinct history that it holds, so
+the arrays never outnumber the words. With all answers a batch walks each token down the orders; weights
+of the histories that it backs off from are joined from the stored table of backoff weights.
 """
 
 from __future__ import annotations
@@ -33,7 +36,8 @@ LIMIT = 5  # counts up to here are discounted
 END = np.uint64(0x1D)  # no word hashes to this but by chance of 2**-64
 START = 0  # the history of a message's first token; words are numbered from 1
 BATCH_BYTES = 12 << 20
-HOT = 400_000  # a history with more training words is split by its next words
+HOT = 400_000  # a history seen oftener in training is split by its next words
+ORDER = 3
 
 
 def discounts(counts_of_counts: list[int]) -> list[float]:
@@ -115,11 +119,14 @@ class _Batch:
             yield int(p), order[slice(*np.searchsorted(part[order], [p, p + 1]))]
 
 
-ASK = "batch int, part int, blob binary"
-PAIRS = "bucket int, batch int, kind int, blob binary"
-FOUND = ("kind int, batch int, doc int, blob binary, history long, value double, total long, "
-         "n1 long, n2 long, n3 long, n4 long, n5 long, n6 long, above long, mass double")
-DOCS, SUMS, UNSEEN, HISTORY, COUNTS, STATS = range(6)
+CLASSES = [f"n{r}" for r in range(1, LIMIT + 1)]  # types of a history seen r times
+LOWER = [f"m{r}" for r in range(1, LIMIT + 1)]  # their counts one order down, where these are r
+SENT = "part int, batch int, blob binary"
+TOLD = "kind int, ord int, batch int, part int, blob binary"
+FOUND = (f"kind int, ord int, batch int, doc int, blob binary, history long, times long, total long, lower long, above long, m_above long, "
+         f"{', '.join(f'{c} long' for c in CLASSES + ['n6'] + LOWER)}")
+ANSWER, HISTORY, COUNTS, DOCS, UNSEEN = range(5)
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _table(schema: str, **columns) -> pa.Table:
@@ -129,9 +136,67 @@ def _table(schema: str, **columns) -> pa.Table:
                      for name, kind in (c.split() for c in schema.split(", "))})
 
 
-def _counts_of_counts(counts: np.ndarray) -> dict[str, list[int]]:
+def _counts_of_counts(counts: np.ndarray) -> dict[str, np.ndarray]:
     times = np.bincount(counts[counts <= LIMIT + 1].astype(np.int64), minlength=LIMIT + 2)
-    return {f"n{r}": [int(times[r])] for r in range(1, LIMIT + 2)}
+    return {f"n{r}": times[r:r + 1] for r in range(1, LIMIT + 2)}
+
+
+def _summary(order: int, part: int, counts: np.ndarray) -> pa.Table:
+    blob = _pack(total=np.array([counts.sum()], np.int64), above=np.array([len(counts)], np.int64), **_counts_of_counts(counts))
+    return _table(TOLD, kind=[COUNTS], ord=[order], batch=[part], part=[part], blob=[blob])
+
+
+class _Grams:
+    """The n-grams of one order in a batch: distinct (history, word) sorted by part, history and word.
+
+    Positions whose history training text lacks are not sent; where it lacks the n-gram one order down,
+    the history goes with the word 0, as it may still be asked for its weight.
+    """
+
+    def __init__(self, batch: _Batch, names: list[np.ndarray], counts: list[np.ndarray], parts: int):
+        first = np.cumsum(batch.sizes) - batch.sizes
+        self.history, self.seen = np.empty_like(names[-1]), np.empty_like(counts[-1])
+        self.history[1:], self.seen[1:] = names[-1][:-1], counts[-1][:-1]
+        self.history[first], self.seen[first] = START, counts[0][batch.tokens == END][0]  # as many starts as ends
+        self.low = counts[-1]
+        self.word = np.where(self.low > 0, names[0], 0)
+        salt = np.zeros(len(self.word), np.uint64)
+        hot = self.seen > HOT
+        salt[hot] = mix64(self.word[hot].astype(np.uint64)) % (self.seen[hot] // HOT + 1).astype(np.uint64)
+        part = (mix64(self.history.astype(np.uint64) + salt * GOLDEN) % np.uint64(parts)).astype(np.int64)
+        at = np.flatnonzero(self.seen > 0)
+        self.at = at[np.lexsort((self.word[at], self.history[at], part[at]))]
+        h, w = self.history[self.at], self.word[self.at]
+        new = np.ones(len(self.at), bool)
+        new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
+        self.gram, self.lead = np.cumsum(new) - 1, self.at[new]
+        self.part = part[self.lead]
+        self.present, self.begin = np.unique(self.part, return_index=True)
+        self.end = np.append(self.begin[1:], len(self.lead))
+        self.train = np.bincount(self.gram, batch.train[self.at], len(self.lead)).astype(np.int64)
+        self.asked = np.bincount(self.gram, ~batch.train[self.at], len(self.lead)) > 0
+
+    def blobs(self, lower: np.ndarray) -> tuple[list[int], list[bytes]]:
+        out = []
+        for a, b in zip(self.begin, self.end):
+            lead = self.lead[a:b]
+            h, at = np.unique(self.history[lead], return_index=True)
+            w, w_at = np.unique(self.word[lead], return_inverse=True)
+            seen = self.seen[lead[at]]
+            out.append(_pack(histories=np.diff(h, prepend=0), grams=np.diff(at, append=len(lead)), split=np.where(seen > HOT, seen, 0),
+                             asked=np.add.reduceat(self.asked[a:b].astype(np.int64), at) > 0, lower=lower[lead[at]],
+                             words=np.diff(w, prepend=0), w=w_at, low=self.low[lead], train=self.train[a:b]))
+        return self.present.tolist(), out
+
+    def answers(self, told: dict, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """Number and count of the n-gram at every position."""
+        name, count = np.zeros(len(self.word), np.int64), np.zeros(len(self.word), np.int64)
+        if len(self.lead):
+            answers = [_unpack(told[p]) for p in self.present.tolist()]
+            number = np.concatenate([np.cumsum(a["rank"], dtype=np.int64) * parts + p + 1 for a, p in zip(answers, self.present)])
+            name[self.at] = number[self.gram]
+            count[self.at] = np.concatenate([a["times"] for a in answers]).astype(np.int64)[self.gram]
+        return name, count
 
 
 def _ask(parts: int):
@@ -139,207 +204,237 @@ def _ask(parts: int):
         batch = _Batch(table)
         times = np.bincount(batch.number[batch.train], minlength=len(batch.words))
         rows = [(p, _pack(words=batch.words[at], times=times[at])) for p, at in batch.parts(parts)]
-        return _table(ASK, batch=[key[0].as_py()] * len(rows), part=[r[0] for r in rows], blob=[r[1] for r in rows])
+        return _table(SENT, batch=[key[0].as_py()] * len(rows), part=[r[0] for r in rows], blob=[r[1] for r in rows])
     return ask
 
 
 def _count_words(key: tuple, table: pa.Table) -> pa.Table:
-    asked = [_unpack(b) for b in table["blob"].to_pylist()]
+    asked, part = [_unpack(b) for b in table["blob"].to_pylist()], key[0].as_py()
     sizes = [len(a["words"]) for a in asked]
     words, number = np.unique(np.concatenate([a["words"] for a in asked]), return_inverse=True)
     total = np.bincount(number, np.concatenate([a["times"] for a in asked]), len(words)).astype(np.int64)
     cuts = np.cumsum(sizes)[:-1]  # a word's place in its part is its number there; asked words ascend
     answers = [_pack(times=t, rank=np.diff(n, prepend=0)) for t, n in zip(np.split(total[number], cuts), np.split(number, cuts))]
-    known = total[total > 0]
-    told = _table(ASK, batch=table["batch"].to_pylist(), part=table["part"].to_pylist(), blob=answers)
-    rare = np.array([n[0] for n in _counts_of_counts(known).values()])
-    stats = _pack(sums=np.array([len(known), known.sum(), *rare], np.int64))
-    return pa.concat_tables([told, _table(ASK, batch=[-1], part=[key[0].as_py()], blob=[stats])])
-
-
-def _send(parts: int, buckets: int):
+    n = len(answers)
+    told = _table(TOLD, kind=[ANSWER] * n, ord=[1] * n, batch=table["batch"].to_pylist(), part=[part] * n, blob=answers)
+    return pa.concat_tables([told, _summary(1, part, total[total > 0])])
+
+
+def _answered(batch: _Batch, table: pa.Table, parts: int, orders: int):
+    """Numbers and counts of every position's n-grams of orders 1 .. ``orders``, and the n-grams sent from order 2 on."""
+    told: dict = {}
+    for kind, order, part, blob in zip(*(table[c].to_pylist() for c in ("kind", "ord", "part", "blob"))):
+        if kind == ANSWER:
+            told.setdefault(order, {})[part] = blob
+    times, names = np.zeros(len(batch.words), np.int64), np.zeros(len(batch.words), np.int64)
+    for p, at in batch.parts(parts):
+        answer = _unpack(told[1][p])
+        times[at], names[at] = answer["times"], np.cumsum(answer["rank"], dtype=np.int64) * parts + p + 1
+    all_names, all_counts, grams = [names[batch.number]], [times[batch.number]], []
+    for order in range(2, orders + 1):
+        grams.append(_Grams(batch, all_names, all_counts, parts))
+        name, count = grams[-1].answers(told.get(order, {}), parts)
+        all_names.append(name)
+        all_counts.append(count)
+    return all_names, all_counts, grams
+
+
+def _send(parts: int, order: int):
     def send(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(texts):
-            return _table(PAIRS, bucket=[])
-        batch, number = _Batch(texts), key[0].as_py()
-        told = dict(zip(answers["part"].to_pylist(), answers["blob"].to_pylist()))
-        times, names = np.zeros(len(batch.words), np.int64), np.zeros(len(batch.words), np.int64)
-        for p, at in batch.parts(parts):
-            answer = _unpack(told[p])
-            times[at], names[at] = answer["times"], np.cumsum(answer["rank"], dtype=np.int64) * parts + p + 1
-        count, word = times[batch.number], names[batch.number]
-        n_docs = len(batch.sizes)
-        documents = _pack_documents(batch, count, n_docs)
-        first = np.cumsum(batch.sizes) - batch.sizes
-        before, seen = np.empty_like(word), np.empty_like(count)
-        before[1:], seen[1:] = word[:-1], count[:-1]
-        before[first], seen[first] = START, count[batch.tokens == END][0]  # as many starts as ends
-        hot = seen > HOT
-        salt = np.zeros(len(before), np.uint64)
-        salt[hot] = mix64(word[hot].astype(np.uint64)) % (seen[hot] // HOT + 1).astype(np.uint64)
-        bucket = (mix64(before.astype(np.uint64) + salt * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((batch.doc, word, before, bucket))
-        seen[~hot] = 0  # the part itself adds up histories that are not split
-        out_bucket, out_blob = [], []
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for b in np.flatnonzero(np.diff(edges)):
-            mine = order[edges[b]:edges[b + 1]]
-            h, w = before[mine], word[mine]
-            new = np.ones(len(mine), bool)
-            new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
-            pair, lead = np.cumsum(new) - 1, mine[new]
-            h_known, h_first, h_at = np.unique(h[new], return_index=True, return_inverse=True)
-            w_known, w_first, w_at = np.unique(w[new], return_index=True, return_inverse=True)
-            out_bucket.append(int(b))
-            out_blob.append(_pack(
-                histories=np.diff(h_known, prepend=0), seen=seen[lead[h_first]], h=np.diff(h_at, prepend=0),
-                words=np.diff(w_known, prepend=0), times=count[lead[w_first]], w=w_at,
-                train=np.bincount(pair, batch.train[mine]).astype(np.int64), each=np.bincount(pair), doc=batch.doc[mine]))
-        rows = len(out_bucket)
-        return _table(PAIRS, bucket=[*out_bucket, number % buckets], batch=[number] * (rows + 1), kind=[SUMS] * rows + [DOCS], blob=[*out_blob, documents])
+            return _table(SENT, part=[])
+        batch = _Batch(texts)
+        names, counts, grams = _answered(batch, answers, parts, order - 1)
+        lower = grams[-1].seen if grams else np.zeros(len(batch.tokens), np.int64)
+        part, blobs = _Grams(batch, names, counts, parts).blobs(lower)
+        return _table(SENT, part=part, batch=[key[0].as_py()] * len(part), blob=blobs)
     return send
 
 
-def _pack_documents(batch: _Batch, count: np.ndarray, n_docs: int) -> bytes:
-    names = [json.dumps(i).encode() for i in batch.ids.to_pylist()]  # numbers or text
-    return _pack(ids=np.frombuffer(b"".join(names), np.uint8), id_size=np.array([len(i) for i in names], np.int64), held=batch.held, size=batch.sizes,
-                 known=np.bincount(batch.doc, count > 0, n_docs).astype(np.int64), base=np.bincount(batch.doc, np.log10(count + 0.1), n_docs))
-
-
-def _look_up(key: tuple, table: pa.Table) -> pa.Table:
-    kinds = np.array(table["kind"].to_pylist())
-    stats = sum(_unpack(b)["sums"].astype(np.int64) for b in table.filter(pa.array(kinds == STATS))["blob"].to_pylist())
-    vocabulary, total, counts_of_counts = int(stats[0]), int(stats[1]), stats[2:].tolist()
-    passed = table.filter(pa.array(kinds == DOCS))
-    out = [_table(FOUND, kind=[DOCS] * len(passed), batch=passed["batch"].to_pylist(), blob=passed["blob"].to_pylist())]
-    table = table.filter(pa.array(kinds == SUMS))
-    if not len(table):
-        return pa.concat_tables([*out, _table(FOUND, kind=[COUNTS], total=[total], above=[vocabulary])])
-    blobs, batches = [_unpack(b) for b in table["blob"].to_pylist()], table["batch"].to_pylist()
-    join = lambda name: np.concatenate([b[name] for b in blobs])
-    pairs = [len(b["w"]) for b in blobs]
-    total_of = lambda a: np.cumsum(a, dtype=np.int64)
-    h = np.concatenate([total_of(b["histories"])[total_of(b["h"])] for b in blobs])
-    seen = np.concatenate([b["seen"][total_of(b["h"])] for b in blobs]).astype(np.int64)
-    w, times = np.concatenate([total_of(b["words"])[b["w"]] for b in blobs]), np.concatenate([b["times"][b["w"]] for b in blobs]).astype(np.int64)
-    keys = h << 32 | w if max(h.max(), w.max()) < 1 << 31 else mix64(h.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.astype(np.uint64))
-    unique, first, pair = np.unique(keys, return_index=True, return_inverse=True)
-    count = np.bincount(pair, join("train"), len(unique)).astype(np.int64)
-    out.append(_table(FOUND, kind=[COUNTS], total=[total], above=[vocabulary], **_counts_of_counts(count[count > 0])))
-    probability = word_probability(times[first], max(1, total), counts_of_counts)
-    # the histories of this part
-    known, h_at = np.unique(h[first], return_inverse=True)
-    have = count > 0
-    classes = [np.bincount(h_at[count == r], minlength=len(known)) for r in range(1, LIMIT + 1)]
-    above = np.bincount(h_at[count > LIMIT], count[count > LIMIT], len(known)).astype(np.int64)
-    mass = np.bincount(h_at[have], probability[have], len(known))
-    split = np.zeros(len(known), np.int64)
-    split[h_at] = seen[first]
-    h_seen = np.where(split > 0, split, np.bincount(h_at, count, len(known)).astype(np.int64))
-    whole = h_seen[h_at]
-    needed = np.zeros(len(known), bool)
-    needed[h_at[~have]] = True
-    needed = (needed | (split > 0)) & (h_seen > 0)
-    out.append(_table(FOUND, kind=np.full(needed.sum(), HISTORY, np.int32), history=known[needed], total=h_seen[needed],
-                      above=above[needed], mass=mass[needed], **{f"n{r + 1}": c[needed] for r, c in enumerate(classes)}))
-    value = np.zeros(len(unique))
-    low = have & (count <= LIMIT)
-    value[low] = np.log10(count[low] / whole[low])
-    value[have & ~low] = np.log10(count[have & ~low] / (whole[have & ~low] + 1.0))
-    closed = ~have & (whole == 0)
-    value[~have] = np.log10(probability[~have])
-    at = 0
-    for blob, batch, n in zip(blobs, batches, pairs):
-        doc, which = blob["doc"].astype(np.int64), np.repeat(pair[at:at + n], blob["each"].astype(np.int64))
-        at += n
-        docs, local = np.unique(doc, return_inverse=True)
-        final = have[which] | closed[which]
-        sums = np.bincount(local, np.where(final, value[which], 0.0), len(docs))
-        rare = [np.bincount(local[low[which] & (count[which] == r)], minlength=len(docs)) for r in range(1, LIMIT + 1)]
-        out.append(_table(FOUND, kind=[SUMS], batch=[batch], blob=[_pack(doc=docs, sums=sums, **{f"k{r + 1}": c for r, c in enumerate(rare)})]))
-        back = np.flatnonzero(~final)
-        if len(back):
-            out.append(_table(FOUND, kind=np.full(len(back), UNSEEN, np.int32), batch=np.full(len(back), batch, np.int32), doc=doc[back].astype(np.int32),
-                              history=h[first][which[back]], value=value[which[back]]))
-    return pa.concat_tables(out)
-
-
-SCORED = ("batch int, doc int, alert_id {}, held_out boolean, n_tokens long, n_known long, base double, sums double, "
-          "k1 long, k2 long, k3 long, k4 long, k5 long")
-
-
-def _gather(id_kind: pa.DataType, key: tuple, table: pa.Table) -> pa.Table:
-    kinds, blobs = table["kind"].to_pylist(), table["blob"].to_pylist()
-    told = next(_unpack(b) for k, b in zip(kinds, blobs) if k == DOCS)
-    n = len(told["size"])
-    ends, letters = np.cumsum(told["id_size"].astype(np.int64)).tolist(), told["ids"].tobytes()
-    ids = [json.loads(letters[a:b]) for a, b in zip([0, *ends], ends)]
-    sums, rare = np.zeros(n), np.zeros((LIMIT, n), np.int64)
-    for kind, blob in zip(kinds, blobs):
-        if kind == SUMS:
-            part = _unpack(blob)
-            sums[part["doc"]] += part["sums"]
-            for r in range(LIMIT):
-                rare[r, part["doc"]] += part[f"k{r + 1}"]
-    return pa.table({"batch": pa.array(np.full(n, key[0].as_py()), pa.int32()), "doc": pa.array(np.arange(n), pa.int32()),
-                     "alert_id": pa.array(ids, id_kind), "held_out": pa.array(told["held"]),
-                     "n_tokens": pa.array(told["size"].astype(np.int64)), "n_known": pa.array(told["known"].astype(np.int64)), "base": told["base"], "sums": sums,
-                     **{f"k{r + 1}": rare[r] for r in range(LIMIT)}})
-
-
-def katz_scores(alerts: DataFrame, held_out: Column, id_column: str = "alert_id", message: str = "message_body") -> DataFrame:
-    """log10 probability of every message by a word-pair model of the messages not held out:
+def _distinct(h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first place, number) of each pair, numbered in ascending order of both."""
+    if max(h.max(), w.max()) < 1 << 31:
+        _, first, number = np.unique(h << 32 | w, return_index=True, return_inverse=True)
+        return first, number
+    order = np.lexsort((w, h))
+    new = np.ones(len(h), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1])
+    number = np.empty(len(h), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
+
+
+def _count_grams(order: int):
+    def count_grams(key: tuple, table: pa.Table) -> pa.Table:
+        blobs, part = [_unpack(b) for b in table["blob"].to_pylist()], key[0].as_py()
+        of_gram = lambda b, name: np.repeat(b[name].astype(np.int64), b["grams"].astype(np.int64))
+        h = np.concatenate([np.repeat(np.cumsum(b["histories"], dtype=np.int64), b["grams"].astype(np.int64)) for b in blobs])
+        w = np.concatenate([np.cumsum(b["words"], dtype=np.int64)[b["w"]] for b in blobs])
+        first, number = _distinct(h, w)
+        count = np.bincount(number, np.concatenate([b["train"] for b in blobs]), len(first)).astype(np.int64)
+        cuts = np.cumsum([len(b["w"]) for b in blobs])[:-1]
+        answers = [_pack(times=t, rank=np.diff(n, prepend=0)) for t, n in zip(np.split(count[number], cuts), np.split(number, cuts))]
+        # sums of the histories that a batch may back off from; of split ones this part's share
+        known, at = np.unique(h[first], return_inverse=True)
+        split, lower = (np.concatenate([of_gram(b, name) for b in blobs])[first] for name in ("split", "lower"))
+        wanted = np.bincount(np.searchsorted(known, h), np.concatenate([of_gram(b, "asked") for b in blobs]), len(known)) > 0
+        held, below = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
+        held[at], below[at] = split, lower
+        low = np.concatenate([b["low"] for b in blobs]).astype(np.int64)[first]
+        have = count > 0
+        add = lambda chosen, value: np.bincount(at[chosen], value[chosen], len(known)).astype(np.int64)
+        ones = np.ones(len(count))
+        sums = {"total": np.where(held > 0, held, add(have, count)), "above": add(count > LIMIT, count), "m_above": add(have & (low > LIMIT), low)}
+        sums |= {c: add(count == r, ones) for r, c in enumerate(CLASSES, 1)}
+        sums |= {c: add(have & (low == r), low) for r, c in enumerate(LOWER, 1)}
+        wanted |= held > 0
+        history = _pack(history=known[wanted], lower=below[wanted], **{c: v[wanted] for c, v in sums.items()})
+        n = len(answers)
+        told = _table(TOLD, kind=[ANSWER] * n + [HISTORY], ord=[order] * (n + 1), batch=[*table["batch"].to_pylist(), part], part=[part] * (n + 1),
+                      blob=[*answers, history])
+        return pa.concat_tables([told, _summary(order, part, count[have])])
+    return count_grams
+
+
+def _evaluate(parts: int, orders: int):
+    """Every token down the orders to the first that training text has: per message, sums of logarithms
+    without discounts, how often each discount applies, and the histories it backs off from."""
+    def evaluate(key: tuple, texts: pa.Table, table: pa.Table) -> pa.Table:
+        out, number = [], key[0].as_py()
+        for kind, order, blob in zip(*(table[c].to_pylist() for c in ("kind", "ord", "blob"))):
+            if kind != ANSWER:
+                columns = _unpack(blob)
+                out.append(_table(FOUND, kind=[kind] * len(columns["total"]), ord=[order] * len(columns["total"]),
+                                  **{c: v.astype(np.int64) for c, v in columns.items()}))
+        if not len(texts):
+            return pa.concat_tables([*out, _table(FOUND, kind=[])])
+        batch = _Batch(texts)
+        _, counts, grams = _answered(batch, table, parts, orders)
+        n = len(batch.sizes)
+        open_, sums, rare = np.ones(len(batch.tokens), bool), np.zeros(n), []
+        for order in range(orders, 1, -1):
+            count, gram = counts[order - 1], grams[order - 2]
+            found = open_ & (count > 0)
+            share = count[found] / (gram.seen[found] + (count[found] > LIMIT))
+            sums += np.bincount(batch.doc[found], np.log10(share), n)
+            rare += [np.bincount(batch.doc[found & (count == r)], minlength=n) for r in range(1, LIMIT + 1)]
+            open_ &= ~found
+            back = np.flatnonzero(open_ & (gram.seen > 0))
+            if len(back):
+                doc, h = batch.doc[back], gram.history[back]
+                first, pair = _distinct(doc.astype(np.int64), h)
+                out.append(_table(FOUND, kind=np.full(len(first), UNSEEN), ord=np.full(len(first), order), batch=np.full(len(first), number),
+                                  doc=doc[first], history=h[first], times=np.bincount(pair)))
+        left, doc = counts[0][open_], batch.doc[open_]
+        sums += np.bincount(doc, np.log10(np.maximum(left, 1)), n)
+        rare += [np.bincount(doc[left == r], minlength=n) for r in range(1, LIMIT + 1)]
+        names = [json.dumps(i).encode() for i in batch.ids.to_pylist()]  # numbers or text
+        documents = _pack(ids=np.frombuffer(b"".join(names), np.uint8), id_size=np.array([len(i) for i in names], np.int64), held=batch.held,
+                          size=batch.sizes, known=np.bincount(batch.doc, counts[0] > 0, n).astype(np.int64),
+                          base=np.bincount(batch.doc, np.log10(counts[0] + 0.1), n), sums=sums,
+                          words=np.bincount(doc, minlength=n), unknown=np.bincount(doc[left == 0], minlength=n), rare=np.concatenate(rare))
+        return pa.concat_tables([*out, _table(FOUND, kind=[DOCS], batch=[number], blob=[documents])])
+    return evaluate
+
+
+SCORED = "batch int, doc int, alert_id {}, held_out boolean, n_tokens long, n_known long, base double, score double"
+
+
+def _documents(id_kind: pa.DataType, rare: np.ndarray, whole: float, unknown: float):
+    """Rows of the messages, their sums completed by the logarithms of discounts, of the words' total and of
+    the share of unknown words."""
+    def documents(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in tables:
+            for batch, blob in zip(table["batch"].to_pylist(), table["blob"].to_pylist()):
+                told = _unpack(blob)
+                n = len(told["size"])
+                ends, letters = np.cumsum(told["id_size"].astype(np.int64)).tolist(), told["ids"].tobytes()
+                ids = [json.loads(letters[a:b]) for a, b in zip([0, *ends], ends)]
+                score = told["sums"] + rare @ told["rare"].reshape(len(rare), n).astype(float) - told["words"] * whole + told["unknown"] * unknown
+                yield pa.record_batch({
+                    "batch": pa.array(np.full(n, batch), pa.int32()), "doc": pa.array(np.arange(n), pa.int32()), "alert_id": pa.array(ids, id_kind),
+                    "held_out": pa.array(told["held"]), "n_tokens": pa.array(told["size"].astype(np.int64)),
+                    "n_known": pa.array(told["known"].astype(np.int64)), "base": pa.array(told["base"]), "score": pa.array(score)})
+    return documents
+
+
+def backoff_weights(found: DataFrame, factors: dict[int, list[float]], total: int, given_up: float) -> DataFrame:
+    """(ord, history, log_backoff) from the sums of each history, of split ones from all their parts.
+
+    ``factors`` are the discounts by order; ``total`` and ``given_up`` are the training tokens and what
+    words gave up for unknown ones. What a history's n-grams gave up is divided by the share, one
+    order down, of the words that do not follow it.
+    """
+    def weighted(columns: list[str], by: list[float]) -> Column:
+        return sum((F.col(c) * F.lit(f) for c, f in zip(columns, by)), F.lit(0.0))
+
+    out = None
+    for order in sorted(o for o in factors if o > 1):
+        left = weighted(CLASSES, [(1.0 - d) * r for r, d in enumerate(factors[order], 1)]) / F.col("total")
+        left = left + F.col("above") / (F.col("total") * (F.col("total") + 1.0))
+        if order > 2:
+            mass = weighted(LOWER, factors[order - 1]) / F.col("lower") + F.col("m_above") / (F.col("lower") + 1.0)
+        elif given_up > 0:
+            mass = (weighted(LOWER, factors[1]) + F.col("m_above")) / F.lit(float(total))
+        else:
+            mass = (weighted(LOWER, [1.0] * LIMIT) + F.col("m_above")) / F.lit(total + 1.0)
+        rows = found.where((F.col("kind") == HISTORY) & (F.col("ord") == order)).groupBy("history").agg(
+            F.max("total").alias("total"), F.max("lower").alias("lower"),
+            *[F.sum(c).alias(c) for c in ["above", "m_above", *CLASSES, *LOWER]])
+        rows = rows.select(F.lit(order).alias("ord"), "history", F.log10(left / F.greatest(1.0 - mass, F.lit(1e-12))).alias("log_backoff"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def katz_scores(alerts: DataFrame, held_out: Column, id_column: str = "alert_id", message: str = "message_body", order: int = ORDER) -> DataFrame:
+    """log10 probability of every message by an n-gram model of the messages not held out:
     (alert_id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
-    Tokens are the lower-cased (A-Z) words of a message and one end. ``n_known`` counts tokens the
-    training text has; ``base_score`` is the sum of log10((c + 0.1) / (N + 0.1 * (V + 1))) with c a token's
-    training count, N all training tokens and V the distinct ones. In ``score``, counts up to 5 are
-    discounted by Good-Turing; a larger count r in a history seen c times keeps r / (c + 1), so that every
-    history leaves something to back off with. All words outside the training text share one
-    probability, as they do in the base.
+    Tokens are the lower-cased (A-Z) words of a message and one end; n-grams of up to ``order`` (2 or more) words
+    begin with as many starts as needed. ``n_known`` counts tokens the training text has; ``base_score`` is
+    the sum of log10((c + 0.1) / (N + 0.1 * (V + 1))) with c a token's training count, N all training tokens and V
+    the distinct ones. In ``score``, counts up to 5 are discounted by Good-Turing, order by order; a larger
+    count r in a history seen c times keeps r / (c + 1), so that every history leaves something to back off
+    with. All words outside the training text share one probability, as they do in the base.
 
     NULL messages are empty (one token, the end). A NULL ``held_out`` counts as training text. Rows with NULL or repeated ids are
-    scored one by one; without training text every known count is 0 and ``score`` is NULL; other columns
-    are ignored; an empty table stays empty. Histories seen in more than ``HOT`` training places are
+    scored one by one; a very long message is scored whole; without training text every known count is 0 and ``score`` is NULL;
+    other columns are ignored; an empty table stays empty. Histories seen in more than ``HOT`` training places are
     split by the next word over several parts.
     """
+    if order < 2:
+        raise ValueError("order must be 2 or more")
     text = F.coalesce(F.col(message), F.lit(""))
     rows = alerts.select(F.col(id_column).alias("alert_id"), text.alias("message_body"), F.coalesce(held_out, F.lit(False)).alias("held_out"),
                          F.xxhash64(text).alias("digest"))
     id_type = rows.schema["alert_id"].dataType
-    id_kind = to_arrow_type(id_type)
     size = rows.agg(F.sum(F.octet_length("message_body"))).first()[0] or 0
-    batches = int(size // BATCH_BYTES) + 1
-    dealt = rows.withColumn("batch", F.pmod(F.xxhash64("alert_id", "digest"), F.lit(batches)).cast("int"))
-    # one plan, so that the dealt messages are shuffled once for both of their uses
-    asked = dealt.groupBy("batch").applyInArrow(_ask(batches), ASK)
-    answered = asked.groupBy("part").applyInArrow(_count_words, ASK)
-    buckets = 2 * batches
-    pairs = (dealt.groupBy("batch").cogroup(answered.where("batch >= 0").groupBy("batch"))
-             .applyInArrow(_send(batches, buckets), PAIRS))
-    stats = answered.where("batch < 0").select(F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), "batch",
-                                               F.lit(STATS).alias("kind"), "blob")
-    found = storage.stored(pairs.unionByName(stats).groupBy("bucket").applyInArrow(_look_up, FOUND), "pair-counts")
-    names = [f"n{r}" for r in range(1, LIMIT + 2)]
-    seen = found.where(F.col("kind") == COUNTS).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names],
-                                                    F.max("total").alias("tokens"), F.max("above").alias("words")).first()
-    total, vocabulary = int(seen["tokens"] or 0), int(seen["words"] or 0)
-    factors = discounts([int(seen[c]) for c in names])
-    ns, given = [F.sum(c) for c in names[:LIMIT]], F.lit(0.0)
-    for r, n in enumerate(ns, 1):
-        given = given + F.lit((1.0 - factors[r - 1]) * r) * n
-    whole = F.max("total").cast("double")
-    left = given / whole + F.sum("above") / (whole * (whole + 1.0))
-    backoff = storage.stored(found.where(F.col("kind") == HISTORY).groupBy("history").agg(
-        (left / F.greatest(1.0 - F.sum("mass"), F.lit(1e-12))).alias("backoff")), "backoff")
-    unseen = (found.where(F.col("kind") == UNSEEN).select("batch", "doc", "history", "value").join(backoff, "history")
-              .groupBy("batch", "doc").agg(F.sum(F.col("value") + F.log10("backoff")).alias("unseen")))
-    summed = found.where(F.col("kind").isin(DOCS, SUMS)).select("batch", "kind", "blob").groupBy("batch").applyInArrow(
-        lambda key, table: _gather(id_kind, key, table), SCORED.format(id_type.simpleString()))
-    score = F.col("sums") + F.coalesce("unseen", F.lit(0.0))
-    for r, factor in enumerate(factors, 1):
-        score = score + F.col(f"k{r}") * F.lit(math.log10(factor))
+    parts = int(size // BATCH_BYTES) + 1
+    dealt = rows.withColumn("batch", F.pmod(F.xxhash64("alert_id", "digest"), F.lit(parts)).cast("int"))
+    # one plan, so that the dealt messages are shuffled once for all of their uses
+    told = dealt.groupBy("batch").applyInArrow(_ask(parts), SENT).groupBy("part").applyInArrow(_count_words, TOLD)
+    for k in range(2, order + 1):
+        sent = (dealt.groupBy("batch").cogroup(told.where(F.col("kind") == ANSWER).groupBy("batch"))
+                .applyInArrow(_send(parts, k), SENT))
+        told = told.unionByName(sent.groupBy("part").applyInArrow(_count_grams(k), TOLD))
+    found = storage.stored(dealt.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_evaluate(parts, order), FOUND), "n-gram-sums")
+    names = [*CLASSES, "n6"]
+    seen = {r["ord"]: r for r in found.where(F.col("kind") == COUNTS).groupBy("ord").agg(
+        *[F.sum(c).alias(c) for c in [*names, "total", "above"]]).collect()}  # a row an order
+    total, vocabulary = (int(seen[1]["total"]), int(seen[1]["above"])) if 1 in seen else (0, 0)
+    kinds = {k: [int(seen[k][c]) if k in seen else 0 for c in names] for k in range(1, order + 1)}
+    factors = {k: discounts(kinds[k]) for k in kinds}
+    given_up = sum((1 - d) * r * n for r, (d, n) in enumerate(zip(factors[1], kinds[1]), 1))
+    words = factors[1] if given_up > 0 else [1.0] * LIMIT  # as in word_probability
+    rare = np.log10(np.concatenate([*(factors[k] for k in range(order, 1, -1)), words]))
+    whole = math.log10(max(1.0, total if given_up > 0 else total + 1.0))
+    told_docs = found.where(F.col("kind") == DOCS).select("batch", "blob").mapInArrow(
+        _documents(to_arrow_type(id_type), rare, whole, math.log10(given_up) if given_up > 0 else 0.0), SCORED.format(id_type.simpleString()))
+    backoff = storage.stored(backoff_weights(found, factors, total, given_up), "backoff")
+    unseen = (found.where(F.col("kind") == UNSEEN).select("batch", "doc", "ord", "history", "times").join(backoff, ["ord", "history"])
+              .groupBy("batch", "doc").agg(F.sum(F.col("times") * F.col("log_backoff")).alias("unseen")))
+    score = F.col("score") + F.coalesce("unseen", F.lit(0.0))
     base = F.col("base") - F.col("n_tokens") * F.lit(math.log10(total + 0.1 * (vocabulary + 1)))
-    return summed.join(unseen, ["batch", "doc"], "left").select(
+    return told_docs.join(unseen, ["batch", "doc"], "left").select(
         "alert_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"),
         (score if total else F.lit(None).cast("double")).alias("score"))

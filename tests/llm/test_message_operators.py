@@ -410,39 +410,55 @@ def test_kth_largest(spark):
 
 # --- Katz backoff --------------------------------------------------------------------------------
 
-@pytest.mark.parametrize("batch,hot", [(12 << 20, 400_000), (3000, 40)])
-def test_katz(spark, alerts, empty, monkeypatch, batch, hot):
+@pytest.mark.parametrize("batch,hot,order", [(12 << 20, 400_000, 3), (3000, 40, 3), (3000, 40, 2), (3000, 15, 4)])
+def test_katz(spark, alerts, empty, monkeypatch, batch, hot, order):
     monkeypatch.setattr(katz, "BATCH_BYTES", batch)
     monkeypatch.setattr(katz, "HOT", hot)
     rng = random.Random(6)
     more = [(50 + i, " ".join(rng.choice(["water", "rises", "at", "noon", f"g{rng.randrange(40)}"]) for _ in range(rng.randrange(30)))) for i in range(150)]
     df = alerts.select("alert_id", "message_body").unionByName(spark.createDataFrame(more, "alert_id long, message_body string"))
-    rows = katz.katz_scores(df, F.col("alert_id") % 5 == 0).collect()
+    rows = katz.katz_scores(df, F.col("alert_id") % 5 == 0, order=order).collect()
     data = [(i, words_of(m) + ["</s>"], i is not None and i % 5 == 0) for i, m in messages(df)]
-    c1, c2, ch = Counter(), Counter(), Counter()
-    for _, t, held in data:
-        if not held:
-            c1.update(t)
-            c2.update(zip(["<s>"] + t, t))
-            ch.update(["<s>"] + t[:-1])
-    total, kinds = sum(c1.values()), Counter(c1.values())
-    d1, d2 = katz.discounts([kinds[r] for r in range(1, 7)]), katz.discounts([Counter(c2.values())[r] for r in range(1, 7)])
-    rest = sum((1 - d1[r - 1]) * r * kinds[r] for r in range(1, 6))
-    p1 = lambda w: ((d1[c1[w] - 1] if c1[w] <= 5 else 1) * c1[w] if c1[w] else rest) / total
-    share = lambda c, h: d2[c - 1] * c / ch[h] if c <= 5 else c / (ch[h] + 1)
+
+    def grams(t, k):
+        padded = ("<s>",) * (k - 1) + tuple(t)
+        return [padded[j:j + k] for j in range(len(t))]
+
+    counts = {k: Counter(g for _, t, held in data if not held for g in grams(t, k)) for k in range(1, order + 1)}
+    seen = {k: Counter() for k in counts}  # how often a history of k - 1 words was followed
+    for k, c in counts.items():
+        for g, r in c.items():
+            seen[k][g[:-1]] += r
+    total, kinds = seen[1][()], {k: Counter(c.values()) for k, c in counts.items()}
+    cut = {k: katz.discounts([kinds[k][r] for r in range(1, 7)]) for k in counts}
+    rest = sum((1 - cut[1][r - 1]) * r * kinds[1][r] for r in range(1, 6))
+
+    def share(g):  # of an n-gram that training text has
+        k, r, c = len(g), counts[len(g)][g], seen[len(g)][g[:-1]]
+        return cut[k][r - 1] * r / c if r <= 5 else r / (c + (k > 1))
+
     used, mass = Counter(), Counter()
-    for (h, w), c in c2.items():
-        used[h] += share(c, h)
-        mass[h] += p1(w)
-    weight = {h: (1 - used[h]) / (1 - mass[h]) for h in ch}
-    for h in list(ch)[:20]:  # every history sums to 1, words outside the training text included
-        inside = sum(share(c2[h, w], h) if c2[h, w] else weight[h] * p1(w) for w in c1)
-        assert inside + weight[h] * rest / total == pytest.approx(1.0)
+    for k in range(2, order + 1):
+        for g in counts[k]:
+            used[g[:-1]] += share(g)
+            mass[g[:-1]] += share(g[1:])
+
+    def chance(g):
+        if counts[len(g)][g]:
+            return share(g)
+        if len(g) == 1:
+            return rest / total
+        h = g[:-1]
+        return chance(g[1:]) * ((1 - used[h]) / (1 - mass[h]) if seen[len(g)][h] else 1)
+
+    for k in range(1, order + 1):  # every history sums to 1, words outside the training text included
+        for h in list(seen[k])[:15]:
+            assert sum(chance(h + w) for w in counts[1]) + chance(h + ("outside",)) == pytest.approx(1.0)
     want = Counter()
     for i, t, held in data:
-        score = sum(math.log10(share(c2[h, w], h) if c2[h, w] else (weight[h] if ch[h] else 1) * p1(w)) for h, w in zip(["<s>"] + t, t))
-        base = sum(math.log10((c1[w] + 0.1) / (total + 0.1 * (len(c1) + 1))) for w in t)
-        want[i, held, len(t), sum(c1[w] > 0 for w in t), total, round(base, 6), round(score, 6)] += 1
+        score = sum(math.log10(chance(g)) for g in grams(t, order))
+        base = sum(math.log10((counts[1][w,] + 0.1) / (total + 0.1 * (len(counts[1]) + 1))) for w in t)
+        want[i, held, len(t), sum(counts[1][w,] > 0 for w in t), total, round(base, 6), round(score, 6)] += 1
     got = Counter((r["alert_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in rows)
     assert got == want
     assert katz.katz_scores(empty, F.lit(False)).count() == 0
