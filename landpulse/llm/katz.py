@@ -68,11 +68,11 @@ def word_probability(counts: np.ndarray, total: int, counts_of_counts: list[int]
 def _pack(**arrays: np.ndarray) -> bytes:
     parts, head = [], []
     for name, a in arrays.items():
-        if a.dtype.kind == "i" or a.dtype == np.uint64 and name != "words":
+        if a.dtype.kind == "i" or a.dtype == np.uint64:
             top = int(a.max(initial=0))
             a = a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
         head.append(f"{name}:{a.dtype.str}:{len(a)}")
-        parts.append(a.tobytes())
+        parts.append(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())  # high bytes together
     return zstandard.ZstdCompressor(level=1).compress(" ".join(head).encode() + b"\n" + b"".join(parts))
 
 
@@ -82,16 +82,36 @@ def _unpack(blob: bytes) -> dict[str, np.ndarray]:
     out = {}
     for item in data[:line].decode().split():
         name, kind, n = item.split(":")
-        out[name] = np.frombuffer(data, kind, int(n), at)
-        at += out[name].nbytes
+        wide = np.dtype(kind).itemsize
+        planes = np.frombuffer(data, np.uint8, int(n) * wide, at).reshape(wide, int(n))
+        out[name] = np.ascontiguousarray(planes.T).view(kind).reshape(int(n))
+        at += int(n) * wide
     return out
 
 
+def _deal(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Messages of one batch that are read together as one compressed stream."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for table in tables:
+        number = table["batch"].to_numpy()
+        order = np.argsort(number, kind="stable")
+        rows = table.select([c for c in table.schema.names if c != "batch"])
+        batches, begin = np.unique(number[order], return_index=True)
+        blobs = []
+        for a, b in zip(begin, [*begin[1:], len(order)]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=options) as stream:
+                stream.write_batch(rows.take(pa.array(order[a:b])))
+            blobs.append(sink.getvalue().to_pybytes())
+        yield pa.record_batch({"batch": pa.array(batches, pa.int32()), "blob": pa.array(blobs, pa.binary())})
+
+
 class _Batch:
     """The tokens of one batch in a fixed order: messages by id and content."""
 
-    def __init__(self, table: pa.Table):
-        rank = pc.rank(table["alert_id"].combine_chunks(), sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
+    def __init__(self, dealt: pa.Table):
+        table = pa.concat_tables([pa.ipc.open_stream(b.as_buffer()).read_all() for b in dealt["blob"]]).combine_chunks()
+        rank = pc.rank(table["alert_id"].chunk(0), sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
         order = np.lexsort((table["digest"].to_numpy(), rank))
         table = table.take(pa.array(order))
         self.ids, self.held = table["alert_id"], table["held_out"].to_numpy(zero_copy_only=False).astype(bool)
@@ -103,7 +123,7 @@ class _Batch:
         sizes = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
         flat = np.concatenate(words) if words else np.zeros(0, np.uint64)
         self.sizes = sizes + 1
-        self.doc = np.repeat(np.arange(len(sizes)), self.sizes)
+        self.doc = np.repeat(np.arange(len(sizes), dtype=np.int32), self.sizes)
         ends = np.cumsum(self.sizes) - 1
         self.tokens = np.empty(len(self.doc), np.uint64)
         inner = np.ones(len(self.doc), bool)
@@ -165,27 +185,27 @@ class _Grams:
         salt[hot] = mix64(self.word[hot].astype(np.uint64)) % (self.seen[hot] // HOT + 1).astype(np.uint64)
         part = (mix64(self.history.astype(np.uint64) + salt * GOLDEN) % np.uint64(parts)).astype(np.int64)
         at = np.flatnonzero(self.seen > 0)
-        self.at = at[np.lexsort((self.word[at], self.history[at], part[at]))]
+        self.at = at[np.lexsort((self.word[at], self.history[at], part[at]))].astype(np.int32)
         h, w = self.history[self.at], self.word[self.at]
         new = np.ones(len(self.at), bool)
         new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
-        self.gram, self.lead = np.cumsum(new) - 1, self.at[new]
+        self.gram, self.lead = np.cumsum(new, dtype=np.int32) - 1, self.at[new]
         self.part = part[self.lead]
         self.present, self.begin = np.unique(self.part, return_index=True)
         self.end = np.append(self.begin[1:], len(self.lead))
         self.train = np.bincount(self.gram, batch.train[self.at], len(self.lead)).astype(np.int64)
         self.asked = np.bincount(self.gram, ~batch.train[self.at], len(self.lead)) > 0
 
-    def blobs(self, lower: np.ndarray) -> tuple[list[int], list[bytes]]:
+    def blobs(self, lower: np.ndarray, order: int) -> tuple[list[int], list[bytes]]:
         out = []
         for a, b in zip(self.begin, self.end):
             lead = self.lead[a:b]
             h, at = np.unique(self.history[lead], return_index=True)
-            w, w_at = np.unique(self.word[lead], return_inverse=True)
+            w, w_first, w_at = np.unique(self.word[lead], return_index=True, return_inverse=True)
             seen = self.seen[lead[at]]
             out.append(_pack(histories=np.diff(h, prepend=0), grams=np.diff(at, append=len(lead)), split=np.where(seen > HOT, seen, 0),
                              asked=np.add.reduceat(self.asked[a:b].astype(np.int64), at) > 0, lower=lower[lead[at]],
-                             words=np.diff(w, prepend=0), w=w_at, low=self.low[lead], train=self.train[a:b]))
+                             words=np.diff(w, prepend=0), w=w_at, low=self.low[lead[w_first] if order == 2 else lead], train=self.train[a:b]))
         return self.present.tolist(), out
 
     def answers(self, told: dict, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -196,6 +216,7 @@ class _Grams:
             number = np.concatenate([np.cumsum(a["rank"], dtype=np.int64) * parts + p + 1 for a, p in zip(answers, self.present)])
             name[self.at] = number[self.gram]
             count[self.at] = np.concatenate([a["times"] for a in answers]).astype(np.int64)[self.gram]
+        del self.at, self.gram, self.lead, self.word, self.low, self.train, self.asked  # only histories are used any more
         return name, count
 
 
@@ -203,7 +224,7 @@ def _ask(parts: int):
     def ask(key: tuple, table: pa.Table) -> pa.Table:
         batch = _Batch(table)
         times = np.bincount(batch.number[batch.train], minlength=len(batch.words))
-        rows = [(p, _pack(words=batch.words[at], times=times[at])) for p, at in batch.parts(parts)]
+        rows = [(p, _pack(words=np.diff(batch.words[at], prepend=np.uint64(0)), times=times[at])) for p, at in batch.parts(parts)]
         return _table(SENT, batch=[key[0].as_py()] * len(rows), part=[r[0] for r in rows], blob=[r[1] for r in rows])
     return ask
 
@@ -211,7 +232,7 @@ def _ask(parts: int):
 def _count_words(key: tuple, table: pa.Table) -> pa.Table:
     asked, part = [_unpack(b) for b in table["blob"].to_pylist()], key[0].as_py()
     sizes = [len(a["words"]) for a in asked]
-    words, number = np.unique(np.concatenate([a["words"] for a in asked]), return_inverse=True)
+    words, number = np.unique(np.concatenate([np.cumsum(a["words"], dtype=np.uint64) for a in asked]), return_inverse=True)
     total = np.bincount(number, np.concatenate([a["times"] for a in asked]), len(words)).astype(np.int64)
     cuts = np.cumsum(sizes)[:-1]  # a word's place in its part is its number there; asked words ascend
     answers = [_pack(times=t, rank=np.diff(n, prepend=0)) for t, n in zip(np.split(total[number], cuts), np.split(number, cuts))]
@@ -221,7 +242,7 @@ def _count_words(key: tuple, table: pa.Table) -> pa.Table:
 
 
 def _answered(batch: _Batch, table: pa.Table, parts: int, orders: int):
-    """Numbers and counts of every position's n-grams of orders 1 .. ``orders``, and the n-grams sent from order 2 on."""
+    """Numbers of every position's word and longest n-gram, its counts of orders 1 .. ``orders``, and the histories from order 2 on."""
     told: dict = {}
     for kind, order, part, blob in zip(*(table[c].to_pylist() for c in ("kind", "ord", "part", "blob"))):
         if kind == ANSWER:
@@ -231,10 +252,11 @@ def _answered(batch: _Batch, table: pa.Table, parts: int, orders: int):
         answer = _unpack(told[1][p])
         times[at], names[at] = answer["times"], np.cumsum(answer["rank"], dtype=np.int64) * parts + p + 1
     all_names, all_counts, grams = [names[batch.number]], [times[batch.number]], []
+    del batch.number
     for order in range(2, orders + 1):
         grams.append(_Grams(batch, all_names, all_counts, parts))
         name, count = grams[-1].answers(told.get(order, {}), parts)
-        all_names.append(name)
+        all_names[1:] = [name]  # the words and the longest
         all_counts.append(count)
     return all_names, all_counts, grams
 
@@ -246,7 +268,7 @@ def _send(parts: int, order: int):
         batch = _Batch(texts)
         names, counts, grams = _answered(batch, answers, parts, order - 1)
         lower = grams[-1].seen if grams else np.zeros(len(batch.tokens), np.int64)
-        part, blobs = _Grams(batch, names, counts, parts).blobs(lower)
+        part, blobs = _Grams(batch, names, counts, parts).blobs(lower, order)
         return _table(SENT, part=part, batch=[key[0].as_py()] * len(part), blob=blobs)
     return send
 
@@ -280,7 +302,7 @@ def _count_grams(order: int):
         wanted = np.bincount(np.searchsorted(known, h), np.concatenate([of_gram(b, "asked") for b in blobs]), len(known)) > 0
         held, below = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
         held[at], below[at] = split, lower
-        low = np.concatenate([b["low"] for b in blobs]).astype(np.int64)[first]
+        low = np.concatenate([b["low"][b["w"]] if order == 2 else b["low"] for b in blobs]).astype(np.int64)[first]
         have = count > 0
         add = lambda chosen, value: np.bincount(at[chosen], value[chosen], len(known)).astype(np.int64)
         ones = np.ones(len(count))
@@ -410,7 +432,7 @@ def katz_scores(alerts: DataFrame, held_out: Column, id_column: str = "alert_id"
     id_type = rows.schema["alert_id"].dataType
     size = rows.agg(F.sum(F.octet_length("message_body"))).first()[0] or 0
     parts = int(size // BATCH_BYTES) + 1
-    dealt = rows.withColumn("batch", F.pmod(F.xxhash64("alert_id", "digest"), F.lit(parts)).cast("int"))
+    dealt = rows.withColumn("batch", F.pmod(F.xxhash64("alert_id", "digest"), F.lit(parts)).cast("int")).mapInArrow(_deal, "batch int, blob binary")
     # one plan, so that the dealt messages are shuffled once for all of their uses
     told = dealt.groupBy("batch").applyInArrow(_ask(parts), SENT).groupBy("part").applyInArrow(_count_words, TOLD)
     for k in range(2, order + 1):
