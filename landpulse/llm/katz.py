@@ -38,6 +38,7 @@ START = 0  # the history of a message's first token; words are numbered from 1
 BATCH_BYTES = 12 << 20
 HOT = 400_000  # a history seen oftener in training is split by its next words
 ORDER = 3
+LEVEL = 5  # of compression
 
 
 def discounts(counts_of_counts: list[int]) -> list[float]:
@@ -73,7 +74,7 @@ def _pack(**arrays: np.ndarray) -> bytes:
             a = a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
         head.append(f"{name}:{a.dtype.str}:{len(a)}")
         parts.append(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())  # high bytes together
-    return zstandard.ZstdCompressor(level=1).compress(" ".join(head).encode() + b"\n" + b"".join(parts))
+    return zstandard.ZstdCompressor(level=LEVEL).compress(" ".join(head).encode() + b"\n" + b"".join(parts))
 
 
 def _unpack(blob: bytes) -> dict[str, np.ndarray]:
@@ -91,7 +92,7 @@ def _unpack(blob: bytes) -> dict[str, np.ndarray]:
 
 def _deal(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Messages of one batch that are read together as one compressed stream."""
-    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))
     for table in tables:
         number = table["batch"].to_numpy()
         order = np.argsort(number, kind="stable")
@@ -125,11 +126,12 @@ class _Batch:
         self.sizes = sizes + 1
         self.doc = np.repeat(np.arange(len(sizes), dtype=np.int32), self.sizes)
         ends = np.cumsum(self.sizes) - 1
-        self.tokens = np.empty(len(self.doc), np.uint64)
+        tokens = np.empty(len(self.doc), np.uint64)
         inner = np.ones(len(self.doc), bool)
         inner[ends] = False
-        self.tokens[inner], self.tokens[ends] = flat, END
-        self.words, self.number = np.unique(self.tokens, return_inverse=True)
+        tokens[inner], tokens[ends] = flat, END
+        self.words, self.number = np.unique(tokens, return_inverse=True)
+        self.number = self.number.astype(np.int32)
         self.train = ~self.held[self.doc]
 
     def parts(self, count: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -149,6 +151,10 @@ ANSWER, HISTORY, COUNTS, DOCS, UNSEEN = range(5)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _narrow(a: np.ndarray) -> np.ndarray:
+    return a.astype(np.int32) if a.max(initial=0) < 1 << 31 else a
+
+
 def _table(schema: str, **columns) -> pa.Table:
     kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
     size = max((len(c) for c in columns.values()), default=0)
@@ -177,7 +183,7 @@ class _Grams:
         first = np.cumsum(batch.sizes) - batch.sizes
         self.history, self.seen = np.empty_like(names[-1]), np.empty_like(counts[-1])
         self.history[1:], self.seen[1:] = names[-1][:-1], counts[-1][:-1]
-        self.history[first], self.seen[first] = START, counts[0][batch.tokens == END][0]  # as many starts as ends
+        self.history[first], self.seen[first] = START, counts[0][batch.sizes[0] - 1]  # as many starts as ends
         self.low = counts[-1]
         self.word = np.where(self.low > 0, names[0], 0)
         salt = np.zeros(len(self.word), np.uint64)
@@ -203,19 +209,24 @@ class _Grams:
             h, at = np.unique(self.history[lead], return_index=True)
             w, w_first, w_at = np.unique(self.word[lead], return_index=True, return_inverse=True)
             seen = self.seen[lead[at]]
+            asked = np.add.reduceat(self.asked[a:b].astype(np.int64), at) > 0
             out.append(_pack(histories=np.diff(h, prepend=0), grams=np.diff(at, append=len(lead)), split=np.where(seen > HOT, seen, 0),
-                             asked=np.add.reduceat(self.asked[a:b].astype(np.int64), at) > 0, lower=lower[lead[at]],
+                             asked=asked, lower=np.where(asked, lower[lead[at]], 0),
                              words=np.diff(w, prepend=0), w=w_at, low=self.low[lead[w_first] if order == 2 else lead], train=self.train[a:b]))
         return self.present.tolist(), out
 
     def answers(self, told: dict, parts: int) -> tuple[np.ndarray, np.ndarray]:
-        """Number and count of the n-gram at every position."""
-        name, count = np.zeros(len(self.word), np.int64), np.zeros(len(self.word), np.int64)
+        """Number (none in the last order) and count of the n-gram at every position."""
+        name = count = np.zeros(len(self.word), np.int32)
         if len(self.lead):
             answers = [_unpack(told[p]) for p in self.present.tolist()]
-            number = np.concatenate([np.cumsum(a["rank"], dtype=np.int64) * parts + p + 1 for a, p in zip(answers, self.present)])
-            name[self.at] = number[self.gram]
-            count[self.at] = np.concatenate([a["times"] for a in answers]).astype(np.int64)[self.gram]
+            times = _narrow(np.concatenate([a["times"] for a in answers]).astype(np.int64))
+            count = np.zeros(len(self.word), times.dtype)
+            count[self.at] = times[self.gram]
+            if "rank" in answers[0]:
+                number = _narrow(np.concatenate([np.cumsum(a["rank"], dtype=np.int64) * parts + p + 1 for a, p in zip(answers, self.present)]))
+                name = np.zeros(len(self.word), number.dtype)
+                name[self.at] = number[self.gram]
         del self.at, self.gram, self.lead, self.word, self.low, self.train, self.asked  # only histories are used any more
         return name, count
 
@@ -251,7 +262,7 @@ def _answered(batch: _Batch, table: pa.Table, parts: int, orders: int):
     for p, at in batch.parts(parts):
         answer = _unpack(told[1][p])
         times[at], names[at] = answer["times"], np.cumsum(answer["rank"], dtype=np.int64) * parts + p + 1
-    all_names, all_counts, grams = [names[batch.number]], [times[batch.number]], []
+    all_names, all_counts, grams = [_narrow(names)[batch.number]], [_narrow(times)[batch.number]], []
     del batch.number
     for order in range(2, orders + 1):
         grams.append(_Grams(batch, all_names, all_counts, parts))
@@ -267,7 +278,7 @@ def _send(parts: int, order: int):
             return _table(SENT, part=[])
         batch = _Batch(texts)
         names, counts, grams = _answered(batch, answers, parts, order - 1)
-        lower = grams[-1].seen if grams else np.zeros(len(batch.tokens), np.int64)
+        lower = grams[-1].seen if grams else np.zeros(len(batch.doc), np.int64)
         part, blobs = _Grams(batch, names, counts, parts).blobs(lower, order)
         return _table(SENT, part=part, batch=[key[0].as_py()] * len(part), blob=blobs)
     return send
@@ -286,7 +297,7 @@ def _distinct(h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[new], number
 
 
-def _count_grams(order: int):
+def _count_grams(order: int, last: bool):
     def count_grams(key: tuple, table: pa.Table) -> pa.Table:
         blobs, part = [_unpack(b) for b in table["blob"].to_pylist()], key[0].as_py()
         of_gram = lambda b, name: np.repeat(b[name].astype(np.int64), b["grams"].astype(np.int64))
@@ -295,13 +306,14 @@ def _count_grams(order: int):
         first, number = _distinct(h, w)
         count = np.bincount(number, np.concatenate([b["train"] for b in blobs]), len(first)).astype(np.int64)
         cuts = np.cumsum([len(b["w"]) for b in blobs])[:-1]
-        answers = [_pack(times=t, rank=np.diff(n, prepend=0)) for t, n in zip(np.split(count[number], cuts), np.split(number, cuts))]
+        answers = [_pack(times=t, **({} if last else {"rank": np.diff(n, prepend=0)})) for t, n in zip(np.split(count[number], cuts), np.split(number, cuts))]
         # sums of the histories that a batch may back off from; of split ones this part's share
         known, at = np.unique(h[first], return_inverse=True)
-        split, lower = (np.concatenate([of_gram(b, name) for b in blobs])[first] for name in ("split", "lower"))
-        wanted = np.bincount(np.searchsorted(known, h), np.concatenate([of_gram(b, "asked") for b in blobs]), len(known)) > 0
-        held, below = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
-        held[at], below[at] = split, lower
+        held, below, wanted = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64), np.zeros(len(known), bool)
+        held[at] = np.concatenate([of_gram(b, "split") for b in blobs])[first]
+        for b in blobs:  # a history's lower count comes from the batches that ask for it
+            mine = np.searchsorted(known, np.cumsum(b["histories"], dtype=np.int64)[b["asked"]])
+            wanted[mine], below[mine] = True, b["lower"][b["asked"]]
         low = np.concatenate([b["low"][b["w"]] if order == 2 else b["low"] for b in blobs]).astype(np.int64)[first]
         have = count > 0
         add = lambda chosen, value: np.bincount(at[chosen], value[chosen], len(known)).astype(np.int64)
@@ -333,7 +345,7 @@ def _evaluate(parts: int, orders: int):
         batch = _Batch(texts)
         _, counts, grams = _answered(batch, table, parts, orders)
         n = len(batch.sizes)
-        open_, sums, rare = np.ones(len(batch.tokens), bool), np.zeros(n), []
+        open_, sums, rare = np.ones(len(batch.doc), bool), np.zeros(n), []
         for order in range(orders, 1, -1):
             count, gram = counts[order - 1], grams[order - 2]
             found = open_ & (count > 0)
@@ -403,6 +415,8 @@ def backoff_weights(found: DataFrame, factors: dict[int, list[float]], total: in
         rows = found.where((F.col("kind") == HISTORY) & (F.col("ord") == order)).groupBy("history").agg(
             F.max("total").alias("total"), F.max("lower").alias("lower"),
             *[F.sum(c).alias(c) for c in ["above", "m_above", *CLASSES, *LOWER]])
+        if order > 2:
+            rows = rows.where("lower > 0")  # split ones that nobody asks for come without it
         rows = rows.select(F.lit(order).alias("ord"), "history", F.log10(left / F.greatest(1.0 - mass, F.lit(1e-12))).alias("log_backoff"))
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -438,7 +452,7 @@ def katz_scores(alerts: DataFrame, held_out: Column, id_column: str = "alert_id"
     for k in range(2, order + 1):
         sent = (dealt.groupBy("batch").cogroup(told.where(F.col("kind") == ANSWER).groupBy("batch"))
                 .applyInArrow(_send(parts, k), SENT))
-        told = told.unionByName(sent.groupBy("part").applyInArrow(_count_grams(k), TOLD))
+        told = told.unionByName(sent.groupBy("part").applyInArrow(_count_grams(k, k == order), TOLD))
     found = storage.stored(dealt.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_evaluate(parts, order), FOUND), "n-gram-sums")
     names = [*CLASSES, "n6"]
     seen = {r["ord"]: r for r in found.where(F.col("kind") == COUNTS).groupBy("ord").agg(
