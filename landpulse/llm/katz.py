@@ -56,16 +56,6 @@ def discounts(counts_of_counts: list[int]) -> list[float]:
     return factors
 
 
-def word_probability(counts: np.ndarray, total: int, counts_of_counts: list[int]) -> np.ndarray:
-    """P(w) for training counts; 0 stands for every word outside the training text together."""
-    factors = np.array([0.0, *discounts(counts_of_counts)])
-    given_up = sum((1 - factors[r]) * r * counts_of_counts[r - 1] for r in range(1, LIMIT + 1))
-    known = np.where(counts <= LIMIT, factors[np.minimum(counts, LIMIT)], 1.0) * counts
-    if given_up <= 0:  # no rare words at all: one more count stands for the unknown ones
-        return np.where(counts > 0, counts, 1.0) / (total + 1.0)
-    return np.where(counts > 0, known, given_up) / total
-
-
 def _pack(**arrays: np.ndarray) -> bytes:
     parts, head = [], []
     for name, a in arrays.items():
@@ -461,7 +451,7 @@ def katz_scores(alerts: DataFrame, held_out: Column, id_column: str = "alert_id"
     kinds = {k: [int(seen[k][c]) if k in seen else 0 for c in names] for k in range(1, order + 1)}
     factors = {k: discounts(kinds[k]) for k in kinds}
     given_up = sum((1 - d) * r * n for r, (d, n) in enumerate(zip(factors[1], kinds[1]), 1))
-    words = factors[1] if given_up > 0 else [1.0] * LIMIT  # as in word_probability
+    words = factors[1] if given_up > 0 else [1.0] * LIMIT  # without rare words one more count stands for the unknown ones
     rare = np.log10(np.concatenate([*(factors[k] for k in range(order, 1, -1)), words]))
     whole = math.log10(max(1.0, total if given_up > 0 else total + 1.0))
     told_docs = found.where(F.col("kind") == DOCS).select("batch", "blob").mapInArrow(
